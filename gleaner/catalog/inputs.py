@@ -6,6 +6,8 @@ with it. The ``*_SQL`` texts are the same derivations for the oracle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,3 +122,115 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Old title "), F.col("doc_id").cast("string"))).alias("title"),
     )
     return docs
+
+
+def _xml(text):
+    """Escape a text for XML."""
+    result = F.replace(text, F.lit("&"), F.lit("&amp;"))
+    result = F.replace(result, F.lit("<"), F.lit("&lt;"))
+    return F.regexp_replace(result, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+
+
+_SITEMAP_NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+
+
+def sitemap_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three levels of sitemap documents over the page URLs.
+
+    Sitemaps have a bounded number of entries (as the format demands), so a group
+    is a slice of the page ids, never a whole host.
+    """
+    base = "https://www.example.com/"
+    kind = F.when(F.col("url").contains("//blog."), "blog").otherwise("news")
+    entry = F.concat(F.lit("<url><loc> "), _xml(F.col("url")), F.lit(" </loc></url>"))
+    urlsets = (
+        table(spark, sf_dir, "pages")
+        .select(kind.alias("kind"), F.expr("page_id div 50").alias("slot"), "page_id", entry.alias("entry"))
+        .groupBy("kind", "slot").agg(F.sort_array(F.collect_list(F.struct("page_id", "entry"))).alias("e"))
+        .select(
+            "kind", "slot",
+            F.concat(F.lit(base + "sitemap-"), "kind", F.lit("-"), F.col("slot").cast("string"), F.lit(".xml")).alias("url"),
+            F.concat(F.lit(f"<urlset {_SITEMAP_NS}>"), F.array_join(F.col("e.entry"), ""), F.lit("</urlset>")).alias("body"),
+        )
+    )
+
+    def index(children: DataFrame, name: str) -> DataFrame:
+        loc = F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc></sitemap>"))
+        return (
+            children.select("kind", F.expr("slot div 50").alias("slot"), loc.alias("loc"))
+            .groupBy("kind", "slot").agg(F.sort_array(F.collect_list("loc")).alias("locs"))
+            .select(
+                "kind", "slot",
+                F.concat(F.lit(f"{base}{name}-"), "kind", F.lit("-"), F.col("slot").cast("string"), F.lit(".xml")).alias("url"),
+                F.concat(F.lit(f"<sitemapindex {_SITEMAP_NS}>"), F.array_join("locs", ""), F.lit("</sitemapindex>")).alias("body"),
+            )
+        )
+
+    middle = index(urlsets, "index")
+    top = index(middle, "root")
+    return reduce(DataFrame.unionByName, [urlsets, middle, top]).select("url", "body")
+
+
+def feed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds of ten documents each."""
+    n = F.col("doc_id").cast("string")
+    clean = F.regexp_replace("text", r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    item = F.concat(
+        F.lit("<item><title><![CDATA[ Post "), n, F.lit("]]></title><link>https://medium.com/@u/post-"), n,
+        F.lit("?source=rss</link><dc:creator><![CDATA["), "source",
+        F.lit("]]></dc:creator><description><![CDATA[<p>About <b>"), "lang",
+        F.lit("</b> &amp; more</p>]]></description><pubDate>Sat, 03 Feb 2024 10:20:30 GMT</pubDate>"
+              "<atom:updated>2024-03-04T05:06:07Z</atom:updated><category>"), "lang",
+        F.lit("</category><category>"), "source",
+        F.lit("</category><content:encoded><![CDATA["), clean, F.lit("]]></content:encoded></item>"))
+    head = ('<rss xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:atom="http://www.w3.org/2005/Atom" '
+            'xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><title>Feed</title>')
+    return (
+        table(spark, sf_dir, "documents")
+        .select(F.expr("doc_id div 10").alias("feed"), F.struct("doc_id", item.alias("item")).alias("e"))
+        .groupBy("feed").agg(F.sort_array(F.collect_list("e")).alias("e"))
+        .select(
+            F.concat(F.lit("user"), F.col("feed").cast("string")).alias("username"),
+            F.concat(F.lit(head), F.array_join("e.item", ""), F.lit("</channel></rss>")).alias("body"))
+    )
+
+
+def article_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One article payload per document; every seventh has no body."""
+    n = F.col("doc_id")
+
+    def named(*names):
+        return F.array(*[F.struct(F.struct(x.alias("name")).alias("entity")) for x in names])
+
+    article = F.struct(
+        F.concat(F.lit("Article "), n.cast("string")).alias("title"),
+        named(F.col("source"), F.lit("")).alias("fieldAuthors"),
+        F.when(n % 2 == 0, "").otherwise("2024-02-03T04:05:06").alias("entityCreatedRaw"),
+        F.lit("2023-01-02").alias("fieldDate"),
+        F.array(
+            F.struct(F.lit("title").alias("key"), F.lit("t").alias("value")),
+            F.struct(F.lit("description").alias("key"), F.concat(F.lit("About "), "lang").alias("value")),
+        ).alias("entityMetatags"),
+        F.struct(F.lit("<p>Short</p>").alias("processed")).alias("fieldAiSummary"),
+        named(F.col("lang")).alias("fieldCategories"),
+        named(F.col("lang"), F.col("source"), F.lit("data")).alias("fieldTags"),
+        F.struct(F.when(n % 7 == 0, "").otherwise(F.col("text")).alias("processed")).alias("body"),
+    )
+    nested = F.struct(F.struct(F.struct(article.alias("article")).alias("drupal")).alias("data")).alias("result")
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("https://example.com/"), n.cast("string")).alias("url"), F.to_json(F.struct(nested)).alias("body"))
+
+
+def glossary_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One glossary payload per document; its lines are the components."""
+    component = F.transform(
+        F.split("text", "\n"),
+        lambda x: F.struct(F.struct(F.struct(x.alias("processed")).alias("fieldBody")).alias("entity")))
+    page = F.struct(
+        F.concat(F.lit("Term "), F.col("doc_id").cast("string")).alias("title"),
+        F.array(F.struct(F.lit("description").alias("key"), F.col("lang").alias("value"))).alias("entityMetatags"),
+        component.alias("fieldComponents"))
+    nested = F.struct(F.struct(F.struct(page.alias("glossaryPage")).alias("drupal")).alias("data")).alias("result")
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("https://example.com/"), F.col("doc_id").cast("string")).alias("url"),
+        F.to_json(F.struct(nested)).alias("body"))
