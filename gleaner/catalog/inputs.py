@@ -114,16 +114,6 @@ posts AS (
 """
 
 
-def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as ledger rows with the labels' verdict as the outcome of the last run."""
-    docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), "source",
-        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"),
-        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Old title "), F.col("doc_id").cast("string"))).alias("title"),
-    )
-    return docs
-
-
 def _xml(text):
     """Escape a text for XML."""
     result = F.replace(text, F.lit("&"), F.lit("&amp;"))
@@ -134,15 +124,18 @@ def _xml(text):
 _SITEMAP_NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
 
 
-def sitemap_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three levels of sitemap documents over the page URLs.
+def sitemap_docs(spark: SparkSession, sf_dir: str, post_prefix: str | None = None) -> DataFrame:
+    """Three levels of sitemap documents over the page URLs, or over posts (two pages each).
 
     Sitemaps have a bounded number of entries (as the format demands), so a group
     is a slice of the page ids, never a whole host.
     """
     base = "https://www.example.com/"
     kind = F.when(F.col("url").contains("//blog."), "blog").otherwise("news")
-    entry = F.concat(F.lit("<url><loc> "), _xml(F.col("url")), F.lit(" </loc></url>"))
+    loc = F.col("url")
+    if post_prefix:
+        loc = F.concat(F.lit(f"{post_prefix}post-"), F.expr("page_id div 2").cast("string"))
+    entry = F.concat(F.lit("<url><loc> "), _xml(loc), F.lit(" </loc></url>"))
     urlsets = (
         table(spark, sf_dir, "pages")
         .select(kind.alias("kind"), F.expr("page_id div 50").alias("slot"), "page_id", entry.alias("entry"))

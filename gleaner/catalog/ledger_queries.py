@@ -1 +1,209 @@
-"""Queries."""
+"""T1-T6 and whole runs: ledger state."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gleaner import values as V
+from gleaner.catalog import inputs as I
+from gleaner.catalog.functions_queries import SERIES_SQL, series_titles
+from gleaner.catalog.inputs import CHAPTERS_SQL, LEDGER_SQL, table
+from gleaner.catalog.registry import query
+from gleaner.functions import text as T
+from gleaner.operators import ledger as L
+from gleaner.plans import blogs, bookmarks, novels, series
+
+_RUN = "2024-05-06 00:00:00"
+
+
+def _run_ts():
+    return F.lit(_RUN).cast("timestamp")
+
+
+@query("t01_classify_outcome", """SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'timeout' WHEN 1 THEN 'connection_error' WHEN 2 THEN 'request_error' WHEN 3 THEN 'parse_error' WHEN 4 THEN 'unknown'
+ WHEN 5 THEN 'http_503' WHEN 6 THEN 'fetch_failed' WHEN 7 THEN CASE WHEN length(repeat(event_type, 18)) < 100 THEN 'no_content' END END AS reason,
+ CASE event_id % 9 WHEN 0 THEN 'Request timed out for u' || event_id WHEN 1 THEN 'Connection failed for u' || event_id WHEN 2 THEN 'request' WHEN 3 THEN 'parse' WHEN 4 THEN 'other'
+ WHEN 5 THEN '503 for u' || event_id WHEN 6 THEN 'Failed to fetch u' || event_id WHEN 7 THEN CASE WHEN length(repeat(event_type, 18)) < 100 THEN 'Article extraction yielded ' || length(repeat(event_type, 18)) || ' chars (min 100)' END END AS detail,
+ CASE WHEN event_id % 9 IN (0, 1, 6) THEN 0 WHEN event_id % 9 < 6 OR event_id % 9 = 7 AND length(repeat(event_type, 18)) < 100 THEN least(5000, length(repeat(props, 800))) END AS html_chars FROM events""")
+def t01(spark, d):
+    kind = F.col("event_id") % 9
+    exc = F.when(kind == 0, "timeout").when(kind == 1, "connection").when(kind == 2, "request").when(kind == 3, "parse").when(kind == 4, "other")
+    fetches = table(spark, d, "events").select(
+        "event_id", F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("url"),
+        F.when(kind == 5, 503).otherwise(200).alias("status_code"), exc.alias("exc"),
+        F.when(kind != 6, F.repeat("props", 800)).alias("body"),
+        F.when(kind == 7, F.repeat("event_type", 18)).otherwise(F.repeat("event_type", 100)).alias("content"))
+    e = F.col("error")
+    return L.classify_outcome(fetches).select(
+        "event_id", e["reason"].alias("reason"), e["detail"].alias("detail"), F.length(e["html"]).cast("long").alias("html_chars"))
+
+
+def _apply(spark, d):
+    """Documents as pending rows; labelled ones have an outcome, the good ones a new title every other time."""
+    docs = table(spark, d, "documents")
+    n = F.col("doc_id").cast("string")
+    ledger = docs.select(
+        F.col("doc_id").alias("id"), "source", F.lit(V.PENDING).alias("status"), F.concat(F.lit("Old "), n).alias("title"),
+        F.lit(None).cast("string").alias("file_path"), F.lit(False).alias("in_obsidian"))
+    good = F.col("quality") == 1
+    error = F.struct(F.lit("no_content").alias("reason"), F.concat(F.lit("label of "), n).alias("detail"), F.lit("<p>").alias("html"))
+    outcomes = table(spark, d, "labels").select(
+        F.col("doc_id").alias("id"), F.when(good & (F.col("toxic") == 0), F.concat(F.lit("New "), n)).alias("title"),
+        F.lit("someone").alias("author"), F.lit(10).cast("long").alias("word_count"), F.lit(60).cast("long").alias("char_count"),
+        F.concat(F.lit("notes/"), n, F.lit(".md")).alias("file_path"), F.when(~good, error).alias("error"))
+    return L.apply_outcomes(ledger, outcomes, ["id"], _run_ts())
+
+
+_APPLIED_SQL = """applied AS (SELECT d.doc_id AS id, d.source, CASE l.quality WHEN 1 THEN 'downloaded' WHEN 0 THEN 'failed' ELSE 'pending' END AS status,
+ CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 'New ' ELSE 'Old ' END || d.doc_id AS title, CASE WHEN l.quality = 1 THEN 'notes/' || d.doc_id || '.md' END AS file_path,
+ CASE WHEN l.quality = 1 THEN 10 END AS word_count, CASE WHEN l.quality = 1 THEN '2024-05-06 00:00:00' END AS downloaded_at,
+ CASE WHEN l.quality = 0 THEN 'label of ' || d.doc_id END AS error_detail FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+@query("t02_apply_outcomes", f"WITH {_APPLIED_SQL} SELECT id, status, title, file_path, word_count, downloaded_at, error_detail FROM applied")
+def t02(spark, d):
+    return _apply(spark, d).select(
+        "id", "status", "title", "file_path", "word_count", F.date_format("downloaded_at", "yyyy-MM-dd HH:mm:ss").alias("downloaded_at"), "error_detail")
+
+
+@query("t03_set_status", "SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'hiatus' ELSE 'ongoing' END AS status FROM customer")
+def t03(spark, d):
+    novels_in = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment", F.lit("ongoing").alias("status"))
+    return L.set_status(novels_in, F.col("c_mktsegment") == "BUILDING", "hiatus").select("id", "status")
+
+
+@query("t04_complete_parents", f"""WITH {CHAPTERS_SQL}, n AS (SELECT novel_id, max(num) AS available FROM chapters GROUP BY novel_id)
+ SELECT novel_id, CASE WHEN novel_id % 3 = 0 THEN 'completed' WHEN novel_id % 3 = 1 THEN 'hiatus' ELSE 'ongoing' END AS status, CASE WHEN novel_id % 3 < 2 THEN '2024-05-06 00:00:00' END AS checked,
+ CASE WHEN novel_id % 6 = 0 THEN '2020-01-01 00:00:00' WHEN novel_id % 6 = 3 THEN '2024-05-06 00:00:00' END AS completed, CASE WHEN novel_id % 3 = 0 THEN available END AS total FROM n""")
+def t04(spark, d):
+    key = F.col("novel_id")
+    available = I.chapters(spark, d).groupBy("novel_id").agg(F.max("num").alias("available"))
+    parents = available.select(
+        "novel_id", F.lit("ongoing").alias("status"), F.lit(None).cast("timestamp").alias("last_checked_at"),
+        F.when(key % 6 == 0, F.lit("2020-01-01").cast("timestamp")).alias("completed_at"), F.lit(None).cast("long").alias("total_chapters"))
+    checks = available.filter(key % 3 != 2).withColumn("found_status", F.when(key % 3 == 0, "completed").otherwise("hiatus"))
+    done = L.complete_parents(parents, checks, "novel_id", _run_ts())
+    fmt = "yyyy-MM-dd HH:mm:ss"
+    return done.select(
+        "novel_id", "status", F.date_format("last_checked_at", fmt).alias("checked"),
+        F.date_format("completed_at", fmt).alias("completed"), F.col("total_chapters").alias("total"))
+
+
+@query("t05_publish_moves", f"WITH {LEDGER_SQL} SELECT id, file_path, 'vault/' || file_path AS target FROM ledger WHERE status = 'downloaded' AND NOT in_obsidian AND file_path IS NOT NULL AND content_type = 'blog'")
+def t05(spark, d):
+    ledger = I.ledger(spark, d)
+    notes = ledger.filter("content_type = 'blog'").select(F.col("file_path").alias("path"))
+    moves, _ = L.publish(ledger, notes, F.concat(F.lit("vault/"), "file_path"), _run_ts(), ["id"])
+    return moves
+
+
+@query("t05_publish_ledger", f"""WITH {LEDGER_SQL}, moves AS (SELECT id FROM ledger WHERE status = 'downloaded' AND NOT in_obsidian AND file_path IS NOT NULL AND content_type = 'blog')
+ SELECT id, in_obsidian OR id IN (SELECT id FROM moves) AS in_obsidian, CASE WHEN id IN (SELECT id FROM moves) THEN '{_RUN}' END AS moved_at FROM ledger""")
+def t05_ledger(spark, d):
+    ledger = I.ledger(spark, d)
+    notes = ledger.filter("content_type = 'blog'").select(F.col("file_path").alias("path"))
+    _, after = L.publish(ledger, notes, F.col("file_path"), _run_ts(), ["id"])
+    return after.select("id", "in_obsidian", F.date_format("moved_at", "yyyy-MM-dd HH:mm:ss").alias("moved_at"))
+
+
+_INDEX_SQL = """'---' || chr(10) || 'tags:' || chr(10) || '  - book/novel' || chr(10) || '  - the-story-of-' || novel_id || chr(10) || '---' || chr(10) || chr(10) || '# The Story Of ' || novel_id || chr(10) || chr(10) || '## Table of Contents' || chr(10) || chr(10)"""
+
+
+@query("t06_index_notes", f"""WITH {CHAPTERS_SQL} SELECT novel_id, 0 AS page, {_INDEX_SQL} || string_agg(printf('- [[%04d - The Story Of %d|Chapter %d]]', num, novel_id, num), chr(10) ORDER BY num) || chr(10) AS content FROM chapters GROUP BY novel_id""")
+def t06(spark, d):
+    return L.index_notes(I.chapters(spark, d))
+
+
+@query("t06_rebuild_navigation", f"""WITH {CHAPTERS_SQL}, changed AS (SELECT DISTINCT novel_id FROM chapters WHERE role = 'system'),
+ linked AS (SELECT *, lag(num) OVER w AS p, lead(num) OVER w AS n FROM chapters WINDOW w AS (PARTITION BY novel_id ORDER BY num))
+ SELECT novel_id, num, rtrim(text, chr(10)) || repeat(chr(10), 2) || '---' || repeat(chr(10), 2) || '<!-- nav-footer -->' || chr(10)
+ || CASE WHEN p IS NULL THEN '*(first)*' ELSE printf('[[%04d - The Story Of %d|← Ch %d]]', p, novel_id, p) END || ' | ' || printf('[[The_Story_Of_%d_Index|Index]]', novel_id) || ' | '
+ || CASE WHEN n IS NULL THEN '*(last)*' ELSE printf('[[%04d - The Story Of %d|Ch %d →]]', n, novel_id, n) END || chr(10) AS content FROM linked WHERE novel_id IN (SELECT novel_id FROM changed)""")
+def t06_nav(spark, d):
+    """Chapters of the changed novels, with an outdated footer that is replaced."""
+    old = F.concat("text", F.lit(f"\n\n---\n\n{V.NAV_MARKER}\nold | links\n"))
+    chapters = I.chapters(spark, d)
+    changed = chapters.filter("role = 'system'").select("novel_id").distinct()
+    _, notes = L.rebuild_index_and_nav(chapters.select("novel_id", "name", "num", old.alias("content")), changed)
+    return notes
+
+
+# -- whole runs ---------------------------------------------------------------------------
+
+@query("run_blog_discovery", f"""WITH posts AS (SELECT page_id, '{V.BLOG_PREFIX}' || 'post-' || (page_id // 2) AS url, 'post-' || (page_id // 2) AS slug FROM pages WHERE contains(url, '//blog.'))
+ SELECT slug, url, 'blog' AS content_type, 'pending' AS status FROM (SELECT DISTINCT slug, url FROM posts) WHERE slug NOT IN (SELECT 'post-' || item_id FROM benchmark)""")
+def run_blog_discovery(spark, d):
+    """Sitemaps whose entries are posts (two pages share one), against a ledger of known slugs."""
+    docs = I.sitemap_docs(spark, d, post_prefix=V.BLOG_PREFIX)
+    ledger = table(spark, d, "benchmark").select(F.concat(F.lit("post-"), F.col("item_id").cast("string")).alias("slug"))
+    roots = docs.filter(F.col("url").contains("/root-"))
+    return blogs.discover_posts(docs, roots, ledger, ["-blog-"], V.BLOG_PREFIX)
+
+
+def _blog_run(spark, d):
+    pending = table(spark, d, "documents").select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"),
+        F.concat(F.lit("https://example.com/"), F.col("doc_id").cast("string")).alias("url"),
+        F.when(F.col("lang") == "en", "blog").otherwise("glossary").alias("content_type"))
+    kinds = pending.select("url", "content_type")
+    payloads = I.article_payloads(spark, d).join(kinds.filter("content_type = 'blog'"), "url").unionByName(
+        I.glossary_payloads(spark, d).join(kinds.filter("content_type = 'glossary'"), "url")).select("url", "body")
+    return pending, blogs.read_payloads(pending, payloads, F.lit("2024-05-06"))
+
+
+@query("run_blog_ledger", """SELECT 'doc-' || doc_id AS slug, CASE WHEN lang = 'en' AND doc_id % 7 = 0 OR length(trim(text, chr(10) || ' ')) < 100 THEN 'failed' ELSE 'downloaded' END AS status,
+ CASE WHEN NOT (lang = 'en' AND doc_id % 7 = 0 OR length(trim(text, chr(10) || ' ')) < 100) THEN CASE WHEN lang = 'en' THEN 'Article ' ELSE 'Term ' END || doc_id END AS title FROM documents""")
+def run_blog_ledger(spark, d):
+    pending, read = _blog_run(spark, d)
+    ledger = pending.withColumns({"status": F.lit(V.PENDING), "title": F.lit(None).cast("string")})
+    return blogs.record_run(ledger, read, _run_ts()).select("slug", "status", "title")
+
+
+def _sync(spark, d):
+    chapters = I.chapters(spark, d)
+    available = chapters.select("novel_id", "num", F.concat(F.lit("Chapter "), F.col("num").cast("string")).alias("title"))
+    local = chapters.filter("role = 'user' AND num % 3 <> 0").select(
+        "novel_id", "num", F.lit("Known").alias("title"), F.lit(1).cast("long").alias("char_count"))
+    fetched = chapters.select("novel_id", "num", F.col("text").alias("content"))
+    return novels.sync_chapters(chapters.select("novel_id", "name").distinct(), available, local, fetched)
+
+
+_NEW_SQL = f"""{CHAPTERS_SQL}, local AS (SELECT novel_id, num FROM chapters WHERE role = 'user' AND num % 3 <> 0),
+ fresh AS (SELECT * FROM chapters c WHERE num > coalesce((SELECT max(num) FROM local l WHERE l.novel_id = c.novel_id), 0))"""
+
+
+@query("run_novel_log", f"""WITH {_NEW_SQL} SELECT novel_id, count(*) AS new_found, count(*) FILTER (length(text) > 50) AS downloaded, CASE WHEN bool_and(length(text) > 50) THEN 'success' ELSE 'partial' END AS status FROM fresh GROUP BY novel_id""")
+def run_novel_log(spark, d):
+    return _sync(spark, d)["log"]
+
+
+@query("run_novel_ledger", f"""WITH {_NEW_SQL} SELECT novel_id, num, 'Chapter ' || num AS title, length(text) AS char_count FROM fresh WHERE length(text) > 50 UNION ALL SELECT novel_id, num, 'Known', 1 FROM local""")
+def run_novel_ledger(spark, d):
+    return _sync(spark, d)["ledger"]
+
+
+@query("run_bookmark_notes", """SELECT page_id AS raindrop_id, 'Raindrop/Title ' || page_id || '.md' AS path, '---' || chr(10) || 'title: "Title ' || page_id || '"' || chr(10) || 'source: "' || CASE WHEN page_id % 2 = 0 THEN 'https://search.app/' || page_id ELSE url END || '"' || chr(10)
+ || 'created: 2024-05-06' || chr(10) || 'description: "excerpt"' || chr(10) || 'tags:' || chr(10) || '  - "clippings"' || chr(10) || '  - "raindrop"' || chr(10) || '  - "mine"' || chr(10) || '---' || chr(10) || chr(10) || 'Text ' || page_id || chr(10) AS content FROM pages""")
+def run_bookmark_notes(spark, d):
+    pages, n = table(spark, d, "pages"), F.col("page_id").cast("string")
+    short = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://search.app/"), n))
+    marks = pages.select(
+        F.col("page_id").alias("raindrop_id"), F.coalesce(short, "url").alias("url"), F.lit("mark").alias("title"),
+        F.lit("excerpt").alias("excerpt"), F.array(F.lit("raindrop"), F.lit("mine")).alias("tags"))
+    redirects = pages.select(short.alias("url"), F.col("url").alias("final_url")).filter("url IS NOT NULL")
+    none = F.lit(None).cast("string")
+    articles = pages.select(
+        "url", F.concat(F.lit("Title "), n).alias("title"), none.alias("author"), none.alias("date"), none.alias("description"),
+        F.concat(F.lit("Text "), n).alias("content"))
+    return bookmarks.bookmark_notes(marks, articles, redirects, F.lit("2024-05-06"))
+
+
+@query("run_series_links", rf"""WITH {SERIES_SQL}, many AS (SELECT *, count(*) OVER (PARTITION BY base) AS n FROM series WHERE base IS NOT NULL),
+ linked AS (SELECT p_partkey AS id, lag(title) OVER w AS p, lead(title) OVER w AS n FROM many WHERE n >= 2 WINDOW w AS (PARTITION BY base ORDER BY part, p_partkey)),
+ safe AS (SELECT id, trim(regexp_replace(regexp_replace(p, '[<>:"/\\|?*]', '', 'g'), '\s+', ' ', 'g')) AS p, trim(regexp_replace(regexp_replace(n, '[<>:"/\\|?*]', '', 'g'), '\s+', ' ', 'g')) AS n FROM linked)
+ SELECT id, 'Body ' || id || chr(10) || '---' || chr(10) || chr(10) || '**Series Navigation**' || chr(10) || chr(10) || CASE WHEN p IS NULL THEN '' ELSE '- ← Previous: [[' || p || ']]' || chr(10) END
+ || CASE WHEN n IS NULL THEN '' ELSE '- → Next: [[' || n || ']]' || chr(10) END AS content FROM safe""")
+def run_series_links(spark, d):
+    posts = series_titles(spark, d).select(F.col("p_partkey").alias("id"), "title", F.lit(V.DOWNLOADED).alias("status"))
+    notes = posts.select("id", F.concat(F.lit("Body "), F.col("id").cast("string"), F.lit(" \n" + V.SERIES_MARKER + "\nold")).alias("content"))
+    return series.link_series(posts, notes)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from gleaner import values as V
 from gleaner.functions.text import (
-    as_col, collapse_blank_lines, extract, iso_date_prefix, nullif_blank, strip,
+    append_absent, as_col, collapse_blank_lines, extract, iso_date_prefix, keyword_list, let,
+    nullif_blank, strip,
     strip_site_suffix, truncate_desc,
 )
 
@@ -22,15 +23,18 @@ def strip_tags(html: Column | str) -> Column:
 
 def unescape(text: Column | str) -> Column:
     """Resolve the listed named entities and all decimal ones."""
-    text = as_col(text)
 
     def resolve_number(acc: Column, code: Column) -> Column:
         point = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
         return F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")), point)
 
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d{1,6});"), F.lit(1)))
-    numbered = F.when(text.contains("&#"), F.reduce(codes, text, resolve_number)).otherwise(text)
-    return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), V.ENTITIES.items(), numbered)
+    def resolve(raw: Column) -> Column:
+        codes = F.array_distinct(F.regexp_extract_all(raw, F.lit(r"&#(\d{1,6});"), F.lit(1)))
+        numbered = F.when(raw.contains("&#"), F.reduce(codes, raw, resolve_number)).otherwise(raw)
+        named = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), V.ENTITIES.items(), numbered)
+        return F.when(raw.contains("&"), named).otherwise(raw)
+
+    return let(as_col(text), resolve)
 
 
 def visible_text(html: Column | str) -> Column:
@@ -71,10 +75,8 @@ def meta_all(html: Column | str, name: str) -> Column:
 def paragraphs(html: Column | str) -> Column:
     """Inner HTML of each ``<p>``; the next ``<p>`` or any ``</p>`` ends it."""
     pieces = F.split(as_col(html), r"(?i)<p(?:\s[^>]*)?>")
-    return F.transform(
-        F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
-        lambda p: F.get(F.split(p, r"(?i)</p\s*>", 2), F.lit(0)),
-    )
+    rest = let(pieces, lambda x: F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))))
+    return F.transform(rest, lambda p: F.get(F.split(p, r"(?i)</p\s*>", 2), F.lit(0)))
 
 
 def paragraph_texts(html: Column | str) -> Column:
@@ -154,19 +156,22 @@ def table_rows(table_html: Column | str) -> Column:
 
 def table_lines(rows: Column | str) -> Column:
     """Markdown lines of a table: header, rule, body; rows padded to the widest."""
-    rows = as_col(rows)
-    widest = F.array_max(F.transform(rows, lambda r: F.size(r)))
 
     def line(cells: Column) -> Column:
         return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
-    padded = F.transform(
-        rows,
-        lambda r: line(F.concat(r, F.array_repeat(F.lit(""), widest - F.size(r)))),
-    )
-    rule = F.array(line(F.array_repeat(F.lit("---"), widest)))
-    whole = F.concat(F.slice(padded, 1, 1), rule, F.slice(padded, 2, F.greatest(F.size(padded), F.lit(1))))
-    return F.when(F.size(rows) > 0, whole).otherwise(F.array().cast("array<string>"))
+    def render(rows: Column) -> Column:
+        def padded(widest: Column) -> Column:
+            body = F.transform(
+                rows, lambda r: line(F.concat(r, F.array_repeat(F.lit(""), widest - F.size(r)))))
+            rule = F.array(line(F.array_repeat(F.lit("---"), widest)))
+            return let(body, lambda b: F.concat(
+                F.slice(b, 1, 1), rule, F.slice(b, 2, F.greatest(F.size(b), F.lit(1)))))
+
+        widest = F.array_max(F.transform(rows, lambda r: F.size(r)))
+        return F.when(F.size(rows) > 0, let(widest, padded)).otherwise(F.array().cast("array<string>"))
+
+    return let(as_col(rows), render)
 
 
 def table_markdown(table_html: Column | str) -> Column:
@@ -177,24 +182,32 @@ def table_markdown(table_html: Column | str) -> Column:
 
 def callout_type(classes: Column | str, text: Column | str) -> Column:
     """Callout kind by class, then by leading word; null for a plain quote."""
+
+    def test(pair: Column) -> Column:
+        names, head = pair["names"], pair["head"]
+        tests = [F.when(names.contains(word), kind) for word, kind in V.CALLOUTS.items()]
+        tests += [
+            F.when(head.startswith(word + ":") | head.startswith(word + " "), kind)
+            for word, kind in V.CALLOUTS.items()
+        ]
+        return F.coalesce(*tests)
+
     names = F.lower(F.coalesce(as_col(classes), F.lit("")))
     head = F.lower(F.left(as_col(text), F.lit(50)))
-    tests = [F.when(names.contains(word), kind) for word, kind in V.CALLOUTS.items()]
-    tests += [
-        F.when(head.startswith(word + ":") | head.startswith(word + " "), kind)
-        for word, kind in V.CALLOUTS.items()
-    ]
-    return F.coalesce(*tests)
+    return let(F.struct(names.alias("names"), head.alias("head")), test)
 
 
 def callout_body(text: Column | str) -> Column:
     """Text without its leading label."""
-    text = as_col(text)
-    result = text
-    for label in reversed(V.CALLOUT_LABELS):
-        cut = strip(F.ltrim(F.substr(text, F.lit(len(label) + 1)), F.lit(":")))
-        result = F.when(text.startswith(label), cut).otherwise(result)
-    return result
+
+    def cut(whole: Column) -> Column:
+        result = whole
+        for label in reversed(V.CALLOUT_LABELS):
+            rest = strip(F.ltrim(F.substr(whole, F.lit(len(label) + 1)), F.lit(":")))
+            result = F.when(whole.startswith(label), rest).otherwise(result)
+        return result
+
+    return let(as_col(text), cut)
 
 
 def quote_lines(text: Column | str) -> Column:
@@ -231,8 +244,6 @@ def page_date(html: Column | str) -> Column:
 
 
 def page_categories(html: Column | str) -> Column:
-    from gleaner.functions.text import append_absent, keyword_list
-
     return append_absent(keyword_list(meta(html, "keywords")), meta_all(html, "article:tag"))
 
 
@@ -276,24 +287,31 @@ def json_ld(html: Column | str) -> Column:
 
 # -- component markup ---------------------------------------------------------------
 
-def mdx_clean(text: Column | str) -> Column:
-    """Markdown with component tags -> plain Markdown with callouts and headings."""
-    result = F.regexp_replace(as_col(text), r"(?s)\A>\s*##\s*Documentation Index.*?(?=\n#|\z)", "")
-    for tag, kind in V.MDX_CALLOUTS.items():
-        pieces = F.split(result, rf"<{tag}>\s*")
+def _mdx_callout(text: Column, tag: str, kind: str) -> Column:
+    """``<tag>…</tag>`` blocks as quoted callouts; a block without its end stays as it is."""
 
-        def quote(piece: Column, tag: str = tag, kind: str = kind) -> Column:
-            halves = F.split(piece, rf"\s*</{tag}>", 2)
+    def quote(piece: Column) -> Column:
+        def render(halves: Column) -> Column:
             lines = F.transform(
-                F.split(strip(F.get(halves, F.lit(0))), r"\r?\n"), lambda x: F.concat(F.lit("> "), x)
-            )
-            body = F.concat(F.lit(f"> [!{kind}]\n"), F.array_join(lines, "\n"), F.get(halves, F.lit(1)))
-            return F.when(F.size(halves) == 2, body).otherwise(F.concat(F.lit(f"<{tag}>"), piece))
+                F.split(strip(F.get(halves, F.lit(0))), r"\r?\n"), lambda x: F.concat(F.lit("> "), x))
+            return F.when(F.size(halves) == 2, F.concat(
+                F.lit(f"> [!{kind}]\n"), F.array_join(lines, "\n"), F.get(halves, F.lit(1)),
+            )).otherwise(F.concat(F.lit(f"<{tag}>"), piece))
+
+        return let(F.split(piece, rf"\s*</{tag}>", 2), render)
 
+    def rebuild(pieces: Column) -> Column:
         rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), quote)
-        result = F.when(
-            result.contains(f"<{tag}>"), F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
-        ).otherwise(result)
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
+
+    return let(F.split(text, rf"<{tag}>\s*"), rebuild)
+
+
+def mdx_clean(text: Column | str) -> Column:
+    """Markdown with component tags -> plain Markdown with callouts and headings."""
+    result = F.regexp_replace(as_col(text), r"(?s)\A>\s*##\s*Documentation Index.*?(?=\n#|\z)", "")
+    for tag, kind in V.MDX_CALLOUTS.items():
+        result = _mdx_callout(result, tag, kind)
     for tag, mark in (("Accordion", "###"), ("Tab", "####")):
         pattern = rf'(?s)<{tag}\s+[^>]*title="([^"]+)"[^>]*>\s*(.*?)\s*</{tag}>'
         result = F.regexp_replace(result, pattern, f"{mark} $1\n\n$2")

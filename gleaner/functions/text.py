@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def as_col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once for a ``body`` that uses it several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column | str) -> Column:
     """Remove white space of any kind at both ends (``trim`` alone takes spaces only)."""
     return F.btrim(as_col(text), F.lit(V.WHITESPACE))
@@ -188,21 +195,28 @@ def strip_series_nav(text: Column | str) -> Column:
 
 
 def strip_front_matter(text: Column | str) -> Column:
-    text = as_col(text)
-    parts = F.split(text, "---", 3)
-    return F.when(
-        text.startswith("---") & (F.size(parts) >= 3), strip(F.get(parts, F.lit(2)))
-    ).otherwise(text)
+    def cut(whole: Column) -> Column:
+        return let(F.split(whole, "---", 3), lambda parts: F.when(
+            whole.startswith("---") & (F.size(parts) >= 3), strip(F.get(parts, F.lit(2)))
+        ).otherwise(whole))
+
+    return let(as_col(text), cut)
 
 
 def drop_first_heading(text: Column | str) -> Column:
     """Remove the first line that begins with ``#``; positions, not a backtracking regex."""
-    text = as_col(text)
-    at = F.when(text.startswith("#"), F.lit(1)).otherwise(F.instr(text, "\n#") + 1)
-    has = text.startswith("#") | (F.instr(text, "\n#") > 0)
-    rest = F.substr(text, at)
-    after = F.when(F.instr(rest, "\n") > 0, F.substr(rest, F.instr(rest, "\n") + 1)).otherwise("")
-    return strip(F.when(has, F.concat(F.substr(text, F.lit(1), at - 1), after)).otherwise(text))
+
+    def cut(body: Column) -> Column:
+        # A line break in front gives every line, the first one too, the same shape.
+        def around(at: Column) -> Column:
+            rest = F.substr(body, at + 1)
+            end = F.instr(rest, "\n")
+            after = F.when(end > 0, F.substr(rest, end)).otherwise("")
+            return F.when(at > 0, F.concat(F.substr(body, F.lit(1), at - 1), after)).otherwise(body)
+
+        return let(F.instr(body, "\n#"), around)
+
+    return strip(let(F.concat(F.lit("\n"), as_col(text)), cut))
 
 
 def collapse_blank_lines(text: Column | str) -> Column:
