@@ -60,8 +60,8 @@ def a06(spark, d):
 
 @query("a07_series_groups", f"WITH {SERIES_SQL} SELECT base, count(*) AS parts FROM series WHERE base IS NOT NULL GROUP BY base HAVING count(*) >= 2")
 def a07(spark, d):
-    found = T.series_part("title")
-    parts = series_titles(spark, d).select(found["base"].alias("base")).filter("base IS NOT NULL")
+    found = T.one_if(T.series_part("title"), lambda s: s.isNotNull())
+    parts = series_titles(spark, d).select(found.alias("s")).select("s.base")
     return A.series_groups(parts, "base", 2)
 
 

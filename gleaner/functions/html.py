@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner import values as V
 from gleaner.functions.text import (
-    append_absent, as_col, collapse_blank_lines, extract, iso_date_prefix, keyword_list, let,
+    append_absent, as_col, before_pipe, collapse_blank_lines, extract, iso_date_prefix, keyword_list, let,
     nullif_blank, strip,
     strip_site_suffix, truncate_desc,
 )
@@ -51,25 +51,30 @@ def tag_text(html: Column | str, tag: str) -> Column:
     return nullif_blank(visible_text(extract(html, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>")))
 
 
-def meta(html: Column | str, name: str) -> Column:
-    """``content`` of a meta tag, ``property`` before ``name``."""
-    quoted = name.replace(".", r"\.")
+def metas(html: Column | str) -> Column:
+    """``array<struct<property,name,content>>`` of all meta tags that have content, in order."""
 
-    def by(attribute: str) -> Column:
-        ahead = rf'(?is)<meta\s[^>]*?{attribute}="{quoted}"[^>]*?\scontent="([^"]*)"'
-        behind = rf'(?is)<meta\s[^>]*?content="([^"]*)"[^>]*?\s{attribute}="{quoted}"'
-        found = F.coalesce(extract(html, ahead), extract(html, behind))
-        return nullif_blank(strip(unescape(found)))
+    def attribute(tag: Column, name: str) -> Column:
+        return F.regexp_extract(tag, rf'(?is)\s{name}="([^"]*)"', 1)
 
-    return F.coalesce(by("property"), by("name"))
+    tags = F.regexp_extract_all(as_col(html), F.lit(r"(?is)<meta\s[^>]*>"), F.lit(0))
+    fields = F.transform(tags, lambda t: F.struct(
+        attribute(t, "property").alias("property"), attribute(t, "name").alias("name"),
+        strip(unescape(attribute(t, "content"))).alias("content")))
+    return F.filter(fields, lambda m: m["content"] != "")
 
 
-def meta_all(html: Column | str, name: str) -> Column:
-    """``content`` of every meta tag with that property."""
-    found = F.regexp_extract_all(
-        as_col(html), F.lit(rf'(?is)<meta\s[^>]*?property="{name}"[^>]*?\scontent="([^"]*)"'), F.lit(1)
-    )
-    return F.filter(F.transform(found, lambda x: strip(unescape(x))), lambda x: x != "")
+def meta(tags: Column | str, name: str) -> Column:
+    """Content of the first meta tag of a name, ``property`` before ``name``."""
+    tags = as_col(tags)
+    by_property = F.filter(tags, lambda m: m["property"] == name)
+    by_name = F.filter(tags, lambda m: m["name"] == name)
+    return F.coalesce(F.get(by_property, F.lit(0))["content"], F.get(by_name, F.lit(0))["content"])
+
+
+def meta_all(tags: Column | str, name: str) -> Column:
+    """Content of every meta tag with that property."""
+    return F.transform(F.filter(as_col(tags), lambda m: m["property"] == name), lambda m: m["content"])
 
 
 def paragraphs(html: Column | str) -> Column:
@@ -217,34 +222,50 @@ def quote_lines(text: Column | str) -> Column:
 
 # -- document fields --------------------------------------------------------------
 
-def page_title(html: Column | str, order: tuple[str, ...] = ("og", "h1", "title")) -> Column:
+def page_title(html: Column | str, tags: Column | str, order: tuple[str, ...] = ("og", "h1", "title")) -> Column:
     """Title by the site's order of sources; a title tag loses its site suffix."""
+    title = tag_text(html, "title")
     sources = {
-        "og": meta(html, "og:title"),
+        "og": meta(tags, "og:title"),
         "h1": tag_text(html, "h1"),
-        "title": nullif_blank(strip_site_suffix(tag_text(html, "title"))),
-        "raw_title": tag_text(html, "title"),
+        "title": nullif_blank(strip_site_suffix(title)),
+        "before_pipe": nullif_blank(before_pipe(title)),
+        "raw_title": title,
     }
     return F.coalesce(*[sources[name] for name in order])
 
 
-def page_description(html: Column | str) -> Column:
-    return F.coalesce(meta(html, "og:description"), meta(html, "description"))
-
-
-def page_author(html: Column | str) -> Column:
-    return F.coalesce(meta(html, "author"), meta(html, "article:author"))
-
-
-def page_date(html: Column | str) -> Column:
+def page_date(html: Column | str, tags: Column | str) -> Column:
     names = ["article:published_time", "article:published", "datePublished", "date"]
     stamp = extract(html, r'(?is)<time\s[^>]*?datetime="([^"]*)"')
-    dates = [iso_date_prefix(meta(html, n)) for n in names]
+    dates = [iso_date_prefix(meta(tags, n)) for n in names]
     return F.coalesce(*dates, iso_date_prefix(stamp), iso_date_prefix(tag_text(html, "time")))
 
 
-def page_categories(html: Column | str) -> Column:
-    return append_absent(keyword_list(meta(html, "keywords")), meta_all(html, "article:tag"))
+def page_meta(
+    html: Column | str, order: tuple[str, ...] = ("og", "h1", "title")
+) -> Column:
+    """``struct<title, authors, date, description, categories>`` of a page.
+
+    Linked data goes before meta tags for date and authors. Meta tags are read once.
+    """
+    html = as_col(html)
+
+    def fields(pair: Column) -> Column:
+        tags, linked = pair["tags"], pair["linked"]
+        author = F.coalesce(meta(tags, "author"), meta(tags, "article:author"))
+        authors = F.when(F.size(linked["authors"]) > 0, linked["authors"]).when(author.isNotNull(), F.array(author))
+        return F.struct(
+            page_title(html, tags, order).alias("title"),
+            F.coalesce(authors, F.array().cast("array<string>")).alias("authors"),
+            F.coalesce(linked["date"], page_date(html, tags)).alias("date"),
+            F.coalesce(meta(tags, "og:description"), meta(tags, "description"), F.lit("")).alias("description"),
+            append_absent(keyword_list(meta(tags, "keywords")), meta_all(tags, "article:tag")).alias("categories"),
+        )
+
+    none = F.struct(F.lit(None).cast("date").alias("date"), F.array().cast("array<string>").alias("authors"))
+    linked = F.when(html.contains("ld+json"), json_ld(html)).otherwise(none)
+    return let(F.struct(metas(html).alias("tags"), linked.alias("linked")), fields)
 
 
 _LD_AUTHOR = "struct<name:string>"
@@ -315,8 +336,7 @@ def mdx_clean(text: Column | str) -> Column:
     for tag, mark in (("Accordion", "###"), ("Tab", "####")):
         pattern = rf'(?s)<{tag}\s+[^>]*title="([^"]+)"[^>]*>\s*(.*?)\s*</{tag}>'
         result = F.regexp_replace(result, pattern, f"{mark} $1\n\n$2")
-    for tag in V.MDX_CONTAINERS:
-        result = F.regexp_replace(result, rf"</?{tag}(?:\s[^>]*)?\s*/?>", "")
-    for pattern in (r"<[A-Z][A-Za-z]*(?:\s[^>]*)?\s*/>", r"</[A-Z][A-Za-z]*>", r"<[A-Z][A-Za-z]*(?:\s[^>]*)?>"):
-        result = F.regexp_replace(result, pattern, "")
+    containers = "|".join(V.MDX_CONTAINERS)
+    result = F.regexp_replace(result, rf"</?(?:{containers})(?:\s[^>]*)?\s*/?>", "")
+    result = F.regexp_replace(result, r"<[A-Z][A-Za-z]*(?:\s[^>]*)?\s*/?>|</[A-Z][A-Za-z]*>", "")
     return collapse_blank_lines(result)

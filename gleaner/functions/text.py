@@ -21,6 +21,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def one_if(value: Column, test: Callable[[Column], Column]) -> Column:
+    """Generator: ``value`` if it passes, else no row.
+
+    A filter on a parsed value would be pushed below the parse and parse again; a
+    generator is evaluated once.
+    """
+    return F.explode(F.filter(F.array(value), test))
+
+
 def strip(text: Column | str) -> Column:
     """Remove white space of any kind at both ends (``trim`` alone takes spaces only)."""
     return F.btrim(as_col(text), F.lit(V.WHITESPACE))
@@ -131,7 +140,6 @@ def chapter_title(page_title: Column | str, novel: Column | str, num: Column | s
 
 def series_part(title: Column | str) -> Column:
     """``struct<base, part>`` of a title that names a part of a series, else null."""
-    text = strip(title)
     roman = "I{1,3}V?|VI{0,3}|IX|X"
     forms = [
         rf"(?iU)^(.*?)\s*[:\-—–]?\s*Part\s+({roman})\s+of\s+\w+\s*$",
@@ -139,14 +147,24 @@ def series_part(title: Column | str) -> Column:
         r"(?iU)^(.*?)\s*[:\-—–]\s*Part\s+(\d+)(?:\s+of\s+\d+)?\s*$",
         rf"(?iU)^(.*?)\s*\(Part\s+({roman}|\d+)\)\s*$",
     ]
-    numerals = F.create_map(*[F.lit(x) for pair in V.ROMAN.items() for x in pair])
-    found = []
-    for form in forms:
-        part = F.upper(F.regexp_extract(text, form, 2))
-        number = F.coalesce(F.try_element_at(numerals, part), extract(part, r"^(\d+)$").cast("int"))
-        base = strip(F.regexp_extract(text, form, 1))
-        found.append(F.when(number.isNotNull(), F.struct(base.alias("base"), number.alias("part"))))
-    return F.coalesce(*found)
+
+    def number_of(part: Column) -> Column:
+        numerals = F.create_map(*[F.lit(x) for pair in V.ROMAN.items() for x in pair])
+        return let(part, lambda p: F.coalesce(
+            F.try_element_at(numerals, p), F.when(p.rlike(r"^\d+$"), p.try_cast("int"))))
+
+    def numbered(base: Column) -> Callable[[Column], Column]:
+        return lambda n: F.when(n.isNotNull(), F.struct(base.alias("base"), n.alias("part")))
+
+    def match(text: Column) -> Column:
+        found = []
+        for form in forms:
+            base = strip(F.regexp_extract(text, form, 1))
+            number = number_of(F.upper(F.regexp_extract(text, form, 2)))
+            found.append(let(number, numbered(base)))
+        return F.when(F.lower(text).contains("part"), F.coalesce(*found))
+
+    return let(strip(title), match)
 
 
 # -- dates -------------------------------------------------------------------
@@ -220,7 +238,10 @@ def drop_first_heading(text: Column | str) -> Column:
 
 
 def collapse_blank_lines(text: Column | str) -> Column:
-    return strip(F.regexp_replace(as_col(text), r"\n{3,}", "\n\n"))
+    def collapse(raw: Column) -> Column:
+        return F.when(raw.contains("\n\n\n"), F.regexp_replace(raw, r"\n{3,}", "\n\n")).otherwise(raw)
+
+    return strip(let(as_col(text), collapse))
 
 
 def word_count(text: Column | str) -> Column:

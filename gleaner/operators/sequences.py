@@ -148,8 +148,8 @@ def series_nav(posts: DataFrame, min_parts: int = 2) -> DataFrame:
     ``posts(id, title)``; order is the part number, then the id. Blocks cut by part
     and by id, so that many posts with one part number still spread.
     """
-    part = T.series_part("title")
-    parts = posts.select("id", "title", part.alias("s")).filter(F.col("s").isNotNull()).select(
+    found = T.one_if(T.series_part("title"), lambda s: s.isNotNull())
+    parts = posts.select("id", "title", found.alias("s")).select(
         "id", "title", F.col("s.base").alias("base"), F.col("s.part").cast("long").alias("part"))
     linked = neighbours(
         parts, ["base"], ["part", "id"], [F.col("part"), number_block("id")], ["id", "title"])

@@ -18,7 +18,7 @@ def read_pages(pages: DataFrame) -> DataFrame:
     text = chapter_text("html", V.BOILERPLATE["freewebnovel.com"], selectors=("article", "main", "body"))
     rows = pages.select(
         "page_id", "url", "html", U.host("url").alias("host"), U.slug_path("url", drop_html=True).alias("slug"),
-        H.page_title("html").alias("title"), text.alias("content"))
+        H.page_meta("html")["title"].alias("title"), text.alias("content"))
     gated = quality_gate(rows, html="html").drop("html")
     return gated.select(
         "page_id", "url", "host", "slug", U.parent_path("slug").alias("parent_path"), "title", "content",

@@ -43,7 +43,8 @@ def article_json(docs: DataFrame) -> DataFrame:
     A payload without title or body is no article and gives no row.
     """
     article = F.from_json("body", _ARTICLE)["result"]["data"]["drupal"]["article"]
-    rows = docs.select("url", article.alias("a"))
+    found = T.one_if(article, lambda x: (x["title"] != "") & (x["body"]["processed"] != ""))
+    rows = docs.select("url", found.alias("a"))
     a = F.col("a")
     stamp = F.coalesce(nullif_blank(a["entityCreatedRaw"]), a["fieldDate"])
     return rows.select(
@@ -55,21 +56,25 @@ def article_json(docs: DataFrame) -> DataFrame:
         F.coalesce(a["fieldAiSummary"]["processed"], F.lit("")).alias("summary_html"),
         T.append_absent(_entity_names(a["fieldCategories"]), _entity_names(a["fieldTags"])).alias("categories"),
         a["body"]["processed"].alias("body_html"),
-    ).filter(nullif_blank("title").isNotNull() & nullif_blank("body_html").isNotNull())
+    )
 
 
 def glossary_json(docs: DataFrame) -> DataFrame:
     """``(url, title, description, body_html)``; the bodies of all components, joined by line."""
     page = F.from_json("body", _GLOSSARY)["result"]["data"]["drupal"]["glossaryPage"]
-    rows = docs.select("url", page.alias("p"))
+
+    def bodies(entry: Column) -> Column:
+        return _present(F.transform(entry["fieldComponents"], lambda c: c["entity"]["fieldBody"]["processed"]))
+
+    found = T.one_if(page, lambda x: (x["title"] != "") & (F.size(bodies(x)) > 0))
+    rows = docs.select("url", found.alias("p"))
     p = F.col("p")
-    bodies = _present(F.transform(p["fieldComponents"], lambda c: c["entity"]["fieldBody"]["processed"]))
     return rows.select(
         "url",
         p["title"].alias("title"),
         _description(p["entityMetatags"]).alias("description"),
-        F.array_join(bodies, "\n").alias("body_html"),
-    ).filter(nullif_blank("title").isNotNull() & (F.col("body_html") != ""))
+        F.array_join(bodies(p), "\n").alias("body_html"),
+    )
 
 
 def volume_chapters(docs: DataFrame) -> DataFrame:
