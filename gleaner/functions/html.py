@@ -313,11 +313,11 @@ def _mdx_callout(text: Column, tag: str, kind: str) -> Column:
 
     def quote(piece: Column) -> Column:
         def render(halves: Column) -> Column:
-            lines = F.transform(
-                F.split(strip(F.get(halves, F.lit(0))), r"\r?\n"), lambda x: F.concat(F.lit("> "), x))
-            return F.when(F.size(halves) == 2, F.concat(
-                F.lit(f"> [!{kind}]\n"), F.array_join(lines, "\n"), F.get(halves, F.lit(1)),
-            )).otherwise(F.concat(F.lit(f"<{tag}>"), piece))
+            body = F.replace(strip(F.get(halves, F.lit(0))), F.lit("\r\n"), F.lit("\n"))
+            lines = F.concat(F.lit("> "), F.replace(body, F.lit("\n"), F.lit("\n> ")))
+            return F.when(
+                F.size(halves) == 2, F.concat(F.lit(f"> [!{kind}]\n"), lines, F.get(halves, F.lit(1)))
+            ).otherwise(F.concat(F.lit(f"<{tag}>"), piece))
 
         return let(F.split(piece, rf"\s*</{tag}>", 2), render)
 

@@ -7,9 +7,10 @@ Column expressions in ``markdown``.
 
 from __future__ import annotations
 
+import re
 import sys
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
+from html import unescape
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
@@ -34,7 +35,7 @@ class Profile:
     code_prefixes: tuple = ("language-",)
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
     attrs: dict = field(default_factory=dict)
@@ -45,43 +46,55 @@ class Node:
         return self.attrs.get("class", "").split()
 
 
-class _Builder(HTMLParser):
-    """Builds the tree; an end tag closes up to its start, and a new ``<p>`` closes an open one."""
+# One token: comment, declaration, end tag, or start tag with its attributes. Possessive
+# repeats keep a broken tag from being tried again and again.
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|"""
+    r"""<([a-zA-Z][^\s/>]*)((?:[\s/]*+[^\s/>=<]++(?:\s*=\s*(?:"[^"]*"|'[^']*'|(?!["'])[^\s>]*))?+)*+)[\s/=]*>""",
+    re.S,
+)
+_ATTRIBUTE = re.compile(
+    r"""([^\s/>=<]++)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|((?!["'])[^\s>]*)))?+""", re.S)
+_RAW_END = {tag: re.compile(rf"</{tag}\b", re.I) for tag in ("script", "style")}
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.stack = [Node("")]
 
-    def _close(self, tag: str) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.stack[depth].tag == tag:
-                del self.stack[depth:]
+def parse(html: str) -> Node:
+    """Tree of a text: an end tag closes up to its start, a new ``<p>`` closes an open one."""
+    root = Node("")
+    stack, position = [root], 0
+
+    def close(tag: str) -> None:
+        for depth in range(len(stack) - 1, 0, -1):
+            if stack[depth].tag == tag:
+                del stack[depth:]
                 return
 
-    def handle_starttag(self, tag, attrs):
-        if tag == "p":
-            self._close("p")
-        node = Node(tag, {k: v or "" for k, v in attrs})
-        self.stack[-1].children.append(node)
-        if tag not in VOID:
-            self.stack.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        self._close(tag)
-
-    def handle_endtag(self, tag):
-        self._close(tag)
-
-    def handle_data(self, data):
-        self.stack[-1].children.append(data)
-
-
-def parse(html: str) -> Node:
-    builder = _Builder()
-    builder.feed(html)
-    builder.close()
-    return builder.stack[0]
+    def add_text(text: str) -> None:
+        if text:
+            stack[-1].children.append(unescape(text) if "&" in text else text)
+
+    while match := _TOKEN.search(html, position):
+        add_text(html[position:match.start()])
+        position = match.end()
+        if match[1]:
+            close(match[1].lower())
+        elif match[2]:
+            tag = match[2].lower()
+            if tag == "p":
+                close("p")
+            found = _ATTRIBUTE.finditer(match[3]) if match[3] else ()
+            attrs = {a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in found}
+            node = Node(tag, attrs)
+            stack[-1].children.append(node)
+            if tag in _RAW_END:
+                end = _RAW_END[tag].search(html, position)
+                stop = end.start() if end else len(html)
+                node.children.append(html[position:stop])
+                position = stop
+            elif tag not in VOID and not match[0].endswith("/>"):
+                stack.append(node)
+    add_text(html[position:])
+    return root
 
 
 def strings(node: Node):
@@ -145,15 +158,28 @@ def inline(node: Node, profile: Profile) -> str:
     return "".join(parts)
 
 
-class _Walk:
-    """Collects ``(kind, level, text, extra, rows)`` of one document."""
+class Blocks:
+    """Columns ``kind, level, text, extra, rows`` of the blocks of many documents."""
 
     def __init__(self, profile: Profile) -> None:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
         self.profile = profile
-        self.blocks: list[dict] = []
+        self.columns: tuple[list, ...] = ([], [], [], [], [])
+
+    def __len__(self) -> int:
+        return len(self.columns[0])
+
+    def read(self, html: str) -> None:
+        """Append the blocks of one document."""
+        tree = parse(html)
+        _remove(tree, self.profile)
+        root = root_of(tree, self.profile) if self.profile.roots else tree
+        if root is not None:
+            self.children(root)
 
     def add(self, kind, text="", level=0, extra="", rows=None):
-        self.blocks.append({"kind": kind, "level": level, "text": text, "extra": extra, "rows": rows})
+        for column, value in zip(self.columns, (kind, level, text, extra, rows)):
+            column.append(value)
 
     def children(self, node: Node) -> None:
         for child in node.children:
@@ -277,13 +303,3 @@ def root_of(tree: Node, profile: Profile) -> Node | None:
                 break
     return find(tree, "body")
 
-
-def blocks_of(html: str, profile: Profile) -> list[dict]:
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
-    tree = parse(html)
-    _remove(tree, profile)
-    root = root_of(tree, profile) if profile.roots else tree
-    walk = _Walk(profile)
-    if root is not None:
-        walk.children(root)
-    return walk.blocks

@@ -10,15 +10,20 @@ from __future__ import annotations
 from dataclasses import replace
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner import values as V
 from gleaner.functions import html as H
 from gleaner.functions import text as T
-from gleaner.operators.html_blocks import Profile, blocks_of
+from gleaner.operators import html_blocks as helper
+from gleaner.operators.html_blocks import Blocks, Profile
 from gleaner.operators.selection import quality_gate
 
+# The helper travels with the UDF, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(helper)
+
 # --- fixed values: tags and classes that each profile leaves out ---
 ARTICLE = Profile(
     skip_tags=frozenset("script style nav footer header iframe noscript svg".split()),
@@ -73,10 +78,10 @@ PROFILES = {
 }
 
 _BLOCKS = "array<struct<kind:string,level:int,text:string,extra:string,rows:array<array<string>>>>"
-_ARROW_BLOCKS = pa.list_(pa.struct([
-    ("kind", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("extra", pa.string()),
-    ("rows", pa.list_(pa.list_(pa.string()))),
-]))
+_ARROW_FIELDS = {
+    "kind": pa.string(), "level": pa.int32(), "text": pa.string(), "extra": pa.string(),
+    "rows": pa.list_(pa.list_(pa.string())),
+}
 
 
 def profile_of(name: str, class_match: str | None = None) -> Profile:
@@ -90,8 +95,14 @@ def html_blocks(html: Column | str, profile: Profile) -> Column:
 
     @F.arrow_udf(_BLOCKS)
     def read(texts: pa.Array) -> pa.Array:
-        found = [None if t is None else blocks_of(t, profile) for t in texts.to_pylist()]
-        return pa.array(found, type=_ARROW_BLOCKS)
+        blocks, ends = Blocks(profile), [0]
+        for text in texts.to_pylist():
+            if text is not None:
+                blocks.read(text)
+            ends.append(len(blocks))
+        columns = [pa.array(c, type=t) for c, t in zip(blocks.columns, _ARROW_FIELDS.values())]
+        values = pa.StructArray.from_arrays(columns, names=list(_ARROW_FIELDS))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=texts.is_null())
 
     return read(html)
 
