@@ -58,7 +58,7 @@ def vault_rows(files: DataFrame) -> DataFrame:
     folder = F.substring_index(F.substring_index("path", "/", -2), "/", 1)
     num = extract(name, r"^(\d{4}) - .*\.md$").cast("long")
     return files.select(
-        F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B"))).alias("novel"), num.alias("num"), "path",
+        folder.alias("novel"), num.alias("num"), "path",
         F.lit("imported").alias("site"), F.lit("unknown").alias("status"), F.lit(True).alias("in_obsidian"),
     ).filter(F.col("num").isNotNull())
 
@@ -69,7 +69,7 @@ def scan_vault(spark: SparkSession, root: str) -> DataFrame:
         spark.read.format("binaryFile").option("pathGlobFilter", "[0-9][0-9][0-9][0-9] - *.md")
         .option("recursiveFileLookup", "true").load(root)
     )
-    return vault_rows(files.select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path")))
+    return vault_rows(files.select("path"))
 
 
 def to_json_report(frame: DataFrame) -> DataFrame:
