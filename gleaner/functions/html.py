@@ -31,7 +31,11 @@ def unescape(text: Column | str) -> Column:
     def resolve(raw: Column) -> Column:
         codes = F.array_distinct(F.regexp_extract_all(raw, F.lit(r"&#(\d{1,6});"), F.lit(1)))
         numbered = F.when(raw.contains("&#"), F.reduce(codes, raw, resolve_number)).otherwise(raw)
-        named = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), V.ENTITIES.items(), numbered)
+        named = numbered
+        for name, char in V.ENTITIES.items():
+            named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
+        for name, char in {**V.OPEN_ENTITIES, "amp": "&"}.items():
+            named = F.regexp_replace(named, f"&{name};?", char)
         return F.when(raw.contains("&"), named).otherwise(raw)
 
     return let(as_col(text), resolve)
