@@ -135,6 +135,12 @@ def s10(spark, d):
     return links.chapter_links(nav_pages(spark, d)).select("key", "num", "url", "title")
 
 
+@query("s10_site_chapters", f"""WITH {_NAV_SQL}, firsts AS (SELECT page_id, list_extract(regexp_extract_all(html, '<li><a href="/([^"]*)">([^<]*)</a>', 2), 1) AS word FROM pages)
+ SELECT page_id AS key, page_id AS num, '/novel/story/chapter-' || page_id || '/' || word AS url, word AS title FROM firsts WHERE word IS NOT NULL""")
+def s10_site(spark, d):
+    return links.site_chapters(nav_pages(spark, d), "lightnovelstranslations.com").select("key", "num", "url", "title")
+
+
 @query("s11_chapter_sequence", """SELECT conv_id AS key, unnest(generate_series(1, max(turn) + 1)) AS num,
  'https://freewebnovel.com/story-' || conv_id || '/chapter-' || unnest(generate_series(1, max(turn) + 1)) || '.html' AS url,
  'Chapter ' || unnest(generate_series(1, max(turn) + 1)) AS title FROM conversations GROUP BY conv_id""")

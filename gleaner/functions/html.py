@@ -55,6 +55,12 @@ def tag_text(html: Column | str, tag: str) -> Column:
     return nullif_blank(visible_text(extract(html, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>")))
 
 
+def class_text(html: Column | str, name: str, tag: str = r"\w+") -> Column:
+    """Text of the first element with a class; null if absent or blank."""
+    pattern = rf'(?is)<({tag})\s(?:[^>]*\s)?class="(?:[^"]*\s)?{name}(?:\s[^"]*)?"[^>]*>(.*?)</\1\s*>'
+    return nullif_blank(visible_text(extract(html, pattern, 2)))
+
+
 def metas(html: Column | str) -> Column:
     """``array<struct<property,name,content>>`` of all meta tags that have content, in order."""
 
@@ -82,10 +88,10 @@ def meta_all(tags: Column | str, name: str) -> Column:
 
 
 def paragraphs(html: Column | str) -> Column:
-    """Inner HTML of each ``<p>``; the next ``<p>`` or any ``</p>`` ends it."""
+    """Inner HTML of each ``<p>``; the next ``<p>``, any ``</p>`` or the end of its section ends it."""
     pieces = F.split(as_col(html), r"(?i)<p(?:\s[^>]*)?>")
     rest = let(pieces, lambda x: F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))))
-    return F.transform(rest, lambda p: F.get(F.split(p, r"(?i)</p\s*>", 2), F.lit(0)))
+    return F.transform(rest, lambda p: F.get(F.split(p, r"(?i)</(?:p|article|section|main|body|html)\s*>", 2), F.lit(0)))
 
 
 def paragraph_texts(html: Column | str) -> Column:

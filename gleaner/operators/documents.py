@@ -10,6 +10,7 @@ from gleaner.functions import html as H
 from gleaner.functions import notes as N
 from gleaner.functions import text as T
 from gleaner.operators.aggregates import join_in_order
+from gleaner.operators.joins import join_per_parent
 from gleaner.operators.selection import drop_boilerplate, quality_gate
 
 
@@ -31,11 +32,45 @@ def container(html: Column | str, *selectors: str) -> Column:
 
 
 def chapter_text(
-    html: Column | str, phrases: list[str], selectors: tuple[str, ...] = (), head: int | None = None
+    html: Column | str, phrases: list[str] | None, selectors: tuple[str, ...] = (), head: int | None = None
 ) -> Column:
     """Story paragraphs of a page, boilerplate dropped, joined by blank lines."""
     scope = container(html, *selectors) if selectors else T.as_col(html)
-    return F.array_join(drop_boilerplate(H.paragraph_texts(scope), phrases, head=head), "\n\n")
+    texts = H.paragraph_texts(scope)
+    kept = drop_boilerplate(texts, phrases, head=head) if phrases else F.filter(
+        texts, lambda p: F.length(p) > V.MIN_PARAGRAPH)
+    return F.array_join(kept, "\n\n")
+
+
+def chapter_page_title(html: Column | str, selectors: list[str]) -> Column:
+    """Text of the first selector that has some, else ``Chapter``."""
+    found = []
+    for selector in selectors:
+        tag, _, name = selector.partition(".")
+        found.append(H.class_text(html, name, tag or r"\w+") if name else H.tag_text(html, tag))
+    return F.coalesce(*found, F.lit("Chapter"))
+
+
+def read_chapters(pages: DataFrame) -> DataFrame:
+    """``pages(site, html, …)`` with ``title``, ``content`` and ``reject`` by their site's rules.
+
+    A selector whose element holds no story paragraph gives way to the next one. The
+    content must be longer than the site's gate.
+    """
+    site = F.col("site")
+    title = content = F.lit(None).cast("string")
+    gate = F.lit(None).cast("int")
+    for name, selectors in V.CHAPTER_TEXTS.items():
+        phrases, head = V.BOILERPLATE.get(name), V.BOILERPLATE_HEAD.get(name)
+        scopes = [(s,) for s in selectors] or [()]
+        texts = [T.nullif_blank(chapter_text("html", phrases, s, head)) for s in scopes]
+        content = F.when(site == name, F.coalesce(*texts)).otherwise(content)
+        title = F.when(site == name, chapter_page_title("html", V.CHAPTER_TITLES[name])).otherwise(title)
+        gate = F.when(site == name, V.CHAPTER_GATES[name]).otherwise(gate)
+    read = pages.withColumns({"title": title, "content": content})
+    length = F.coalesce(F.length("content"), F.lit(0))
+    reject = F.when(gate.isNull(), "unknown site").when(length <= gate, F.format_string("text has %d chars (above %d)", length, gate))
+    return read.withColumn("reject", reject)
 
 
 # -- paragraphs with markups -----------------------------------------------------------
@@ -122,7 +157,7 @@ def transcript_notes(videos: DataFrame, snippets: DataFrame, page_size: int = 10
     paged = snippets.select(
         "video_id", F.floor(F.col("ord") / page_size).cast("long").alias("page"), "ord", "text")
     texts = join_in_order(paged, ["video_id", "page"], "ord", "text", "\n\n", "transcript")
-    joined = texts.join(videos, "video_id")
+    joined = join_per_parent(texts, videos, ["video_id"], ["page"], "inner")
     note = F.when(
         F.col("page") == 0, N.transcript_note(F.col("title"), F.col("url"), F.col("author"), F.col("transcript"))
     ).otherwise(F.col("transcript"))

@@ -21,14 +21,16 @@ SPREAD = 16
 
 
 def join_per_parent(
-    children: DataFrame, parents: DataFrame, keys: list[str], spread_by: list[str], how: str = "left"
+    children: DataFrame, parents: DataFrame, keys: list[str], spread_by: list[str] | None = None, how: str = "left"
 ) -> DataFrame:
     """Join children to one row per parent; a parent's children go to ``SPREAD`` tasks.
 
-    The parent rows are repeated once per slot. They are aggregates, far fewer than
-    the children; where they are small, adaptive execution broadcasts them anyway.
+    The slot comes from the child's own values (all columns by default), so a task that
+    runs again puts each row into the same slot. The parent rows are repeated once per
+    slot: they are narrow and far fewer than the children; where they are small,
+    adaptive execution broadcasts them anyway.
     """
-    slot = F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("int")
+    slot = F.pmod(F.xxhash64(*(spread_by or children.columns)), F.lit(SPREAD)).cast("int")
     slots = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
     spread = parents.withColumn("_slot", slots)
     return children.withColumn("_slot", slot).join(spread, keys + ["_slot"], how).drop("_slot")
@@ -48,7 +50,7 @@ def list_with_counts(parents: DataFrame, children: DataFrame, key: str, num: str
 
 
 def difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the left side whose key the right side does not hold."""
+    """Rows of the left side whose key the right side does not hold; keys are unique on each side."""
     return left.join(right.select(*keys), keys, "left_anti")
 
 
@@ -135,15 +137,15 @@ def route_items(
 
 def supplement(primary: DataFrame, extra: DataFrame, suffix: str = ".md") -> DataFrame:
     """Primary entries, then extra ones whose URL without the suffix is not among them."""
-    pattern = T.F.regexp_replace("url", suffix.replace(".", r"\.") + "$", "")
-    known = primary.select(pattern.alias("_canonical"))
+    pattern = F.regexp_replace("url", suffix.replace(".", r"\.") + "$", "")
+    known = primary.select(pattern.alias("_canonical")).distinct()
     fresh = extra.withColumn("_canonical", pattern).join(known, "_canonical", "left_anti")
     return primary.unionByName(fresh.drop("_canonical"), allowMissingColumns=True)
 
 
 def remove_parents(frame: DataFrame, removed: DataFrame, key: str) -> DataFrame:
     """Rows of a parent, child or log table without those of the removed parents."""
-    return difference(frame, removed, [key])
+    return join_per_parent(frame, removed.select(key).distinct(), [key], how="left_anti")
 
 
 def check_updates(parents: DataFrame, local: DataFrame, available: DataFrame, key: str, num: str) -> DataFrame:
@@ -164,7 +166,7 @@ def resolve_short_links(items: DataFrame, redirects: DataFrame) -> DataFrame:
     short = U.is_short_link("url")
     plain = items.filter(~short).withColumn("resolved", F.col("url"))
     leads_out = (U.host("final_url") != "") & ~U.is_short_link("final_url")
-    targets = redirects.filter(U.is_short_link("url") & leads_out).select("url", "final_url")
-    linked = items.filter(short).join(targets, "url", "left").withColumn(
+    targets = redirects.filter(U.is_short_link("url") & leads_out).groupBy("url").agg(F.min("final_url").alias("final_url"))
+    linked = join_per_parent(items.filter(short), targets, ["url"]).withColumn(
         "resolved", F.coalesce("final_url", "url")).drop("final_url")
     return plain.unionByName(linked)

@@ -9,7 +9,7 @@ from gleaner import values as V
 from gleaner.functions import notes as N
 from gleaner.functions import text as T
 from gleaner.operators.aggregates import join_in_order
-from gleaner.operators.joins import mark_moved
+from gleaner.operators.joins import join_per_parent, mark_moved
 from gleaner.operators.selection import set_columns, unmoved
 from gleaner.operators.sequences import chapter_nav, index_lines
 
@@ -122,7 +122,8 @@ def rebuild_index_and_nav(
     Older footers are replaced.
     """
     if changed is not None:
-        chapters = chapters.join(changed.select("novel_id"), "novel_id", "left_semi")
+        chapters = join_per_parent(
+            chapters, changed.select("novel_id").distinct(), ["novel_id"], ["num"], "left_semi")
     footers = chapter_nav(chapters).select("novel_id", "num", "footer")
     linked = chapters.join(footers, ["novel_id", "num"]).select(
         "novel_id", "num", N.with_nav("content", "footer").alias("content"))

@@ -24,6 +24,8 @@ def bookmark_notes(bookmarks: DataFrame, articles: DataFrame, redirects: DataFra
 
     ``articles(url, title, author, date, description, content)`` is keyed by the final
     URL; short links are resolved first. The page's own fields beat the bookmark's.
+    Pages are wide, so they are not repeated to spread a URL that many bookmarks share:
+    the inner join is one that adaptive execution splits when a key is skewed.
     """
     final = resolve_short_links(bookmarks, redirects)
     page = articles.select(

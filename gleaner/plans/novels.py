@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleaner import values as V
 from gleaner.functions import notes as N
 from gleaner.functions import text as T
-from gleaner.operators.joins import newer_than_local, upsert_fill
+from gleaner.operators.joins import join_per_parent, newer_than_local, upsert_fill
 from gleaner.operators.ledger import rebuild_index_and_nav
 
 
@@ -26,7 +26,7 @@ def sync_chapters(
         "char_count", F.when(F.length("content") > V.MIN_CHAPTER, T.char_count("content")))
     good = read.filter(F.col("char_count").isNotNull())
     folder = T.folder_name("name")
-    notes = good.join(novels, "novel_id").select(
+    notes = join_per_parent(good, novels, ["novel_id"], ["num"], "inner").select(
         "novel_id", "name", "num", F.concat(folder, F.lit("/"), T.chapter_file(folder, "num")).alias("path"),
         N.chapter_note(folder, T.kebab_case("name"), "num", "content").alias("content"))
     ledger = upsert_fill(local, good, ["novel_id", "num"], ["title", "char_count"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.html import anchors
 from gleaner.functions.text import chapter_no, nullif_blank
+from gleaner.operators.sequences import dedup_first
 
 
 def md_links(texts: DataFrame, prefix: str) -> DataFrame:
@@ -20,23 +21,39 @@ def md_links(texts: DataFrame, prefix: str) -> DataFrame:
     return rows.select("key", "ord", "link.title", "link.url").filter(F.col("url").startswith(prefix))
 
 
-def chapter_links(pages: DataFrame, require: str = "/novel/", exclude: str = "tab=") -> DataFrame:
+def chapter_links(
+    pages: DataFrame, require: str = "/novel/", exclude: str | None = "tab=", text_only: bool = False
+) -> DataFrame:
     """``(key, ord, num, url, title)`` of chapter anchors in ``pages(key, html)``.
 
-    The number comes from the link text, else from the target; links with neither
-    drop. The title attribute beats the text.
+    ``require`` is a pattern of the target. The number comes from the link text, else
+    (unless ``text_only``) from the target; links with neither drop. The title
+    attribute beats the text.
     """
     rows = pages.select("key", F.posexplode(anchors(F.col("html"))).alias("ord", "a"))
     a = F.col("a")
-    kept = rows.filter(
-        a["href"].contains(require) & ~a["href"].contains(exclude) & (a["text"] != "")
-    )
+    kept = rows.filter(a["href"].rlike(require) & (a["text"] != ""))
+    if exclude:
+        kept = kept.filter(~a["href"].contains(exclude))
     return kept.select(
-        "key", "ord", chapter_no(a["text"], a["href"]).alias("num"), a["href"].alias("url"),
+        "key", "ord", chapter_no(a["text"], F.lit("") if text_only else a["href"]).alias("num"), a["href"].alias("url"),
         F.coalesce(nullif_blank(a["title"]), a["text"]).alias("title"),
     ).filter(F.col("num").isNotNull())
 
 
+# --- fixed values: how each site's chapter list links its chapters ---
+SITE_LINKS = {
+    "lightnovelstranslations.com": {"require": "/novel/", "exclude": "tab="},
+    "novelbin.com": {"require": "chapter", "exclude": None, "text_only": True},
+    "webnovel.com": {"require": r"/book/\d+/\d+", "exclude": None, "text_only": True},
+}
+
+
+def site_chapters(pages: DataFrame, site: str) -> DataFrame:
+    """Chapters of a site's list pages, first link of each number."""
+    return dedup_first(chapter_links(pages, **SITE_LINKS[site]), ["key", "num"], ["ord"])
+
+
 def highest_chapter(pages: DataFrame) -> DataFrame:
     """``(key, max_num)``: highest ``chapter-n`` target among a page's links."""
     numbers = F.regexp_extract_all("html", F.lit(r'href="[^"]*?chapter-(\d+)'), F.lit(1))

@@ -26,14 +26,23 @@ def read_ledger(spark: SparkSession, path: str, source: str | None = None) -> Da
     return ledger.filter(F.col("source") == source) if source else ledger
 
 
+def _by_source(frame: DataFrame) -> DataFrame:
+    """Rows gathered by source into files of even size.
+
+    Rebalancing splits a source that holds a large share of the rows over several tasks
+    and merges small ones, so that tasks do not each write a sliver of every source.
+    """
+    return frame.hint("rebalance", "source")
+
+
 def write_ledger(ledger: DataFrame, path: str) -> None:
-    """A new snapshot, one folder per source. Big sources keep several files: no repartition by source."""
-    ledger.write.partitionBy("source").parquet(path)
+    """A new snapshot, one folder per source."""
+    _by_source(ledger).write.partitionBy("source").parquet(path)
 
 
 def write_notes(notes: DataFrame, path: str) -> None:
     """``(source, path, content)`` rows as a Parquet table by source."""
-    notes.select("source", "path", "content").write.partitionBy("source").parquet(path)
+    _by_source(notes.select("source", "path", "content")).write.partitionBy("source").parquet(path)
 
 
 def write_note_files(notes: DataFrame, root: str) -> None:

@@ -68,6 +68,24 @@ BOILERPLATE = {
 }
 BOILERPLATE_HEAD = {"novelbin.com": 50}
 
+# --- fixed values: where each novel site keeps a chapter's title and text, in order ---
+# A name with a dot is a class, with a hash an id, else a tag.
+CHAPTER_TITLES = {
+    "lightnovelstranslations.com": ["h2", "h1.entry-title", ".entry-title", "h1"],
+    "freewebnovel.com": ["h1.tit", ".chapter-title", "h1"],
+    "novelbin.com": [".chr-title", "h1"],
+    "webnovel.com": ["h3.cha-tit", ".chapter-title", "h1"],
+}
+CHAPTER_TEXTS = {
+    "lightnovelstranslations.com": [".text_story", ".entry-content", ".post-content", ".chapter-content", "article"],
+    "freewebnovel.com": [],
+    "novelbin.com": ["#chr-content", ".chr-c", "#chapter-content"],
+    "webnovel.com": [".cha-words", ".cha-content", ".chapter-content"],
+}
+CHAPTER_GATES = {
+    "lightnovelstranslations.com": 50, "freewebnovel.com": 100, "novelbin.com": 50, "webnovel.com": 50,
+}
+
 # --- fixed values: length gates ---
 MIN_PARAGRAPH = 15
 MIN_HTML = 50
