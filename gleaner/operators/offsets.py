@@ -13,13 +13,15 @@ def asof_offset(chapters: DataFrame, offset_map: DataFrame) -> DataFrame:
 
     Map rows and chapters go through one running value; at equal numbers the map goes first.
     """
-    asked = chapters.select("novel", "num", F.lit(None).cast("long").alias("known"), F.lit(1).alias("kind"))
+    asked = chapters.select(
+        "novel", "num", F.lit(None).cast("long").alias("known"), (F.col("num") * 2 + 1).alias("at"))
     mapped = offset_map.select(
-        "novel", F.col("chapter").alias("num"), F.col("offset").cast("long").alias("known"), F.lit(0).alias("kind"))
+        "novel", F.col("chapter").alias("num"), F.col("offset").cast("long").alias("known"),
+        (F.col("chapter") * 2).alias("at"))
     running = carry_forward(
-        mapped.unionByName(asked), ["novel"], ["num", "kind"], number_block("num"), "known", "offset")
+        mapped.unionByName(asked), ["novel"], ["at"], number_block("at"), "known", "offset")
     offset = F.coalesce("offset", F.lit(0))
-    return running.filter("kind = 1").select(
+    return running.filter("at % 2 = 1").select(
         "novel", "num", offset.alias("offset"), (F.col("num") + offset).alias("url_num"))
 
 

@@ -7,23 +7,36 @@ block, and a summary of one row per block carries values across block borders.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import notes as N
 from gleaner.functions import text as T
 
+# Rows per block. Numbering has one summary for the whole table, so its blocks are larger.
 BLOCK = 10_000
+NUMBERING_BLOCK = 1_000_000
 
 
 def number_block(num: str, size: int = BLOCK) -> Column:
     """Block of a dense number: at most ``size`` rows where the number is unique in its group."""
-    return F.floor(F.col(num) / F.lit(size)).cast("long")
+    return F.expr(f"`{num}` div {size}")
+
+
+def _join_blocks(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with their block's summary; a null group or number is a group or block of its own."""
+    renamed = summary.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(renamed[f"_of_{k}"]) for k in keys])
+    return rows.join(renamed, same)
 
 
 def dedup_first(entries: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First row of each key in encounter order; repeats merge before the shuffle."""
     rest = [c for c in entries.columns if c not in keys]
+    if rest == order and len(order) == 1:
+        return entries.groupBy(*keys).agg(F.min(order[0]).alias(order[0])).select(*entries.columns)
     first = F.min(F.struct(*order, *[c for c in rest if c not in order])).alias("first")
     reduced = entries.groupBy(*keys).agg(first)
     return reduced.select(*[F.col(c) if c in keys else F.col(f"first.{c}").alias(c) for c in entries.columns])
@@ -42,14 +55,18 @@ def neighbours(
     blocked = rows.withColumns(dict(zip(names, block)))
     inside = Window.partitionBy(*keys).orderBy(*order)
     linked = blocked.withColumns({"_prev": F.lag(value).over(inside), "_next": F.lead(value).over(inside)})
-    position = F.struct(*[F.col(c) for c in order])
+    if columns == order and len(order) == 1:
+        ends = blocked.groupBy(*keys).agg(F.min(order[0]).alias("_lo"), F.max(order[0]).alias("_hi")).withColumns(
+            {"first": F.struct(F.col("_lo").alias(order[0])), "last": F.struct(F.col("_hi").alias(order[0]))})
+    else:
+        position = F.struct(*[F.col(c) for c in order])
+        ends = blocked.groupBy(*keys).agg(
+            F.min_by(value, position).alias("first"), F.max_by(value, position).alias("last"))
     across = Window.partitionBy(*group).orderBy(*names)
     borders = (
-        blocked.groupBy(*keys)
-        .agg(F.min_by(value, position).alias("first"), F.max_by(value, position).alias("last"))
-        .select(*keys, F.lag("last").over(across).alias("_before"), F.lead("first").over(across).alias("_after"))
+        ends.select(*keys, F.lag("last").over(across).alias("_before"), F.lead("first").over(across).alias("_after"))
     )
-    joined = linked.join(borders, keys)
+    joined = _join_blocks(linked, borders, keys)
     before, after = F.coalesce("_prev", "_before"), F.coalesce("_next", "_after")
     return joined.select(
         *rows.columns,
@@ -67,17 +84,17 @@ def carry_forward(
     inside = (
         Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     running = blocked.withColumn("_running", F.last(value, ignorenulls=True).over(inside))
-    position = F.when(F.col(value).isNotNull(), F.struct(*order))
+    position = F.when(F.col(value).isNotNull(), F.col(order[0]) if len(order) == 1 else F.struct(*order))
     before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         blocked.groupBy(*keys).agg(F.max_by(value, position).alias("_last"))
         .select(*keys, F.last("_last", ignorenulls=True).over(before).alias("_carried"))
     )
-    return running.join(carried, keys).select(
+    return _join_blocks(running, carried, keys).select(
         *rows.columns, F.coalesce("_running", "_carried").alias(into))
 
 
-def number_rows(rows: DataFrame, order: str, into: str, size: int = BLOCK) -> DataFrame:
+def number_rows(rows: DataFrame, order: str, into: str, size: int = NUMBERING_BLOCK) -> DataFrame:
     """Dense numbers from 1 over all rows, by a unique long: counts per block, then inside blocks."""
     blocked = rows.withColumn("_block", number_block(order, size))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -87,7 +104,7 @@ def number_rows(rows: DataFrame, order: str, into: str, size: int = BLOCK) -> Da
     )
     inside = Window.partitionBy("_block").orderBy(order)
     ranked = blocked.withColumn("_rank", F.row_number().over(inside))
-    return ranked.join(starts, "_block").select(
+    return _join_blocks(ranked, starts, ["_block"]).select(
         *rows.columns, (F.col("_start") + F.col("_rank")).alias(into))
 
 

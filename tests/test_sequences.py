@@ -67,6 +67,16 @@ def test_carry_forward(hot, spark, size):
     assert found == want
 
 
+def test_null_groups_and_numbers_stay(spark):
+    rows = [("a", 1), ("a", 2), ("a", None), (None, 1), (None, 5)]
+    frame = spark.createDataFrame(rows, "g string, num long")
+    linked = Q.neighbours(frame, ["g"], ["num"], [Q.number_block("num", 2)], ["num"]).collect()
+    assert sorted(map(repr, ((r["g"], r["num"]) for r in linked))) == sorted(map(repr, rows))
+    assert {r["num"]: r["next_num"] for r in linked if r["g"] is None} == {1: 5, 5: None}
+    carried = Q.carry_forward(frame, ["g"], ["num"], Q.number_block("num", 2), "num", "last")
+    assert carried.count() == len(rows)
+
+
 def test_number_rows_is_dense(spark):
     rng = random.Random(5)
     keys = rng.sample(range(10_000), 500)
