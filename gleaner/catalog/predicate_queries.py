@@ -14,6 +14,7 @@ from gleaner.functions import urls as U
 from gleaner.operators import joins as J
 from gleaner.operators import selection as S
 from gleaner.operators.sequences import dedup_first
+from gleaner.sources.payloads import typed_payloads
 
 
 @query("p01_select_items", f"WITH {LEDGER_SQL} SELECT id, slug, status, content_type FROM ledger WHERE status = 'downloaded' AND source = 'site1' AND content_type = 'blog' ORDER BY id LIMIT 100")
@@ -138,7 +139,7 @@ def p15(spark, d):
         F.when(F.col("lang") == "en", "blog").otherwise("glossary").alias("content_type"))
     blog = I.article_payloads(spark, d).join(kinds.filter("content_type = 'blog'"), "url")
     glossary = I.glossary_payloads(spark, d).join(kinds.filter("content_type = 'glossary'"), "url")
-    rows = S.dispatch_by_type(blog.unionByName(glossary).withColumn("slug", F.lit("s")))
+    rows = typed_payloads(blog.unionByName(glossary))
     labels = S.type_labels("content_type")
     return rows.select("url", "content_type", "title", "description", labels["folder"].alias("folder"), F.array_join(labels["tags"], ",").alias("tags"))
 

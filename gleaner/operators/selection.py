@@ -129,14 +129,3 @@ def type_labels(content_type: Column | str) -> Column:
         F.when(glossary, "Databricks Glossary").otherwise("Databricks").alias("folder"),
         F.when(glossary, F.array_append(base, "glossary")).otherwise(base).alias("tags"),
     )
-
-
-def dispatch_by_type(payloads: DataFrame) -> DataFrame:
-    """Payloads ``(url, slug, content_type, body)`` read by type, as one table of articles."""
-    from gleaner.sources.payloads import article_json, glossary_json
-
-    glossary = glossary_json(payloads.filter(F.col("content_type") == "glossary")).select(
-        "url", F.lit("glossary").alias("content_type"), "title", "description", "body_html")
-    blog = article_json(payloads.filter(F.col("content_type") == "blog")).select(
-        "url", F.lit("blog").alias("content_type"), "title", "description", "body_html")
-    return blog.unionByName(glossary)

@@ -13,7 +13,7 @@ from gleaner.operators.joins import discover_new
 from gleaner.operators.ledger import apply_outcomes
 from gleaner.operators.markdown import pages_to_markdown
 from gleaner.operators.selection import quality_gate, type_labels
-from gleaner.sources.payloads import article_json, glossary_json
+from gleaner.sources.payloads import typed_payloads
 from gleaner.sources.sitemaps import expand_sitemaps
 
 
@@ -28,13 +28,11 @@ def discover_posts(docs: DataFrame, roots: DataFrame, ledger: DataFrame, keyword
 def read_payloads(pending: DataFrame, payloads: DataFrame, created: Column) -> DataFrame:
     """Pending rows with their article, note and ``reject`` reason.
 
-    ``payloads(url, body)`` holds what was fetched. Each type is read by its own schema;
-    conversion runs once over both. A row without a payload is rejected, not lost.
+    ``payloads(url, body)`` holds what was fetched. Each type is read by its own schema
+    in one pass. A row without a payload is rejected, not lost.
     """
     found = payloads.join(pending.select("url", "content_type"), "url")
-    blog = article_json(found.filter("content_type = 'blog'"))
-    glossary = glossary_json(found.filter("content_type = 'glossary'"))
-    articles = blog.unionByName(glossary, allowMissingColumns=True)
+    articles = typed_payloads(found).drop("content_type")
     converted = pages_to_markdown(
         pages_to_markdown(articles, "article", "body_html", "content"), "article", "summary_html", "summary")
     gated = quality_gate(converted, html="body_html", text="content", min_html=V.MIN_HTML, min_text=V.MIN_ARTICLE)

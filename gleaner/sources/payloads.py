@@ -37,44 +37,61 @@ def _description(metatags: Column) -> Column:
     return F.coalesce(F.get(found, F.lit(0))["value"], F.lit(""))
 
 
+def _article(body: Column) -> Column:
+    """Fields of an article payload; null without title or body."""
+
+    def fields(a: Column) -> Column:
+        stamp = F.coalesce(nullif_blank(a["entityCreatedRaw"]), a["fieldDate"])
+        return F.when((a["title"] != "") & (a["body"]["processed"] != ""), F.struct(
+            a["title"].alias("title"),
+            _entity_names(a["fieldAuthors"]).alias("authors"),
+            T.iso_date_prefix(stamp).alias("date"),
+            _description(a["entityMetatags"]).alias("description"),
+            F.coalesce(a["fieldAiSummary"]["processed"], F.lit("")).alias("summary_html"),
+            T.append_absent(_entity_names(a["fieldCategories"]), _entity_names(a["fieldTags"])).alias("categories"),
+            a["body"]["processed"].alias("body_html"),
+        ))
+
+    return T.let(F.from_json(body, _ARTICLE)["result"]["data"]["drupal"]["article"], fields)
+
+
+def _glossary(body: Column) -> Column:
+    """Fields of a glossary payload, the bodies of all components joined by line."""
+
+    def fields(p: Column) -> Column:
+        bodies = _present(F.transform(p["fieldComponents"], lambda c: c["entity"]["fieldBody"]["processed"]))
+        none = F.array().cast("array<string>")
+        return T.let(F.array_join(bodies, "\n"), lambda html: F.when((p["title"] != "") & (html != ""), F.struct(
+            p["title"].alias("title"), none.alias("authors"), F.lit(None).cast("date").alias("date"),
+            _description(p["entityMetatags"]).alias("description"), F.lit("").alias("summary_html"),
+            none.alias("categories"), html.alias("body_html"),
+        )))
+
+    return T.let(F.from_json(body, _GLOSSARY)["result"]["data"]["drupal"]["glossaryPage"], fields)
+
+
+def _rows(docs: DataFrame, fields: Column, *keep: str) -> DataFrame:
+    found = T.one_if(fields, lambda x: x.isNotNull())
+    return docs.select(*keep, found.alias("f")).select(*keep, "f.*")
+
+
 def article_json(docs: DataFrame) -> DataFrame:
     """``(url, title, authors, date, description, summary_html, categories, body_html)``.
 
     A payload without title or body is no article and gives no row.
     """
-    article = F.from_json("body", _ARTICLE)["result"]["data"]["drupal"]["article"]
-    found = T.one_if(article, lambda x: (x["title"] != "") & (x["body"]["processed"] != ""))
-    rows = docs.select("url", found.alias("a"))
-    a = F.col("a")
-    stamp = F.coalesce(nullif_blank(a["entityCreatedRaw"]), a["fieldDate"])
-    return rows.select(
-        "url",
-        a["title"].alias("title"),
-        _entity_names(a["fieldAuthors"]).alias("authors"),
-        T.iso_date_prefix(stamp).alias("date"),
-        _description(a["entityMetatags"]).alias("description"),
-        F.coalesce(a["fieldAiSummary"]["processed"], F.lit("")).alias("summary_html"),
-        T.append_absent(_entity_names(a["fieldCategories"]), _entity_names(a["fieldTags"])).alias("categories"),
-        a["body"]["processed"].alias("body_html"),
-    )
+    return _rows(docs, _article(F.col("body")), "url")
 
 
 def glossary_json(docs: DataFrame) -> DataFrame:
-    """``(url, title, description, body_html)``; the bodies of all components, joined by line."""
-    page = F.from_json("body", _GLOSSARY)["result"]["data"]["drupal"]["glossaryPage"]
-
-    def bodies(entry: Column) -> Column:
-        return _present(F.transform(entry["fieldComponents"], lambda c: c["entity"]["fieldBody"]["processed"]))
-
-    found = T.one_if(page, lambda x: (x["title"] != "") & (F.size(bodies(x)) > 0))
-    rows = docs.select("url", found.alias("p"))
-    p = F.col("p")
-    return rows.select(
-        "url",
-        p["title"].alias("title"),
-        _description(p["entityMetatags"]).alias("description"),
-        F.array_join(bodies(p), "\n").alias("body_html"),
-    )
+    """Glossary payloads in the same columns as articles."""
+    return _rows(docs, _glossary(F.col("body")), "url")
+
+
+def typed_payloads(docs: DataFrame) -> DataFrame:
+    """Payloads ``(url, content_type, body)``, each read by its type, in one pass."""
+    body, glossary = F.col("body"), F.col("content_type") == "glossary"
+    return _rows(docs, F.when(glossary, _glossary(body)).otherwise(_article(body)), "url", "content_type")
 
 
 def volume_chapters(docs: DataFrame) -> DataFrame:
