@@ -124,7 +124,7 @@ def _xml(text):
 _SITEMAP_NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
 
 
-def sitemap_docs(spark: SparkSession, sf_dir: str, post_prefix: str | None = None) -> DataFrame:
+def sitemap_docs(spark: SparkSession, sf_dir: str, post_prefix: str | None = None, post_name: str = "post-") -> DataFrame:
     """Three levels of sitemap documents over the page URLs, or over posts (two pages each).
 
     Sitemaps have a bounded number of entries (as the format demands), so a group
@@ -134,7 +134,7 @@ def sitemap_docs(spark: SparkSession, sf_dir: str, post_prefix: str | None = Non
     kind = F.when(F.col("url").contains("//blog."), "blog").otherwise("news")
     loc = F.col("url")
     if post_prefix:
-        loc = F.concat(F.lit(f"{post_prefix}post-"), F.expr("page_id div 2").cast("string"))
+        loc = F.concat(F.lit(post_prefix + post_name), F.expr("page_id div 2").cast("string"))
     entry = F.concat(F.lit("<url><loc> "), _xml(loc), F.lit(" </loc></url>"))
     urlsets = (
         table(spark, sf_dir, "pages")

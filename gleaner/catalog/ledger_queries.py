@@ -11,7 +11,9 @@ from gleaner.catalog.inputs import CHAPTERS_SQL, LEDGER_SQL, table
 from gleaner.catalog.registry import query
 from gleaner.functions import text as T
 from gleaner.operators import ledger as L
-from gleaner.plans import blogs, bookmarks, novels, series
+from gleaner.catalog.document_queries import _PAGE_MD, _UNESCAPE
+from gleaner.plans import blogs, bookmarks, docs, feeds, novels, series
+from gleaner.profiles import doc_entries
 
 _RUN = "2024-05-06 00:00:00"
 
@@ -207,3 +209,72 @@ def run_series_links(spark, d):
     posts = series_titles(spark, d).select(F.col("p_partkey").alias("id"), "title", F.lit(V.DOWNLOADED).alias("status"))
     notes = posts.select("id", F.concat(F.lit("Body "), F.col("id").cast("string"), F.lit(" \n" + V.SERIES_MARKER + "\nold")).alias("content"))
     return series.link_series(posts, notes)
+
+
+@query("run_glossary_discovery", """SELECT 'glossary-term-' || (page_id // 2) AS slug, 'https://www.databricks.com/glossary/term-' || (page_id // 2) AS url, 'glossary' AS content_type, 'pending' AS status
+ FROM pages GROUP BY page_id // 2 HAVING 'glossary-term-' || (page_id // 2) NOT IN (SELECT 'glossary-term-' || item_id FROM benchmark)""")
+def run_glossary_discovery(spark, d):
+    sitemaps = I.sitemap_docs(spark, d, post_prefix=V.GLOSSARY_PREFIX, post_name="term-")
+    ledger = table(spark, d, "benchmark").select(F.concat(F.lit("glossary-term-"), F.col("item_id").cast("string")).alias("slug"))
+    return blogs.discover_glossary(sitemaps, sitemaps.filter(F.col("url").contains("/root-")), ledger)
+
+
+def _doc_pages(spark, d):
+    """Pages of three sites and of one that nobody registered."""
+    kind = F.col("page_id") % 4
+    site = F.when(kind == 0, "soda").when(kind == 1, "aws").when(kind == 2, "databricks").otherwise("unknown")
+    url = F.concat(F.lit("https://docs.example.com/guide/page-"), F.col("page_id").cast("string"), F.lit(".html"))
+    return table(spark, d, "pages").select("page_id", site.alias("site"), url.alias("url"), "html")
+
+
+_DOC_SQL = f"""{_PAGE_MD}, d AS (SELECT m.page_id, m.page_id % 4 AS k, m.content, nullif(trim({_UNESCAPE.format("regexp_extract(p.html, '<h1>(.*?)</h1>', 1)")}), '') AS h1,
+  nullif(trim({_UNESCAPE.format("regexp_extract(p.html, '<title>(.*?)</title>', 1)")}), '') AS tt FROM md m JOIN pages p USING (page_id) WHERE m.page_id % 4 < 3),
+ docs_read AS (SELECT page_id, CASE k WHEN 0 THEN 'soda' WHEN 1 THEN 'aws' ELSE 'databricks' END AS site, 'guide/page-' || page_id || CASE k WHEN 1 THEN '' ELSE '.html' END AS slug,
+  coalesce(CASE k WHEN 0 THEN coalesce(h1, tt) WHEN 1 THEN tt ELSE coalesce(h1, trim(split_part(tt, '|', 1))) END, 'page-' || page_id || CASE k WHEN 1 THEN '' ELSE '.html' END) AS title, content FROM d)"""
+
+
+@query("run_docs_notes", f"""WITH {_DOC_SQL} SELECT site, slug, CASE site WHEN 'soda' THEN 'Soda/' WHEN 'aws' THEN 'AWS/' ELSE 'Databricks Docs/' END || slug || '.md' AS path,
+ '---' || chr(10) || 'title: "' || replace(title, '"', '\\"') || '"' || chr(10) || 'source: "https://docs.example.com/guide/page-' || page_id || '.html"' || chr(10) || 'created: 2024-05-06' || chr(10)
+ || 'tags:' || chr(10) || '  - "clippings"' || chr(10) || '  - "documentation"' || chr(10) || '  - "' || site || '"' || chr(10) || '---' || chr(10) || chr(10) || content || chr(10) AS content FROM docs_read WHERE length(content) >= 20""")
+def run_docs_notes(spark, d):
+    pages = _doc_pages(spark, d)
+    entries = doc_entries(pages.select("site", "url"))
+    keyed = pages.join(entries.select("url", "slug"), "url").select("site", "slug", "html")
+    return docs.doc_notes(docs.read_docs(keyed), entries, F.lit("2024-05-06"))
+
+
+@query("run_docs_discovery", """SELECT CASE page_id % 4 WHEN 0 THEN 'soda' WHEN 1 THEN 'aws' ELSE 'databricks' END AS site, 'guide/page-' || page_id || CASE page_id % 4 WHEN 1 THEN '' ELSE '.html' END AS slug, 'pending' AS status
+ FROM pages WHERE page_id % 4 < 3 AND page_id NOT IN (SELECT item_id FROM benchmark WHERE item_id % 4 = 0)""")
+def run_docs_discovery(spark, d):
+    """Every page twice in the sitemaps; some soda pages are known."""
+    entries = _doc_pages(spark, d).select("site", "url", F.col("page_id").alias("ord"))
+    known = table(spark, d, "benchmark").select(
+        F.lit("soda").alias("site"), F.concat(F.lit("guide/page-"), F.col("item_id").cast("string"), F.lit(".html")).alias("slug"))
+    twice = entries.unionByName(entries.withColumn("ord", F.col("ord") + 1_000_000_000))
+    return docs.discover_docs(twice, known).select("site", "slug", "status")
+
+
+_POST_SQL = """posts AS (SELECT page_id, 'post-' || left(md5(url), 12) AS slug, page_id % 4 AS k FROM pages)"""
+
+
+@query("run_feed_posts", f"""WITH {_PAGE_MD}, {_POST_SQL} SELECT slug, CASE k WHEN 0 THEN repeat('stored ', 30) || page_id WHEN 1 THEN 'a' || chr(10) || chr(10) || 'b' || chr(10) || chr(10) || page_id
+  ELSE CASE WHEN length(content) >= 100 THEN content END END AS content, CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE CASE WHEN length(content) >= 100 THEN 2 END END AS origin FROM posts JOIN md USING (page_id)""")
+def run_feed_posts(spark, d):
+    """A quarter of the posts has stored text, another a paragraph list; the rest has the page, or a text too short."""
+    pages, kind = table(spark, d, "pages"), F.col("page_id") % 4
+    n = F.col("page_id").cast("string")
+    post_id = F.left(F.md5("url"), F.lit(12))
+    slug = F.concat(F.lit("post-"), post_id)
+    target = F.concat(F.lit("https://medium.com/@u/"), slug)
+    stored = F.when(kind == 0, F.concat(F.lit("<p>"), F.repeat(F.lit("stored "), 30), n, F.lit("</p>"))).when(kind == 2, "<p>short</p>")
+    posts = pages.select(slug.alias("slug"), target.alias("url"), stored.alias("content_html"))
+    paragraph = F.array(*[F.struct(F.lit("P").alias("type"), x.alias("text")) for x in (F.lit("a"), F.lit("b"), n)])
+    lists = pages.filter(kind == 1).select(post_id.alias("post_id"), F.to_json(paragraph).alias("body"))
+    fetched = pages.select(target.alias("url"), "html")
+    return feeds.read_posts(posts, lists, fetched).select("slug", "content", F.col("origin").cast("long").alias("origin"))
+
+
+@query("run_feed_discovery", "SELECT 'post-' || doc_id AS slug, 'Post ' || doc_id AS title, 'pending' AS status FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)")
+def run_feed_discovery(spark, d):
+    known = table(spark, d, "benchmark").select(F.concat(F.lit("post-"), F.col("item_id").cast("string")).alias("slug"))
+    return feeds.discover_feed_posts(I.feed_docs(spark, d), known).select("slug", "title", "status")

@@ -232,19 +232,37 @@ def quote_lines(text: Column | str) -> Column:
 
 # -- document fields --------------------------------------------------------------
 
-def page_title(html: Column | str, tags: Column | str, order: tuple[str, ...] = ("og", "h1", "title")) -> Column:
-    """Title by the site's order of sources; a title tag loses its site suffix."""
+def title_sources(html: Column | str, tags: Column | str) -> dict[str, Column]:
+    """Where a page may name its title; null where it does not."""
     title = tag_text(html, "title")
-    sources = {
+    return {
         "og": meta(tags, "og:title"),
         "h1": tag_text(html, "h1"),
+        "topic": class_text(html, "topictitle", "h1"),
         "title": nullif_blank(strip_site_suffix(title)),
         "before_pipe": nullif_blank(before_pipe(title)),
         "raw_title": title,
     }
+
+
+def page_title(html: Column | str, tags: Column | str, order: tuple[str, ...] = ("og", "h1", "title")) -> Column:
+    """Title by the site's order of sources; a title tag loses its site suffix."""
+    sources = title_sources(html, tags)
     return F.coalesce(*[sources[name] for name in order])
 
 
+def title_by_order(html: Column | str, order: Column | str) -> Column:
+    """Title by an order of sources that is a column."""
+    html = as_col(html)
+
+    def pick(tags: Column) -> Column:
+        pairs = [x for name, value in title_sources(html, tags).items() for x in (F.lit(name), value)]
+        return let(F.create_map(*pairs), lambda m: F.get(F.array_compact(
+            F.transform(as_col(order), lambda name: F.try_element_at(m, name))), F.lit(0)))
+
+    return let(metas(html), pick)
+
+
 def page_date(html: Column | str, tags: Column | str) -> Column:
     names = ["article:published_time", "article:published", "datePublished", "date"]
     stamp = extract(html, r'(?is)<time\s[^>]*?datetime="([^"]*)"')

@@ -161,19 +161,20 @@ def inline(node: Node, profile: Profile) -> str:
 class Blocks:
     """Columns ``kind, level, text, extra, rows`` of the blocks of many documents."""
 
-    def __init__(self, profile: Profile) -> None:
+    def __init__(self) -> None:
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
-        self.profile = profile
+        self.profile: Profile | None = None
         self.columns: tuple[list, ...] = ([], [], [], [], [])
 
     def __len__(self) -> int:
         return len(self.columns[0])
 
-    def read(self, html: str) -> None:
+    def read(self, html: str, profile: Profile) -> None:
         """Append the blocks of one document."""
+        self.profile = profile
         tree = parse(html)
-        _remove(tree, self.profile)
-        root = root_of(tree, self.profile) if self.profile.roots else tree
+        _remove(tree, profile)
+        root = root_of(tree, profile) if profile.roots else tree
         if root is not None:
             self.children(root)
 

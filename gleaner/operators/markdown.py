@@ -90,21 +90,22 @@ def profile_of(name: str, class_match: str | None = None) -> Profile:
     return replace(profile, class_match=class_match) if class_match else profile
 
 
-def html_blocks(html: Column | str, profile: Profile) -> Column:
-    """Array of blocks of an HTML text."""
+def html_blocks(html: Column | str, profile: Profile | dict[str, Profile], name: Column | str | None = None) -> Column:
+    """Array of blocks of an HTML text, by one profile or by the one that ``name`` picks for the row."""
+    choices = profile if isinstance(profile, dict) else {"": profile}
 
     @F.arrow_udf(_BLOCKS)
-    def read(texts: pa.Array) -> pa.Array:
-        blocks, ends = Blocks(profile), [0]
-        for text in texts.to_pylist():
-            if text is not None:
-                blocks.read(text)
+    def read(texts: pa.Array, names: pa.Array) -> pa.Array:
+        blocks, ends = Blocks(), [0]
+        for text, choice in zip(texts.to_pylist(), names.to_pylist()):
+            if text is not None and choice in choices:
+                blocks.read(text, choices[choice])
             ends.append(len(blocks))
         columns = [pa.array(c, type=t) for c, t in zip(blocks.columns, _ARROW_FIELDS.values())]
         values = pa.StructArray.from_arrays(columns, names=list(_ARROW_FIELDS))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=texts.is_null())
 
-    return read(html)
+    return read(html, F.lit("") if name is None else name)
 
 
 def _lines(block: Column, name: str) -> Column:

@@ -25,6 +25,14 @@ def discover_posts(docs: DataFrame, roots: DataFrame, ledger: DataFrame, keyword
     return fresh.select("slug", "url", F.lit("blog").alias("content_type"), "status")
 
 
+def discover_glossary(docs: DataFrame, roots: DataFrame, ledger: DataFrame, prefix: str = V.GLOSSARY_PREFIX) -> DataFrame:
+    """English glossary pages that the ledger does not know, as pending rows."""
+    entries = expand_sitemaps(docs, roots).filter(U.english_glossary("url", prefix))
+    slug = F.concat(F.lit("glossary-"), F.btrim(F.replace(F.col("url"), F.lit(prefix), F.lit("")), F.lit("/")))
+    fresh = discover_new(entries.select(slug.alias("slug"), "url", "sitemap", "ord"), ledger, ["slug"], ["sitemap", "ord"])
+    return fresh.select("slug", "url", F.lit("glossary").alias("content_type"), "status")
+
+
 def read_payloads(pending: DataFrame, payloads: DataFrame, created: Column) -> DataFrame:
     """Pending rows with their article, note and ``reject`` reason.
 

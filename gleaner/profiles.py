@@ -23,7 +23,8 @@ class SiteProfile:
     site: str
     label: str
     base_url: str
-    markdown: str = "docs_page"
+    markdown: str = "docs_page"  # a Markdown profile of the docs family, or "mdx" for component Markdown
+    titles: tuple = ("og", "h1", "raw_title")  # sources of a page's title, in order
     drop_html: bool = False
     english_only: bool = False
     min_text: int = V.MIN_DOC
@@ -40,32 +41,38 @@ def register_site(profile: SiteProfile) -> SiteProfile:
 
 
 # --- fixed values: documentation sites known from the start ---
-register_site(SiteProfile("snowflake", "Snowflake", "https://docs.snowflake.com", markdown="docs"))
+register_site(SiteProfile(
+    "snowflake", "Snowflake", "https://docs.snowflake.com", titles=("og", "raw_title")))
 register_site(SiteProfile("soda", "Soda", "https://docs.soda.io"))
 register_site(SiteProfile(
-    "aws", "AWS", "https://docs.aws.amazon.com", markdown="cloud_docs", drop_html=True, english_only=True))
+    "aws", "AWS", "https://docs.aws.amazon.com", markdown="cloud_docs",
+    titles=("topic", "og", "raw_title"), drop_html=True, english_only=True))
 register_site(SiteProfile(
-    "databricks", "Databricks Docs", "https://docs.databricks.com", tag_clouds=True))
-register_site(SiteProfile("claude-code", "Claude Code Docs", "https://code.claude.com/docs"))
+    "databricks", "Databricks Docs", "https://docs.databricks.com",
+    titles=("h1", "og", "before_pipe"), tag_clouds=True))
+register_site(SiteProfile("claude-code", "Claude Code Docs", "https://code.claude.com/docs", markdown="mdx"))
 
 
 def profile_table(spark: SparkSession) -> DataFrame:
-    rows = [asdict(p) for p in SITES.values()]
+    rows = [{**asdict(p), "titles": list(p.titles)} for p in SITES.values()]
     schema = (
-        "site string, label string, base_url string, markdown string, drop_html boolean, "
+        "site string, label string, base_url string, markdown string, titles array<string>, drop_html boolean, "
         "english_only boolean, min_text int, tag_clouds boolean, tags array<string>")
     return spark.createDataFrame(rows, schema)
 
 
-def doc_entries(pages: DataFrame) -> DataFrame:
-    """``pages(site, url)`` as entries by their site's rules: slug, parent, note path, tags.
+def with_rules(pages: DataFrame) -> DataFrame:
+    """Pages with their site's rules; pages of unknown sites drop.
 
-    The register is broadcast after a check of its size; pages of unknown sites drop.
+    The register is broadcast after a check of its size.
     """
     rules = profile_table(pages.sparkSession)
-    if len(SITES) <= MAX_SITES:
-        rules = F.broadcast(rules)
-    joined = pages.join(rules, "site").filter(~F.col("english_only") | ~U.is_localized("url"))
+    return pages.join(F.broadcast(rules) if len(SITES) <= MAX_SITES else rules, "site")
+
+
+def doc_entries(pages: DataFrame) -> DataFrame:
+    """``pages(site, url)`` as entries by their site's rules: slug, parent, note path, tags."""
+    joined = with_rules(pages).filter(~F.col("english_only") | ~U.is_localized("url"))
     slug = F.when(F.col("drop_html"), U.slug_path("url", drop_html=True)).otherwise(U.slug_path("url"))
     cloud = F.when(F.col("tag_clouds"), U.cloud_tag("slug"))
     return joined.withColumn("slug", slug).select(

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 QUERIES = entry.queries()
 PYTHON = {"h01_pages_to_markdown", "h01_pages_to_markdown_strict", "h01_extract_articles", "h04_nested_lists",
-          "h05_admonitions", "h15_article_notes", "run_blog_ledger"}
+          "h05_admonitions", "h15_article_notes", "run_blog_ledger", "run_docs_notes", "run_feed_posts"}
 BATCH = [n for n in QUERIES if not n.startswith("r0")]
 
 
