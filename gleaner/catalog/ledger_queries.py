@@ -133,11 +133,11 @@ def t06_nav(spark, d):
 # -- whole runs ---------------------------------------------------------------------------
 
 @query("run_blog_discovery", f"""WITH posts AS (SELECT page_id, '{V.BLOG_PREFIX}' || 'post-' || (page_id // 2) AS url, 'post-' || (page_id // 2) AS slug FROM pages WHERE contains(url, '//blog.'))
- SELECT slug, url, 'blog' AS content_type, 'pending' AS status FROM (SELECT DISTINCT slug, url FROM posts) WHERE slug NOT IN (SELECT 'post-' || item_id FROM benchmark)""")
+ SELECT slug, url, 'blog' AS content_type, 'pending' AS status FROM (SELECT DISTINCT slug, url FROM posts) WHERE slug NOT IN (SELECT 'post-' || item_id * 3 FROM benchmark)""")
 def run_blog_discovery(spark, d):
     """Sitemaps whose entries are posts (two pages share one), against a ledger of known slugs."""
     docs = I.sitemap_docs(spark, d, post_prefix=V.BLOG_PREFIX)
-    ledger = table(spark, d, "benchmark").select(F.concat(F.lit("post-"), F.col("item_id").cast("string")).alias("slug"))
+    ledger = table(spark, d, "benchmark").select(F.concat(F.lit("post-"), (F.col("item_id") * 3).cast("string")).alias("slug"))
     roots = docs.filter(F.col("url").contains("/root-"))
     return blogs.discover_posts(docs, roots, ledger, ["-blog-"], V.BLOG_PREFIX)
 
@@ -212,10 +212,10 @@ def run_series_links(spark, d):
 
 
 @query("run_glossary_discovery", """SELECT 'glossary-term-' || (page_id // 2) AS slug, 'https://www.databricks.com/glossary/term-' || (page_id // 2) AS url, 'glossary' AS content_type, 'pending' AS status
- FROM pages GROUP BY page_id // 2 HAVING 'glossary-term-' || (page_id // 2) NOT IN (SELECT 'glossary-term-' || item_id FROM benchmark)""")
+ FROM pages GROUP BY page_id // 2 HAVING 'glossary-term-' || (page_id // 2) NOT IN (SELECT 'glossary-term-' || item_id * 3 FROM benchmark)""")
 def run_glossary_discovery(spark, d):
     sitemaps = I.sitemap_docs(spark, d, post_prefix=V.GLOSSARY_PREFIX, post_name="term-")
-    ledger = table(spark, d, "benchmark").select(F.concat(F.lit("glossary-term-"), F.col("item_id").cast("string")).alias("slug"))
+    ledger = table(spark, d, "benchmark").select(F.concat(F.lit("glossary-term-"), (F.col("item_id") * 3).cast("string")).alias("slug"))
     return blogs.discover_glossary(sitemaps, sitemaps.filter(F.col("url").contains("/root-")), ledger)
 
 
