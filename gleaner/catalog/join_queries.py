@@ -105,7 +105,7 @@ def j07(spark, d):
 
 
 @query("j08_first_success", """SELECT doc_id AS id, CASE WHEN lang = 'en' AND length(text) >= 400 THEN text WHEN lang IN ('en', 'fr') THEN upper(left(text, 50)) WHEN source = 'src1' THEN 'last' END AS content,
- CASE WHEN lang = 'en' AND length(text) >= 400 THEN 0 WHEN lang IN ('en', 'fr') THEN 1 WHEN source = 'src1' THEN 2 END AS origin FROM documents""")
+ CAST(CASE WHEN lang = 'en' AND length(text) >= 400 THEN 0 WHEN lang IN ('en', 'fr') THEN 1 WHEN source = 'src1' THEN 2 END AS BIGINT) AS origin FROM documents""")
 def j08(spark, d):
     docs = table(spark, d, "documents").withColumnRenamed("doc_id", "id")
     stored = docs.filter("lang = 'en'").select("id", F.when(F.length("text") >= 400, F.col("text")).alias("content"))

@@ -58,7 +58,7 @@ def _apply(spark, d):
 
 _APPLIED_SQL = """applied AS (SELECT d.doc_id AS id, d.source, CASE l.quality WHEN 1 THEN 'downloaded' WHEN 0 THEN 'failed' ELSE 'pending' END AS status,
  CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 'New ' ELSE 'Old ' END || d.doc_id AS title, CASE WHEN l.quality = 1 THEN 'notes/' || d.doc_id || '.md' END AS file_path,
- CASE WHEN l.quality = 1 THEN 10 END AS word_count, CASE WHEN l.quality = 1 THEN '2024-05-06 00:00:00' END AS downloaded_at,
+ CAST(CASE WHEN l.quality = 1 THEN 10 END AS BIGINT) AS word_count, CASE WHEN l.quality = 1 THEN '2024-05-06 00:00:00' END AS downloaded_at,
  CASE WHEN l.quality = 0 THEN 'label of ' || d.doc_id END AS error_detail FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
@@ -111,7 +111,7 @@ def t05_ledger(spark, d):
 _INDEX_SQL = """'---' || chr(10) || 'tags:' || chr(10) || '  - book/novel' || chr(10) || '  - the-story-of-' || novel_id || chr(10) || '---' || chr(10) || chr(10) || '# The Story Of ' || novel_id || chr(10) || chr(10) || '## Table of Contents' || chr(10) || chr(10)"""
 
 
-@query("t06_index_notes", f"""WITH {CHAPTERS_SQL} SELECT novel_id, 0 AS page, {_INDEX_SQL} || string_agg(printf('- [[%04d - The Story Of %d|Chapter %d]]', num, novel_id, num), chr(10) ORDER BY num) || chr(10) AS content FROM chapters GROUP BY novel_id""")
+@query("t06_index_notes", f"""WITH {CHAPTERS_SQL} SELECT novel_id, CAST(0 AS BIGINT) AS page, {_INDEX_SQL} || string_agg(printf('- [[%04d - The Story Of %d|Chapter %d]]', num, novel_id, num), chr(10) ORDER BY num) || chr(10) AS content FROM chapters GROUP BY novel_id""")
 def t06(spark, d):
     return L.index_notes(I.chapters(spark, d))
 
@@ -258,7 +258,7 @@ _POST_SQL = """posts AS (SELECT page_id, 'post-' || left(md5(url), 12) AS slug,
 
 
 @query("run_feed_posts", f"""WITH {_PAGE_MD}, {_POST_SQL} SELECT slug, CASE k WHEN 0 THEN repeat('stored ', 30) || page_id WHEN 1 THEN 'a' || chr(10) || chr(10) || 'b' || chr(10) || chr(10) || page_id
-  ELSE CASE WHEN length(content) >= 100 THEN content END END AS content, CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE CASE WHEN length(content) >= 100 THEN 2 END END AS origin FROM posts JOIN md USING (page_id)""")
+  ELSE CASE WHEN length(content) >= 100 THEN content END END AS content, CAST(CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE CASE WHEN length(content) >= 100 THEN 2 END END AS BIGINT) AS origin FROM posts JOIN md USING (page_id)""")
 def run_feed_posts(spark, d):
     """A quarter of the posts has stored text, another a paragraph list; the rest has the page, or a text too short."""
     pages, kind = table(spark, d, "pages"), F.col("page_id") % 4

@@ -160,7 +160,7 @@ def u01(spark, d):
     return pages.unionByName(pages.select(F.substring_index("url", "#", 1).alias("url")))
 
 
-@query("u02_union_distinct", """SELECT url, min(origin) AS origin FROM (SELECT url, 0 AS origin FROM pages UNION ALL SELECT split_part(url, '#', 1), 1 FROM pages) GROUP BY url""")
+@query("u02_union_distinct", """SELECT url, CAST(min(origin) AS BIGINT) AS origin FROM (SELECT url, 0 AS origin FROM pages UNION ALL SELECT split_part(url, '#', 1), 1 FROM pages) GROUP BY url""")
 def u02(spark, d):
     pages = table(spark, d, "pages")
     first = pages.select("url", F.lit(0).cast("long").alias("origin"))

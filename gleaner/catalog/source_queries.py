@@ -220,7 +220,7 @@ def s16(spark, d):
     return spark.read.parquet(path).select("source", "path", "content")
 
 
-@query("s17_to_json_report", f"""WITH {LEDGER_SQL} SELECT to_json(struct_pack(id := id, source := source, title := title, status := status, in_obsidian := in_obsidian)) AS json FROM ledger""")
+@query("s17_to_json_report", f"""WITH {LEDGER_SQL} SELECT CAST(to_json(struct_pack(id := id, source := source, title := title, status := status, in_obsidian := in_obsidian)) AS VARCHAR) AS json FROM ledger""")
 def s17(spark, d):
     return tables.to_json_report(I.ledger(spark, d).select("id", "source", "title", "status", "in_obsidian"))
 
