@@ -104,7 +104,7 @@ def first_success(items: DataFrame, key: str, *sources: DataFrame) -> DataFrame:
     One aggregate over the union replaces a chain of joins.
     """
     ranked = [
-        s.filter(F.col("content").isNotNull()).select(key, F.lit(rank).alias("rank"), "content")
+        s.select(key, F.lit(rank).alias("rank"), T.one_if(F.col("content"), lambda c: c.isNotNull()).alias("content"))
         for rank, s in enumerate(sources)
     ]
     best = (

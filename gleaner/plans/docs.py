@@ -43,7 +43,8 @@ def read_docs(pages: DataFrame) -> DataFrame:
 
 def doc_notes(read: DataFrame, entries: DataFrame, created: Column) -> DataFrame:
     """``(site, slug, path, content)`` of the pages that passed, with the entries' paths and tags."""
-    rows = read.filter(F.col("reject").isNull()).join(
+    passed = T.one_if(F.struct("content", "reject"), lambda r: r["reject"].isNull())
+    rows = read.select("site", "slug", "title", passed.alias("r")).select("site", "slug", "title", "r.content").join(
         entries.select("site", "slug", "url", "path", "tags"), ["site", "slug"])
     head = N.front_matter(F.coalesce("title", "slug"), F.col("url"), created, F.col("tags"))
     return rows.select("site", "slug", "path", N.article_note(head, F.col("content")).alias("content"))
