@@ -3,10 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from gleaner.catalog import load
 from tools.check_oracle import compare, connect
 
-ORACLES = entry.oracle_sql()
-QUERIES = entry.queries()
+QUERIES, ORACLES = load()
 
 
 @pytest.fixture(scope="module")
@@ -25,3 +25,7 @@ def test_query_equals_oracle(spark, duck, sf_dir, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_entry_holds_every_query():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
