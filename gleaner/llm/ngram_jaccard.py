@@ -90,7 +90,8 @@ class Bands:
         if k == 0:
             return 0, 1, 1, 0, np.ones((1, 1), np.uint64)
         k2, n2 = 1, 4 if k <= 8 else 3 if k <= 24 else 2
-        n1 = k // (k2 + 1) + 1 + (k > 8)  # one part to spare, for sets with a gap
+        n1 = k // (k2 + 1) + 1
+        n1 += (n1 + 19) // 20 + (k > 8) if k > 2 else 0  # parts to spare, for sets with gaps
         picks = np.zeros((n2, n2), np.uint64)
         for row, chosen in enumerate(combinations(range(n2), n2 - k2)):
             picks[row, list(chosen)] = 1
