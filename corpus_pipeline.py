@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm.common import documents, staged
+from gleaner.llm.exact_dedup import drop_exact_copies
+from gleaner.llm.mixing import mix, write_order
 from gleaner.llm.ngram_jaccard import jaccard_components
+from gleaner.llm.packing import pack_documents
+from gleaner.llm.quality import fit, judge
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the ratio of trusted to raw n-grams."""
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judge(docs, model).where("kept").select(*docs.columns)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document per text: the smallest doc_id stays."""
+    return drop_exact_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,17 +29,31 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in mixed order: sources weigh the square root of their rows."""
+    return write_order(mix(docs), docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    return pack_documents(docs)
+
+
 STAGES = [
+    ("quality", quality),
+    ("exact_copies", exact_copies),
     ("near_copies", near_copies),
+    ("mixture", mixture),
+    ("packing", packing),
 ]
 
-#: Training and packing are no SQL: tests hold the pipeline against a brute-force version.
+#: A fitted model and a tokenizer are no SQL: tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

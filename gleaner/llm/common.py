@@ -25,26 +25,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def id_hash(*keys: str) -> Column:
-    """A stable order of rows that does not follow the ids: md5 of the keys' texts."""
-    return F.md5(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys]))
+def id_hash(key: str) -> Column:
+    """A stable order of rows that does not follow the ids: md5 of the key's text, a null as empty text."""
+    return F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
 
 
-def ordinal_within(rows: DataFrame, group: list[str], keys: list[str], into: str) -> DataFrame:
-    """Number the rows of each group from 0, in the order of ``id_hash(keys)``, then the keys.
+def ordinal_within(rows: DataFrame, group: str, key: str, ties: list[str], into: str) -> DataFrame:
+    """Number the rows of each group (not null) from 0, in the order of ``id_hash(key)``, key, ties.
 
     A group may hold any share of the rows: windows run inside (group, hash prefix), and the
     rows before each prefix come from counts. The number of prefixes follows the row count; the
-    numbers do not depend on it. Rows that are equal in all keys get neighbouring numbers in any order.
+    numbers do not depend on it. Rows equal in key and ties get neighbouring numbers in any order.
     """
-    total = rows.count()
-    digits = max(2, math.ceil(math.log(max(total / ROWS_PER_BUCKET, 1), 16)))
-    marked = rows.withColumn("_order", id_hash(*keys)).withColumn("_bucket", F.substring("_order", 1, digits))
-    at = [*group, "_bucket"]
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    digits = max(2, math.ceil(math.log(max(rows.count() / ROWS_PER_BUCKET, 1), 16)))
+    marked = rows.withColumn("_order", id_hash(key)).withColumn("_bucket", F.substring("_order", 1, digits))
+    at = [group, "_bucket"]
+    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = marked.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).select(
-        *[F.col(c).alias(f"_s_{c}") for c in at], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*at).orderBy("_order", *keys)
+        *at, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*at).orderBy("_order", key, *ties)
     numbered = marked.withColumn("_rank", F.row_number().over(inside).cast("long") - 1)
-    same = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in at]
-    return numbered.join(starts, same).select(*rows.columns, (F.col("_start") + F.col("_rank")).alias(into))
+    return numbered.join(starts, at).select(*rows.columns, (F.col("_start") + F.col("_rank")).alias(into))
