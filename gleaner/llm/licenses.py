@@ -164,14 +164,14 @@ WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 templates(label, tw, least) AS (VALUES {values}), phrases(pw, label) AS (VALUES {phrases}),
 split AS (SELECT doc_id, list_transform({words.format('t')}, lambda x: lower(x)) AS w FROM docs),
 base AS (
-  SELECT doc_id, p.label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(pw)] = pw)) AS at
+  SELECT doc_id, p.label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(pw)] = pw)) AS place
   FROM split, phrases p),
 lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM docs),
 blocks AS (SELECT doc_id, list_distinct(list_transform({words.format('line')}, lambda x: lower(x))) AS w FROM lines),
 own AS (
   SELECT doc_id, label, len(list_intersect(w, tw)) / len(tw)::DOUBLE AS score FROM blocks, templates
   WHERE len(list_intersect(w, tw)) >= least),
-based AS (SELECT doc_id, count(*) AS n, min(at) AS lo, max(at) AS hi, list(DISTINCT label) AS labels FROM base GROUP BY 1),
+based AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, list(DISTINCT label) AS labels FROM base GROUP BY 1),
 owned AS (SELECT doc_id, max(score) AS score, list(DISTINCT label) AS labels FROM own GROUP BY 1)
 SELECT s.doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, lo AS first_word, hi AS last_word,
        array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,

@@ -299,7 +299,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     seen = first.union(second)
     linked = staged(sure.union(seen.where("linked").select("a", "b")), "linked")
     failed = seen.where("not linked")
-    labels = staged(connected_components(linked), "labels")
+    labels = connected_components(linked)
     if not failed.isEmpty():
         more = staged(_block_edges(failed, labels, sets, nodes, num, den), "linked")
         if not more.isEmpty():

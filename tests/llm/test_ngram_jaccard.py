@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from gleaner.llm import components
 from gleaner.llm import ngram_jaccard as nj
 from gleaner.llm.components import connected_components
 
@@ -105,7 +106,9 @@ def test_every_similar_pair_shares_a_signature():
                 assert len(np.intersect1d(nj.signatures(a, bands), nj.signatures(b, bands)))
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("edges_per_task", [7, 500_000])
+def test_components_of_long_chains(spark, monkeypatch, edges_per_task):
+    monkeypatch.setattr(components, "EDGES_PER_TASK", edges_per_task)
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (None, 5), (201, 200)], "a long, b long")
     found = {r.node: r.component for r in connected_components(edges).collect()}
     assert found == {**{i: 0 for i in range(61)}, 200: 200, 201: 200}
