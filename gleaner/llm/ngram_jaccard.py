@@ -11,10 +11,12 @@ A signature over an empty selection says nothing, yet all sets with that gap wou
 left out; a set with too many gaps for the counting argument repeats the enumeration over another
 cut of the domain (both of two such sets do), and only after ``ROUNDS`` cuts keeps empty ones.
 
-Inside a bucket of equal signatures each member is a candidate with the first one only. Links are
-verified on the sets. Where candidates that failed join different components, the members outside
-the largest component are compared, in blocks, with all members of the joined components; so no link
-is lost, and no bucket is expanded into all pairs.
+Inside a bucket of equal signatures each member is a candidate with the first one only. Candidates
+are verified on the sets; before that, parity sketches (one bit a hash value, each element flips its
+bit) rule out pairs whose sketches differ in more bits than the sets may differ in elements. Buckets
+whose members end in more than one component are then searched in full: the members outside the
+bucket's largest component against all others, in blocks, by their sketches, and what passes is
+verified. So no link is lost, and no bucket is expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -37,8 +39,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Cuts of the domain to try before signatures of empty selections are kept.
 ROUNDS = 4
-#: Features (8 bytes each) of one side of a block comparison.
-BLOCK_FEATURES = 1_000_000
+#: Members of one side of a block comparison, and rows of comparisons that one task takes at a time.
+BLOCK_ROWS = 2000
+BIN_ROWS = 20_000
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63,
         0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93]
 
@@ -185,11 +188,30 @@ def _facts(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return staged(facts.distinct(), "facts")
 
 
+def sketch(features: np.ndarray) -> np.ndarray:
+    """Parity sketch of a set: two bits or more an element, as 64-bit words; their number is a power of two."""
+    words = 1 << max(0, (len(features) // 32).bit_length())
+    h = mix(features + np.uint64(_ODD[6]))
+    out = np.zeros(words, np.uint64)
+    np.bitwise_xor.at(out, (h & np.uint64(words - 1)).astype(np.int64), np.uint64(1) << (h >> np.uint64(58)))
+    return out
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows) as they would be with fewer words."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
 def _set_rows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, n).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc", "features"])
+            sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary()),
+                 pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "size", "sketch", "features"])
 
     return run
 
@@ -202,18 +224,41 @@ def similar(left: np.ndarray, right: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(left) + len(right) - both)
 
 
+def may_link(differ: np.ndarray | int, left: np.ndarray | int, right: np.ndarray | int, num: int, den: int):
+    """Whether sets of these sizes whose sketches differ in so many bits can reach the threshold."""
+    fits = np.minimum(left, right) * den >= np.maximum(left, right) * num
+    return fits & (np.minimum(left, right) > 0) & (differ * (den + num) <= (den - num) * (left + right))
+
+
+def _ends(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (a, b) with columns of the sets of both ends."""
+    for x in "ba":
+        end = sets.select(F.col("doc").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+        pairs = pairs.join(end, x)
+    return pairs.select("a", "b", *[f"{c}_{x}" for x in "ab" for c in columns])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) with whether they are similar, from the sets of both ends."""
+    """The pairs (a, b) that are similar: by their sketches first, what passes by the sets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for m, x, n, y in zip(*[batch.column(i).to_pylist() for i in range(2, 6)]):
+                p, q = (np.frombuffer(s, np.uint64)[None] for s in (x, y))
+                words = min(p.shape[1], q.shape[1])
+                differ = int(np.bitwise_count(folded(p, words) ^ folded(q, words)).sum())
+                ok.append(bool(may_link(differ, m, n, num, den)))
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in zip(left, right)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    ends = [sets.select(F.col("doc").alias(x), F.col("features").alias(f"f{x}")) for x in "ab"]
-    return pairs.join(ends[1], "b").join(ends[0], "a").select("a", "b", "fa", "fb").mapInArrow(
-        run, "a long, b long, linked boolean")
+    hopeful = _ends(pairs, sets, ["size", "sketch"]).mapInArrow(sift, "a long, b long")
+    return _ends(hopeful, sets, ["features"]).mapInArrow(exact, "a long, b long")
 
 
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -224,58 +269,81 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs
 
 
-def _block_links(num: int, den: int):
-    """Links between the outliers and the members of one cell, one spanning edge where several agree."""
+def _sign_sets(num: int, den: int):
+    """(key, doc, label) of every signature of the sets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
+        for batch in batches:
+            signed = [signatures(np.frombuffer(x, np.uint64), bands) for x in batch.column(2).to_pylist()]
+            sizes = [len(s) for s in signed]
+            key = np.concatenate(signed).view(np.int64) if signed else np.empty(0, np.int64)
+            doc, label = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), sizes) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(label, pa.int64())],
+                                             ["key", "doc", "label"])
+
+    return run
+
+
+def _cell_pairs(num: int, den: int):
+    """Pairs of one bin whose sketches allow a link, one for each outlier and component of a cell."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs, labels = table["doc"].to_numpy(), table["label"].to_numpy()
+        doc, label, size = (table[c].to_numpy() for c in ("doc", "label", "size"))
         outer = table["outer"].to_numpy(zero_copy_only=False)
-        sets = [np.frombuffer(x, np.uint64) for x in table["features"].to_pylist()]
-        sizes = np.array([len(s) for s in sets])
-        inner = np.flatnonzero(~outer)
-        owner = np.repeat(inner, sizes[inner])
-        value = np.concatenate([sets[i] for i in inner]) if len(inner) else np.empty(0, np.uint64)
-        order = np.argsort(value, kind="stable")
-        value, owner = value[order], owner[order]
-        found: list[tuple[int, int]] = []
-        for i in np.flatnonzero(outer):
-            lo, hi = np.searchsorted(value, sets[i], "left"), np.searchsorted(value, sets[i], "right")
-            runs = hi - lo
-            at = np.repeat(hi - np.cumsum(runs), runs) + np.arange(runs.sum())
-            both = np.bincount(owner[at], minlength=len(docs))
-            linked = (den * both >= num * (sizes + sizes[i] - both)) & ~outer & (labels != labels[i]) & (both > 0)
-            for label in np.unique(labels[linked]):
-                found.append((docs[i], docs[np.flatnonzero(linked & (labels == label))[0]]))
-        a, b = zip(*found) if found else ((), ())
+        width = np.array([len(x) // 8 for x in table["sketch"].to_pylist()])
+        raw = table["sketch"].to_pylist()
+        cell = np.stack([table[c].to_numpy() for c in ("key", "block", "outer_block")])
+        order = np.lexsort((width, *cell))
+        cuts = np.flatnonzero((cell[:, order[1:]] != cell[:, order[:-1]]).any(axis=0)) + 1
+        found = set()
+        for rows in np.split(order, cuts):
+            outliers, members = rows[outer[rows]], rows[~outer[rows]]
+            for w in np.unique(width[outliers]):
+                mine = outliers[width[outliers] == w]
+                left = np.frombuffer(b"".join(raw[i] for i in mine), np.uint64).reshape(len(mine), w)
+                for v in np.unique(width[members]):
+                    if max(v, w) > 2 * min(v, w):
+                        continue  # sizes a factor of two apart are below any threshold over one half
+                    theirs = members[width[members] == v]
+                    right = np.frombuffer(b"".join(raw[i] for i in theirs), np.uint64).reshape(len(theirs), v)
+                    near, far = folded(left, min(v, w)), folded(right, min(v, w))
+                    for i, row in zip(mine, near):
+                        differ = np.bitwise_count(far ^ row).sum(axis=1, dtype=np.int64)
+                        ok = may_link(differ, size[theirs], size[i], num, den) & (label[theirs] != label[i])
+                        found.update((min(doc[i], doc[j]), max(doc[i], doc[j])) for j in theirs[ok])
+        a, b = zip(*sorted(found)) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _block_edges(failed: DataFrame, labels: DataFrame, sets: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between components that failed candidates join: outliers against all members, in blocks."""
-    cross = _labelled(failed.select("a", "b"), labels).where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    joined = connected_components(cross).select(F.col("node").alias("label"), F.col("component").alias("cluster"))
-    named = nodes.join(labels.select(F.col("node").alias("doc"), F.col("component").alias("label")), "doc", "left")
-    members = staged(named.withColumn("label", F.coalesce("label", "doc")).join(joined, "label")
-                     .join(sets, "doc").withColumn("size", (F.octet_length("features") / 8).cast("long")), "members")
-    weights = members.groupBy("cluster", "label").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n"))
-    plan = weights.groupBy("cluster").agg(
-        F.max_by("label", F.struct("n", "label")).alias("hub"), F.sum("w").alias("w"),
-        (F.sum("w") - F.max(F.struct("n", "label", "w"))["w"]).alias("wo"))
-    plan = plan.select(
-        "cluster", "hub", F.ceil(F.col("w") / BLOCK_FEATURES).cast("int").alias("blocks"),
-        F.ceil(F.greatest("wo", F.lit(1)) / BLOCK_FEATURES).cast("int").alias("outer_blocks"))
-    dealt = members.join(plan, "cluster")
+def _bucket_pairs(sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of different components that share a bucket of three or more and may link by their sketches.
+
+    In a bucket of two the pair was a candidate already.
+    """
+    named = sets.select("doc", "features").join(
+        labels.select(F.col("node").alias("doc"), F.col("component").alias("label")), "doc", "left")
+    signed = named.select("doc", F.coalesce("label", "doc").alias("label"), "features").mapInArrow(
+        _sign_sets(num, den), "key long, doc long, label long")
+    weights = signed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        F.max_by("label", F.struct("n", "label")).alias("hub"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    plan = weights.where("n > 2 and most < n").select(
+        "key", "hub", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"),
+        F.ceil((F.col("n") - F.col("most")) / BLOCK_ROWS).cast("int").alias("outer_blocks"))
+    members = signed.join(plan, "key")
     mine, salt = F.xxhash64("doc"), F.xxhash64("doc", F.lit(1))
-    inner = dealt.select(
-        "cluster", "doc", "label", "features", F.pmod(mine, "blocks").cast("int").alias("block"),
+    inner = members.select(
+        "key", "doc", "label", F.pmod(mine, "blocks").cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.col("outer_blocks") - 1)).alias("outer_block"), F.lit(False).alias("outer"))
-    outer = dealt.where("label <> hub").select(
-        "cluster", "doc", "label", "features", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+    outer = members.where("label <> hub").select(
+        "key", "doc", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.pmod(salt, "outer_blocks").cast("int").alias("outer_block"), F.lit(True).alias("outer"))
-    cells = inner.unionByName(outer)
-    return cells.groupBy("cluster", "block", "outer_block").applyInArrow(_block_links(num, den), "a long, b long")
+    cells = staged(inner.unionByName(outer), "cells")
+    bins = max(1, cells.count() // BIN_ROWS)
+    dealt = cells.join(sets.select("doc", "size", "sketch"), "doc").withColumn(
+        "bin", F.pmod(F.xxhash64("key", "block", "outer_block"), F.lit(bins)))
+    return dealt.groupBy("bin").applyInArrow(_cell_pairs(num, den), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -286,24 +354,22 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     it has the links of all its rows, and n_shingles is their largest set. Rows without a doc_id link
     with nothing and come back as one row with nulls for both ids. An empty table gives an empty table.
     """
+    if 2 * num <= den or num > den:
+        raise ValueError("the threshold must lie above one half and not above one")
     facts = _facts(docs, n, num, den)
     pairs, sure = facts.where("kind = 1").select("a", "b"), facts.where("kind = 2").select("a", "b")
     nodes = staged(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct(), "nodes")
     texts = docs.select(F.col("doc_id").alias("doc"), "text").join(nodes, "doc", "left_semi")
-    sets = staged(texts.mapInArrow(_set_rows(n), "doc long, features binary"), "sets")
+    sets = staged(texts.mapInArrow(_set_rows(n), "doc long, size long, sketch binary, features binary"), "sets")
     nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    first = staged(_verified(nearest, sets, num, den), "verified")
-    labels = connected_components(sure.union(first.where("linked").select("a", "b")))
+    linked = staged(sure.union(_verified(nearest, sets, num, den)), "linked")
+    labels = connected_components(linked)
     rest = _labelled(pairs.join(nearest, ["a", "b"], "left_anti"), labels).where("la <> lb").select("a", "b")
-    second = staged(_verified(rest, sets, num, den), "verified")
-    seen = first.union(second)
-    linked = staged(sure.union(seen.where("linked").select("a", "b")), "linked")
-    failed = seen.where("not linked")
+    linked = staged(linked.union(_verified(rest, sets, num, den)), "linked")
     labels = connected_components(linked)
-    if not failed.isEmpty():
-        more = staged(_block_edges(failed, labels, sets, nodes, num, den), "linked")
-        if not more.isEmpty():
-            labels = connected_components(linked.union(more))
+    more = staged(_verified(_bucket_pairs(sets, labels, num, den), sets, num, den), "linked")
+    if not more.isEmpty():
+        labels = connected_components(linked.union(more))
     sizes = facts.where("kind = 0").groupBy(F.col("b").alias("doc_id")).agg(F.max("a").alias("n_shingles"))
     return sizes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -68,7 +68,8 @@ def test_families_of_near_copies_equal_brute_force(docs_of, n, num):
 
 
 def test_small_cells_keep_every_link(docs_of, monkeypatch):
-    monkeypatch.setattr(nj, "BLOCK_FEATURES", 200)
+    monkeypatch.setattr(nj, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(nj, "BIN_ROWS", 50)
     rng = random.Random(5)
     chain, rows = [f"a{i}" for i in range(60)], []
     for i in range(80):
@@ -112,3 +113,16 @@ def test_components_of_long_chains(spark, monkeypatch, edges_per_task):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (None, 5), (201, 200)], "a long, b long")
     found = {r.node: r.component for r in connected_components(edges).collect()}
     assert found == {**{i: 0 for i in range(61)}, 200: 200, 201: 200}
+
+
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(4)
+    for size in (1, 6, 31, 32, 64, 200, 1000):
+        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        for change in range(0, max(2, size // 5)):
+            b = np.unique(np.r_[a[change // 2:], rng.integers(0, 2**63, change - change // 2, dtype=np.uint64)])
+            x, y = nj.sketch(a)[None], nj.sketch(b)[None]
+            words = min(x.shape[1], y.shape[1])
+            differ = np.bitwise_count(nj.folded(x, words) ^ nj.folded(y, words)).sum()
+            assert differ <= len(np.setxor1d(a, b))
+            assert nj.may_link(differ, len(a), len(b), 85, 100) or not nj.similar(a, b, 85, 100)
