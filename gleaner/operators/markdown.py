@@ -55,16 +55,22 @@ DOCS = Profile(
         "sidebar toc table-of-contents breadcrumb breadcrumbs pagination site-navigation".split()),
     nested_lists=True, definition_lists=True, code_prefixes=("language-", "lang-"),
 )
-PAGE_ROOTS = (("tag", "article"), ("tag", "main"), ("class", "post"), ("class", "article"),
-              ("class", "content"), ("class", "entry"), ("role", "main"))
+PAGE_ROOTS = (("tag", "article"), ("tag", "main"), ("div", ("post", "article", "content", "entry")), ("role", "main"))
+BODY_REMOVED = frozenset("nav footer header aside script style".split())
 PROFILES = {
     "article": ARTICLE,
-    "article_page": replace(ARTICLE, roots=PAGE_ROOTS),
+    "article_page": replace(ARTICLE, roots=PAGE_ROOTS, body_removed_tags=BODY_REMOVED),
     "strict": STRICT,
     "docs": DOCS,
-    "docs_page": replace(DOCS, roots=(
-        ("tag", "article"), ("tag", "main"), ("class", "page-body"), ("class", "content"),
-        ("class", "markdown"), ("role", "main"))),
+    "docs_page": replace(DOCS, body_removed_tags=BODY_REMOVED, roots=(
+        ("tag", "article"), ("tag", "main"), ("div", ("content",)), ("role", "main"))),
+    "book_docs": replace(DOCS, body_removed_tags=BODY_REMOVED, roots=(
+        ("tag", "article"), ("tag", "main"), ("div", ("page-body", "content", "markdown")), ("role", "main"))),
+    "theme_docs": replace(
+        DOCS, body_removed_tags=BODY_REMOVED,
+        roots=(("tag", "article"), ("tag", "main"), ("any", ("docmaincontainer", "markdown"))),
+        removed_class_parts=(
+            "theme-doc-toc", "pagination-nav", "breadcrumbs", "theme-last-updated", "docusaurus-mt-lg", "col--3")),
     "cloud_docs": replace(
         DOCS,
         roots=(("id", "main-col-body"), ("id", "main-content"), ("id", "main-column"),

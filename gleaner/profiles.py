@@ -43,12 +43,12 @@ def register_site(profile: SiteProfile) -> SiteProfile:
 # --- fixed values: documentation sites known from the start ---
 register_site(SiteProfile(
     "snowflake", "Snowflake", "https://docs.snowflake.com", titles=("og", "raw_title")))
-register_site(SiteProfile("soda", "Soda", "https://docs.soda.io"))
+register_site(SiteProfile("soda", "Soda", "https://docs.soda.io", markdown="book_docs"))
 register_site(SiteProfile(
     "aws", "AWS", "https://docs.aws.amazon.com", markdown="cloud_docs",
     titles=("topic", "og", "raw_title"), drop_html=True, english_only=True))
 register_site(SiteProfile(
-    "databricks", "Databricks Docs", "https://docs.databricks.com",
+    "databricks", "Databricks Docs", "https://docs.databricks.com", markdown="theme_docs",
     titles=("h1", "og", "before_pipe"), tag_clouds=True))
 register_site(SiteProfile("claude-code", "Claude Code Docs", "https://code.claude.com/docs", markdown="mdx"))
 

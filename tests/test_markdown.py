@@ -83,59 +83,69 @@ def test_deep_nesting(convert):
 
 
 class _Standard(HTMLParser):
-    """The same tree by the standard library's tokenizer."""
+    """The same events by the standard library's tokenizer: (kind, tag or text, attributes)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack = [B.Node("")]
+        self.stack, self.out = [], []
+
+    def _leave(self, depth):
+        while len(self.stack) > depth:
+            self.out.append((B.END, self.stack.pop(), None))
 
     def _close(self, tag):
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.stack[depth].tag == tag:
-                del self.stack[depth:]
-                return
+        if tag in self.stack:
+            self._leave(len(self.stack) - 1 - self.stack[::-1].index(tag))
 
     def handle_starttag(self, tag, attrs):
         if tag == "p":
             self._close("p")
-        node = B.Node(tag, {k: v or "" for k, v in attrs})
-        self.stack[-1].children.append(node)
-        if tag not in B.VOID:
-            self.stack.append(node)
+        self.out.append((B.START, tag, {k: v or "" for k, v in attrs}))
+        self.stack.append(tag)
+        if tag in B.VOID:
+            self._leave(len(self.stack) - 1)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        self._close(tag)
+        if tag not in B.VOID:
+            self._close(tag)
 
     def handle_endtag(self, tag):
         self._close(tag)
 
     def handle_data(self, data):
-        self.stack[-1].children.append(data)
+        if not any(t in B.SILENT for t in self.stack):
+            self.out.append((B.TEXT, data, None))
 
 
-def _joined(node):
-    """Tree as nested tuples, neighbouring texts joined."""
-    children = []
-    for child in node.children:
-        item = child if isinstance(child, str) else _joined(child)
-        if isinstance(item, str) and children and isinstance(children[-1], str):
-            children[-1] += item
+def _joined(found):
+    """Events with neighbouring texts joined."""
+    out = []
+    for kind, name, attrs in found:
+        if kind == B.TEXT and out and out[-1][0] == B.TEXT:
+            out[-1] = (B.TEXT, out[-1][1] + name, None)
         else:
-            children.append(item)
-    return (node.tag, tuple(node.attrs.items()), tuple(children))
+            out.append((kind, name, attrs))
+    return out
 
 
 def _standard(html):
-    builder = _Standard()
-    builder.feed(html)
-    builder.close()
-    return _joined(builder.stack[0])
+    reader = _Standard()
+    reader.feed(html)
+    reader.close()
+    reader._leave(0)
+    return _joined(reader.out)
+
+
+def _own(html):
+    events = B.read_events(html)
+    assert all(events.name[c] == n and events.kind[c] == B.END for k, n, c in zip(events.kind, events.name, events.close) if k == B.START)
+    return _joined(zip(events.kind, events.name, events.attrs))
 
 
-def test_tree_equals_standard_parser_on_pages(spark, sf_dir):
+def test_events_equal_standard_parser_on_pages(spark, sf_dir):
     for row in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").toLocalIterator():
-        assert _joined(B.parse(row["html"])) == _standard(row["html"])
+        assert _own(row["html"]) == _standard(row["html"])
 
 
 _PIECES = st.sampled_from([
@@ -147,5 +157,19 @@ _PIECES = st.sampled_from([
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(_PIECES, max_size=25).map("".join))
-def test_tree_equals_standard_parser(html):
-    assert _joined(B.parse(html)) == _standard(html)
+def test_events_equal_standard_parser(html):
+    assert _own(html) == _standard(html)
+
+
+def test_unclosed_cells_and_nested_tables(convert):
+    assert convert("<table><tr><th>a<th>b<tr><td>c<td>d</table>") == "| a | b |\n| --- | --- |\n| c | d |"
+    assert convert("<table><tr><td>x<table><tr><td>in</table></td><td>y</td></tr></table>").count("|") > 6
+
+
+def test_first_div_with_any_content_class_is_the_root(convert):
+    html = "<body><div class='Entry'><p>first</p></div><div class=post-list><p>second</p></div></body>"
+    assert convert(html, "article_page") == "first"
+
+
+def test_body_without_navigation_is_the_last_resort(convert):
+    assert convert("<body><aside>no</aside><p>yes</p></body>", "article_page") == "yes"
