@@ -36,10 +36,10 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", hashed: Callable[[Colu
     members = rows.join(repeated, "content_hash")
     texts = members.groupBy("content_hash", "text").agg(
         F.count(F.lit(1)).alias("own_size"), pick("doc_id").alias("own_id"))
-    collided = texts.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("content_hash")
-    # almost always empty: equal hashes over different bytes
-    told = texts.join(collided, "content_hash").select(
-        "content_hash", F.unhex(F.sha2("text", 256)).alias("sha"), "own_size", "own_id")
+    # a list holds the different texts of one hash: one, unless hashes collide
+    told = texts.groupBy("content_hash").agg(F.collect_list(F.struct(
+        F.unhex(F.sha2("text", 256)).alias("sha"), "own_size", "own_id")).alias("told")).where(F.size("told") > 1)
+    told = told.select("content_hash", F.inline("told"))
     found = once.join(groups, "content_hash").join(told, ["content_hash", "sha"], "left")
     size = F.coalesce("own_size", "group_size")
     stays = F.when(F.col("own_size").isNotNull(), F.col("own_id")).otherwise(F.col("keep_id"))
