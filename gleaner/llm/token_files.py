@@ -56,20 +56,46 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return word & MASKS[lengths]
 
 
-def token_counts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(id, count) of every id over all documents, end ids included: one row an id and task, then summed."""
+def ordered_ids(docs: DataFrame, path: str, end_id: int, docs_per_block: int) -> DataFrame:
+    """Blocks (part, seq, doc_ids, counts, ids as little-endian 32-bit) of all documents by ascending doc_id, staged.
+
+    The texts are dealt by ranges of doc_id and encoded once; the two passes that follow read numbers.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, encoder = TaskContext.get().partitionId(), 0, word_ids(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, docs_per_block):
+                some = batch.slice(at, docs_per_block)
+                ids, limits = encoder.encode(some.column(1).to_pylist(), end_id)
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int64()),
+                    "doc_ids": pa.array([some.column(0).to_pylist()], pa.list_(pa.int64())),
+                    "counts": pa.array([np.diff(limits).astype(np.int32)], pa.list_(pa.int32())),
+                    "ids": pa.array([ids.astype("<u4").tobytes()], pa.binary())})
+                seq += 1
+
+    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = dealt.mapInArrow(run, "part int, seq long, doc_ids array<long>, counts array<int>, ids binary")
+    folder = scratch_path(docs.sparkSession, "ordered-ids")
+    rows.write.option("compression", "zstd").parquet(folder)
+    return docs.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+def token_counts(blocks: DataFrame) -> DataFrame:
+    """(id, count) of every id of all blocks: one row an id and task, then summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            ids, _ = word_ids(path).encode(batch.column(0).to_pylist(), end_id)
-            seen = np.bincount(ids, minlength=len(total))
-            seen[: len(total)] += total
-            total = seen
+            for raw in batch.column(0):
+                seen = np.bincount(np.frombuffer(raw.as_py(), "<u4"), minlength=len(total))
+                seen[: len(total)] += total
+                total = seen
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(total[held])], ["id", "count"])
 
-    return docs.select("text").mapInArrow(run, "id int, count long").groupBy("id").agg(F.sum("count").alias("count"))
+    return blocks.select("ids").mapInArrow(run, "id int, count long").groupBy("id").agg(F.sum("count").alias("count"))
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 1,
@@ -79,31 +105,24 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     A null or empty text gives the end id alone. Documents stand in ascending doc_id order (nulls
     first), rows that repeat a doc_id in the order of their texts. No rows give an empty file set.
     """
-    path = path or default_path()
-    counts = token_counts(docs, path, end_id)
+    blocks = ordered_ids(docs, path or default_path(), end_id, docs_per_block)
     # the vocabulary bounds this table and the array that travels with the tasks
-    ranked = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "id")) - 1)
+    ranked = token_counts(blocks).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "id")) - 1)
     ranked.select("rank", "id", "count").write.parquet(f"{folder}/ranks")
     rank_of = _ids_by_rank(docs.sparkSession, folder)
     inverse = np.zeros(int(rank_of.max(initial=0)) + 1, np.uint32)
     inverse[rank_of] = np.arange(len(rank_of), dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, docs_per_block):
-                some = batch.slice(at, docs_per_block)
-                ids, limits = word_ids(path).encode(some.column(1).to_pylist(), end_id)
-                control, data = pack(inverse[ids])
-                yield pa.RecordBatch.from_pydict({
-                    "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()),
-                    "doc_ids": pa.array([some.column(0).to_pylist()], pa.list_(pa.int64())),
-                    "counts": pa.array([np.diff(limits).astype(np.int32)], pa.list_(pa.int32())),
-                    "control": pa.array([control], pa.binary()), "data": pa.array([data], pa.binary())})
-                seq += 1
-
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(f"{folder}/blocks")
+            coded = [pack(inverse[np.frombuffer(raw.as_py(), "<u4")]) for raw in batch.column("ids")]
+            sizes = [len(raw.as_py()) // 4 for raw in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("part"), batch.column("seq"), pa.array(sizes, pa.int64()), batch.column("doc_ids"), batch.column("counts"),
+                 pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
+                ["part", "seq", "n_ids", "doc_ids", "counts", "control", "data"])
+
+    blocks.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(f"{folder}/blocks")
 
 
 def _ids_by_rank(spark: SparkSession, folder: str) -> np.ndarray:

@@ -1,25 +1,52 @@
 """Texts to token ids inside tasks: words are encoded once by the tokenizers library and remembered.
 
 The vocabulary's tokenizer drops white space and never joins characters across it, so the ids of a
-text are the ids of its words between ASCII white space, one after the other (tests hold this
-against whole texts). Only words not met before go through the library, in bulk.
+text are the ids of its words between ASCII white space, one after the other. A word not met before is
+cut into pieces by the tokenizer's own pattern, and each new piece goes through the library's model; a
+word with unusual characters goes through the whole tokenizer. Tests hold all of this against the
+library's ids of whole texts.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import sys
 import types
+from itertools import chain
 
 import numpy as np
+import regex
 from pyspark import cloudpickle
 from tokenizers import Tokenizer
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Words a worker remembers; beyond it the memory is cleared, which costs time only.
-REMEMBERED_WORDS = 800_000
-_BULK = 2000
-_MARK = "\x01"
+#: Words and pieces a worker remembers; beyond it the memory is cleared, which costs time only.
+REMEMBERED_WORDS = 500_000
+REMEMBERED_PIECES = 300_000
+#: Characters of texts that are split into words at a time.
+CHUNK_CHARS = 2_000_000
+#: Characters whose normal form, case or class the short way does not vouch for, and special tokens.
+_UNUSUAL = re.compile("[\x00-\x1f\x7f-\xa0\u0250-\U0010ffff]|<\\|")
+
+
+def byte_letters() -> dict[int, int]:
+    """Letters that stand for bytes in byte-level vocabularies: visible ones for themselves, the others from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(own)))}
+
+
+def piece_pattern(path: str) -> str | None:
+    """The pattern that cuts words, if the file's tokenizer lowers, cuts and maps bytes as the short way does."""
+    with open(path, encoding="utf-8") as file:
+        plan = json.load(file)
+    steps = [n["type"] for n in (plan.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (plan.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if steps != ["NFC", "Replace", "Lowercase"] or [c["type"] for c in cuts] != ["Split", "ByteLevel"]:
+        return None
+    fits = cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+    return cuts[0]["pattern"].get("Regex") if fits else None
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -34,60 +61,81 @@ class WordIds:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        pattern = piece_pattern(path)
+        self.cut = regex.compile(pattern).findall if pattern else None
+        self.letters = byte_letters()
+        self.pieces: dict[str, list[int]] = {}
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.starts, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32)
 
-    def _encode(self, words: list[bytes]) -> list[list[int] | np.ndarray]:
-        """Ids of each word, many in one call between marks; singly where a word holds the mark."""
-        texts = [w.decode("utf-8") for w in words]
-        if self.mark is not None and not any(_MARK in t for t in texts):
-            ids = np.array(self.tokenizer.encode(f" {_MARK} ".join(texts), add_special_tokens=False).ids, np.int32)
-            cut = np.flatnonzero(ids == self.mark)
-            if len(cut) == len(words) - 1:
-                lo, hi = np.r_[0, cut + 1], np.r_[cut, len(ids)]
-                return [ids[a:b] for a, b in zip(lo, hi)]
-        return [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    def _piece(self, piece: str) -> list[int]:
+        letters = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        return [token.id for token in self.tokenizer.model.tokenize(letters)]
+
+    def _encode(self, word: bytes) -> list[int]:
+        text = word.decode("utf-8")
+        if self.cut is None or _UNUSUAL.search(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        out: list[int] = []
+        for piece in self.cut(text.lower()):
+            found = self.pieces.get(piece)
+            if found is None:
+                found = self.pieces[piece] = self._piece(piece)
+            out += found
+        return out
 
     def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), _BULK):
-            part = words[at: at + _BULK]
-            found = self._encode(part)
-            n, lengths = len(self.index), [len(f) for f in found]
-            while n + len(part) + 1 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            ends = self.starts[n] + np.cumsum(lengths)
-            while ends[-1] > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            if ends[-1] > self.starts[n]:
-                self.ids[self.starts[n]: ends[-1]] = np.concatenate([np.asarray(f, np.int32) for f in found])
-            self.starts[n + 1: n + 1 + len(part)] = ends
-            self.index.update(zip(part, range(n, n + len(part))))
-
-    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in one array, each text followed by ``end_id``, and the n + 1 limits of the texts."""
+        if len(self.pieces) > REMEMBERED_PIECES:
+            self.pieces = {}
+        found = [self._encode(w) for w in words]
+        n, lengths = len(self.index), [len(f) for f in found]
+        while n + len(words) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        ends = self.starts[n] + np.cumsum(lengths)
+        while ends[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.starts[n]: ends[-1]] = [i for f in found for i in f]
+        self.starts[n + 1: n + 1 + len(words)] = ends
+        self.index.update(zip(words, range(n, n + len(words))))
+
+    def _chunk(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         split = [t.encode("utf-8").split() if t else [] for t in texts]
         if len(self.index) > REMEMBERED_WORDS:
             self.clear()
         new = set().union(*split).difference(self.index)
         if new:
-            self._learn(sorted(new))
-        known, counts = self.index, [len(s) for s in split]
-        at = np.fromiter((known[w] for s in split for w in s), np.int64, sum(counts))
-        lengths = self.starts[at + 1] - self.starts[at]
+            self._learn(list(new))
+        counts = [len(s) for s in split]
+        known = self.index.__getitem__
+        at = np.fromiter(chain.from_iterable(map(known, s) for s in split), np.int64, sum(counts))
+        first = self.starts[at]
+        lengths = self.starts[at + 1] - first
         words_before = np.cumsum([0, *counts], dtype=np.int64)
         ids_before = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
         limits = ids_before[words_before] + np.arange(len(texts) + 1)
-        # a word's ids stand as far to the right as ids and end ids stand before it
-        shift = np.repeat(np.arange(len(texts)), counts)
-        source = np.repeat(self.starts[at] - ids_before[:-1], lengths) + np.arange(ids_before[-1])
+        source = np.repeat(first - ids_before[:-1], lengths) + np.arange(ids_before[-1])
+        # a word's ids stand as far to the right as end ids stand before it
+        shift = np.repeat(np.repeat(np.arange(len(texts)), counts), lengths)
         out = np.full(limits[-1], end_id, np.int32)
-        out[np.repeat(shift, lengths) + np.arange(ids_before[-1])] = self.ids[source]
-        return out, limits
+        out[shift + np.arange(ids_before[-1])] = self.ids[source]
+        return out, np.diff(limits)
+
+    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, each text followed by ``end_id``, and the n + 1 limits of the texts."""
+        parts, sizes, at = [np.empty(0, np.int32)], [np.zeros(1, np.int64)], 0
+        while at < len(texts):
+            end, chars = at, 0
+            while end < len(texts) and (end == at or chars + len(texts[end] or "") <= CHUNK_CHARS):
+                chars += len(texts[end] or "")
+                end += 1
+            ids, own = self._chunk(texts[at:end], end_id)
+            parts.append(ids)
+            sizes.append(own)
+            at = end
+        return np.concatenate(parts), np.cumsum(np.concatenate(sizes))
 
 
 def word_ids(path: str) -> WordIds:
