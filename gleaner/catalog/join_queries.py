@@ -146,11 +146,12 @@ def j09_routed(spark, d):
     return routed.drop("raindrop_id")
 
 
-@query("j10_supplement", """SELECT url, 'main' AS title FROM pages UNION ALL SELECT url || '.md', 'extra' FROM (SELECT split_part(url, '#', 1) AS url FROM pages) WHERE url NOT IN (SELECT url FROM pages)""")
+@query("j10_supplement", """SELECT url, 'main' AS title FROM pages UNION ALL SELECT DISTINCT url || '.md', 'extra' FROM (SELECT split_part(url, '#', 1) AS url FROM pages) WHERE url NOT IN (SELECT url FROM pages)""")
 def j10(spark, d):
     primary = table(spark, d, "pages").select("url", F.lit("main").alias("title"))
-    extra = primary.select(F.concat(F.substring_index("url", "#", 1), F.lit(".md")).alias("url"), F.lit("extra").alias("title"))
-    return J.supplement(primary, extra)
+    bare = F.substring_index("url", "#", 1)
+    extra = primary.select(F.concat(bare, F.lit(".md")).alias("url"), F.lit("extra").alias("title"))
+    return J.supplement(primary, extra.union(extra))
 
 
 @query("j11_remove_parents", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')")

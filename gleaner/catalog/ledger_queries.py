@@ -111,9 +111,11 @@ def t05_ledger(spark, d):
 _INDEX_SQL = """'---' || chr(10) || 'tags:' || chr(10) || '  - book/novel' || chr(10) || '  - the-story-of-' || novel_id || chr(10) || '---' || chr(10) || chr(10) || '# The Story Of ' || novel_id || chr(10) || chr(10) || '## Table of Contents' || chr(10) || chr(10)"""
 
 
-@query("t06_index_notes", f"""WITH {CHAPTERS_SQL} SELECT novel_id, CAST(0 AS BIGINT) AS page, {_INDEX_SQL} || string_agg(printf('- [[%04d - The Story Of %d|Chapter %d]]', num, novel_id, num), chr(10) ORDER BY num) || chr(10) AS content FROM chapters GROUP BY novel_id""")
+@query("t06_index_notes", f"""WITH {CHAPTERS_SQL} SELECT novel_id, num AS ord, printf('- [[%04d - The Story Of %d|Chapter %d]]', num, novel_id, num) AS line FROM chapters
+ UNION ALL SELECT DISTINCT novel_id, CAST(-1 AS BIGINT), rtrim({_INDEX_SQL}, chr(10)) || chr(10) FROM chapters""")
 def t06(spark, d):
-    return L.index_notes(I.chapters(spark, d))
+    index, _ = L.rebuild_index_and_nav(I.chapters(spark, d).withColumn("content", F.col("text")))
+    return index
 
 
 @query("t06_rebuild_navigation", f"""WITH {CHAPTERS_SQL}, changed AS (SELECT DISTINCT novel_id FROM chapters WHERE role = 'system'),

@@ -17,7 +17,7 @@ from gleaner.sources import feeds, links, payloads, sitemaps, tables, trees
 
 @query("s01_read_ledger", "SELECT doc_id, source, lang FROM documents WHERE source = 'src3'")
 def s01(spark, d):
-    return tables.read_ledger(spark, f"{d}/documents.parquet", source="src3").select("doc_id", "source", "lang")
+    return tables.read_ledger(spark, f"{d}/documents.parquet", "src3", "doc_id long, lang string, source string").select("doc_id", "source", "lang")
 
 
 _SLOT_SQL = "(SELECT page_id, url, CASE WHEN contains(url, '//blog.') THEN 'blog' ELSE 'news' END AS kind FROM pages)"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,24 +23,65 @@ def strip_tags(html: Column | str) -> Column:
     return F.regexp_replace(as_col(html), TAG, "")
 
 
+# Every name of HTML5, by the standard library: with a semicolon, and those that may lack it.
+_NAMES = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+_OPEN = sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n))
+_ENTITY = r"&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*;|(?:" + "|".join(_OPEN) + "))"
+# Numbers 128 to 159 stand for characters of the Windows code page, as in the standard library.
+_WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
+
+
 def unescape(text: Column | str) -> Column:
-    """Resolve the listed named entities and all decimal ones."""
+    """Resolve named, decimal and hexadecimal entities, each once; what is no entity stays.
+
+    The text is split at its entities and put together again with what they stand for. An open name
+    before other letters (``&copyright;``) counts as well; numbers that name no character give ``\ufffd``.
+    """
+    names = F.from_json(F.lit(json.dumps(_NAMES)), "map<string,string>")
+    windows = F.from_json(F.lit(json.dumps(_WINDOWS)), "map<string,string>")
+
+    def numbered(entity: Column) -> Column:
+        digits = F.regexp_extract(entity, "^&#[xX]?([0-9a-fA-F]+)", 1)
+        code = F.when(entity.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+
+        def point(n: Column) -> Column:
+            valid = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+            char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+            return F.when(valid, F.coalesce(F.try_element_at(windows, n.cast("string")), char)).otherwise("\ufffd")
+
+        return let(F.coalesce(code, F.lit(-1).cast("long")), point)
 
-    def resolve_number(acc: Column, code: Column) -> Column:
-        point = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
-        return F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")), point)
+    def resolve(entity: Column) -> Column:
+        name = F.regexp_extract(entity, "^&([A-Za-z0-9]+)", 1)
+        opened = F.regexp_extract(entity, f"^&({'|'.join(_OPEN)})(.*)$", 1)
+        rest = F.when(opened != "", F.concat(F.try_element_at(names, opened), F.substr(entity, F.length(opened) + 2)))
+        return F.when(entity.startswith("&#"), numbered(entity)).otherwise(
+            F.coalesce(F.try_element_at(names, name), rest, entity))
 
-    def resolve(raw: Column) -> Column:
-        codes = F.array_distinct(F.regexp_extract_all(raw, F.lit(r"&#(\d{1,6});"), F.lit(1)))
-        numbered = F.when(raw.contains("&#"), F.reduce(codes, raw, resolve_number)).otherwise(raw)
-        named = numbered
-        for name, char in V.ENTITIES.items():
-            named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
-        for name, char in {**V.OPEN_ENTITIES, "amp": "&"}.items():
-            named = F.regexp_replace(named, f"&{name};?", char)
-        return F.when(raw.contains("&"), named).otherwise(raw)
+    def join(raw: Column) -> Column:
+        gaps = F.split(raw, _ENTITY, -1)
+        found = F.concat(F.transform(F.regexp_extract_all(raw, F.lit(_ENTITY), F.lit(0)), resolve), F.array(F.lit("")))
+        whole = F.array_join(F.zip_with(gaps, found, lambda g, e: F.concat(g, F.coalesce(e, F.lit("")))), "")
+        return F.when(raw.contains("&"), whole).otherwise(raw)
 
-    return let(as_col(text), resolve)
+    return let(as_col(text), join)
+
+
+#: A value in either quotes or bare, in three groups.
+_VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+#: A start tag's attributes: quoted values may hold an end of tag.
+_REST = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Raw value of an attribute of a start tag, in either quotes or bare; empty if absent."""
+    value = F.regexp_extract(tag, rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", 1)
+    return F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2")
+
+
+def with_class(name: str) -> str:
+    """Pattern of a class attribute that holds a class, in either quotes or bare."""
+    return (rf"""\sclass\s*=\s*(?:"(?:[^"]*\s)?{name}(?:\s[^"]*)?"|'(?:[^']*\s)?{name}(?:\s[^']*)?'|{name}(?=[\s>/]))""")
 
 
 def visible_text(html: Column | str) -> Column:
@@ -57,17 +100,14 @@ def tag_text(html: Column | str, tag: str) -> Column:
 
 def class_text(html: Column | str, name: str, tag: str = r"\w+") -> Column:
     """Text of the first element with a class; null if absent or blank."""
-    pattern = rf'(?is)<({tag})\s(?:[^>]*\s)?class="(?:[^"]*\s)?{name}(?:\s[^"]*)?"[^>]*>(.*?)</\1\s*>'
+    pattern = rf"(?is)<({tag})(?=\s)[^>]*?{with_class(name)}[^>]*>(.*?)</\1\s*>"
     return nullif_blank(visible_text(extract(html, pattern, 2)))
 
 
 def metas(html: Column | str) -> Column:
     """``array<struct<property,name,content>>`` of all meta tags that have content, in order."""
 
-    def attribute(tag: Column, name: str) -> Column:
-        return F.regexp_extract(tag, rf'(?is)\s{name}="([^"]*)"', 1)
-
-    tags = F.regexp_extract_all(as_col(html), F.lit(r"(?is)<meta\s[^>]*>"), F.lit(0))
+    tags = F.regexp_extract_all(as_col(html), F.lit(rf"(?is)<meta\s{_REST}>"), F.lit(0))
     fields = F.transform(tags, lambda t: F.struct(
         attribute(t, "property").alias("property"), attribute(t, "name").alias("name"),
         strip(unescape(attribute(t, "content"))).alias("content")))
@@ -106,13 +146,13 @@ def list_items(html: Column | str) -> Column:
 def anchors(html: Column | str) -> Column:
     """``array<struct<href,title,text>>`` of all links with a target."""
     whole = F.regexp_extract_all(
-        as_col(html), F.lit(r"(?is)<a\s[^>]*?href=\"[^\"]*\"[^>]*>.*?</a>"), F.lit(0)
+        as_col(html), F.lit(rf"(?is)<a(?=\s)[^>]*?[\s\"']href\s*={_REST}>.*?</a\s*>"), F.lit(0)
     )
     return F.transform(
         whole,
         lambda a: F.struct(
-            unescape(F.regexp_extract(a, r'(?is)href="([^"]*)"', 1)).alias("href"),
-            extract(F.regexp_extract(a, r"(?is)^<a\s([^>]*)>", 1), r'(?is)\btitle="([^"]*)"').alias("title"),
+            unescape(attribute(F.regexp_extract(a, rf"(?is)^<a{_REST}>", 0), "href")).alias("href"),
+            nullif_blank(attribute(F.regexp_extract(a, rf"(?is)^<a{_REST}>", 0), "title")).alias("title"),
             visible_text(a).alias("text"),
         ),
     )
@@ -128,15 +168,11 @@ def remove_chrome(
     result = as_col(html)
     for tag in tags:
         result = F.regexp_replace(result, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", "")
-    for attribute, names in (("id", ids), ("class", classes)):
-        for name in names:
-            edge = r'(?:[^"]*\s)?' if attribute == "class" else ""
-            tail = r'(?:\s[^"]*)?' if attribute == "class" else ""
-            result = F.regexp_replace(
-                result,
-                rf'(?is)<(\w+)\s(?:[^>]*\s)?{attribute}="{edge}{name}{tail}"[^>]*>.*?</\1\s*>',
-                "",
-            )
+    for name in ids:
+        result = F.regexp_replace(
+            result, rf"""(?is)<(\w+)(?=\s)[^>]*?\sid\s*=\s*(?:"{name}"|'{name}'|{name}(?=[\s>/]))[^>]*>.*?</\1\s*>""", "")
+    for name in classes:
+        result = F.regexp_replace(result, rf"(?is)<(\w+)(?=\s)[^>]*?{with_class(name)}[^>]*>.*?</\1\s*>", "")
     return result
 
 
@@ -148,9 +184,10 @@ def inline_markdown(html: Column | str) -> Column:
         (r"(?is)<(?:strong|b)(?:\s[^>]*)?>\s*(\S.*?)\s*</(?:strong|b)>", "**$1**"),
         (r"(?is)<(?:em|i)(?:\s[^>]*)?>\s*(\S.*?)\s*</(?:em|i)>", "*$1*"),
         (r"(?is)<code(?:\s[^>]*)?>\s*(\S.*?)\s*</code>", "`$1`"),
-        (r'(?is)<a\s[^>]*?href="([^"]+)"[^>]*>\s*(\S.*?)\s*</a>', "[$2]($1)"),
+        (r"""(?is)<a(?=\s)[^>]*?\shref\s*=\s*(?:"([^"]+)"|'([^']+)'|([^\s>"']+))[^>]*>\s*(\S.*?)\s*</a\s*>""", "[$4]($1$2$3)"),
         (r"(?i)<br\s*/?>", "\n"),
-        (r'(?is)<img\s[^>]*?src="([^"]+)"[^>]*?\salt="([^"]*)"[^>]*>', "![$2]($1)"),
+        (rf"(?is)<img(?={_REST}\salt\s*=\s*{_VALUE})(?={_REST}\ssrc\s*=\s*{_VALUE}){_REST}>", "![$1$2$3]($4$5$6)"),
+        (rf"(?is)<img(?={_REST}\ssrc\s*=\s*{_VALUE}){_REST}>", "![]($1$2$3)"),
     ]
     marked = reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), steps, as_col(html))
     return unescape(strip_tags(marked))
@@ -158,11 +195,13 @@ def inline_markdown(html: Column | str) -> Column:
 
 def table_rows(table_html: Column | str) -> Column:
     """``array<array<string>>`` of cell texts, pipes escaped, rows without cells dropped."""
-    rows = F.regexp_extract_all(as_col(table_html), F.lit(r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr>"), F.lit(1))
+    # a row or a cell ends at its end tag or where the next one, or the table, does
+    rows = F.regexp_extract_all(
+        as_col(table_html), F.lit(r"(?is)<tr(?:\s[^>]*)?>(.*?)(?=</tr|<tr[\s>]|</t(?:able|body|head|foot)|$)"), F.lit(1))
     cells = F.transform(
         rows,
         lambda r: F.transform(
-            F.regexp_extract_all(r, F.lit(r"(?is)<t[hd](?:\s[^>]*)?>(.*?)</t[hd]>"), F.lit(1)),
+            F.regexp_extract_all(r, F.lit(r"(?is)<t[hd](?:\s[^>]*)?>(.*?)(?=</t[hd]|<t[hd][\s>]|$)"), F.lit(1)),
             lambda c: F.replace(visible_text(c), F.lit("|"), F.lit("\\|")),
         ),
     )
@@ -265,7 +304,7 @@ def title_by_order(html: Column | str, order: Column | str) -> Column:
 
 def page_date(html: Column | str, tags: Column | str) -> Column:
     names = ["article:published_time", "article:published", "datePublished", "date"]
-    stamp = extract(html, r'(?is)<time\s[^>]*?datetime="([^"]*)"')
+    stamp = nullif_blank(attribute(F.regexp_extract(as_col(html), rf"(?is)<time(?=\s)[^>]*?\sdatetime\s*={_REST}>", 0), "datetime"))
     dates = [iso_date_prefix(meta(tags, n)) for n in names]
     return F.coalesce(*dates, iso_date_prefix(stamp), iso_date_prefix(tag_text(html, "time")))
 
@@ -305,7 +344,7 @@ def json_ld(html: Column | str) -> Column:
     """``struct<date, authors>`` from linked-data scripts; the first script with a value wins."""
     scripts = F.regexp_extract_all(
         as_col(html),
-        F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'),
+        F.lit(r"""(?is)<script[^>]*\stype\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script\s*>"""),
         F.lit(1),
     )
 

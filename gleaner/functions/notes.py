@@ -47,14 +47,13 @@ def article_note(head: Column, content: Column, summary: Column | None = None) -
     return F.concat_ws("\n", head, section, F.lit(""), content, F.lit(""))
 
 
-def transcript_note(title: Column, url: Column, author: Column, transcript: Column) -> Column:
+def transcript_head(title: Column, url: Column, author: Column) -> Column:
     video = F.coalesce(nullif_blank(title), F.lit("YouTube Video"))
     return F.concat_ws(
         "\n",
         F.concat(F.lit("**Video:** ["), video, F.lit("]("), url, F.lit(")")),
         F.concat(F.lit("**Channel:** "), nullif_blank(author)),
-        F.lit("\n## Transcript\n"),
-        transcript,
+        F.lit("\n## Transcript"),
     )
 
 

@@ -103,18 +103,18 @@ def titled_chapter_file(num: Column | str, title: Column | str) -> Column:
 def chapter_no(text: Column | str, href: Column | str) -> Column:
     return F.coalesce(
         extract(text, r"(?iU)Chapter\s*(\d+)"), extract(href, r"(?i)chapter-?(\d+)")
-    ).cast("long")
+    ).try_cast("long")
 
 
 def chapter_no_from_page(title: Column | str, first_paragraph: Column | str) -> Column:
     patterns = [r"(?i)Chapter\s+(\d+)", r"(?i)Ch\.?\s*(\d+)", r"(?i)chapter-(\d+)"]
     sources = [as_col(title), as_col(first_paragraph)]
-    return F.coalesce(*[extract(s, p) for s in sources for p in patterns]).cast("long")
+    return F.coalesce(*[extract(s, p) for s in sources for p in patterns]).try_cast("long")
 
 
 def chapter_no_from_file(name: Column | str) -> Column:
     patterns = [r"^Chapter_(\d+)", r"^Chapter\s+(\d+)\s*-", r"^(\d+)\s*-"]
-    return F.coalesce(*[extract(name, p) for p in patterns]).cast("long")
+    return F.coalesce(*[extract(name, p) for p in patterns]).try_cast("long")
 
 
 def chapter_title(page_title: Column | str, novel: Column | str, num: Column | str) -> Column:

@@ -9,8 +9,6 @@ from gleaner import values as V
 from gleaner.functions import html as H
 from gleaner.functions import notes as N
 from gleaner.functions import text as T
-from gleaner.operators.aggregates import join_in_order
-from gleaner.operators.joins import join_per_parent
 from gleaner.operators.selection import drop_boilerplate, quality_gate
 
 
@@ -149,19 +147,18 @@ def paragraphs_markdown(body: Column | str) -> Column:
 
 # -- transcripts and old files -----------------------------------------------------------
 
-def transcript_notes(videos: DataFrame, snippets: DataFrame, page_size: int = 1000) -> DataFrame:
-    """``(video_id, page, note)``: the note's head once, then the snippets joined by blank lines.
+def transcript_lines(videos: DataFrame, snippets: DataFrame) -> DataFrame:
+    """``(video_id, ord, line)``: the note's head, then one row per snippet; blank lines stand between.
 
-    A transcript of more than ``page_size`` snippets continues on further pages.
+    The form is the same at every length; ``write_line_files`` makes one note of each video.
+    Videos without a snippet have no note, snippets of unknown videos neither.
     """
-    paged = snippets.select(
-        "video_id", F.floor(F.col("ord") / page_size).cast("long").alias("page"), "ord", "text")
-    texts = join_in_order(paged, ["video_id", "page"], "ord", "text", "\n\n", "transcript")
-    joined = join_per_parent(texts, videos, ["video_id"], ["page"], "inner")
-    note = F.when(
-        F.col("page") == 0, N.transcript_note(F.col("title"), F.col("url"), F.col("author"), F.col("transcript"))
-    ).otherwise(F.col("transcript"))
-    return joined.select("video_id", "page", note.alias("note"))
+    spoken = videos.join(snippets.select("video_id"), "video_id", "left_semi")
+    heads = spoken.select(
+        "video_id", F.lit(-1).cast("long").alias("ord"),
+        N.transcript_head(F.col("title"), F.col("url"), F.col("author")).alias("line"))
+    known = snippets.join(videos.select("video_id"), "video_id", "left_semi")
+    return heads.unionByName(known.select("video_id", F.col("ord").cast("long").alias("ord"), F.col("text").alias("line")))
 
 
 def convert_old_chapters(files: DataFrame, min_chars: int = V.MIN_CHAPTER) -> DataFrame:

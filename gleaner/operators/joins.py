@@ -136,10 +136,14 @@ def route_items(
 
 
 def supplement(primary: DataFrame, extra: DataFrame, suffix: str = ".md") -> DataFrame:
-    """Primary entries, then extra ones whose URL without the suffix is not among them."""
+    """Primary entries, then extra ones whose URL without the suffix is not among them, each such URL once.
+
+    Of several extra entries for one URL the one that sorts first stays.
+    """
     pattern = F.regexp_replace("url", suffix.replace(".", r"\.") + "$", "")
     known = primary.select(pattern.alias("_canonical")).distinct()
-    fresh = extra.withColumn("_canonical", pattern).join(known, "_canonical", "left_anti")
+    once = dedup_first(extra.withColumn("_canonical", pattern), ["_canonical"], ["url"])
+    fresh = once.join(known, "_canonical", "left_anti")
     return primary.unionByName(fresh.drop("_canonical"), allowMissingColumns=True)
 
 

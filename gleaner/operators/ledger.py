@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from gleaner import values as V
 from gleaner.functions import notes as N
 from gleaner.functions import text as T
-from gleaner.operators.aggregates import join_in_order
 from gleaner.operators.joins import join_per_parent, mark_moved
 from gleaner.operators.selection import set_columns, unmoved
 from gleaner.operators.sequences import chapter_nav, index_lines
@@ -106,16 +105,10 @@ def publish(
     return moves, mark_moved(ledger, moves, keys, moved_at)
 
 
-def index_notes(chapters: DataFrame) -> DataFrame:
-    """``(novel_id, page, content)``: a novel's index; one page holds up to a block of chapters."""
-    joined = join_in_order(index_lines(chapters), ["novel_id", "page"], "ord", "line", "\n", "content")
-    return joined.select("novel_id", "page", F.concat("content", F.lit("\n")).alias("content"))
-
-
 def rebuild_index_and_nav(
     chapters: DataFrame, changed: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """``(indexes, notes)`` of the novels in ``changed(novel_id)``, or of all.
+    """``(index lines, notes)`` of the novels in ``changed(novel_id)``, or of all.
 
     ``chapters(novel_id, name, num, content)``: the whole sequence of each changed novel
     is linked anew, so that chapters on both sides of a batch's border get their links.
@@ -127,4 +120,4 @@ def rebuild_index_and_nav(
     footers = chapter_nav(chapters).select("novel_id", "num", "footer")
     linked = chapters.join(footers, ["novel_id", "num"]).select(
         "novel_id", "num", N.with_nav("content", "footer").alias("content"))
-    return index_notes(chapters), linked
+    return index_lines(chapters), linked

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import notes as N
 from gleaner.functions import text as T
+from gleaner.session import checkpoint_dir
 
-# Rows per block. Numbering has one summary for the whole table, so its blocks are larger.
+# Rows per block.
 BLOCK = 10_000
-NUMBERING_BLOCK = 1_000_000
 
 
 def number_block(num: str, size: int = BLOCK) -> Column:
@@ -94,18 +94,19 @@ def carry_forward(
         *rows.columns, F.coalesce("_running", "_carried").alias(into))
 
 
-def number_rows(rows: DataFrame, order: str, into: str, size: int = NUMBERING_BLOCK) -> DataFrame:
-    """Dense numbers from 1 over all rows, by a unique long: counts per block, then inside blocks."""
-    blocked = rows.withColumn("_block", number_block(order, size))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        blocked.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-        .select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    )
-    inside = Window.partitionBy("_block").orderBy(order)
-    ranked = blocked.withColumn("_rank", F.row_number().over(inside))
-    return _join_blocks(ranked, starts, ["_block"]).select(
-        *rows.columns, (F.col("_start") + F.col("_rank")).alias(into))
+def number_rows(rows: DataFrame, order: str, into: str) -> DataFrame:
+    """Dense numbers from 1 over all rows, by a unique key: counts per range partition, then inside partitions.
+
+    The partitions are cut by rank, so that sparse keys such as hashes spread like dense ones. The
+    ranges are written once, as both uses must see the same ones.
+    """
+    checkpoint_dir(rows.sparkSession)
+    ranged = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    ranked = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
+    return ranked.join(starts, "_part").select(*rows.columns, (F.col("_start") + F.col("_rank")).alias(into))
 
 
 def assign_ids(new: DataFrame, ledger: DataFrame, order: str) -> DataFrame:
@@ -148,14 +149,16 @@ def chapter_nav(chapters: DataFrame) -> DataFrame:
 
 
 def index_lines(chapters: DataFrame) -> DataFrame:
-    """Index entries ``(novel_id, page, ord, line)``: one head per novel, one line per chapter."""
+    """Index entries ``(novel_id, ord, line)``: one head per novel, one line per chapter.
+
+    The form is the same at every length; ``write_line_files`` makes one index of each novel.
+    """
     folder, tag = T.folder_name("name"), T.kebab_case("name")
     heads = chapters.groupBy("novel_id").agg(F.min("name").alias("name")).select(
-        "novel_id", F.lit(0).cast("long").alias("page"), F.lit(-1).cast("long").alias("ord"),
+        "novel_id", F.lit(-1).cast("long").alias("ord"),
         N.index_head(folder, tag).alias("line"))
     lines = chapters.select(
-        "novel_id", number_block("num").alias("page"), F.col("num").cast("long").alias("ord"),
-        N.toc_line(folder, "num").alias("line"))
+        "novel_id", F.col("num").cast("long").alias("ord"), N.toc_line(folder, "num").alias("line"))
     return heads.unionByName(lines)
 
 

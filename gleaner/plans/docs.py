@@ -26,7 +26,7 @@ def with_link_index(entries: DataFrame, links: DataFrame) -> DataFrame:
 def read_docs(pages: DataFrame) -> DataFrame:
     """``pages(site, slug, html)`` with ``title``, ``content`` and ``reject``, all sites in one pass."""
     ruled = with_rules(pages)
-    is_mdx = F.col("markdown") == "mdx"
+    is_mdx = F.col("markdown").eqNullSafe("mdx")
     family = {n: p for n, p in PROFILES.items() if "docs" in n}
     blocks = html_blocks(F.when(~is_mdx, F.col("html")), family, "markdown")
     content = F.when(is_mdx, H.mdx_clean("html")).otherwise(render_blocks("_blocks", "docs"))
@@ -34,7 +34,7 @@ def read_docs(pages: DataFrame) -> DataFrame:
     heading = F.when(is_mdx, F.coalesce(T.first_heading("content"), T.title_from_slug("slug"))).otherwise(
         H.title_by_order("html", "titles"))
     length = F.coalesce(F.length("content"), F.lit(0))
-    reject = F.when(
+    reject = F.when(F.col("label").isNull(), F.lit("unknown site")).when(
         length < F.col("min_text"), F.format_string("Content too short (%d chars) for %s", length, "slug"))
     return read.select(
         *[c for c in pages.columns if c != "html"],

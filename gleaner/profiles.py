@@ -62,17 +62,20 @@ def profile_table(spark: SparkSession) -> DataFrame:
 
 
 def with_rules(pages: DataFrame) -> DataFrame:
-    """Pages with their site's rules; pages of unknown sites drop.
+    """Pages with their site's rules; pages of unknown sites stay, their rules are null.
 
     The register is broadcast after a check of its size.
     """
     rules = profile_table(pages.sparkSession)
-    return pages.join(F.broadcast(rules) if len(SITES) <= MAX_SITES else rules, "site")
+    return pages.join(F.broadcast(rules) if len(SITES) <= MAX_SITES else rules, "site", "left")
 
 
 def doc_entries(pages: DataFrame) -> DataFrame:
-    """``pages(site, url)`` as entries by their site's rules: slug, parent, note path, tags."""
-    joined = with_rules(pages).filter(~F.col("english_only") | ~U.is_localized("url"))
+    """``pages(site, url)`` as entries by their site's rules: slug, parent, note path, tags.
+
+    A site without rules has no note paths; ``read_docs`` reports its pages.
+    """
+    joined = with_rules(pages).filter("label IS NOT NULL").filter(~F.col("english_only") | ~U.is_localized("url"))
     slug = F.when(F.col("drop_html"), U.slug_path("url", drop_html=True)).otherwise(U.slug_path("url"))
     cloud = F.when(F.col("tag_clouds"), U.cloud_tag("slug"))
     return joined.withColumn("slug", slug).select(

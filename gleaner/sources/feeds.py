@@ -11,7 +11,7 @@ from gleaner.functions.urls import slug_last_segment
 
 _FEED = (
     "channel struct<item: array<struct<title:string, link:string, `dc:creator`:string, description:string, "
-    "pubDate:string, `atom:updated`:string, category:array<string>, `content:encoded`:string>>>"
+    "pubDate:string, `atom:updated`:string, updated:string, category:array<string>, `content:encoded`:string>>>"
 )
 
 
@@ -29,7 +29,7 @@ def rss_items(feeds: DataFrame) -> DataFrame:
         T.strip(item["dc:creator"]).alias("author"),
         description_text(item["description"]).alias("description"),
         T.rfc2822_date(item["pubDate"]).alias("publish_date"),
-        T.rfc2822_date(item["atom:updated"]).alias("updated_date"),
+        T.rfc2822_date(F.coalesce(item["atom:updated"], item["updated"])).alias("updated_date"),
         names.alias("categories"),
         item["content:encoded"].alias("content_html"),
     ).filter(F.col("slug").isNotNull())

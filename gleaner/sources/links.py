@@ -56,16 +56,21 @@ def site_chapters(pages: DataFrame, site: str) -> DataFrame:
 
 def highest_chapter(pages: DataFrame) -> DataFrame:
     """``(key, max_num)``: highest ``chapter-n`` target among a page's links."""
-    numbers = F.regexp_extract_all("html", F.lit(r'href="[^"]*?chapter-(\d+)'), F.lit(1))
-    highest = F.array_max(F.transform(numbers, lambda n: n.cast("long")))
+    numbers = F.regexp_extract_all("html", F.lit(r"href\s*=\s*[\"']?[^\"'\s>]*?chapter-(\d+)"), F.lit(1))
+    highest = F.array_max(F.transform(numbers, lambda n: n.try_cast("long")))
     return pages.select("key", highest.alias("max_num")).filter(F.col("max_num") > 0)
 
 
 def chapter_sequence(heads: DataFrame, base_url: str) -> DataFrame:
-    """``(key, num, url, title)``: one row per chapter from 1 to ``heads.max_num``."""
-    rows = heads.filter(F.col("max_num") > 0).select(
-        "key", "slug", F.explode(F.sequence(F.lit(1).cast("long"), F.col("max_num").cast("long"))).alias("num")
-    )
+    """``(key, num, url, title)``: one row per chapter from 1 to ``heads.max_num``.
+
+    Numbers come in runs of a thousand, so that no row holds all of a long sequence.
+    """
+    top = F.col("max_num").cast("long")
+    runs = heads.filter(F.col("max_num") > 0).select("key", "slug", top.alias("top"), F.explode(F.sequence(
+        F.lit(0).cast("long"), F.expr("(max_num - 1) div 1000"))).alias("run"))
+    rows = runs.select("key", "slug", F.explode(F.sequence(
+        F.col("run") * 1000 + 1, F.least(F.col("run") * 1000 + 1000, "top"))).alias("num"))
     return rows.select(
         "key", "num",
         F.format_string(f"{base_url}/%s/chapter-%d.html", "slug", "num").alias("url"),

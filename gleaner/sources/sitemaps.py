@@ -32,8 +32,7 @@ def sitemap_urls(docs: DataFrame) -> DataFrame:
 
 
 def expand_sitemaps(
-    docs: DataFrame, roots: DataFrame, keywords: list[str] | None = None,
-    fallback: bool = False, max_depth: int = 16,
+    docs: DataFrame, roots: DataFrame, keywords: list[str] | None = None, fallback: bool = False,
 ) -> DataFrame:
     """Page entries of every sitemap that is reachable from ``roots(url)``.
 
@@ -52,11 +51,11 @@ def expand_sitemaps(
 
     frontier = roots.select("url").distinct().checkpoint()
     visited = frontier
-    for depth in range(max_depth):
-        step = at_root if depth == 0 else F.col("chosen")
+    step = at_root
+    while True:
         found = edges.join(frontier, "url").select(F.explode(step).alias("url")).distinct()
         frontier = found.join(visited, "url", "left_anti").checkpoint()
         if frontier.isEmpty():
-            return sitemap_urls(docs.join(visited, "url", "left_semi"))
-        visited = visited.union(frontier)
-    raise ValueError(f"sitemaps nest deeper than {max_depth} levels")
+            # only addresses and lists of entries meet the visited ones, not the bodies
+            return sitemap_urls(docs).join(visited.withColumnRenamed("url", "sitemap"), "sitemap", "left_semi")
+        visited, step = visited.union(frontier), F.col("chosen")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +16,13 @@ from pyspark.sql import functions as F
 from gleaner.functions.text import extract
 
 
-def read_ledger(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
+def read_ledger(spark: SparkSession, path: str, source: str | None = None, schema: str | None = None) -> DataFrame:
     """Ledger rows, of one source if named: a partition filter, or a pushed-down one.
 
-    Snapshots from before the ``content_type`` column read as blogs.
+    With a schema no footer is read ahead; columns that older files lack are null. Without one the
+    footers of all files are merged. Snapshots from before the ``content_type`` column read as blogs.
     """
-    ledger = spark.read.option("mergeSchema", "true").parquet(path)
+    ledger = spark.read.schema(schema).parquet(path) if schema else spark.read.option("mergeSchema", "true").parquet(path)
     if "content_type" in ledger.columns:
         ledger = ledger.withColumn("content_type", F.coalesce("content_type", F.lit("blog")))
     return ledger.filter(F.col("source") == source) if source else ledger
@@ -45,6 +47,15 @@ def write_notes(notes: DataFrame, path: str) -> None:
     _by_source(notes.select("source", "path", "content")).write.partitionBy("source").parquet(path)
 
 
+def _target(root: str, path: str) -> str:
+    """Place of a note below the root; a path that leads out of it raises."""
+    target = os.path.normpath(os.path.join(root, path))
+    if not target.startswith(os.path.normpath(root) + os.sep):
+        raise ValueError(f"the path {path!r} leaves the folder")
+    os.makedirs(os.path.dirname(target), exist_ok=True)
+    return target
+
+
 def write_note_files(notes: DataFrame, root: str) -> None:
     """One file per note below ``root``, a folder that every executor can reach.
 
@@ -53,14 +64,25 @@ def write_note_files(notes: DataFrame, root: str) -> None:
 
     def save(rows: Iterable) -> None:
         for row in rows:
-            target = os.path.join(root, row["path"])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(target, "w", encoding="utf-8") as file:
+            with open(_target(root, row["path"]), "w", encoding="utf-8") as file:
                 file.write(row["content"])
 
     notes.select("path", "content").foreachPartition(save)
 
 
+def write_line_files(lines: DataFrame, root: str, sep: str = "\n") -> None:
+    """One file per ``path`` of ``lines(path, ord, line)``, its lines in order, as one stream of any length."""
+
+    def save(rows: Iterable) -> None:
+        for path, own in groupby(rows, key=lambda r: r["path"]):
+            with open(_target(root, path), "w", encoding="utf-8") as file:
+                for i, row in enumerate(own):
+                    file.write((sep if i else "") + row["line"])
+                file.write("\n")
+
+    lines.select("path", "ord", "line").repartition("path").sortWithinPartitions("path", "ord").foreachPartition(save)
+
+
 def vault_rows(files: DataFrame) -> DataFrame:
     """``(novel, num, path)`` of chapter files ``…/Novel/0001 - Novel.md``, imported as moved."""
     name = F.substring_index("path", "/", -1)

@@ -11,7 +11,7 @@ from gleaner.functions.text import nullif_blank
 from gleaner.session import checkpoint_dir
 
 
-def page_tree(trees: DataFrame, base_url: str, max_depth: int = 64) -> DataFrame:
+def page_tree(trees: DataFrame, base_url: str) -> DataFrame:
     """``(key, ord, slug, url, title, parent_path)`` of all pages in ``trees(key, node)``.
 
     Every level opens the children of the level above: a narrow step without a
@@ -30,7 +30,7 @@ def page_tree(trees: DataFrame, base_url: str, max_depth: int = 64) -> DataFrame
         "key", "node", F.array().cast("array<int>").alias("ord"), F.lit("").alias("parent_path")
     )
     levels = []
-    for _ in range(max_depth):
+    while True:  # ends: a node's text is shorter than its parent's
         opened = level.select(
             "key", "ord", "parent_path",
             F.coalesce(is_page, F.lit(False)).alias("is_page"),
@@ -47,4 +47,3 @@ def page_tree(trees: DataFrame, base_url: str, max_depth: int = 64) -> DataFrame
             F.when(F.col("is_page"), F.col("slug")).otherwise(F.col("parent_path")).alias("parent_path"),
             F.posexplode("children").alias("pos", "node"),
         ).select("key", "node", F.array_append("above", F.col("pos")).alias("ord"), "parent_path")
-    raise ValueError(f"trees nest deeper than {max_depth} levels")

@@ -14,9 +14,6 @@ from pyspark.sql.streaming import StreamingQuery
 from gleaner.operators.sequences import dedup_first
 from gleaner.session import checkpoint_dir
 
-# Keys of a URL's size: at most about 100 MB in every executor.
-BROADCAST_KEYS = 500_000
-
 
 def read_stream(spark: SparkSession, folder: str, like: DataFrame, glob: str = "*.parquet", files: int = 1000) -> DataFrame:
     """Parquet files of a folder as a stream with the schema of ``like``."""
@@ -61,8 +58,8 @@ def start_discovery(
     """First-seen entries however late a repeat comes: each batch is checked against the table so far.
 
     A batch that runs again must not see its own earlier rows, so it reads only the
-    batches before it. A batch of few keys is broadcast to the table, which then is
-    scanned without a shuffle; a larger one is joined by key.
+    batches before it. Adaptive execution broadcasts a small batch to the table, which
+    then is scanned without a shuffle.
     """
     checkpoint_dir(entries.sparkSession)
 
@@ -72,8 +69,6 @@ def start_discovery(
             return first
         first = first.checkpoint()
         wanted = first.select(*keys)
-        if wanted.count() <= BROADCAST_KEYS:
-            wanted = F.broadcast(wanted)
         known = batch.sparkSession.read.parquet(path).filter(F.col("batch_id") < batch_id).select(*keys)
         return first.join(known.join(wanted, keys, "left_semi"), keys, "left_anti")
 

@@ -119,17 +119,5 @@ MDX_CONTAINERS = ["Tabs", "AccordionGroup", "CardGroup", "Card", "Steps", "Step"
 UNSAFE = '<>:"/\\|?*'
 UNSAFE_IN_SEGMENT = '<>:"|?*'
 
-# --- fixed values: named entities the native text functions resolve ---
-# These are also known without their semicolon; "&amp" goes last of all.
-OPEN_ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0", "middot": "·", "copy": "©", "reg": "®",
-    "laquo": "«", "raquo": "»", "eacute": "é", "egrave": "è", "uuml": "ü", "ouml": "ö",
-    "auml": "ä", "szlig": "ß",
-}
-ENTITIES = {
-    "apos": "'", "hellip": "…", "mdash": "—", "ndash": "–", "lsquo": "‘", "rsquo": "’",
-    "ldquo": "“", "rdquo": "”", "bull": "•",
-}
-
 # Every character str.strip() removes, from the rule itself.
 WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())

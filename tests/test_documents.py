@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner import values as V
 from gleaner.operators import documents as D
 from gleaner.plans import docs, feeds
+from gleaner.sources.tables import write_line_files
 
 
 def _markdown(one, *paragraphs):
@@ -82,7 +83,7 @@ def test_docs_by_site_rules(spark):
     assert {s: (r["title"], r["content"], r["reject"]) for s, r in found.items()} == {
         "aws": ("Topic", "Body of the page here", None), "databricks": ("Page", "Body of the page here", None),
         "claude-code": ("My Page", "Body of the page here", None),
-        "soda": ("z", "tiny", "Content too short (4 chars) for z")}
+        "soda": ("z", "tiny", "Content too short (4 chars) for z"), "none": ("q", "", "unknown site")}
 
 
 def test_feed_post_falls_back_in_order(spark):
@@ -97,8 +98,14 @@ def test_feed_post_falls_back_in_order(spark):
     assert found == {"p-00000001": 0, "p-00000002": 1, "p-00000003": 2, "p-4": None}
 
 
-def test_transcript_pages(spark):
+def test_transcript_lines(spark, tmp_path):
     videos = spark.createDataFrame([("v", None, "u", "A")], "video_id string, title string, url string, author string")
-    parts = spark.createDataFrame([("v", i, f"s{i}") for i in range(5)], "video_id string, ord long, text string")
-    notes = [r["note"] for r in D.transcript_notes(videos, parts, page_size=3).orderBy("page").collect()]
-    assert notes == ["**Video:** [YouTube Video](u)\n**Channel:** A\n\n## Transcript\n\ns0\n\ns1\n\ns2", "s3\n\ns4"]
+    parts = spark.createDataFrame(
+        [("v", i, f"s{i}") for i in range(1500)] + [("w", 0, "no video")], "video_id string, ord long, text string")
+    lines = D.transcript_lines(videos, parts).withColumnRenamed("video_id", "path")
+    write_line_files(lines, str(tmp_path), "\n\n")
+    assert [p.name for p in tmp_path.iterdir()] == ["v"]
+    head = "**Video:** [YouTube Video](u)\n**Channel:** A\n\n## Transcript\n\n"
+    assert (tmp_path / "v").read_text() == head + "\n\n".join(f"s{i}" for i in range(1500)) + "\n"
+    with pytest.raises(Exception, match="leaves the folder"):
+        write_line_files(lines.withColumn("path", F.lit("../x")), str(tmp_path))

@@ -1,6 +1,7 @@
 """Scalar functions on small hand-written inputs."""
 
 import datetime
+import html
 
 import pytest
 from pyspark.sql import functions as F
@@ -205,3 +206,24 @@ def test_callouts(one):
     assert one(H.callout_type("c", "t"), c="", t="Hint: abc") == "TIP"
     assert one(H.callout_type("c", "t"), c="", t="Notes abc") is None
     assert one(H.callout_body("t"), t="Note:: abc") == "abc"
+
+
+@pytest.mark.parametrize("text", [
+    "a &amp; b", "&#x2019;&rarr;&#38;lt;", "&#8217;&nbsp;&NotEqualTilde;", "&copyright; &amp", "&unknown; &", "&#0;&#xD800;&#99999999999999999999;",
+    "&#150;", "&lt;b&gt;", "x&eacute", "&#1114112;",
+])
+def test_entities_as_the_standard_library_has_them(one, text):
+    assert one(H.unescape("x"), x=text) == html.unescape(text)
+
+
+def test_attributes_in_any_quotes(one):
+    page = "<meta name='author' content=\"O'Hara\"><meta property=og:title content=T><a class=x href=/a>one</a><a href='/b' title='B &gt; c'>two</a>"
+    tags = one(H.metas("x"), x=page)
+    assert [(t["property"], t["name"], t["content"]) for t in tags] == [("", "author", "O'Hara"), ("og:title", "", "T")]
+    links = one(H.anchors("x"), x=page)
+    assert [(a["href"], a["text"]) for a in links] == [("/a", "one"), ("/b", "two")] and links[1]["title"] == "B &gt; c"
+    assert one(H.class_text("x", "date"), x="<p class='a date b'>D</p>") == one(H.class_text("x", "date"), x="<p class=date>D</p>") == "D"
+    assert one(H.inline_markdown("x"), x="<a href='/u'>l</a> <img alt='A' src=/i.png><img src='/j.png'>") == "[l](/u) ![A](/i.png)![](/j.png)"
+    assert one(H.table_rows("x"), x="<table><tr><th>a<th>b<tr><td>c</td><td>d</table>") == [["a", "b"], ["c", "d"]]
+    assert one(H.json_ld("x"), x="<script type='application/ld+json'>{\"author\":{\"name\":\"N\"}}</script>")["authors"] == ["N"]
+    assert one(H.remove_chrome("x", (), ("i",), ("ad",)), x="<p id=i>x</p><div class='ad b'>y</div>z") == "z"

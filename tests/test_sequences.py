@@ -81,7 +81,7 @@ def test_number_rows_is_dense(spark):
     rng = random.Random(5)
     keys = rng.sample(range(10_000), 500)
     frame = spark.createDataFrame([(k,) for k in keys], "k long")
-    found = {r["k"]: r["id"] for r in Q.number_rows(frame, "k", "id", size=37).collect()}
+    found = {r["k"]: r["id"] for r in Q.number_rows(frame, "k", "id").collect()}
     assert found == {k: i for i, k in enumerate(sorted(keys), 1)}
 
 
@@ -114,14 +114,11 @@ def test_series_nav_of_three_or_more(spark):
     assert {r["id"] for r in Q.series_nav(frame, min_parts=3).collect()} == {2, 3, 4}
 
 
-def test_index_continues_on_further_pages(spark, monkeypatch):
+def test_index_is_one_run_of_lines(spark):
     rows = [(1, "my novel", n) for n in [1, 2, 9_999, 10_000, 10_001]]
-    frame = spark.createDataFrame(rows, "novel_id long, name string, num long")
-    lines = Q.index_lines(frame)
-    pages = A.join_in_order(lines, ["novel_id", "page"], "ord", "line", "\n", "text").orderBy("page").collect()
-    assert [r["page"] for r in pages] == [0, 1]
-    assert pages[0]["text"].startswith("---\ntags:") and pages[0]["text"].endswith("- [[9999 - My Novel|Chapter 9999]]")
-    assert pages[1]["text"] == "- [[10000 - My Novel|Chapter 10000]]\n- [[10001 - My Novel|Chapter 10001]]"
+    lines = [r["line"] for r in Q.index_lines(spark.createDataFrame(rows, "novel_id long, name string, num long")).orderBy("ord").collect()]
+    assert lines[0].startswith("---\ntags:") and len(lines) == 6
+    assert lines[3:5] == ["- [[9999 - My Novel|Chapter 9999]]", "- [[10000 - My Novel|Chapter 10000]]"]
 
 
 @pytest.mark.parametrize("k", [1, 3])

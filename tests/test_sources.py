@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions import text as T
 from gleaner.profiles import SITES, SiteProfile, doc_entries, register_site
 from gleaner.sources import feeds, links, payloads, sitemaps, tables, trees
 
@@ -40,10 +41,26 @@ def test_sitemap_fallback_is_for_roots_only(spark):
     assert sitemaps.expand_sitemaps(docs, roots, ["b"], fallback=True).count() == 1
 
 
-def test_sitemaps_too_deep_raise(spark):
-    docs = _docs(spark, *[(f"s{i}", _index(f"s{i + 1}")) for i in range(6)])
-    with pytest.raises(ValueError, match="deeper"):
-        sitemaps.expand_sitemaps(docs, spark.createDataFrame([("s0",)], "url string"), max_depth=3)
+def test_sitemap_chain_of_any_depth(spark):
+    docs = _docs(spark, *[(f"s{i}", _index(f"s{i + 1}")) for i in range(18)], ("s18", "<urlset><url><loc>https://x/p</loc></url></urlset>"))
+    found = sitemaps.expand_sitemaps(docs, spark.createDataFrame([("s0",)], "url string"), ["s"]).collect()
+    assert [(r["sitemap"], r["url"]) for r in found] == [("s18", "https://x/p")]
+
+
+def test_long_numbers_give_null(spark):
+    long = "9" * 25
+    page = spark.createDataFrame([("k", f"<a href='/novel/chapter-{long}'>x</a><a href=/novel/chapter-7>y</a>")], "key string, html string")
+    assert links.highest_chapter(page).first()["max_num"] == 7
+    row = spark.range(1).select(
+        T.chapter_no(F.lit(f"Chapter {long}"), F.lit("")), T.chapter_no_from_page(F.lit(f"Chapter {long}"), F.lit("")),
+        T.chapter_no_from_file(F.lit(f"Chapter_{long}"))).first()
+    assert tuple(row) == (None, None, None)
+
+
+def test_feed_dates_fall_back_to_updated(spark):
+    body = "<rss><channel><item><link>https://m.com/@u/some-post-00000001</link><updated>2024-03-04T05:06:07Z</updated></item><item><link>https://m.com/@u/b-2</link></item></channel></rss>"
+    rows = feeds.rss_items(spark.createDataFrame([("u", body)], "username string, body string")).orderBy("ord").collect()
+    assert [str(r["updated_date"]) for r in rows] == ["2024-03-04", "None"]
 
 
 def test_page_tree_beyond_three_levels(spark):
