@@ -9,35 +9,29 @@ from gleaner import values as V
 from gleaner.functions import html as H
 from gleaner.functions import notes as N
 from gleaner.functions import text as T
+from gleaner.operators.markdown import element_paragraphs, pages_to_markdown
 from gleaner.operators.selection import drop_boilerplate, quality_gate
 
 
-def container(html: Column | str, *selectors: str) -> Column:
-    """Inner HTML from the first selector's element to its last end tag.
+def container(html: Column | str, tag: str) -> Column:
+    """Inner HTML from the first element of a kind to the last end tag of that kind."""
+    return T.extract(html, rf"(?is)<{tag}(?:\s[^>]*)?>(.*)</{tag}>")
 
-    A selector is a tag (``article``), a class (``.entry-content``) or an id (``#chr-content``).
-    """
-    found = []
-    for selector in selectors:
-        if selector[0] in ".#":
-            attribute = "class" if selector[0] == "." else "id"
-            name = selector[1:]
-            opening = rf'<(?:div|section|article|main)\s[^>]*?{attribute}="(?:[^"]*\s)?{name}(?:\s[^"]*)?"[^>]*>'
-            found.append(T.extract(html, rf"(?is){opening}(.*)</(?:div|section|article|main)>"))
-        else:
-            found.append(T.extract(html, rf"(?is)<{selector}(?:\s[^>]*)?>(.*)</{selector}>"))
-    return F.coalesce(*found)
+
+def _story(paragraphs: Column, phrases: list[str] | None, head: int | None) -> Column:
+    """Story paragraphs, boilerplate dropped, joined by blank lines."""
+    kept = drop_boilerplate(paragraphs, phrases, head=head) if phrases else F.filter(
+        paragraphs, lambda p: F.length(p) > V.MIN_PARAGRAPH)
+    return F.array_join(kept, "\n\n")
 
 
 def chapter_text(
     html: Column | str, phrases: list[str] | None, selectors: tuple[str, ...] = (), head: int | None = None
 ) -> Column:
-    """Story paragraphs of a page, boilerplate dropped, joined by blank lines."""
-    scope = container(html, *selectors) if selectors else T.as_col(html)
-    texts = H.paragraph_texts(scope)
-    kept = drop_boilerplate(texts, phrases, head=head) if phrases else F.filter(
-        texts, lambda p: F.length(p) > V.MIN_PARAGRAPH)
-    return F.array_join(kept, "\n\n")
+    """Story paragraphs of the first selector's element that the page has, or of the whole page without selectors."""
+    found = element_paragraphs(html, {"": list(selectors) or [""]}, F.lit(""))
+    first = F.get(F.filter(found, lambda ps: ps.isNotNull()), F.lit(0))
+    return T.let(first, lambda ps: _story(ps, phrases, head))
 
 
 def chapter_page_title(html: Column | str, selectors: list[str]) -> Column:
@@ -49,6 +43,11 @@ def chapter_page_title(html: Column | str, selectors: list[str]) -> Column:
     return F.coalesce(*found, F.lit("Chapter"))
 
 
+def _stories(found: str, phrases: list[str] | None, head: int | None) -> Column:
+    """The story of each selector's element that the page has."""
+    return F.transform(F.filter(found, lambda ps: ps.isNotNull()), lambda ps: _story(ps, phrases, head))
+
+
 def read_chapters(pages: DataFrame) -> DataFrame:
     """``pages(site, html, …)`` with ``title``, ``content`` and ``reject`` by their site's rules.
 
@@ -58,14 +57,15 @@ def read_chapters(pages: DataFrame) -> DataFrame:
     site = F.col("site")
     title = content = F.lit(None).cast("string")
     gate = F.lit(None).cast("int")
-    for name, selectors in V.CHAPTER_TEXTS.items():
+    selectors = {name: list(found) or [""] for name, found in V.CHAPTER_TEXTS.items()}
+    for name in selectors:
         phrases, head = V.BOILERPLATE.get(name), V.BOILERPLATE_HEAD.get(name)
-        scopes = [(s,) for s in selectors] or [()]
-        texts = [T.nullif_blank(chapter_text("html", phrases, s, head)) for s in scopes]
-        content = F.when(site == name, F.coalesce(*texts)).otherwise(content)
+        texts = _stories("_found", phrases, head)
+        content = F.when(site == name, F.get(F.filter(texts, lambda t: t != ""), F.lit(0))).otherwise(content)
         title = F.when(site == name, chapter_page_title("html", V.CHAPTER_TITLES[name])).otherwise(title)
         gate = F.when(site == name, V.CHAPTER_GATES[name]).otherwise(gate)
-    read = pages.withColumns({"title": title, "content": content})
+    found = pages.withColumn("_found", element_paragraphs("html", selectors, "site"))
+    read = found.withColumns({"title": title, "content": content}).drop("_found")
     length = F.coalesce(F.length("content"), F.lit(0))
     reject = F.when(gate.isNull(), "unknown site").when(length <= gate, F.format_string("text has %d chars (above %d)", length, gate))
     return read.withColumn("reject", reject)
@@ -179,8 +179,6 @@ def convert_old_chapters(files: DataFrame, min_chars: int = V.MIN_CHAPTER) -> Da
 
 def article_notes(articles: DataFrame, created: Column, tags: Column) -> DataFrame:
     """``(url, content)``: front matter, the summary's Markdown if there is one, the article's Markdown."""
-    from gleaner.operators.markdown import pages_to_markdown
-
     both = pages_to_markdown(
         pages_to_markdown(articles, "article", "body_html", "body_md"), "article", "summary_html", "summary_md")
     head = N.front_matter(

@@ -401,3 +401,21 @@ class Blocks:
         if events.name[at] in ("ul", "ol"):
             return ""
         return self.inline(at + 1, events.close[at], False).strip()
+
+
+def element_paragraphs(html: str, selectors: list[str]) -> list[list[str] | None]:
+    """For each selector the paragraph texts of the first element it names, or None if there is none.
+
+    A selector is a tag (``article``), a class (``.story``), an id (``#text``) or ``""`` for the whole page.
+    """
+    events, found = read_events(html), []
+    for selector in selectors:
+        at, end = 0, len(events)
+        if selector:
+            kind, name = selector[0], selector.lstrip(".#")
+            at = next((i for i in events.starts(0, end) if (
+                name in events.classes(i) if kind == "." else events.attrs[i].get("id") == name if kind == "#" else events.name[i] == name)), None)
+            end = None if at is None else events.close[at]
+        found.append(None if at is None else [
+            events.text(i, events.close[i]).strip() for i in events.starts(at, end) if events.name[i] == "p"])
+    return found

@@ -114,6 +114,19 @@ def html_blocks(html: Column | str, profile: Profile | dict[str, Profile], name:
     return read(html, F.lit("") if name is None else name)
 
 
+def element_paragraphs(html: Column | str, selectors: dict[str, list[str]], name: Column | str) -> Column:
+    """Array, by the selectors that ``name`` picks, of the paragraph texts of each one's first element."""
+
+    @F.arrow_udf("array<array<string>>")
+    def read(texts: pa.Array, names: pa.Array) -> pa.Array:
+        found = [
+            helper.element_paragraphs(text, selectors[choice]) if text is not None and choice in selectors else None
+            for text, choice in zip(texts.to_pylist(), names.to_pylist())]
+        return pa.array(found, pa.list_(pa.list_(pa.string())))
+
+    return read(html, name)
+
+
 def _lines(block: Column, name: str) -> Column:
     """Markdown lines of one block."""
     strict, docs = name == "strict", name.endswith("docs") or name.startswith("docs")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,9 +68,11 @@ def drop_boilerplate(
     """Paragraphs above the length that hold none of the phrases (in their head, if given)."""
     source = F.col(paragraphs) if isinstance(paragraphs, str) else paragraphs
 
+    listed = F.lit("(?s)" + "|".join(re.escape(s) for s in phrases))
+
     def keep(p: Column) -> Column:
         seen = F.left(F.lower(p), F.lit(head)) if head else F.lower(p)
-        return (F.length(p) > min_len) & ~reduce(lambda a, b: a | b, [seen.contains(s) for s in phrases])
+        return (F.length(p) > min_len) & ~F.rlike(seen, listed)
 
     return F.filter(source, keep)
 

@@ -109,3 +109,14 @@ def test_transcript_lines(spark, tmp_path):
     assert (tmp_path / "v").read_text() == head + "\n\n".join(f"s{i}" for i in range(1500)) + "\n"
     with pytest.raises(Exception, match="leaves the folder"):
         write_line_files(lines.withColumn("path", F.lit("../x")), str(tmp_path))
+
+
+def test_chapter_ends_with_its_element_and_falls_to_the_next(spark):
+    story = "A long enough paragraph of the story."
+    page = (f"<div class='entry-content x'><div><p>{story}</p></div></div><div class=\"comments\"><p>A comment that is long enough too.</p></div>"
+            f"<article><p>short</p></article>")
+    frame = spark.createDataFrame([(page,)], "html string")
+    assert frame.select(D.chapter_text("html", None, (".entry-content", "article")).alias("t")).first()["t"] == story
+    assert frame.select(D.chapter_text("html", None, ("#none", "article")).alias("t")).first()["t"] == ""
+    rows = spark.createDataFrame([("webnovel.com", "<div class=cha-words><p>x</p></div><div class='cha-content'><p>" + story + "</p></div>")], "site string, html string")
+    assert D.read_chapters(rows).first()["content"] == story
