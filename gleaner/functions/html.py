@@ -386,24 +386,27 @@ def _mdx_callout(text: Column, tag: str, kind: str) -> Column:
                 F.size(halves) == 2, F.concat(F.lit(f"> [!{kind}]\n"), lines, F.get(halves, F.lit(1)))
             ).otherwise(F.concat(F.lit(f"<{tag}>"), piece))
 
-        return let(F.split(piece, rf"\s*</{tag}>", 2), render)
+        return let(F.split(piece, f"</{tag}>", 2), render)
 
     def rebuild(pieces: Column) -> Column:
         rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), quote)
         return F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
 
-    return let(F.split(text, rf"<{tag}>\s*"), rebuild)
+    return let(text, lambda t: F.when(t.contains(f"<{tag}>"), let(F.split(t, f"<{tag}>"), rebuild)).otherwise(t))
 
 
 def mdx_clean(text: Column | str) -> Column:
-    """Markdown with component tags -> plain Markdown with callouts and headings."""
-    result = F.regexp_replace(as_col(text), r"(?s)\A>\s*##\s*Documentation Index.*?(?=\n#|\z)", "")
+    """Markdown with component tags -> plain Markdown with callouts and headings; absent tags cost no pattern."""
+
+    def titled(whole: Column, tag: str, pattern: str, shown: str) -> Column:
+        return let(whole, lambda t: F.when(t.contains(f"<{tag}"), F.regexp_replace(t, pattern, shown)).otherwise(t))
+
+    result = F.regexp_replace(as_col(text), V.MDX_INDEX, "")
     for tag, kind in V.MDX_CALLOUTS.items():
         result = _mdx_callout(result, tag, kind)
     for tag, mark in (("Accordion", "###"), ("Tab", "####")):
-        pattern = rf'(?s)<{tag}\s+[^>]*title="([^"]+)"[^>]*>\s*(.*?)\s*</{tag}>'
-        result = F.regexp_replace(result, pattern, f"{mark} $1\n\n$2")
-    containers = "|".join(V.MDX_CONTAINERS)
-    result = F.regexp_replace(result, rf"</?(?:{containers})(?:\s[^>]*)?\s*/?>", "")
-    result = F.regexp_replace(result, r"<[A-Z][A-Za-z]*(?:\s[^>]*)?\s*/?>|</[A-Z][A-Za-z]*>", "")
+        pattern, shown = V.MDX_TITLED.format(tag=tag), f"{mark} $1\n\n$2"
+        result = titled(result, tag, pattern, shown)
+    result = F.regexp_replace(result, V.MDX_CONTAINER.format(names="|".join(V.MDX_CONTAINERS)), "")
+    result = F.regexp_replace(result, V.MDX_OTHER, "")
     return collapse_blank_lines(result)

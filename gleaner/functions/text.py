@@ -140,13 +140,7 @@ def chapter_title(page_title: Column | str, novel: Column | str, num: Column | s
 
 def series_part(title: Column | str) -> Column:
     """``struct<base, part>`` of a title that names a part of a series, else null."""
-    roman = "I{1,3}V?|VI{0,3}|IX|X"
-    forms = [
-        rf"(?iU)^(.*?)\s*[:\-—–]?\s*Part\s+({roman})\s+of\s+\w+\s*$",
-        rf"(?iU)^(.*?)\s*[:\-—–]\s*Part\s+({roman})\s*$",
-        r"(?iU)^(.*?)\s*[:\-—–]\s*Part\s+(\d+)(?:\s+of\s+\d+)?\s*$",
-        rf"(?iU)^(.*?)\s*\(Part\s+({roman}|\d+)\)\s*$",
-    ]
+    forms = [f"(?iU){form}" for form in V.SERIES_FORMS]
 
     def number_of(part: Column) -> Column:
         numerals = F.create_map(*[F.lit(x) for pair in V.ROMAN.items() for x in pair])

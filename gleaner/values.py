@@ -119,5 +119,19 @@ MDX_CONTAINERS = ["Tabs", "AccordionGroup", "CardGroup", "Card", "Steps", "Step"
 UNSAFE = '<>:"/\\|?*'
 UNSAFE_IN_SEGMENT = '<>:"|?*'
 
+# --- fixed values: component Markdown: page index, titled blocks, containers, any other component ---
+MDX_INDEX = r"(?s)\A>\s*##\s*Documentation Index.*?(?=\n#|\z)"
+MDX_TITLED = r'(?s)<{tag}\s+[^>]*title="([^"]+)"[^>]*>\s*(.*?)\s*</{tag}>'
+MDX_CONTAINER = r"</?(?:{names})(?:\s[^>]*)?\s*/?>"
+MDX_OTHER = r"<[A-Z][A-Za-z]*(?:\s[^>]*)?\s*/?>|</[A-Z][A-Za-z]*>"
+
+# --- fixed values: titles that name a part of a series, in order ---
+SERIES_FORMS = [
+    r"^(.*?)\s*[:\-—–]?\s*Part\s+(I{1,3}V?|VI{0,3}|IX|X)\s+of\s+\w+\s*$",
+    r"^(.*?)\s*[:\-—–]\s*Part\s+(I{1,3}V?|VI{0,3}|IX|X)\s*$",
+    r"^(.*?)\s*[:\-—–]\s*Part\s+(\d+)(?:\s+of\s+\d+)?\s*$",
+    r"^(.*?)\s*\(Part\s+(I{1,3}V?|VI{0,3}|IX|X|\d+)\)\s*$",
+]
+
 # Every character str.strip() removes, from the rule itself.
 WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
