@@ -23,8 +23,8 @@ from tokenizers import Tokenizer
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Words and pieces a worker remembers; beyond it the memory is cleared, which costs time only.
-REMEMBERED_WORDS = 500_000
-REMEMBERED_PIECES = 300_000
+REMEMBERED_WORDS = 600_000
+REMEMBERED_PIECES = 900_000
 #: Characters of texts that are split into words at a time.
 CHUNK_CHARS = 2_000_000
 #: Characters whose normal form, case or class the short way does not vouch for, and special tokens.
@@ -56,30 +56,43 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Numbers(dict):
+    """Words by number; a word not met before is learnt when it is asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.fresh = encode, []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.fresh.append(self.encode(word))
+        return number
+
+
 class WordIds:
-    """Ids of words, with a memory of the words seen by this worker."""
+    """Ids of words, with a memory of the words and pieces seen by this worker. Ids are kept as 32-bit numbers in bytes."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         pattern = piece_pattern(path)
         self.cut = regex.compile(pattern).findall if pattern else None
         self.letters = byte_letters()
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = _Numbers(self._encode)
         self.starts, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32)
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         letters = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        return [token.id for token in self.tokenizer.model.tokenize(letters)]
+        return np.array([token.id for token in self.tokenizer.model.tokenize(letters)], np.int32).tobytes()
 
-    def _encode(self, word: bytes) -> list[int]:
+    def _encode(self, word: bytes) -> bytes:
         text = word.decode("utf-8")
         if self.cut is None or _UNUSUAL.search(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
+        out = b""
         for piece in self.cut(text.lower()):
             found = self.pieces.get(piece)
             if found is None:
@@ -87,40 +100,40 @@ class WordIds:
             out += found
         return out
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.pieces) > REMEMBERED_PIECES:
-            self.pieces = {}
-        found = [self._encode(w) for w in words]
-        n, lengths = len(self.index), [len(f) for f in found]
-        while n + len(words) + 1 > len(self.starts):
+    def _keep(self) -> None:
+        """Append the ids of words learnt since the last call."""
+        fresh, self.index.fresh = self.index.fresh, []
+        if not fresh:
+            return
+        end, n = len(self.index), len(self.index) - len(fresh)
+        while end + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        ends = self.starts[n] + np.cumsum(lengths)
+        ends = self.starts[n] + np.cumsum([len(f) // 4 for f in fresh])
         while ends[-1] > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.starts[n]: ends[-1]] = [i for f in found for i in f]
-        self.starts[n + 1: n + 1 + len(words)] = ends
-        self.index.update(zip(words, range(n, n + len(words))))
+        self.ids[self.starts[n]: ends[-1]] = np.frombuffer(b"".join(fresh), np.int32)
+        self.starts[n + 1: end + 1] = ends
 
     def _chunk(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         split = [t.encode("utf-8").split() if t else [] for t in texts]
         if len(self.index) > REMEMBERED_WORDS:
             self.clear()
-        new = set().union(*split).difference(self.index)
-        if new:
-            self._learn(list(new))
+        if len(self.pieces) > REMEMBERED_PIECES:
+            self.pieces = {}
         counts = [len(s) for s in split]
-        known = self.index.__getitem__
-        at = np.fromiter(chain.from_iterable(map(known, s) for s in split), np.int64, sum(counts))
+        number = self.index.__getitem__
+        at = np.fromiter(chain.from_iterable(map(number, s) for s in split), np.int64, sum(counts))
+        self._keep()
         first = self.starts[at]
         lengths = self.starts[at + 1] - first
         words_before = np.cumsum([0, *counts], dtype=np.int64)
         ids_before = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
         limits = ids_before[words_before] + np.arange(len(texts) + 1)
-        source = np.repeat(first - ids_before[:-1], lengths) + np.arange(ids_before[-1])
+        n = np.arange(ids_before[-1])
         # a word's ids stand as far to the right as end ids stand before it
         shift = np.repeat(np.repeat(np.arange(len(texts)), counts), lengths)
         out = np.full(limits[-1], end_id, np.int32)
-        out[shift + np.arange(ids_before[-1])] = self.ids[source]
+        out[shift + n] = self.ids[np.repeat(first - ids_before[:-1], lengths) + n]
         return out, np.diff(limits)
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
