@@ -4,11 +4,12 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from gleaner.catalog import load
 
-QUERIES = entry.queries()
+QUERIES = load()[0]
 PYTHON = {"h01_pages_to_markdown", "h01_pages_to_markdown_strict", "h01_extract_articles", "h04_nested_lists",
-          "h05_admonitions", "h15_article_notes", "run_blog_ledger", "run_docs_notes", "run_feed_posts"}
+          "h05_admonitions", "h15_article_notes", "run_blog_ledger", "run_docs_notes", "run_feed_posts",
+          "h10_chapter_text", "h10_read_chapters", "crawl_pages", "crawl_report"}
 BATCH = [n for n in QUERIES if not n.startswith("r0")]
 
 
@@ -46,3 +47,8 @@ def test_scalar_functions_do_not_shuffle(spark, sf_dir):
     for name in BATCH:
         if name.startswith("f"):
             assert "Exchange" not in _plan(QUERIES[name](spark, sf_dir)), name
+
+
+def test_chapters_are_read_once(spark, sf_dir):
+    plan = _plan(QUERIES["h10_read_chapters"](spark, sf_dir))
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("regexp_") < 250, plan.count("regexp_")
