@@ -7,9 +7,10 @@ difference by some k. The feature domain is cut into ``n1`` parts, each into ``n
 at most ``k // (k2 + 1)`` parts can hold more than ``k2`` differences, so a similar pair agrees on
 some ``n2 - k2`` of the smaller parts of one part: one signature for each such subset.
 
-A signature over an empty selection says nothing, yet all sets with that gap would share it. It is
-left out; a set with too many gaps for the counting argument repeats the enumeration over another
-cut of the domain (both of two such sets do), and only after ``ROUNDS`` cuts keeps empty ones.
+A signature over an empty selection, or over one element, says little, yet all sets with that gap or
+with that frequent element would share it. It is left out; a set with too many such gaps for the
+counting argument repeats the enumeration over another cut of the domain (both of two such sets do),
+and only after ``ROUNDS`` cuts keeps all.
 
 Inside a bucket of equal signatures each member is a candidate with the first one only. Candidates
 are verified on the sets; before that, parity sketches (one bit a hash value, each element flips its
@@ -39,6 +40,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Cuts of the domain to try before signatures of empty selections are kept.
 ROUNDS = 4
+#: Elements that a signature must cover before that.
+LEAST_COVER = 2
 #: Members of one side of a block comparison, and rows of comparisons that one task takes at a time.
 BLOCK_ROWS = 2000
 BIN_ROWS = 20_000
@@ -92,9 +95,12 @@ class Bands:
         k = 2 * self.tops[band] * (self.den - self.num) // (self.den + self.num)
         if k == 0:
             return 0, 1, 1, 0, np.ones((1, 1), np.uint64)
-        k2, n2 = 1, 4 if k <= 8 else 3 if k <= 24 else 2
+        # parts to spare, for sets with gaps; large sets have enough elements a part without a second cut
+        if k > 24:
+            return k, k + 1 + (k + 1) // 7 + 2, 1, 0, np.ones((1, 1), np.uint64)
+        k2, n2 = 1, 4 if k <= 8 else 3
         n1 = k // (k2 + 1) + 1
-        n1 += (n1 + 19) // 20 + (k > 8) if k > 2 else 0  # parts to spare, for sets with gaps
+        n1 += (n1 + 9) // 10 if k > 2 else 0
         picks = np.zeros((n2, n2), np.uint64)
         for row, chosen in enumerate(combinations(range(n2), n2 - k2)):
             picks[row, list(chosen)] = 1
@@ -109,6 +115,7 @@ def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
     for band in (own, own + 1):
         k, n1, n2, k2, picks = bands.plan(band)
         must = n1 - k // (k2 + 1)  # parts that a similar pair surely agrees on
+        least = min(LEAST_COVER, len(features))
         for cut in range(ROUNDS + 1):
             spread = mix(features ^ np.uint64(_ODD[cut % 8]))
             cell = ((spread >> np.uint64(32)) * np.uint64(n1 * n2) >> np.uint64(32)).astype(np.int64)
@@ -119,11 +126,11 @@ def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
             counts = held @ picks.T
             name = (np.uint64(band * 64 + cut) << np.uint64(32)) + np.arange(n1 * len(picks), dtype=np.uint64)
             signed = mix(chosen.ravel() + mix(name))
-            good = int((counts > 0).all(axis=1).sum())
+            good = int((counts >= least).all(axis=1).sum())
             if cut == ROUNDS:
-                found.append(signed)  # with empty selections: exact for every set
+                found.append(signed)  # whatever they cover: exact for every set
                 break
-            found.append(signed[counts.ravel() > 0])
+            found.append(signed[counts.ravel() >= least])
             if n1 - good < must:
                 break  # fewer gaps than agreeing parts: a similar set meets this one here
     return np.unique(np.concatenate(found))
@@ -284,8 +291,8 @@ def _sign_sets(num: int, den: int):
     return run
 
 
-def _cell_pairs(num: int, den: int):
-    """Pairs of one bin whose sketches allow a link, one for each outlier and component of a cell."""
+def _cell_pairs(num: int, den: int, every: bool):
+    """Pairs of one bin whose sketches allow a link: the nearest of each outlier and component of a cell, or every one."""
 
     def run(table: pa.Table) -> pa.Table:
         doc, label, size = (table[c].to_numpy() for c in ("doc", "label", "size"))
@@ -296,6 +303,7 @@ def _cell_pairs(num: int, den: int):
         order = np.lexsort((width, *cell))
         cuts = np.flatnonzero((cell[:, order[1:]] != cell[:, order[:-1]]).any(axis=0)) + 1
         found = set()
+        nearest: dict[tuple[int, int], tuple[int, int]] = {}
         for rows in np.split(order, cuts):
             outliers, members = rows[outer[rows]], rows[~outer[rows]]
             for w in np.unique(width[outliers]):
@@ -310,15 +318,21 @@ def _cell_pairs(num: int, den: int):
                     for i, row in zip(mine, near):
                         differ = np.bitwise_count(far ^ row).sum(axis=1, dtype=np.int64)
                         ok = may_link(differ, size[theirs], size[i], num, den) & (label[theirs] != label[i])
-                        found.update((min(doc[i], doc[j]), max(doc[i], doc[j])) for j in theirs[ok])
+                        if every:
+                            found.update((min(doc[i], doc[j]), max(doc[i], doc[j])) for j in theirs[ok])
+                            continue
+                        for j, d in zip(theirs[ok], differ[ok]):
+                            key = (doc[i], label[j])
+                            nearest[key] = min(nearest.get(key, (d, doc[j])), (d, doc[j]))
+        found.update((min(x, y), max(x, y)) for (x, _), (_, y) in nearest.items())
         a, b = zip(*sorted(found)) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _bucket_pairs(sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components that share a bucket of three or more and may link by their sketches.
+def _bucket_cells(sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (key, block, outer_block, doc, outer) of the buckets of three or more that hold several components.
 
     In a bucket of two the pair was a candidate already.
     """
@@ -334,16 +348,22 @@ def _bucket_pairs(sets: DataFrame, labels: DataFrame, num: int, den: int) -> Dat
     members = signed.join(plan, "key")
     mine, salt = F.xxhash64("doc"), F.xxhash64("doc", F.lit(1))
     inner = members.select(
-        "key", "doc", "label", F.pmod(mine, "blocks").cast("int").alias("block"),
+        "key", "doc", F.pmod(mine, "blocks").cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.col("outer_blocks") - 1)).alias("outer_block"), F.lit(False).alias("outer"))
     outer = members.where("label <> hub").select(
-        "key", "doc", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        "key", "doc", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.pmod(salt, "outer_blocks").cast("int").alias("outer_block"), F.lit(True).alias("outer"))
-    cells = staged(inner.unionByName(outer), "cells")
+    return staged(inner.unionByName(outer), "cells")
+
+
+def _bucket_pairs(cells: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+    """Pairs (a, b) of different components that share a cell and may link by their sketches."""
     bins = max(1, cells.count() // BIN_ROWS)
-    dealt = cells.join(sets.select("doc", "size", "sketch"), "doc").withColumn(
+    known = sets.select("doc", "size", "sketch").join(
+        labels.select(F.col("node").alias("doc"), F.col("component").alias("label")), "doc", "left")
+    dealt = cells.join(known.withColumn("label", F.coalesce("label", "doc")), "doc").withColumn(
         "bin", F.pmod(F.xxhash64("key", "block", "outer_block"), F.lit(bins)))
-    return dealt.groupBy("bin").applyInArrow(_cell_pairs(num, den), "a long, b long").distinct()
+    return dealt.groupBy("bin").applyInArrow(_cell_pairs(num, den, every), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -367,9 +387,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     rest = _labelled(pairs.join(nearest, ["a", "b"], "left_anti"), labels).where("la <> lb").select("a", "b")
     linked = staged(linked.union(_verified(rest, sets, num, den)), "linked")
     labels = connected_components(linked)
-    more = staged(_verified(_bucket_pairs(sets, labels, num, den), sets, num, den), "linked")
-    if not more.isEmpty():
-        labels = connected_components(linked.union(more))
+    # the nearest pairs first, which join most of what belongs together; then every pair that is left
+    cells = _bucket_cells(sets, labels, num, den)
+    for every in (False, True):
+        more = staged(_verified(_bucket_pairs(cells, sets, labels, num, den, every), sets, num, den), "linked")
+        if not more.isEmpty():
+            linked = linked.union(more)
+            labels = connected_components(linked)
     sizes = facts.where("kind = 0").groupBy(F.col("b").alias("doc_id")).agg(F.max("a").alias("n_shingles"))
     return sizes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
