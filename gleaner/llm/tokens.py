@@ -23,8 +23,8 @@ from tokenizers import Tokenizer
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Words and pieces a worker remembers; beyond it the memory is cleared, which costs time only.
-REMEMBERED_WORDS = 600_000
-REMEMBERED_PIECES = 900_000
+REMEMBERED_WORDS = 450_000
+REMEMBERED_PIECES = 700_000
 #: Characters of texts that are split into words at a time.
 CHUNK_CHARS = 2_000_000
 #: Characters whose normal form, case or class the short way does not vouch for, and special tokens.
