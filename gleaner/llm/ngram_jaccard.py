@@ -264,8 +264,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in zip(left, right)]
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    hopeful = _ends(pairs, sets, ["size", "sketch"]).mapInArrow(sift, "a long, b long")
-    return _ends(hopeful, sets, ["features"]).mapInArrow(exact, "a long, b long")
+    # the few pairs left go to the sets, as Spark may broadcast a written table of their size; the sets stay in place
+    hopeful = staged(_ends(pairs, sets, ["size", "sketch"]).mapInArrow(sift, "a long, b long"), "hopeful")
+    left = hopeful.join(sets.select(F.col("doc").alias("a"), F.col("features").alias("fa")), "a")
+    right = hopeful.join(sets.select(F.col("doc").alias("b"), F.col("features").alias("fb")), "b")
+    return left.join(right, ["a", "b"]).select("a", "b", "fa", "fb").mapInArrow(exact, "a long, b long")
 
 
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
