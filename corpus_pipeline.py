@@ -35,8 +35,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
-    return pack_documents(docs)
+    """The pieces of all documents in sequences of 2048 tokens; equal lengths follow the order of the mixture's files."""
+    return pack_documents(docs, in_file_order=True)
 
 
 STAGES = [

@@ -25,6 +25,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_order() -> Column:
+    """The written order of rows read from part files: number and name of the file, part of the file, row within the part.
+
+    Only right next to the scan. Rows that come from no file keep the order of their partitions.
+    """
+    name = F.substring_index(F.input_file_name(), "/", -1)
+    return F.struct(
+        F.coalesce(F.expr("try_cast(regexp_extract(substring_index(input_file_name(), '/', -1), '^part-([0-9]+)', 1) AS int)"), F.lit(-1)).alias("part"),
+        name.alias("file"), F.input_file_block_start().alias("start"), F.monotonically_increasing_id().alias("row"))
+
+
 def id_hash(key: str) -> Column:
     """A stable order of rows that does not follow the ids: md5 of the key's text, a null as empty text."""
     return F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
@@ -46,3 +57,19 @@ def ordinal_within(rows: DataFrame, group: str, key: str, ties: list[str], into:
     inside = Window.partitionBy(*at).orderBy("_order", key, *ties)
     numbered = marked.withColumn("_rank", F.row_number().over(inside).cast("long") - 1)
     return numbered.join(starts, at).select(*rows.columns, (F.col("_start") + F.col("_rank")).alias(into))
+
+
+def ordinal_in_file_order(rows: DataFrame, group: str, order: str, ties: list[str], into: str) -> DataFrame:
+    """Number the rows of each group (not null) from 0, in the order of a ``file_order`` column, ties.
+
+    A group may hold any share of the rows: windows run inside (group, run of source rows of one file), and the rows
+    before each run come from counts.
+    """
+    at = [group, "_run"]
+    marked = rows.withColumn("_run", F.col(order).withField("row", F.floor(F.col(f"{order}.row") / ROWS_PER_BUCKET)))
+    before = Window.partitionBy(group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = marked.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).select(
+        *at, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*at).orderBy(F.col(f"{order}.row"), *ties)
+    numbered = marked.withColumn("_rank", F.row_number().over(inside).cast("long") - 1)
+    return numbered.join(starts, at).select(*rows.columns, (F.col("_start") + F.col("_rank")).alias(into))

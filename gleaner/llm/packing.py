@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import ordinal_within, staged
+from gleaner.llm.common import file_order, ordinal_in_file_order, ordinal_within, staged
 from gleaner.llm.tokens import default_path, word_ids
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -99,26 +99,29 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[int
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Rows with ``length`` (1 to capacity), doc_id and piece, plus sequence_id and offset.
 
-    A row is never cut. Equal lengths are told apart by a hash of doc_id, so copies and ties may hold
-    any share of the rows. An empty table gives an empty table. ``pieces`` is read three times: stage it.
+    A row is never cut. Equal lengths are told apart by a hash of doc_id, or by the column ``file_order`` where
+    ``pieces`` has one (it is left out of the result); copies and ties may hold any share of the rows. An empty table gives an empty table. ``pieces`` is read three times: stage it.
     """
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = best_fit_decreasing(counts, capacity)
     plan = pieces.sparkSession.createDataFrame(runs, "length long, first long, bin long, each long, at long")
     by_length = plan.groupBy("length").agg(F.collect_list(F.struct("first", "bin", "each", "at")).alias("runs"))
-    numbered = ordinal_within(pieces, "length", "doc_id", ["piece"], "number")
+    if "file_order" in pieces.columns:
+        numbered = ordinal_in_file_order(pieces, "length", "file_order", ["piece"], "number")
+    else:
+        numbered = ordinal_within(pieces, "length", "doc_id", ["piece"], "number")
     # as many rows as there are lengths, each run once: bounded by the capacity
     placed = numbered.join(F.broadcast(by_length), "length").withColumn(
         "run", F.array_max(F.filter("runs", lambda r: r["first"] <= F.col("number"))))
     inner = F.col("number") - F.col("run.first")
     return placed.select(
-        *pieces.columns, (F.col("run.bin") + F.floor(inner / F.col("run.each"))).alias("sequence_id"),
+        *[c for c in pieces.columns if c != "file_order"], (F.col("run.bin") + F.floor(inner / F.col("run.each"))).alias("sequence_id"),
         (F.col("run.at") + inner % F.col("run.each") * F.col("length")).alias("offset"))
 
 
 def tokenized_pieces(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: int = CAPACITY,
-                     with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, optionally ids as little-endian 32-bit binary).
+                     with_ids: bool = False, in_file_order: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, optionally ids as little-endian 32-bit binary and file_order).
 
     Each text's ids and the end id; only a document longer than the capacity is cut. A null or empty
     text is the end id alone.
@@ -138,19 +141,27 @@ def tokenized_pieces(docs: DataFrame, path: str | None = None, end_id: int = 0,
             raw = [ids[a:a + n].tobytes() for a, n in zip(limits[doc] + start, length)]
             columns = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length),
                        pa.array([zlib.crc32(x) for x in raw], pa.int64())]
+            columns += [pa.array(raw, pa.binary())] * with_ids
+            if in_file_order:
+                columns.append(batch.column(2).take(pa.array(doc)))
             yield pa.RecordBatch.from_arrays(
-                columns + [pa.array(raw, pa.binary())] * with_ids,
-                ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+                columns, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids + ["file_order"] * in_file_order)
 
     extra = ", ids binary" if with_ids else ""
-    return docs.select("doc_id", "text").mapInArrow(
+    order = [file_order().alias("file_order")] * in_file_order
+    if in_file_order:
+        extra += ", file_order struct<part:int,file:string,start:long,row:long>"
+    return docs.select("doc_id", "text", *order).mapInArrow(
         run, f"doc_id long, piece int, start long, length long, ids_crc32 long{extra}")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: int = CAPACITY,
-                   with_ids: bool = False) -> DataFrame:
-    """Tokenise all documents and place every piece: the pieces with sequence_id and offset."""
-    return pack(staged(tokenized_pieces(docs, path, end_id, capacity, with_ids), "pieces"), capacity)
+                   with_ids: bool = False, in_file_order: bool = False) -> DataFrame:
+    """Tokenise all documents and place every piece: the pieces with sequence_id and offset.
+
+    With ``in_file_order`` equal lengths follow the order in which ``docs`` was written.
+    """
+    return pack(staged(tokenized_pieces(docs, path, end_id, capacity, with_ids, in_file_order), "pieces"), capacity)
 
 
 def sequences(placed: DataFrame) -> DataFrame:
