@@ -1,10 +1,10 @@
 """License scans as an exact set-similarity join of text blocks with license templates.
 
-Words are ordered by how often they occur in the whole corpus, rarest first. A block that holds at
-least ``ceil(threshold * |T|)`` words of a template T must hold one of the template's
-``|T| - needed + 1`` rarest words (prefix filter), and at least ``needed`` words at all (length filter).
-If the first shared word stands at place p of the template, only the words from p on can be shared
-(positional filter). What passes is counted exactly.
+A block is a window of ``ceil(WINDOW * |T|)`` words of the whole text, across line breaks, for a template of |T| words.
+Words are ordered by how often they occur in the whole corpus, rarest first. A window that holds at
+least ``ceil(threshold * |T|)`` distinct words of a template must hold one of the template's
+``|T| - needed + 1`` rarest words (prefix filter). Only the windows around such a word are looked at, and only if all
+of them together hold ``needed`` words (length filter). What passes is counted exactly.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ TEMPLATES = (
 )
 #: Share of a template's words that a block must hold.
 THRESHOLD = 0.8
+#: Words of a window for each word of the template.
+WINDOW = 1.25
 
 
 def words_of(text: str) -> list[str]:
@@ -66,49 +68,64 @@ def needed(template: list[str], threshold: float) -> int:
     return math.ceil(threshold * len(set(template)) - 1e-9)
 
 
-def containment(block: Column, template: list[str], ranks: dict[str, int], threshold: float) -> Column:
-    """Share of a template's distinct words in a block (array of words), or null below the threshold."""
+def windows_around(words: Column, at: Column, label: str, template: list[str], ranks: dict[str, int], threshold: float) -> Column:
+    """(start, label, score) of the window with word number ``at`` that holds most of a template, the last of equals.
+
+    Null where no window around it meets the threshold, or where the word is none of the template's rarest.
+    """
     ordered = sorted(set(template), key=ranks.__getitem__)
-    size, least = len(ordered), needed(template, threshold)
-    prefix = ordered[: size - least + 1]
-    first = F.array_min(F.array(*[F.when(F.array_contains(block, w), F.lit(i)) for i, w in enumerate(prefix)]))
-    shared = reduce(lambda a, b: a + b, [F.array_contains(block, w).cast("int") for w in ordered])
-    passes = (F.size(block) >= least) & (F.lit(size) - first >= least)
-    return F.when(passes, F.when(shared >= least, shared / F.lit(float(size))))
+    size, least, reach = len(ordered), needed(template, threshold), math.ceil(WINDOW * len(template))
+    own = F.array(*map(F.lit, ordered))
+    low = F.greatest(at - reach + 1, F.lit(0))
+    starts = F.filter(F.sequence(low, at), lambda j: F.get(words, j).isin(ordered))
+    held = F.transform(starts, lambda j: F.struct(
+        F.size(F.array_intersect(F.slice(words, j + 1, reach), own)).alias("shared"), j.alias("start")))
+    best = F.transform(F.array(F.array_max(held)), lambda b: F.when(b["shared"] >= least, F.struct(
+        b["start"].alias("start"), F.lit(label).alias("label"), (b["shared"] / F.lit(float(size))).alias("score"))))
+    near = F.size(F.array_intersect(F.slice(words, low + 1, 2 * reach - 1), own))
+    return F.when(F.get(words, at).isin(ordered[: size - least + 1]) & (near >= least), F.get(best, F.lit(0)))
 
 
 def text_blocks(text: Column, ranks: dict[str, int], threshold: float, templates) -> Column:
-    """Array of (block, label, score): the lines of a text, numbered from 0, that meet a template.
+    """Array of (start, label, score): the windows of a text, by their first word's number, that meet a template.
 
-    Texts and lines without a prefix word of any template are passed over by one pattern.
+    Texts without a prefix word of any template are passed over by one pattern.
     """
     listed = [(label, words_of(t)) for label, t in templates]
     rare = sorted({w for _, t in listed for w in sorted(set(t), key=ranks.__getitem__)[: len(set(t)) - needed(t, threshold) + 1]})
     hint = F.lit(f"(?i)(?:^|{GAP[:-1]})(?:{'|'.join(rare)})(?:{GAP[:-1]}|$)")
-    lines = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("block"), line.alias("line")))
-    blocks = F.transform(F.filter(lines, lambda x: F.rlike(x["line"], hint)), lambda x: F.struct(
-        x["block"].alias("block"), F.array_distinct(F.split(F.lower(F.trim(F.regexp_replace(x["line"], GAP, " "))), " ")).alias("words")))
+    split = F.split(F.lower(F.trim(F.regexp_replace(text, GAP, " "))), " ")
+
+    def met(words: Column) -> Column:
+        hits = F.filter(F.transform(words, lambda w, i: F.when(w.isin(rare), i)), lambda i: i.isNotNull())
+        around = F.transform(hits, lambda i: F.array(*[windows_around(words, i, label, t, ranks, threshold) for label, t in listed]))
+        return F.array_distinct(F.filter(F.flatten(around), lambda m: m.isNotNull()))
+
+    none = F.array().cast("array<struct<start:int,label:string,score:double>>")
+    return F.when(F.rlike(text, hint), F.get(F.transform(F.array(split), met), F.lit(0))).otherwise(none)
 
-    def one(block: Column) -> Column:
-        met = F.array(*[F.struct(block["block"].alias("block"), F.lit(label).alias("label"),
-                                 containment(block["words"], t, ranks, threshold).alias("score")) for label, t in listed])
-        return F.filter(met, lambda m: m["score"].isNotNull())
 
-    none = F.array().cast("array<struct<block:int,label:string,score:double>>")
-    return F.when(F.rlike(text, hint), F.flatten(F.transform(blocks, one))).otherwise(none)
+def line_of(text: Column, word: Column) -> Column:
+    """Number of the line, from 0, that holds a word of the text, by the word's number."""
+    sizes = F.transform(F.split(text, "\n"), lambda line: F.size(
+        F.filter(F.split(F.regexp_replace(line, GAP, " "), " "), lambda w: w != "")))
+    return F.aggregate(sizes, F.struct(word.cast("int").alias("left"), F.lit(0).alias("line")), lambda s, n: F.struct(
+        (s["left"] - n).alias("left"), (s["line"] + (s["left"] >= n).cast("int")).alias("line")), lambda s: s["line"])
 
 
 def scan_blocks(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
-    """(doc_id, block, label, score): every line of every text that holds enough of a template."""
+    """(doc_id, block, label, score): every place of every text that holds enough of a template; ``block`` is the
+    number of the line in which the window starts."""
     ranks = word_ranks(docs, {w for _, t in templates for w in words_of(t)})
-    found = text_blocks(F.coalesce(F.col("text"), F.lit("")), ranks, threshold, templates)
-    return docs.select("doc_id", F.inline(found))
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    found = rows.select("doc_id", "text", F.inline(text_blocks(F.col("text"), ranks, threshold, templates)))
+    return found.select("doc_id", line_of(F.col("text"), F.col("start")).alias("block"), "label", "score")
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row.
 
-    ``score`` is the largest share of a template's words in a line, 1.0 where a phrase stands, 0.0
+    ``score`` is the largest share of a template's words in a window, 1.0 where a phrase stands, 0.0
     where nothing meets. A null or empty text has no words and nulls for both places. Rows are scanned
     one by one, so repeated rows repeat. An empty table gives an empty table.
     """
