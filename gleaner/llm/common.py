@@ -73,3 +73,15 @@ def ordinal_in_file_order(rows: DataFrame, group: str, order: str, ties: list[st
     inside = Window.partitionBy(*at).orderBy(F.col(f"{order}.row"), *ties)
     numbered = marked.withColumn("_rank", F.row_number().over(inside).cast("long") - 1)
     return numbered.join(starts, at).select(*rows.columns, (F.col("_start") + F.col("_rank")).alias(into))
+
+
+def join_by_hot_key(rows: DataFrame, groups: DataFrame, key: str, share: int = 10_000) -> DataFrame:
+    """Rows with the columns of their group; ``groups`` has one row per key (not null) and counts its rows in ``n``.
+
+    Groups that hold more than one part in ``share`` of all rows, ``share`` of them at most, meet their rows
+    by broadcast; the other rows are shuffled, so no task gets a larger group.
+    """
+    least = (groups.agg(F.sum("n")).first()[0] or 0) / share
+    hot = groups.where(F.col("n") > least)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col("n") <= least), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
