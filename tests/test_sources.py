@@ -78,6 +78,20 @@ def test_page_tree_beyond_three_levels(spark):
     assert [(r["slug"], r["url"], r["title"]) for r in rows if r["key"] == "leaf"] == [("x/y", "https://d/x/y", "T")]
 
 
+def test_page_tree_of_depth_100_is_one_recursive_plan(spark):
+    node = {"type": "page", "href": "/en/p100", "label": "P100", "children": {"not": "a list"}}
+    for level in range(99, 0, -1):
+        node = {"type": "page" if level % 2 else "section", "href": f"/en/p{level}", "label": f"P{level}", "children": [None, 7, node]}
+    forest = spark.createDataFrame([("deep", json.dumps(node)), ("null", None), ("number", "1")], "key string, node string")
+    found = trees.page_tree(forest, "https://d")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("UnionLoop ") == 1 and "to_json" not in plan and "Exchange" not in plan and plan.count("parseJson") == 1
+    rows = sorted(found.collect(), key=lambda r: len(r["ord"]))
+    assert [r["slug"] for r in rows] == [f"p{i}" for i in [*range(1, 100, 2), 100]]
+    assert [r["parent_path"] for r in rows[1:]] == [r["slug"] for r in rows[:-1]]
+    assert rows[-1]["ord"] == [2] * 99
+
+
 def test_feed_items_without_link_drop(spark):
     body = ('<rss xmlns:dc="d" xmlns:content="c"><channel><item><title>A</title><link>https://m.com/@u/a-1</link>'
             '<description>&lt;p&gt;x&lt;/p&gt;</description></item><item><title>B</title></item></channel></rss>')
