@@ -8,6 +8,7 @@ from gleaner.catalog.inputs import table
 from gleaner.catalog.registry import query
 from gleaner.session import scratch_path
 from gleaner.streaming import jobs as R
+from gleaner.streaming import outcomes
 
 
 def _stream(spark, d, name):
@@ -42,6 +43,18 @@ def r02(spark, d):
         "user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
+@query("r02_ledger_outcomes", """SELECT user_id, arg_max(event_type, (event_type = 'purchase', ts, event_id)) AS event_type,
+ strftime(arg_max(ts, (event_type = 'purchase', ts, event_id)), '%Y-%m-%d %H:%M:%S') AS at FROM events GROUP BY user_id""")
+def r02_outcomes(spark, d):
+    """A purchase finishes a user; whatever comes later leaves them finished."""
+    kind = F.col("event_type")
+    state = outcomes.outcome_state(
+        _stream(spark, d, "events"), "user_id", "ts", "event_id", kind, kind == "purchase", late="1 day", keep="7 days")
+    path = _run(lambda p, c: outcomes.start_outcomes(state, p, c), spark, "outcomes")
+    return outcomes.read_outcomes(spark, path, "user_id").select(
+        "user_id", F.col("status").alias("event_type"), F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
 @query("r03_run_metrics_stream", """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS total, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type <> 'error') AS success FROM events GROUP BY 1""")
 def r03(spark, d):
     metrics = R.run_metrics(_stream(spark, d, "events"), "ts", F.col("event_type") == "error")

@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gleaner.operators.sequences import dedup_first
-from gleaner.session import checkpoint_dir
+from gleaner.streaming.seen import start_discovery  # noqa: F401 - a job like the others here
 
 
 def read_stream(spark: SparkSession, folder: str, like: DataFrame, glob: str = "*.parquet", files: int = 1000) -> DataFrame:
@@ -24,13 +23,18 @@ def read_stream(spark: SparkSession, folder: str, like: DataFrame, glob: str = "
 
 
 def start_changes(
-    stream: DataFrame, path: str, checkpoint: str, transform=None, available_now: bool = True
+    stream: DataFrame, path: str, checkpoint: str, transform=None, available_now: bool = True, after=None
 ) -> StreamingQuery:
-    """Write each micro-batch's changed rows to ``path``; ``transform(batch, batch_id)`` may shape them."""
+    """Write each micro-batch's changed rows to ``path``; ``transform(batch, batch_id)`` may shape them.
+
+    ``after(batch, batch_id)`` runs when the batch's rows are written.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         shaped = transform(batch, batch_id) if transform else batch
         shaped.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if after:
+            after(batch, batch_id)
 
     writer = stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -52,29 +56,6 @@ def discover_stream(entries: DataFrame, keys: list[str], ts: str, delay: str) ->
     return timed.dropDuplicatesWithinWatermark(keys)
 
 
-def start_discovery(
-    entries: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]
-) -> StreamingQuery:
-    """First-seen entries however late a repeat comes: each batch is checked against the table so far.
-
-    A batch that runs again must not see its own earlier rows, so it reads only the
-    batches before it. Adaptive execution broadcasts a small batch to the table, which
-    then is scanned without a shuffle.
-    """
-    checkpoint_dir(entries.sparkSession)
-
-    def fresh(batch: DataFrame, batch_id: int) -> DataFrame:
-        first = dedup_first(batch, keys, order)
-        if batch_id == 0:
-            return first
-        first = first.checkpoint()
-        wanted = first.select(*keys)
-        known = batch.sparkSession.read.parquet(path).filter(F.col("batch_id") < batch_id).select(*keys)
-        return first.join(known.join(wanted, keys, "left_semi"), keys, "left_anti")
-
-    return start_changes(entries, path, checkpoint, fresh)
-
-
 # -- ledger state, metrics, marks -----------------------------------------------------------
 
 def ledger_state(events: DataFrame, key: str, ts: str, tie: str, columns: list[str]) -> DataFrame:
