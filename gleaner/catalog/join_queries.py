@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gleaner.catalog import inputs as I
 from gleaner.catalog.inputs import CHAPTERS_SQL, LEDGER_SQL, table
 from gleaner.catalog.registry import query
+from gleaner.catalog.sequence_queries import SPARSE_SQL, sparse_chapters
 from gleaner.operators import joins as J
 from gleaner.operators import offsets as O
 
@@ -91,6 +92,15 @@ def j06(spark, d):
     return O.asof_offset(chapters, mapped)
 
 
+@query("j06_asof_offset_sparse", f"""WITH {SPARSE_SQL}, m AS (SELECT novel_id, num, num % 5 AS delta FROM sparse WHERE role = '1-URGENT')
+ SELECT s.novel_id AS novel, s.num, coalesce(m.delta, 0) AS "offset", s.num + coalesce(m.delta, 0) AS url_num
+ FROM sparse s ASOF LEFT JOIN m ON s.novel_id = m.novel_id AND s.num >= m.num""")
+def j06_sparse(spark, d):
+    chapters = sparse_chapters(spark, d).withColumnRenamed("novel_id", "novel")
+    mapped = chapters.filter("role = '1-URGENT'").select("novel", F.col("num").alias("chapter"), (F.col("num") % 5).alias("offset"))
+    return O.asof_offset(chapters.drop("role"), mapped)
+
+
 @query("j07_detect_offset", """WITH observed AS (SELECT conv_id AS novel, turn + 1 AS url_n, turn + 1 - (turn % 4) + (conv_id % 3) AS actual FROM conversations),
  ranked AS (SELECT t.conv_id AS novel, t.turn + 1 AS num, o.url_n - o.actual AS diff,
   row_number() OVER (PARTITION BY t.conv_id, t.turn ORDER BY CASE WHEN o.url_n - o.actual >= 0 THEN o.url_n - o.actual ELSE 2 - (o.url_n - o.actual) END) AS rn

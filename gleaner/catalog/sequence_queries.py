@@ -21,6 +21,31 @@ def w01(spark, d):
     return Q.chapter_nav(I.chapters(spark, d))
 
 
+# Hashed chapter numbers; every third order belongs to one hot novel.
+SPARSE_SQL = """sparse AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS novel_id,
+ o_orderkey * 2654435761 % 4294967291 AS num, o_orderpriority AS role FROM orders)"""
+
+
+def sparse_chapters(spark, d):
+    key = F.col("o_orderkey")
+    return table(spark, d, "orders").select(
+        F.when(key % 3 == 0, 0).otherwise(F.col("o_custkey")).cast("long").alias("novel_id"),
+        (key * 2654435761 % 4294967291).alias("num"), F.col("o_orderpriority").alias("role"))
+
+
+@query("w01_sparse_nav", f"""WITH {SPARSE_SQL} SELECT novel_id, num, lag(num) OVER w AS prev_num, lead(num) OVER w AS next_num FROM sparse
+ WINDOW w AS (PARTITION BY novel_id ORDER BY num)""")
+def w01_sparse(spark, d):
+    return Q.neighbours(sparse_chapters(spark, d).drop("role"), ["novel_id"], ["num"], ["num"])
+
+
+@query("w07_skip_headers_sparse", f"""WITH {SPARSE_SQL} SELECT novel_id, num FROM sparse s
+ WHERE num >= (SELECT min(num) FROM sparse x WHERE x.novel_id = s.novel_id AND x.role <> '1-URGENT')""")
+def w07_sparse(spark, d):
+    rows = Q.skip_leading_headers(sparse_chapters(spark, d), ["novel_id"], "num", F.col("role") == "1-URGENT")
+    return rows.select("novel_id", "num")
+
+
 @query("w02_series_nav", f"""WITH {SERIES_SQL}, many AS (SELECT *, count(*) OVER (PARTITION BY base) AS n FROM series WHERE base IS NOT NULL),
  linked AS (SELECT p_partkey AS id, base, part, lag(title) OVER w AS prev_title, lead(title) OVER w AS next_title FROM many WHERE n >= 2 WINDOW w AS (PARTITION BY base ORDER BY part, p_partkey))
  SELECT id, base, part, prev_title, next_title FROM linked""")

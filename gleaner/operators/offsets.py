@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.operators.sequences import carry_forward, number_block
+from gleaner.operators.sequences import carry_forward
 
 
 def asof_offset(chapters: DataFrame, offset_map: DataFrame) -> DataFrame:
@@ -18,8 +18,7 @@ def asof_offset(chapters: DataFrame, offset_map: DataFrame) -> DataFrame:
     mapped = offset_map.select(
         "novel", F.col("chapter").alias("num"), F.col("offset").cast("long").alias("known"),
         (F.col("chapter") * 2).alias("at"))
-    running = carry_forward(
-        mapped.unionByName(asked), ["novel"], ["at"], number_block("at"), "known", "offset")
+    running = carry_forward(mapped.unionByName(asked), ["novel"], ["at"], "known", "offset")
     offset = F.coalesce("offset", F.lit(0))
     return running.filter("at % 2 = 1").select(
         "novel", "num", offset.alias("offset"), (F.col("num") + offset).alias("url_num"))

@@ -1,8 +1,8 @@
 """Ordered operators: first of a key, neighbours, running values, numbering.
 
-A group may hold a large share of all rows, so no operator sorts a whole group in
-one task. Rows are cut into blocks of the order (``block``), windows run inside a
-block, and a summary of one row per block carries values across block borders.
+A group may hold a large share of all rows and its numbers may be sparse, so no operator sorts a whole
+group in one task. Rows are cut by rank into range partitions (``segments``), windows run inside a
+partition, and what a group hands on to the next partition comes from two rows a partition at most.
 """
 
 from __future__ import annotations
@@ -16,22 +16,6 @@ from gleaner.functions import notes as N
 from gleaner.functions import text as T
 from gleaner.session import checkpoint_dir
 
-# Rows per block.
-BLOCK = 10_000
-
-
-def number_block(num: str, size: int = BLOCK) -> Column:
-    """Block of a dense number: at most ``size`` rows where the number is unique in its group."""
-    return F.expr(f"`{num}` div {size}")
-
-
-def _join_blocks(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with their block's summary; a null group or number is a group or block of its own."""
-    renamed = summary.withColumnsRenamed({k: f"_of_{k}" for k in keys})
-    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(renamed[f"_of_{k}"]) for k in keys])
-    return rows.join(renamed, same)
-
-
 def dedup_first(entries: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First row of each key in encounter order; repeats merge before the shuffle."""
     rest = [c for c in entries.columns if c not in keys]
@@ -42,31 +26,46 @@ def dedup_first(entries: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return reduced.select(*[F.col(c) if c in keys else F.col(f"first.{c}").alias(c) for c in entries.columns])
 
 
-def neighbours(
-    rows: DataFrame, group: list[str], order: list[str], block: list[Column], columns: list[str]
-) -> DataFrame:
-    """Add ``prev_*`` and ``next_*`` of the columns in the group's order.
+def segments(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows in partitions of about equal size that follow each other in the order of ``by``; ``_part`` numbers them.
 
-    ``block`` must rise with ``order`` and bound the rows per block.
+    The partitions are cut by rank, so that sparse keys such as hashes spread like dense ones and a hot
+    group spreads over as many partitions as its share. The ranges are written once, as all uses must see the
+    same ones; windows by ``_part`` and any other column need no further shuffle.
     """
-    names = [f"_b{i}" for i in range(len(block))]
-    keys = group + names
-    value = F.struct(*[F.col(c) for c in columns])
-    blocked = rows.withColumns(dict(zip(names, block)))
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    linked = blocked.withColumns({"_prev": F.lag(value).over(inside), "_next": F.lead(value).over(inside)})
-    if columns == order and len(order) == 1:
-        ends = blocked.groupBy(*keys).agg(F.min(order[0]).alias("_lo"), F.max(order[0]).alias("_hi")).withColumns(
-            {"first": F.struct(F.col("_lo").alias(order[0])), "last": F.struct(F.col("_hi").alias(order[0]))})
-    else:
-        position = F.struct(*[F.col(c) for c in order])
-        ends = blocked.groupBy(*keys).agg(
-            F.min_by(value, position).alias("first"), F.max_by(value, position).alias("last"))
-    across = Window.partitionBy(*group).orderBy(*names)
-    borders = (
-        ends.select(*keys, F.lag("last").over(across).alias("_before"), F.lead("first").over(across).alias("_after"))
-    )
-    joined = _join_blocks(linked, borders, keys)
+    checkpoint_dir(rows.sparkSession)
+    ranged = rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()).checkpoint()
+    last = ranged.agg(F.max("_part")).first()[0]
+    return ranged.repartitionById((last or 0) + 1, "_part")
+
+
+def _border_groups(cut: DataFrame, group: list[str], **summaries: Column) -> DataFrame:
+    """Summaries of the first and the last group of each partition, the only ones that other partitions share."""
+    found = cut.groupBy("_part", *group).agg(*[c.alias(n) for n, c in summaries.items()])
+    whole, inside = F.struct(*group), Window.partitionBy("_part")
+    ends = found.withColumns({"_first": F.min(whole).over(inside), "_final": F.max(whole).over(inside)})
+    return ends.where(whole.eqNullSafe(F.col("_first")) | whole.eqNullSafe(F.col("_final"))).drop("_first", "_final")
+
+
+def _join_borders(rows: DataFrame, borders: DataFrame, group: list[str]) -> DataFrame:
+    """Rows with what their group gets from other partitions; ``borders`` has two rows a partition at most."""
+    keys = ["_part", *group]
+    renamed = F.broadcast(borders.withColumnsRenamed({k: f"_of_{k}" for k in keys}))
+    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(renamed[f"_of_{k}"]) for k in keys])
+    return rows.join(renamed, same, "left")
+
+
+def neighbours(rows: DataFrame, group: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """Add ``prev_*`` and ``next_*`` of the columns in the group's order; a null is a group of its own."""
+    value, position = F.struct(*[F.col(c) for c in columns]), F.struct(*[F.col(c) for c in order])
+    cut = segments(rows, [*group, *order])
+    inside = Window.partitionBy("_part", *group).orderBy(*order)
+    linked = cut.withColumns({"_prev": F.lag(value).over(inside), "_next": F.lead(value).over(inside)})
+    ends = _border_groups(cut, group, first=F.min_by(value, position), last=F.max_by(value, position))
+    across = Window.partitionBy(*group).orderBy("_part")
+    borders = ends.select(
+        "_part", *group, F.lag("last").over(across).alias("_before"), F.lead("first").over(across).alias("_after"))
+    joined = _join_borders(linked, borders, group)
     before, after = F.coalesce("_prev", "_before"), F.coalesce("_next", "_after")
     return joined.select(
         *rows.columns,
@@ -75,33 +74,22 @@ def neighbours(
     )
 
 
-def carry_forward(
-    rows: DataFrame, group: list[str], order: list[str], block: Column, value: str, into: str
-) -> DataFrame:
+def carry_forward(rows: DataFrame, group: list[str], order: list[str], value: str, into: str) -> DataFrame:
     """Add the last non-null ``value`` at or before each row of the group."""
-    keys = group + ["_block"]
-    blocked = rows.withColumn("_block", block)
+    cut = segments(rows, [*group, *order])
     inside = (
-        Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    running = blocked.withColumn("_running", F.last(value, ignorenulls=True).over(inside))
-    position = F.when(F.col(value).isNotNull(), F.col(order[0]) if len(order) == 1 else F.struct(*order))
-    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        blocked.groupBy(*keys).agg(F.max_by(value, position).alias("_last"))
-        .select(*keys, F.last("_last", ignorenulls=True).over(before).alias("_carried"))
-    )
-    return _join_blocks(running, carried, keys).select(
-        *rows.columns, F.coalesce("_running", "_carried").alias(into))
+        Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    running = cut.withColumn("_running", F.last(value, ignorenulls=True).over(inside))
+    position = F.when(F.col(value).isNotNull(), F.struct(*order))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = _border_groups(cut, group, _last=F.max_by(value, position)).select(
+        "_part", *group, F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    return _join_borders(running, carried, group).select(*rows.columns, F.coalesce("_running", "_carried").alias(into))
 
 
 def number_rows(rows: DataFrame, order: str, into: str) -> DataFrame:
-    """Dense numbers from 1 over all rows, by a unique key: counts per range partition, then inside partitions.
-
-    The partitions are cut by rank, so that sparse keys such as hashes spread like dense ones. The
-    ranges are written once, as both uses must see the same ones.
-    """
-    checkpoint_dir(rows.sparkSession)
-    ranged = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    """Dense numbers from 1 over all rows, by a unique key: counts per range partition, then inside partitions."""
+    ranged = segments(rows, [order])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
         "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -136,14 +124,13 @@ def first_by_priority(*candidates: tuple[Column, Column]) -> Column:
 def skip_leading_headers(rows: DataFrame, group: list[str], num: str, is_header: Column) -> DataFrame:
     """Rows of each group from the first one that is no header."""
     marked = rows.withColumn("_other", F.when(~is_header, True))
-    reached = carry_forward(marked, group, [num], number_block(num), "_other", "_reached")
+    reached = carry_forward(marked, group, [num], "_other", "_reached")
     return reached.filter("_reached").drop("_other", "_reached")
 
 
 def chapter_nav(chapters: DataFrame) -> DataFrame:
     """``(novel_id, num, prev_num, next_num, footer)`` for ``chapters(novel_id, name, num)``."""
-    linked = neighbours(
-        chapters.select("novel_id", "name", "num"), ["novel_id"], ["num"], [number_block("num")], ["num"])
+    linked = neighbours(chapters.select("novel_id", "name", "num"), ["novel_id"], ["num"], ["num"])
     footer = N.nav_footer(T.folder_name("name"), "prev_num", "next_num")
     return linked.select("novel_id", "num", "prev_num", "next_num", footer.alias("footer"))
 
@@ -165,14 +152,12 @@ def index_lines(chapters: DataFrame) -> DataFrame:
 def series_nav(posts: DataFrame, min_parts: int = 2) -> DataFrame:
     """Navigation block of every post whose title names a part of a series of two or more.
 
-    ``posts(id, title)``; order is the part number, then the id. Blocks cut by part
-    and by id, so that many posts with one part number still spread.
+    ``posts(id, title)``; order is the part number, then the id.
     """
     found = T.one_if(T.series_part("title"), lambda s: s.isNotNull())
     parts = posts.select("id", "title", found.alias("s")).select(
         "id", "title", F.col("s.base").alias("base"), F.col("s.part").cast("long").alias("part"))
-    linked = neighbours(
-        parts, ["base"], ["part", "id"], [F.col("part"), number_block("id")], ["id", "title"])
+    linked = neighbours(parts, ["base"], ["part", "id"], ["id", "title"])
     # A series of one has neither neighbour; with min_parts 2 that is the whole test.
     multi = F.col("prev_id").isNotNull() | F.col("next_id").isNotNull()
     kept = linked.filter(multi) if min_parts >= 2 else linked

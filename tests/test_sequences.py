@@ -1,4 +1,4 @@
-"""Ordered operators against brute force, with blocks far smaller than the groups."""
+"""Ordered operators against brute force, with partitions far smaller than the groups."""
 
 import random
 
@@ -10,6 +10,21 @@ from gleaner.operators import offsets as O
 from gleaner.operators import sequences as Q
 
 
+@pytest.fixture
+def cut_into(spark):
+    """Let shuffles have as many partitions as a test says, though its rows are few."""
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"]
+    before = [spark.conf.get(n) for n in names]
+
+    def set_to(partitions):
+        spark.conf.set(names[0], partitions)
+        spark.conf.set(names[1], False)
+
+    yield set_to
+    for n, value in zip(names, before):
+        spark.conf.set(n, value)
+
+
 @pytest.fixture
 def hot(spark):
     """One group with a third of all rows, gaps in the numbers, many small groups."""
@@ -26,12 +41,13 @@ def _groups(rows):
     return {g: sorted(ns) for g, ns in out.items()}
 
 
-@pytest.mark.parametrize("size", [3, 50, 10_000])
-def test_neighbours(hot, size):
+@pytest.mark.parametrize("partitions", [1, 5, 40])
+def test_neighbours(hot, cut_into, partitions):
     rows, frame = hot
+    cut_into(partitions)
     found = {
         (r["g"], r["num"]): (r["prev_num"], r["next_num"])
-        for r in Q.neighbours(frame, ["g"], ["num"], [Q.number_block("num", size)], ["num"]).collect()
+        for r in Q.neighbours(frame, ["g"], ["num"], ["num"]).collect()
     }
     want = {}
     for g, ns in _groups(rows).items():
@@ -40,25 +56,27 @@ def test_neighbours(hot, size):
     assert found == want
 
 
-def test_neighbours_with_equal_order_values(spark):
+def test_neighbours_with_equal_order_values(spark, cut_into):
+    cut_into(6)
     rows = [("s", 1, i) for i in range(40)] + [("s", 2, i) for i in range(100, 120)] + [("t", 1, 500)]
     frame = spark.createDataFrame(rows, "g string, part long, id long")
-    linked = Q.neighbours(frame, ["g"], ["part", "id"], [F.col("part"), Q.number_block("id", 7)], ["id"])
+    linked = Q.neighbours(frame, ["g"], ["part", "id"], ["id"])
     found = {r["id"]: (r["prev_id"], r["next_id"]) for r in linked.collect()}
     ids = [i for g, _, i in sorted(rows) if g == "s"]
     want = dict(zip(ids, zip([None, *ids], [*ids[1:], None])))
     assert found == {**want, 500: (None, None)}
 
 
-@pytest.mark.parametrize("size", [4, 10_000])
-def test_carry_forward(hot, spark, size):
+@pytest.mark.parametrize("partitions", [1, 7, 40])
+def test_carry_forward(hot, spark, cut_into, partitions):
     rows, _ = hot
+    cut_into(partitions)
     rng = random.Random(3)
     valued = [(g, n, rng.choice([None, None, n * 10])) for g, n in rows]
     frame = spark.createDataFrame(valued, "g string, num long, v long")
     found = {
         (r["g"], r["num"]): r["last"]
-        for r in Q.carry_forward(frame, ["g"], ["num"], Q.number_block("num", size), "v", "last").collect()
+        for r in Q.carry_forward(frame, ["g"], ["num"], "v", "last").collect()
     }
     want, last = {}, {}
     for g, n, v in sorted(valued, key=lambda r: (r[0], r[1])):
@@ -67,13 +85,34 @@ def test_carry_forward(hot, spark, size):
     assert found == want
 
 
-def test_null_groups_and_numbers_stay(spark):
+def test_value_carried_over_whole_partitions(spark, cut_into):
+    cut_into(12)
+    frame = spark.createDataFrame([("g", n, 5 if n == 3 else None) for n in range(400)] + [("h", n, None) for n in range(50)], "g string, num long, v long")
+    found = {(r["g"], r["num"]): r["last"] for r in Q.carry_forward(frame, ["g"], ["num"], "v", "last").collect()}
+    assert found == {**{("g", n): 5 if n >= 3 else None for n in range(400)}, **{("h", n): None for n in range(50)}}
+
+
+def test_sparse_numbers_of_a_hot_group_spread(spark, cut_into):
+    cut_into(8)
+    key = F.col("id") * 2654435761 % 4294967291
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("g"), key.alias("num"))
+    sizes = [r["count"] for r in Q.segments(rows, ["g", "num"]).groupBy("_part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * 60_000 / 8
+    linked = Q.neighbours(rows, ["g"], ["num"], ["num"])
+    held = linked.groupBy(F.spark_partition_id()).count().collect()  # windows and joins leave the rows where they were cut
+    assert len(held) == 8 and max(r["count"] for r in held) <= 2 * 60_000 / 8
+    plan = linked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange shufflepartitionidpassthrough") == 2 and "hashpartitioning(_part" not in plan
+
+
+def test_null_groups_and_numbers_stay(spark, cut_into):
+    cut_into(3)
     rows = [("a", 1), ("a", 2), ("a", None), (None, 1), (None, 5)]
     frame = spark.createDataFrame(rows, "g string, num long")
-    linked = Q.neighbours(frame, ["g"], ["num"], [Q.number_block("num", 2)], ["num"]).collect()
+    linked = Q.neighbours(frame, ["g"], ["num"], ["num"]).collect()
     assert sorted(map(repr, ((r["g"], r["num"]) for r in linked))) == sorted(map(repr, rows))
     assert {r["num"]: r["next_num"] for r in linked if r["g"] is None} == {1: 5, 5: None}
-    carried = Q.carry_forward(frame, ["g"], ["num"], Q.number_block("num", 2), "num", "last")
+    carried = Q.carry_forward(frame, ["g"], ["num"], "num", "last")
     assert carried.count() == len(rows)
 
 
