@@ -76,6 +76,14 @@ def j05(spark, d):
     return J.newer_than_local(*_available_and_local(spark, d))
 
 
+@query("j05_newer_than_local_hot", f"""WITH {SPARSE_SQL}, local AS (SELECT novel_id, num FROM sparse WHERE num < 2000000000 AND num % 11 = 0)
+ SELECT novel_id, num FROM sparse s WHERE num > coalesce((SELECT max(num) FROM local l WHERE l.novel_id = s.novel_id), 0)""")
+def j05_hot(spark, d):
+    """One novel has a third of all chapters."""
+    available = sparse_chapters(spark, d).drop("role")
+    return J.newer_than_local(available, available.filter((F.col("num") < 2_000_000_000) & (F.col("num") % 11 == 0)))
+
+
 @query("j05_missing_locally", f"WITH {CHAPTERS_SQL}, {_LOCAL_SQL} SELECT novel_id, num FROM chapters EXCEPT SELECT novel_id, num FROM local")
 def j05_missing(spark, d):
     return J.newer_than_local(*_available_and_local(spark, d), mode="missing")

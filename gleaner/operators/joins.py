@@ -2,11 +2,12 @@
 
 Keys of a ledger are unique, so its joins meet no hot key once the other side is
 reduced to one row per key. Where a table of children joins one row per parent, a
-parent may own a large share of all children: ``join_per_parent`` spreads it.
+parent may own a large share of all children: ``join_per_parent`` finds and spreads it.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,23 +18,47 @@ from gleaner.functions import text as T
 from gleaner.functions import urls as U
 from gleaner.operators.sequences import dedup_first
 
-SPREAD = 16
+#: Keys that the sketch of heavy hitters follows; its counts are off by a ten-thousandth of all rows or so.
+TRACKED = 20_000
+#: Slots of a hot key, per partition that its rows would fill: slots fall into tasks by hash, many of them evenly.
+SLOTS_PER_PARTITION = 32
+
+
+def heavy_hitters(rows: DataFrame, keys: list[str]) -> list[tuple[int, int]]:
+    """``(hash, slots)`` of the keys that hold over half a shuffle partition's share of all rows.
+
+    One pass over the key columns with a sketch of bounded size; two keys a partition at most can be hot.
+    Hashes stand for keys: a collision spreads a second key for nothing.
+    """
+    spark = rows.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hashed = rows.select(F.xxhash64(*keys).alias("h"))
+    most = min(2 * partitions, TRACKED)
+    seen = hashed.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {most}, {max(TRACKED, most)})").alias("top")).first()
+    return [(t["item"], math.ceil(SLOTS_PER_PARTITION * t["count"] * partitions / seen.n))
+            for t in seen.top or [] if 2 * t["count"] * partitions > seen.n]
 
 
 def join_per_parent(
     children: DataFrame, parents: DataFrame, keys: list[str], spread_by: list[str] | None = None, how: str = "left"
 ) -> DataFrame:
-    """Join children to one row per parent; a parent's children go to ``SPREAD`` tasks.
+    """Join children to one row per parent; the children of a hot parent go to as many tasks as their share asks for.
 
-    The slot comes from the child's own values (all columns by default), so a task that
-    runs again puts each row into the same slot. The parent rows are repeated once per
-    slot: they are narrow and far fewer than the children; where they are small,
-    adaptive execution broadcasts them anyway.
+    Hot parents are found before (``heavy_hitters``); without any, this is a plain join. The slot of a hot
+    parent's child comes from the child's own values (all columns by default), so a task that runs again
+    puts each row into the same slot. Only hot parents are repeated, once per slot.
     """
-    slot = F.pmod(F.xxhash64(*(spread_by or children.columns)), F.lit(SPREAD)).cast("int")
-    slots = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
-    spread = parents.withColumn("_slot", slots)
-    return children.withColumn("_slot", slot).join(spread, keys + ["_slot"], how).drop("_slot")
+    hot = heavy_hitters(children, keys)
+    if not hot:
+        return children.join(parents, keys, how)
+    # two rows a partition at most
+    slots = F.broadcast(children.sparkSession.createDataFrame(hot, "_hash long, _slots int"))
+    alike = [F.col(k).try_cast(children.schema[k].dataType) for k in keys]  # equal keys of other types hash differently
+    spread = children.withColumn("_hash", F.xxhash64(*keys)).join(slots, "_hash", "left").withColumn(
+        "_slot", F.when(F.col("_slots").isNull(), 0).otherwise(F.pmod(F.xxhash64(*(spread_by or children.columns)), F.col("_slots"))).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_slots", F.lit(1)) - 1))
+    repeated = parents.withColumn("_hash", F.xxhash64(*alike)).join(slots, "_hash", "left").withColumn("_slot", every)
+    return spread.drop("_hash", "_slots").join(repeated.drop("_hash", "_slots"), keys + ["_slot"], how).drop("_slot")
 
 
 def list_with_counts(parents: DataFrame, children: DataFrame, key: str, num: str) -> DataFrame:

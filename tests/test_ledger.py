@@ -1,5 +1,8 @@
 """Ledger joins, state changes and whole runs on small inputs."""
 
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import aggregates as A
@@ -33,6 +36,36 @@ def test_join_per_parent_spreads_a_hot_parent(spark):
     assert joined.filter("p % 2 = 1 and v is not null").count() == 0
 
 
+@pytest.mark.parametrize("rows", [3_000, 60_000])
+def test_hot_parent_reaches_all_tasks_at_any_size(spark, rows):
+    settings = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        children = spark.range(rows).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).cast("int").alias("p"), F.col("id").alias("c"))
+        parents = spark.range(rows).select(F.col("id").alias("p"), (F.col("id") * 2).alias("v"))  # a long here, an int there
+        assert [s for _, s in J.heavy_hitters(children, ["p"])] == [math.ceil(32 * math.ceil(rows / 3) * 32 / rows)]
+        joined = J.join_per_parent(children, parents, ["p"], ["c"])
+        held = joined.groupBy(F.spark_partition_id().alias("t")).agg(F.count_if(F.col("p") == 0).alias("hot"), F.count("*").alias("n")).collect()
+        assert joined.where("v = 2 * p").count() == rows
+        assert sum(r.hot > 0 for r in held) == 32 and max(r.n for r in held) <= 2 * rows / 32
+        cold = J.join_per_parent(children.where("c % 3 <> 0"), parents, ["p"])
+        assert "_slot" not in cold._jdf.queryExecution().optimizedPlan().toString()
+        assert J.join_per_parent(children, parents.where("p <> 0"), ["p"], ["c"], "left_anti").count() == math.ceil(rows / 3)
+        assert J.join_per_parent(children.where("c < 0"), parents, ["p"]).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_null_keys_of_children_spread_and_match_nothing(spark):
+    children = spark.createDataFrame([(None, i) for i in range(50)] + [(1, 60)], "p long, c long")
+    parents = spark.createDataFrame([(None, "n"), (1, "one")], "p long, v string")
+    found = {r.c: r.v for r in J.join_per_parent(children, parents, ["p"]).collect()}
+    assert found == {**dict.fromkeys(range(50)), 60: "one"}
+
+
 def test_mark_moved_keeps_other_times(spark):
     ledger = spark.createDataFrame(
         [("s", "a", False, None), ("s", "b", True, "2020-01-01"), ("t", "a", False, None)],
