@@ -10,6 +10,8 @@ from gleaner.catalog.registry import query
 from gleaner.catalog.sequence_queries import SPARSE_SQL, sparse_chapters
 from gleaner.operators import joins as J
 from gleaner.operators import offsets as O
+from gleaner.session import scratch_path
+from gleaner.sources.keyed import KeyedTable
 
 
 @query("j01_list_with_counts", """SELECT c_custkey AS id, c_name AS name, coalesce(max(o_orderkey), 0) AS latest, count(o_orderkey) AS "count"
@@ -33,15 +35,32 @@ def j02_urls(spark, d):
     return J.discover_new(table(spark, d, "pages").select("page_id", "url"), known, ["page_id"], ["url"])
 
 
-@query("j03_upsert_fill", """SELECT coalesce(d.doc_id, l.doc_id) AS id, coalesce(CASE WHEN l.quality = 1 THEN 'good ' || l.doc_id END, d.source) AS title,
- coalesce(CASE WHEN l.toxic = 0 THEN CAST(l.toxic AS BIGINT) END, d.n_chars) AS chars FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id""")
-def j03(spark, d):
+_UPSERT_SQL = """SELECT coalesce(d.doc_id, l.doc_id) AS id, coalesce(CASE WHEN l.quality = 1 THEN 'good ' || l.doc_id END, d.source) AS title,
+ coalesce(CASE WHEN l.toxic = 0 THEN CAST(l.toxic AS BIGINT) END, d.n_chars) AS chars FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id"""
+
+
+def _upsert_inputs(spark, d):
     base = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("n_chars").alias("chars"))
     incoming = table(spark, d, "labels").select(
         F.col("doc_id").alias("id"),
         F.when(F.col("quality") == 1, F.concat(F.lit("good "), F.col("doc_id").cast("string"))).alias("title"),
         F.when(F.col("toxic") == 0, F.col("toxic").cast("long")).alias("chars"))
-    return J.upsert_fill(base, incoming, ["id"], ["title", "chars"])
+    return base, incoming
+
+
+@query("j03_upsert_fill", _UPSERT_SQL)
+def j03(spark, d):
+    return J.upsert_fill(*_upsert_inputs(spark, d), ["id"], ["title", "chars"])
+
+
+@query("j03_upsert_buckets", _UPSERT_SQL)
+def j03_buckets(spark, d):
+    """The labels change the buckets of a stored ledger that they belong to."""
+    base, incoming = _upsert_inputs(spark, d)
+    stored = KeyedTable(spark, scratch_path(spark, "ledger"), ["id"], buckets=16)
+    stored.create(base)
+    stored.upsert(incoming, ["title", "chars"])
+    return stored.read()
 
 
 @query("j03_upsert_repeats", """SELECT c.c_custkey AS id, coalesce(arg_max(CASE WHEN e.event_type = 'error' THEN 'event ' || e.event_id END, e.event_id) FILTER (e.event_type = 'error'), any_value(c.c_name)) AS title
@@ -54,14 +73,26 @@ def j03_repeats(spark, d):
     return J.upsert_fill(base, incoming, ["id"], ["title"], order="event_id").join(base.select("id"), "id", "left_semi")
 
 
-@query("j04_mark_moved", f"""WITH {LEDGER_SQL}, moved AS (SELECT DISTINCT doc_id AS id FROM labels WHERE quality = 1)
- SELECT id, in_obsidian OR id IN (SELECT id FROM moved) AS in_obsidian, CASE WHEN id IN (SELECT id FROM moved) THEN '2024-05-06 00:00:00' END AS moved_at FROM ledger""")
+_MOVED_SQL = f"""WITH {LEDGER_SQL}, moved AS (SELECT DISTINCT doc_id AS id FROM labels WHERE quality = 1)
+ SELECT id, in_obsidian OR id IN (SELECT id FROM moved) AS in_obsidian, CASE WHEN id IN (SELECT id FROM moved) THEN '2024-05-06 00:00:00' END AS moved_at FROM ledger"""
+
+
+@query("j04_mark_moved", _MOVED_SQL)
 def j04(spark, d):
     moved = table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))
     done = J.mark_moved(I.ledger(spark, d), moved, ["id"], F.lit("2024-05-06").cast("timestamp"))
     return done.select("id", "in_obsidian", F.date_format("moved_at", "yyyy-MM-dd HH:mm:ss").alias("moved_at"))
 
 
+@query("j04_mark_moved_buckets", _MOVED_SQL)
+def j04_buckets(spark, d):
+    moved = table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))
+    stored = KeyedTable(spark, scratch_path(spark, "ledger"), ["id"], buckets=16)
+    stored.create(I.ledger(spark, d).select("id", "in_obsidian", F.lit(None).cast("timestamp").alias("moved_at")))
+    stored.mark_moved(moved, F.lit("2024-05-06").cast("timestamp"))
+    return stored.read().withColumn("moved_at", F.date_format("moved_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 _LOCAL_SQL = "local AS (SELECT novel_id, num FROM chapters WHERE role = 'user' AND num % 3 <> 0)"
 
 

@@ -14,6 +14,8 @@ from gleaner.operators import ledger as L
 from gleaner.catalog.document_queries import _PAGE_MD, _UNESCAPE
 from gleaner.plans import blogs, bookmarks, docs, feeds, novels, series
 from gleaner.profiles import doc_entries
+from gleaner.session import scratch_path
+from gleaner.sources.keyed import KeyedTable
 
 _RUN = "2024-05-06 00:00:00"
 
@@ -40,7 +42,7 @@ def t01(spark, d):
         "event_id", e["reason"].alias("reason"), e["detail"].alias("detail"), F.length(e["html"]).cast("long").alias("html_chars"))
 
 
-def _apply(spark, d):
+def _outcome_inputs(spark, d):
     """Documents as pending rows; labelled ones have an outcome, the good ones a new title every other time."""
     docs = table(spark, d, "documents")
     n = F.col("doc_id").cast("string")
@@ -53,7 +55,11 @@ def _apply(spark, d):
         F.col("doc_id").alias("id"), F.when(good & (F.col("toxic") == 0), F.concat(F.lit("New "), n)).alias("title"),
         F.lit("someone").alias("author"), F.lit(10).cast("long").alias("word_count"), F.lit(60).cast("long").alias("char_count"),
         F.concat(F.lit("notes/"), n, F.lit(".md")).alias("file_path"), F.when(~good, error).alias("error"))
-    return L.apply_outcomes(ledger, outcomes, ["id"], _run_ts())
+    return ledger, outcomes
+
+
+def _apply(spark, d):
+    return L.apply_outcomes(*_outcome_inputs(spark, d), ["id"], _run_ts())
 
 
 _APPLIED_SQL = """applied AS (SELECT d.doc_id AS id, d.source, CASE l.quality WHEN 1 THEN 'downloaded' WHEN 0 THEN 'failed' ELSE 'pending' END AS status,
@@ -68,6 +74,16 @@ def t02(spark, d):
         "id", "status", "title", "file_path", "word_count", F.date_format("downloaded_at", "yyyy-MM-dd HH:mm:ss").alias("downloaded_at"), "error_detail")
 
 
+@query("t02_apply_outcomes_buckets", f"WITH {_APPLIED_SQL} SELECT id, status, title, file_path, word_count, downloaded_at, error_detail FROM applied")
+def t02_buckets(spark, d):
+    ledger, outcomes = _outcome_inputs(spark, d)
+    stored = KeyedTable(spark, scratch_path(spark, "ledger"), ["id"], buckets=16)
+    stored.create(L.apply_outcomes(ledger, outcomes.where("false"), ["id"], _run_ts()))  # all columns of a ledger
+    stored.apply_outcomes(outcomes, _run_ts())
+    return stored.read().select(
+        "id", "status", "title", "file_path", "word_count", F.date_format("downloaded_at", "yyyy-MM-dd HH:mm:ss").alias("downloaded_at"), "error_detail")
+
+
 @query("t03_set_status", "SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'hiatus' ELSE 'ongoing' END AS status FROM customer")
 def t03(spark, d):
     novels_in = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment", F.lit("ongoing").alias("status"))

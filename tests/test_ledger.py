@@ -10,6 +10,7 @@ from gleaner.operators import joins as J
 from gleaner.operators import ledger as L
 from gleaner.operators import selection as S
 from gleaner.plans import blogs, bookmarks, novels
+from gleaner.sources.keyed import KeyedTable
 
 
 def test_discover_new_is_unique_and_unknown(spark):
@@ -154,3 +155,43 @@ def test_bookmark_discovery_routes_only_new(spark):
     kept, routed = bookmarks.discover_bookmarks(items, ledger, feed)
     assert {r["raindrop_id"]: r["status"] for r in kept.collect()} == {2: "skipped_medium", 3: "pending"}
     assert [(r["slug"], r["username"]) for r in routed.collect()] == [("p-2", "u")]
+
+
+def _files(folder):
+    return {str(f.relative_to(folder)): (f.stat().st_size, f.stat().st_mtime_ns) for f in folder.rglob("*.parquet")}
+
+
+def test_change_reads_and_writes_its_buckets_only(spark, tmp_path, monkeypatch):
+    rows = spark.range(4000).select(F.col("id"), F.concat(F.lit("t"), F.col("id")).alias("title"), F.lit(None).cast("long").alias("n"))
+    ledger = KeyedTable(spark, str(tmp_path / "ledger"), ["id"], buckets=32)
+    ledger.create(rows)
+    before, opened, read = _files(tmp_path / "ledger"), [], ledger.read
+
+    def noted(buckets=None):
+        found = read(buckets)
+        opened.extend(r[0] for r in found.select(F.input_file_name()).distinct().collect())
+        assert "PartitionFilters: [bucket#" in found._jdf.queryExecution().executedPlan().toString()
+        return found
+
+    monkeypatch.setattr(ledger, "read", noted)
+    incoming = spark.createDataFrame([(7, "seven", None), (9000, "new", 5)], "id int, title string, n long")  # an int here, a long there
+    touched = ledger.upsert(incoming, ["title", "n"])
+    monkeypatch.undo()
+    after = _files(tmp_path / "ledger")
+    assert 1 <= len(touched) <= 2 and {f.split("bucket=")[1].split("/")[0] for f in opened} <= {str(b) for b in touched}
+    held = [f for f in before if int(f.split("=")[1].split("/")[0]) not in touched]
+    assert len(held) >= 30 and all(before[f] == after[f] for f in held)
+    assert sum(before[f][0] for f in before if f not in held) < sum(s for s, _ in before.values()) / 8
+    found = {r.id: (r.title, r.n) for r in ledger.read().collect()}
+    assert len(found) == 4001 and found[7] == ("seven", None) and found[9000] == ("new", 5) and found[8] == ("t8", None)
+    assert ledger.upsert(incoming, ["title", "n"]) == touched and {r.id: (r.title, r.n) for r in ledger.read().collect()} == found
+    assert ledger.upsert(incoming.where("false"), ["title", "n"]) == []
+
+
+def test_failed_change_leaves_the_table(spark, tmp_path):
+    ledger = KeyedTable(spark, str(tmp_path / "ledger"), ["id"], buckets=4)
+    ledger.create(spark.range(100).withColumn("v", F.lit("x")))
+    before = _files(tmp_path / "ledger")
+    with pytest.raises(Exception, match="broken"):
+        ledger.change(spark.range(50), lambda old, new: old.withColumn("v", F.when(F.col("id") == 3, F.raise_error(F.lit("broken"))).otherwise("y")))
+    assert _files(tmp_path / "ledger") == before
