@@ -153,14 +153,21 @@ def j07(spark, d):
     return O.detect_offset(targets, observed, k=2)
 
 
-@query("j08_first_success", """SELECT doc_id AS id, CASE WHEN lang = 'en' AND length(text) >= 400 THEN text WHEN lang IN ('en', 'fr') THEN upper(left(text, 50)) WHEN source = 'src1' THEN 'last' END AS content,
+@query("j08_first_success", """SELECT doc_id AS id, CASE WHEN lang = 'en' AND length(text) >= 400 THEN text WHEN lang IN ('en', 'fr') THEN 'service: ' || text WHEN source = 'src1' THEN 'last' END AS content,
  CAST(CASE WHEN lang = 'en' AND length(text) >= 400 THEN 0 WHEN lang IN ('en', 'fr') THEN 1 WHEN source = 'src1' THEN 2 END AS BIGINT) AS origin FROM documents""")
 def j08(spark, d):
     docs = table(spark, d, "documents").withColumnRenamed("doc_id", "id")
-    stored = docs.filter("lang = 'en'").select("id", F.when(F.length("text") >= 400, F.col("text")).alias("content"))
-    service = docs.filter("lang IN ('en', 'fr')").select("id", F.upper(F.left("text", F.lit(50))).alias("content"))
-    page = docs.filter("source = 'src1'").select("id", F.lit("last").alias("content"))
-    return J.first_success(docs.select("id"), "id", stored, service, page).withColumn("origin", F.col("origin").cast("long"))
+
+    def stored(items):
+        return items.filter("lang = 'en'").select("id", F.when(F.length("text") >= 400, F.col("text")).alias("content"))
+
+    def service(items):
+        return items.filter("lang IN ('en', 'fr')").select("id", F.concat(F.lit("service: "), "text").alias("content"))
+
+    def page(items):
+        return items.filter("source = 'src1'").select("id", F.lit("last").alias("content"))
+
+    return J.first_success(docs, "id", stored, service, page).select("id", "content", F.col("origin").cast("long").alias("origin"))
 
 
 def _bookmarks(spark, d):

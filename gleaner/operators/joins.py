@@ -8,6 +8,7 @@ parent may own a large share of all children: ``join_per_parent`` finds and spre
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ from gleaner import values as V
 from gleaner.functions import text as T
 from gleaner.functions import urls as U
 from gleaner.operators.sequences import dedup_first
+from gleaner.session import written
 
 #: Keys that the sketch of heavy hitters follows; its counts are off by a ten-thousandth of all rows or so.
 TRACKED = 20_000
@@ -122,22 +124,19 @@ def newer_than_local(
     return joined.filter(F.col(num) > F.coalesce("_high", F.lit(0))).drop("_high")
 
 
-def first_success(items: DataFrame, key: str, *sources: DataFrame) -> DataFrame:
-    """``items`` with ``content`` and ``origin`` of the first source that has usable content.
+def first_success(items: DataFrame, key: str, *sources: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``items`` (unique keys) with ``content`` and ``origin`` of the first source that has usable content.
 
-    Every source is ``(key, content)`` after its own gate; null content is no success.
-    One aggregate over the union replaces a chain of joins.
+    Each source takes the items that no earlier one served and gives ``(key, content)`` after its own gate;
+    null content is no success, and of several contents for one key the one that sorts first counts. What a
+    source served is written once, so a later source reads and converts the misses only.
     """
-    ranked = [
-        s.select(key, F.lit(rank).alias("rank"), T.one_if(F.col("content"), lambda c: c.isNotNull()).alias("content"))
-        for rank, s in enumerate(sources)
-    ]
-    best = (
-        reduce(DataFrame.unionByName, ranked).groupBy(key)
-        .agg(F.min_by(F.struct("content", F.col("rank").alias("origin")), "rank").alias("best"))
-        .select(key, "best.content", "best.origin")
-    )
-    return items.join(best, key, "left")
+    served: list[DataFrame] = []
+    for rank, source in enumerate(sources):
+        missing = reduce(lambda rows, hits: rows.join(hits.select(key), key, "left_anti"), served, items)
+        found = source(missing).where(F.col("content").isNotNull()).groupBy(key).agg(F.min("content").alias("content"))
+        served.append(written(found.withColumn("origin", F.lit(rank)), f"served-{rank}"))
+    return items.join(reduce(DataFrame.unionByName, served), key, "left")
 
 
 def route_items(

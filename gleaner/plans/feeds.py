@@ -31,13 +31,19 @@ def read_posts(posts: DataFrame, paragraphs: DataFrame, pages: DataFrame) -> Dat
     """``posts(slug, url, content_html)`` with ``content`` and ``origin``: stored text, paragraph list, page.
 
     ``paragraphs(post_id, body)`` and ``pages(url, html)`` hold what was fetched; a
-    page counts only with an article element.
+    page counts only with an article element. Paragraph lists and pages are converted for posts without earlier content only.
     """
-    stored = _converted(posts.filter("content_html IS NOT NULL").select("slug", "content_html"), "content_html", "article")
-    listed = posts.select("slug", U.post_id("url").alias("post_id")).join(paragraphs, "post_id").select(
-        "slug", paragraphs_markdown("body").alias("content"))
-    fetched = _converted(
-        posts.select("slug", "url").join(pages, "url").filter(F.col("html").rlike(r"(?i)<article\b")), "html", "article_page")
+    def stored(open_posts: DataFrame) -> DataFrame:
+        return _converted(open_posts.filter("content_html IS NOT NULL").select("slug", "content_html"), "content_html", "article")
+
+    def listed(open_posts: DataFrame) -> DataFrame:
+        return open_posts.select("slug", U.post_id("url").alias("post_id")).join(paragraphs, "post_id").select(
+            "slug", paragraphs_markdown("body").alias("content"))
+
+    def fetched(open_posts: DataFrame) -> DataFrame:
+        found = open_posts.select("slug", "url").join(pages, "url")
+        return _converted(found.filter(F.col("html").rlike(r"(?i)<article\b")), "html", "article_page")
+
     return first_success(posts, "slug", stored, listed, fetched)
 
 

@@ -1,8 +1,10 @@
 """Ledger joins, state changes and whole runs on small inputs."""
 
 import math
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators import aggregates as A
@@ -67,6 +69,23 @@ def test_null_keys_of_children_spread_and_match_nothing(spark):
     assert found == {**dict.fromkeys(range(50)), 60: "one"}
 
 
+def test_later_sources_see_misses_only(spark):
+    items = spark.range(40).withColumnRenamed("id", "k")
+    asked = []
+
+    def source(keep, name, repeat=1):
+        def read(rows):
+            asked.append(sorted(r.k for r in rows.collect()))
+            content = F.when(keep, F.concat(F.lit(name), F.col("k")))
+            return reduce(DataFrame.unionByName, [rows.select("k", content.alias("content"))] * repeat)
+        return read
+
+    found = J.first_success(items, "k", source(F.col("k") < 10, "a"), source(F.col("k") % 2 == 0, "b", repeat=2), source(F.col("k") == 11, "c"))
+    rows = {r.k: (r.content, r.origin) for r in found.collect()}
+    assert asked == [list(range(40)), list(range(10, 40)), list(range(11, 40, 2))]
+    assert found.count() == 40 and rows[4] == ("a4", 0) and rows[12] == ("b12", 1) and rows[11] == ("c11", 2) and rows[13] == (None, None)
+
+
 def test_mark_moved_keeps_other_times(spark):
     ledger = spark.createDataFrame(
         [("s", "a", False, None), ("s", "b", True, "2020-01-01"), ("t", "a", False, None)],
