@@ -209,6 +209,26 @@ def s15(spark, d):
     return tables.vault_rows(files).drop("path")
 
 
+@query("s15_scan_vault", f"WITH {CHAPTERS_SQL} SELECT 'The Story Of ' || novel_id AS novel, num, 'imported' AS site, true AS in_obsidian FROM chapters")
+def s15_scan(spark, d):
+    """Every chapter's note as a file of a vault, and the vault scanned for its chapters."""
+    folder, vault = T.folder_name("name"), scratch_path(spark, "vault")
+    notes = I.chapters(spark, d).select(
+        F.concat(folder, F.lit("/"), T.chapter_file(folder, "num")).alias("path"), F.col("text").alias("content"))
+    tables.write_note_files(notes, vault)
+    return tables.scan_vault(spark, vault).select("novel", "num", "site", "in_obsidian")
+
+
+@query("s16_note_files", "SELECT source || '/' || doc_id || '.md' AS path, coalesce(text, '') AS content FROM documents")
+def s16_files(spark, d):
+    """Every document as a file of its source's folder, read back whole."""
+    notes = table(spark, d, "documents").select(
+        F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"))
+    path = scratch_path(spark, "note-files")
+    tables.write_note_files(notes, path)
+    return tables.read_note_files(spark, path)
+
+
 @query("s16_write_notes", "SELECT source, 'notes/' || doc_id || '.md' AS path, '# ' || doc_id || chr(10) || chr(10) || text || chr(10) AS content FROM documents")
 def s16(spark, d):
     """Write every document's note by source, then read the table back."""

@@ -7,6 +7,7 @@ path, and logs only append.
 from __future__ import annotations
 
 import os
+import tempfile
 from collections.abc import Iterable
 from itertools import groupby
 
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import extract
+from gleaner.sources.note_files import folder_of, inside, read_note_files, write_note_files  # noqa: F401 - note files are a sink like the others here
 
 
 def read_ledger(spark: SparkSession, path: str, source: str | None = None, schema: str | None = None) -> DataFrame:
@@ -47,38 +49,22 @@ def write_notes(notes: DataFrame, path: str) -> None:
     _by_source(notes.select("source", "path", "content")).write.partitionBy("source").parquet(path)
 
 
-def _target(root: str, path: str) -> str:
-    """Place of a note below the root; a path that leads out of it raises."""
-    target = os.path.normpath(os.path.join(root, path))
-    if not target.startswith(os.path.normpath(root) + os.sep):
-        raise ValueError(f"the path {path!r} leaves the folder")
-    os.makedirs(os.path.dirname(target), exist_ok=True)
-    return target
-
-
-def write_note_files(notes: DataFrame, root: str) -> None:
-    """One file per note below ``root``, a folder that every executor can reach.
+def write_line_files(lines: DataFrame, root: str, sep: str = "\n") -> None:
+    """One file per ``path`` of ``lines(path, ord, line)``, its lines in order, as one stream of any length.
 
-    A retried task writes the same bytes again, so that a lost executor does no harm.
+    A file takes its place when it is complete; a task that is killed leaves no half file there.
     """
-
-    def save(rows: Iterable) -> None:
-        for row in rows:
-            with open(_target(root, row["path"]), "w", encoding="utf-8") as file:
-                file.write(row["content"])
-
-    notes.select("path", "content").foreachPartition(save)
-
-
-def write_line_files(lines: DataFrame, root: str, sep: str = "\n") -> None:
-    """One file per ``path`` of ``lines(path, ord, line)``, its lines in order, as one stream of any length."""
+    root = folder_of(root)
 
     def save(rows: Iterable) -> None:
         for path, own in groupby(rows, key=lambda r: r["path"]):
-            with open(_target(root, path), "w", encoding="utf-8") as file:
+            target = inside(root, path)
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            with tempfile.NamedTemporaryFile("w", encoding="utf-8", dir=os.path.dirname(target), prefix=".", delete=False) as file:
                 for i, row in enumerate(own):
                     file.write((sep if i else "") + row["line"])
                 file.write("\n")
+            os.replace(file.name, target)
 
     lines.select("path", "ord", "line").repartition("path").sortWithinPartitions("path", "ord").foreachPartition(save)
 
@@ -96,11 +82,8 @@ def vault_rows(files: DataFrame) -> DataFrame:
 
 def scan_vault(spark: SparkSession, root: str) -> DataFrame:
     """Chapter files of a vault folder; only names are read, no contents."""
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "[0-9][0-9][0-9][0-9] - *.md")
-        .option("recursiveFileLookup", "true").load(root)
-    )
-    return vault_rows(files.select("path"))
+    names = read_note_files(spark, root, contents=False)
+    return vault_rows(names.select(F.concat(F.lit(f"{root.rstrip('/')}/"), "path").alias("path")))
 
 
 def to_json_report(frame: DataFrame) -> DataFrame:

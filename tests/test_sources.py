@@ -165,3 +165,29 @@ def test_registered_site(spark):
             "GCP/a/b", "GCP/a", "My Docs/GCP/a/b.md", ["clippings", "documentation", "mine", "gcp"])
     finally:
         del SITES["mine"]
+
+
+def test_failed_write_leaves_no_file(spark, tmp_path):
+    tables.write_note_files(spark.createDataFrame([("a/one.md", "old")], "path string, content string"), str(tmp_path))
+    rows = spark.range(200).select(
+        F.concat(F.lit("a/"), F.col("id"), F.lit(".md")).alias("path"),
+        F.when(F.col("id") == 150, F.raise_error(F.lit("broken"))).otherwise("text").alias("content"))
+    with pytest.raises(Exception, match="broken"):
+        tables.write_note_files(rows.repartition(4, "path"), str(tmp_path))
+    with pytest.raises(Exception, match="leaves the folder"):
+        tables.write_note_files(spark.createDataFrame([("../up.md", "x"), ("b.md", "y")], "path string, content string"), str(tmp_path))
+    assert sorted(str(f.relative_to(tmp_path)) for f in tmp_path.rglob("*") if f.is_file()) == ["a/one.md"]
+
+
+def test_note_files_round_trip(spark, tmp_path):
+    rows = [(f"hot/{i}.md", f"line\r\n{i}\n") for i in range(60)] + [("top.md", None), ("deep/er/x.md", "ä"), ("deep/skip.txt", "no note")]
+    root = f"file:{tmp_path}"
+    tables.write_note_files(spark.createDataFrame(rows, "path string, content string").repartition(5), root)
+    tables.write_note_files(spark.createDataFrame([("top.md", "new")], "path string, content string"), root)
+    read = tables.read_note_files(spark, root)
+    assert {tuple(r) for r in read.collect()} == {(p, c) for p, c in rows if p.endswith(".md") and p != "top.md"} | {("top.md", "new")}
+    assert {r.content for r in tables.read_note_files(spark, root, contents=False).collect()} == {None}
+    assert sum(r["count"] > 0 for r in read.where("path like 'hot/%'").groupBy(F.spark_partition_id()).count().collect()) == 4
+    assert not list(tmp_path.glob("_writing"))
+    with pytest.raises(ValueError, match="mounted"):
+        tables.write_note_files(read, "s3a://bucket/x")
