@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 from html.entities import html5
 
@@ -158,22 +159,59 @@ def anchors(html: Column | str) -> Column:
     )
 
 
+def remove_elements(html: Column | str, gone: Callable[[Column, Column], Column]) -> Column:
+    """The text without the elements that ``gone(start tag, its name)`` names, with all that stands in them.
+
+    The text is cut before every tag. An element ends at the end tag of its name behind which as many elements
+    of that name have ended as have started; one that never ends stays. Tags that end in ``/>`` start nothing.
+    """
+    def cut(pieces: Column) -> Column:
+        def mark(piece: Column, at: Column) -> Column:
+            tag = F.regexp_extract(piece, rf"(?is)^</?[a-z]{_REST}>", 0)
+            name = F.when(~tag.endswith("/>"), F.lower(F.regexp_extract(tag, r"^</?([^\s/>]+)", 1)))
+            return F.struct(at.alias("at"), name.alias("name"), tag.startswith("</").alias("ends"), tag.alias("tag"))
+
+        def end_of(start: Column, marks: Column) -> Column:
+            same = F.filter(marks, lambda m: (m["at"] >= start["at"]) & (m["name"] == start["name"]))
+            places = F.filter(F.transform(same, lambda m, i: F.struct(m["at"].alias("at"), m["ends"].alias("ends"), i.alias("i"))), lambda m: m["ends"])
+            # before the b-th end tag, from 0, stand b others; the depth behind it is its place less 2 b + 1
+            closing = F.filter(F.transform(places, lambda m, b: F.when(m["i"] == 2 * b + 1, m["at"])), lambda x: x.isNotNull())
+            return F.struct(start["at"].alias("start"), F.get(closing, F.lit(0)).alias("end"))
+
+        def drop(ranges: Column) -> Column:
+            def keep(piece: Column, at: Column) -> Column:
+                inside = F.exists(ranges, lambda r: (at >= r["start"]) & (at < r["end"]))
+                closes = F.exists(ranges, lambda r: at == r["end"])
+                return F.when(inside, "").when(closes, F.regexp_replace(piece, r"(?s)^</[^>]*>", "")).otherwise(piece)
+
+            return F.array_join(F.transform(pieces, keep), "")
+
+        def ranges_of(marks: Column) -> Column:
+            starts = F.filter(marks, lambda m: ~m["ends"] & gone(m["tag"], m["name"]))
+            found = F.transform(starts, lambda start: end_of(start, marks))
+            return F.filter(found, lambda r: r["end"].isNotNull())
+
+        return let(let(F.transform(pieces, mark), ranges_of), drop)
+
+    return let(F.split(as_col(html), rf"(?is)(?=</?[a-z]{_REST}>)", -1), cut)
+
+
 def remove_chrome(
     html: Column | str,
     tags: tuple[str, ...] = ("nav", "footer", "aside", "script", "style", "noscript", "svg"),
     ids: tuple[str, ...] = (),
     classes: tuple[str, ...] = (),
 ) -> Column:
-    """Delete flat chrome elements by tag, id or exact class (nested chrome: markdown job)."""
-    result = as_col(html)
-    for tag in tags:
-        result = F.regexp_replace(result, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", "")
-    for name in ids:
-        result = F.regexp_replace(
-            result, rf"""(?is)<(\w+)(?=\s)[^>]*?\sid\s*=\s*(?:"{name}"|'{name}'|{name}(?=[\s>/]))[^>]*>.*?</\1\s*>""", "")
-    for name in classes:
-        result = F.regexp_replace(result, rf"(?is)<(\w+)(?=\s)[^>]*?{with_class(name)}[^>]*>.*?</\1\s*>", "")
-    return result
+    """Delete chrome elements by tag, id or exact class, with all elements that stand in them."""
+    def gone(tag: Column, name: Column) -> Column:
+        found = name.isin(*tags) if tags else F.lit(False)
+        if ids:
+            found |= attribute(tag, "id").isin(*ids)
+        if classes:
+            found |= F.arrays_overlap(F.split(attribute(tag, "class"), r"\s+"), F.array(*map(F.lit, classes)))
+        return F.coalesce(found, F.lit(False))
+
+    return remove_elements(html, gone)
 
 
 # -- inline markup ----------------------------------------------------------------

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gleaner import values as V
 from gleaner.functions import text as T
 from gleaner.functions import urls as U
-from gleaner.operators.sequences import dedup_first
+from gleaner.operators.sequences import dedup_first, fetch_rows, first_rows
 from gleaner.session import written
 
 #: Keys that the sketch of heavy hitters follows; its counts are off by a ten-thousandth of all rows or so.
@@ -82,8 +82,15 @@ def difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def discover_new(entries: DataFrame, ledger: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Entries not in the ledger, first of each key, as pending rows."""
-    fresh = difference(dedup_first(entries, keys, order), ledger, keys)
+    """Entries not in the ledger, first of each key, as pending rows.
+
+    Only keys, orders and row numbers meet the ledger; other columns are fetched for the new rows.
+    """
+    if set(entries.columns) <= {*keys, *order}:
+        fresh = difference(dedup_first(entries, keys, order), ledger, keys)
+    else:
+        rows, first = first_rows(entries, keys, order)
+        fresh = fetch_rows(rows, difference(first, ledger, keys))
     return fresh.withColumn("status", F.lit(V.PENDING))
 
 

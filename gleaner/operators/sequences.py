@@ -14,16 +14,34 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import notes as N
 from gleaner.functions import text as T
-from gleaner.session import checkpoint_dir
+from gleaner.session import checkpoint_dir, written
 
 def dedup_first(entries: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """First row of each key in encounter order; repeats merge before the shuffle."""
-    rest = [c for c in entries.columns if c not in keys]
-    if rest == order and len(order) == 1:
+    """First row of each key in encounter order; of equal orders the least by a hash of the row.
+
+    Repeats merge before the shuffle. Where rows hold more than key and order they are written once with a row
+    number; keys, orders and numbers alone are reduced, and only the first rows' other columns are fetched.
+    """
+    rest = [c for c in entries.columns if c not in [*keys, *order]]
+    if not rest and len(order) == 1:
         return entries.groupBy(*keys).agg(F.min(order[0]).alias(order[0])).select(*entries.columns)
-    first = F.min(F.struct(*order, *[c for c in rest if c not in order])).alias("first")
-    reduced = entries.groupBy(*keys).agg(first)
-    return reduced.select(*[F.col(c) if c in keys else F.col(f"first.{c}").alias(c) for c in entries.columns])
+    if not rest:
+        first = entries.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
+        return first.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in entries.columns])
+    rows, first = first_rows(entries, keys, order)
+    return fetch_rows(rows, first)
+
+
+def first_rows(entries: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``(rows, first)``: the written entries with ``_row``, and the keys with the ``_row`` of their first entry."""
+    rest = [c for c in entries.columns if c not in [*keys, *order]]
+    rows = written(entries.withColumns({"_tie": F.xxhash64(*rest), "_row": F.monotonically_increasing_id()}), "entries")
+    return rows, rows.groupBy(*keys).agg(F.min(F.struct(*order, "_tie", "_row")).alias("_first")).select(*keys, "_first._row")
+
+
+def fetch_rows(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """The written rows that ``first`` numbers; a row number spreads evenly, whatever its key."""
+    return rows.join(first.select("_row"), "_row", "left_semi").drop("_tie", "_row")
 
 
 def segments(rows: DataFrame, by: list[str]) -> DataFrame:

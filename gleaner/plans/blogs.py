@@ -17,11 +17,15 @@ from gleaner.sources.payloads import typed_payloads
 from gleaner.sources.sitemaps import expand_sitemaps
 
 
+#: Entries in the order of a walk through the sitemaps.
+ENCOUNTER = ["path", "ord", "sitemap"]
+
+
 def discover_posts(docs: DataFrame, roots: DataFrame, ledger: DataFrame, keywords: list[str], prefix: str) -> DataFrame:
     """Posts of all reachable sitemaps that the ledger does not know, as pending rows."""
     entries = expand_sitemaps(docs, roots, keywords).filter(U.is_post_url("url", prefix))
-    slugged = entries.select(U.slug_dated("url", prefix).alias("slug"), "url", "sitemap", "ord")
-    fresh = discover_new(slugged, ledger, ["slug"], ["sitemap", "ord"])
+    slugged = entries.select(U.slug_dated("url", prefix).alias("slug"), "url", "path", "ord", "sitemap")
+    fresh = discover_new(slugged, ledger, ["slug"], ENCOUNTER)
     return fresh.select("slug", "url", F.lit("blog").alias("content_type"), "status")
 
 
@@ -29,7 +33,7 @@ def discover_glossary(docs: DataFrame, roots: DataFrame, ledger: DataFrame, pref
     """English glossary pages that the ledger does not know, as pending rows."""
     entries = expand_sitemaps(docs, roots).filter(U.english_glossary("url", prefix))
     slug = F.concat(F.lit("glossary-"), F.btrim(F.replace(F.col("url"), F.lit(prefix), F.lit("")), F.lit("/")))
-    fresh = discover_new(entries.select(slug.alias("slug"), "url", "sitemap", "ord"), ledger, ["slug"], ["sitemap", "ord"])
+    fresh = discover_new(entries.select(slug.alias("slug"), "url", "path", "ord", "sitemap"), ledger, ["slug"], ENCOUNTER)
     return fresh.select("slug", "url", F.lit("glossary").alias("content_type"), "status")
 
 

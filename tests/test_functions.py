@@ -196,6 +196,21 @@ def test_table_pads_and_escapes(one):
     assert one(H.table_markdown("t"), t=html) == "| A | B |\n| --- | --- |\n| x\\|y |  |"
 
 
+def test_nested_chrome_ends_with_its_own_end_tag(one):
+    def cut(html, **names):
+        return one(H.remove_chrome("x", names.get("tags", ()), names.get("ids", ()), names.get("classes", ())), x=html)
+
+    assert cut('a<div class="ad"><div><DIV>1</DIV></div>2<div/>3</div>b<div>c</div>', classes=("ad",)) == "ab<div>c</div>"
+    assert cut("<nav><ul><nav>x</nav></ul></nav>y<nav>z</nav>", tags=("nav",)) == "y"
+    assert cut('<p id=k>1<div id="k">2<p>3</p></div></p>4', ids=("k",)) == "4"
+    assert cut('<div class="side"><span>never ends<div></div>', classes=("side",)) == '<div class="side"><span>never ends<div></div>'
+    assert cut('1<i class="ad">2<div class="ad">3</i>4</div>5', classes=("ad",)) == "15"
+    assert cut("no tags < here", tags=("nav",)) == "no tags < here" and cut("", tags=("nav",)) == ""
+    assert one(H.remove_chrome(F.lit(None).cast("string"), ("nav",))) is None
+    deep = "<div>" * 300
+    assert cut(f'<div class="ad">{deep}x{"</div>" * 300}</div>y', classes=("ad",)) == "y"
+
+
 def test_mdx_clean(one):
     text = "<Tip>\n a\n b\n</Tip>\n<Warning>open\n<Tabs><Tab title=\"One\">x</Tab></Tabs>\n<br>"
     assert one(H.mdx_clean("t"), t=text) == "> [!TIP]\n> a\n>  b\nopen\n#### One\n\nx\n<br>"

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
+from gleaner.operators.joins import discover_new
+from gleaner.plans import blogs
 from gleaner.profiles import SITES, SiteProfile, doc_entries, register_site
 from gleaner.sources import feeds, links, payloads, sitemaps, tables, trees
 
@@ -63,6 +65,28 @@ def test_feed_dates_fall_back_to_updated(spark):
     assert [str(r["updated_date"]) for r in rows] == ["2024-03-04", "None"]
 
 
+def test_entries_come_in_the_order_of_the_walk(spark):
+    def index(url, *locs):
+        return url, "<sitemapindex>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in locs) + "</sitemapindex>"
+
+    def urls(url, *locs):
+        return url, "<urlset>" + "".join(f"<url><loc>{x}</loc></url>" for x in locs) + "</urlset>"
+
+    post = "https://b.com/blog/"
+    docs = _docs(spark, index("r", "z", "m", "deep"), index("deep", "a"), urls("z", post + "one", post + "two/"),
+                 urls("m", post + "two", post + "one/"), urls("a", post + "three", post + "one?x"), index("r2", "m"))
+    roots = spark.createDataFrame([("r2", 5), ("r", 1)], "url string, ord int")
+    entries = sitemaps.expand_sitemaps(docs, roots).orderBy("path", "ord").collect()
+    assert [(r.sitemap, r.path, r.ord) for r in entries] == [
+        ("z", [1, 0], 0), ("z", [1, 0], 1), ("m", [1, 1], 0), ("m", [1, 1], 1), ("a", [1, 2, 0], 0), ("a", [1, 2, 0], 1)]
+    found = sitemaps.expand_sitemaps(docs, roots).select(F.regexp_extract("url", "blog/([a-z]+)", 1).alias("slug"), "url", "path", "ord", "sitemap")
+    ledger = spark.createDataFrame([("three",)], "slug string")
+    new = discover_new(found, ledger, ["slug"], blogs.ENCOUNTER)
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert {(r.slug, r.url) for r in new.collect()} == {("one", post + "one"), ("two", post + "two/")}  # by path; the sitemap's name would say "a"
+    assert not any("url" in line.split("functions=")[-1] for line in plan.splitlines() if "SortAggregate" in line)
+
+
 def test_page_tree_beyond_three_levels(spark):
     def page(name, *children):
         return {"type": "page", "href": f"/en/{name}", "label": name, "children": list(children)}
