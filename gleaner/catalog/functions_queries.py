@@ -252,7 +252,7 @@ def f25(spark, d):
     ELSE 'author:' || chr(10) || '  - "[[' || lang || ']]"' || chr(10) || '  - "[[' || source || ']]"' || chr(10) END
  || CASE WHEN doc_id % 2 = 0 THEN 'published: 2024-02-03' || chr(10) ELSE '' END
  || 'created: 2024-05-06' || chr(10)
- || CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'description: "' || replace(left(text, 40), '"', '\"') || '"' || chr(10) END
+ || CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'description: "' || replace(text, '"', '\"') || '"' || chr(10) END
  || 'tags:' || chr(10) || '  - "clippings"' || chr(10) || '  - "' || source || '"' || chr(10) || '---' AS head FROM documents""")
 def f26(spark, d):
     n = F.col("doc_id").cast("string")
@@ -265,7 +265,7 @@ def f26(spark, d):
         tags=F.array(F.lit("clippings"), "source"),
         authors=F.when(kind == 0, none).when(kind == 1, F.array("lang")).otherwise(F.array("lang", "source")),
         published=F.when(F.col("doc_id") % 2 == 0, F.lit("2024-02-03")),
-        description=F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.left("text", F.lit(40))),
+        description=F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text")),
     ).alias("head"))
 
 

@@ -63,14 +63,14 @@ def j03_buckets(spark, d):
     return stored.read()
 
 
-@query("j03_upsert_repeats", """SELECT c.c_custkey AS id, coalesce(arg_max(CASE WHEN e.event_type = 'error' THEN 'event ' || e.event_id END, e.event_id) FILTER (e.event_type = 'error'), any_value(c.c_name)) AS title
- FROM customer c LEFT JOIN events e ON c.c_custkey = e.user_id GROUP BY c.c_custkey""")
+@query("j03_upsert_repeats", """WITH last AS (SELECT user_id, arg_max('event ' || event_id, event_id) FILTER (event_type = 'error') AS title FROM events GROUP BY user_id)
+ SELECT coalesce(c.c_custkey, l.user_id) AS id, coalesce(l.title, c.c_name) AS title FROM customer c FULL JOIN last l ON c.c_custkey = l.user_id""")
 def j03_repeats(spark, d):
     """Many events of one item in a batch: the last present value counts."""
     base = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"))
     title = F.when(F.col("event_type") == "error", F.concat(F.lit("event "), F.col("event_id").cast("string")))
     incoming = table(spark, d, "events").select(F.col("user_id").alias("id"), title.alias("title"), "event_id")
-    return J.upsert_fill(base, incoming, ["id"], ["title"], order="event_id").join(base.select("id"), "id", "left_semi")
+    return J.upsert_fill(base, incoming, ["id"], ["title"], order="event_id")
 
 
 _MOVED_SQL = f"""WITH {LEDGER_SQL}, moved AS (SELECT DISTINCT doc_id AS id FROM labels WHERE quality = 1)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner import values as V
@@ -10,6 +13,7 @@ from gleaner.catalog.functions_queries import SERIES_SQL, series_titles
 from gleaner.catalog.inputs import CHAPTERS_SQL, LEDGER_SQL, table
 from gleaner.catalog.registry import query
 from gleaner.functions import text as T
+from gleaner.functions import urls as U
 from gleaner.operators import ledger as L
 from gleaner.catalog.document_queries import _PAGE_MD, _UNESCAPE
 from gleaner.plans import blogs, bookmarks, docs, feeds, novels, series
@@ -179,6 +183,113 @@ def run_blog_ledger(spark, d):
     return blogs.record_run(ledger, read, _run_ts()).select("slug", "status", "title")
 
 
+@query("run_blog_fallback", """SELECT 'post-' || doc_id AS slug, CASE WHEN lang = 'en' AND doc_id % 7 = 0 OR length(trim(text, chr(10) || ' ')) < 100 THEN 'failed' ELSE 'downloaded' END AS status,
+ CASE WHEN NOT (lang = 'en' AND doc_id % 7 = 0 OR length(trim(text, chr(10) || ' ')) < 100) THEN CASE WHEN lang = 'en' THEN 'Article ' ELSE 'Term ' END || doc_id END AS title FROM documents""")
+def run_blog_fallback(spark, d):
+    """A third of the posts lies at the first data address, a third at the second one, a third has a broken first one."""
+    n = F.col("doc_id").cast("string")
+    slug = F.concat(F.lit("post-"), n)
+    pending = table(spark, d, "documents").select(
+        slug.alias("slug"), F.concat(F.lit(V.BLOG_PREFIX), slug).alias("url"),
+        F.when(F.col("lang") == "en", "blog").otherwise("glossary").alias("content_type"), "doc_id")
+    old = F.concat(F.lit("https://example.com/"), n).alias("old")
+    typed = pending.select("url", "content_type", "doc_id", old)
+    good = reduce(DataFrame.unionByName, [
+        typed.filter(F.col("content_type") == kind).join(payloads.withColumnRenamed("url", "old"), "old")
+        for kind, payloads in (("blog", I.article_payloads(spark, d)), ("glossary", I.glossary_payloads(spark, d)))])
+    first, second = (F.get(U.json_endpoint_candidates("url"), F.lit(i)) for i in (0, 1))
+    fetched = good.select(F.when(F.col("doc_id") % 3 == 0, first).otherwise(second).alias("data_url"), "body").unionByName(
+        typed.filter("doc_id % 3 = 2").select(first.alias("data_url"), F.lit("{").alias("body")))
+    pending = pending.drop("doc_id")
+    read = blogs.read_payloads(pending, blogs.choose_payloads(pending, fetched), F.lit("2024-05-06"))
+    ledger = pending.withColumns({"status": F.lit(V.PENDING), "title": F.lit(None).cast("string")})
+    return blogs.record_run(ledger, read, _run_ts()).select("slug", "status", "title")
+
+
+@query("run_second_blog_discovery", """WITH posts AS (SELECT DISTINCT 'post-' || (page_id // 2) AS slug FROM pages WHERE contains(url, '//blog.'))
+ SELECT slug, 'https://www.snowflake.com/en/blog/' || slug AS url, 'pending' AS status FROM posts WHERE slug NOT IN (SELECT 'post-' || item_id * 3 FROM benchmark)""")
+def run_second_blog_discovery(spark, d):
+    """The first entry point leads to news only, a missing one to nothing, the third to all sitemaps."""
+    docs = I.sitemap_docs(spark, d, post_prefix=V.SECOND_BLOG_PREFIXES[0])
+    roots = docs.filter(F.col("url").contains("/root-"))
+    every = roots.agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.collect_list(
+        F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc></sitemap>"))), ""), F.lit("</sitemapindex>")).alias("body"))
+    docs = docs.unionByName(every.select(F.lit("https://www.example.com/all.xml").alias("url"), "body"))
+    ledger = table(spark, d, "benchmark").select(F.concat(F.lit("post-"), (F.col("item_id") * 3).cast("string")).alias("slug"))
+    entries = ["https://www.example.com/none.xml", "https://www.example.com/all.xml", "https://www.example.com/root-news-0.xml"]
+    return blogs.discover_second_posts(docs, entries, ledger)
+
+
+@query("run_second_blog_ledger", f"""WITH {_PAGE_MD}, r AS (SELECT md.page_id, h1, content, p.html FROM md JOIN paras USING (page_id) JOIN pages p USING (page_id)),
+ good AS (SELECT *, page_id % 5 <> 0 AND length(content) >= 100 AS ok FROM r)
+ SELECT 'post-' || page_id AS slug, CASE WHEN ok THEN 'downloaded' ELSE 'failed' END AS status,
+ CASE WHEN ok THEN coalesce(nullif(trim({_UNESCAPE.format('h1')}), ''), nullif(trim({_UNESCAPE.format("regexp_extract(html, '<title>(.*?)</title>', 1)")}), '')) END AS title,
+ CASE WHEN ok THEN CAST(length(content) AS BIGINT) END AS char_count FROM good""")
+def run_second_blog_ledger(spark, d):
+    """Every fifth post has no page."""
+    n = F.col("page_id").cast("string")
+    posts = table(spark, d, "pages").select(
+        "page_id", F.concat(F.lit("post-"), n).alias("slug"), F.concat(F.lit(V.SECOND_BLOG_PREFIXES[0] + "post-"), n).alias("url"), "html")
+    pending = posts.select("slug", "url")
+    read = blogs.read_second_posts(pending, posts.filter("page_id % 5 <> 0").select("url", "html"), F.lit("2024-05-06"))
+    ledger = pending.withColumns({"status": F.lit(V.PENDING), "title": F.lit(None).cast("string")})
+    return blogs.record_run(ledger, read, _run_ts()).select("slug", "status", "title", "char_count")
+
+
+@query("run_bookmark_ledger", rf"""WITH {_PAGE_MD}, r AS (SELECT page_id, page_id % 7 AS k, content, nullif(trim({_UNESCAPE.format("regexp_extract(html, '<title>(.*?)</title>', 1)")}), '') AS tag_title FROM md JOIN pages USING (page_id)),
+ f AS (SELECT *, CASE k WHEN 0 THEN 'timeout' WHEN 1 THEN 'http_404' WHEN 2 THEN 'fetch_failed' ELSE CASE WHEN length(content) < 100 THEN 'no_content' END END AS reason FROM r)
+ SELECT page_id AS raindrop_id, CASE WHEN reason IS NULL THEN 'downloaded' ELSE 'failed' END AS status, reason AS error_reason,
+ CASE WHEN reason IS NOT NULL THEN 'Mark ' || page_id WHEN page_id % 2 = 0 THEN 'Og ' || page_id ELSE coalesce(tag_title, 'Mark ' || page_id) END AS title,
+ CASE WHEN reason IS NULL AND page_id % 2 = 0 THEN 'Jo' END AS author, CASE WHEN reason IS NULL THEN CAST(length(content) AS BIGINT) END AS char_count FROM f""")
+def run_bookmark_ledger(spark, d):
+    """Bookmarks whose pages time out, are missing, were not fetched, or are read; even ones name title and author."""
+    pages, n, kind = table(spark, d, "pages"), F.col("page_id").cast("string"), F.col("page_id") % 7
+    url = F.concat(F.lit("https://site.example.com/p"), n)
+    fields = F.concat(F.lit('<head><meta property="og:title" content="Og '), n, F.lit('"><meta name="author" content=" Jo ">'))
+    html = F.when(F.col("page_id") % 2 == 0, F.replace(F.col("html"), F.lit("<head>"), fields)).otherwise(F.col("html"))
+    fetches = pages.filter(kind != 2).select(
+        url.alias("url"), F.when(kind == 1, 404).otherwise(200).alias("status_code"), F.when(kind == 0, "timeout").alias("exc"), html.alias("body"))
+    marks = pages.select(
+        F.col("page_id").alias("raindrop_id"), url.alias("url"), F.concat(F.lit("Mark "), n).alias("title"),
+        F.lit("excerpt").alias("excerpt"), F.array(F.lit("t")).alias("tags"))
+    redirects = pages.select(F.col("url"), F.col("url").alias("final_url"))
+    ledger = marks.select("raindrop_id", "title", F.lit(V.PENDING).alias("status"))
+    run = bookmarks.run_bookmarks(ledger, marks, redirects, fetches, F.lit("2024-05-06"), _run_ts())
+    return run["ledger"].select("raindrop_id", "status", "error_reason", "title", "author", "char_count")
+
+
+@query("run_novel_lists", f"""WITH {CHAPTERS_SQL}, local AS (SELECT novel_id, num FROM chapters WHERE role = 'user' AND num % 3 <> 0)
+ SELECT novel_id, 'The story of ' || novel_id AS name, coalesce((SELECT max(num) FROM local l WHERE l.novel_id = c.novel_id), 0) AS local, max(num) AS available,
+ greatest(0, max(num) - coalesce((SELECT max(num) FROM local l WHERE l.novel_id = c.novel_id), 0)) AS "new" FROM chapters c GROUP BY novel_id""")
+def run_novel_lists(spark, d):
+    return _novel_lists(spark, d)["updates"]
+
+
+@query("run_novel_lists_log", f"""WITH {CHAPTERS_SQL}, local AS (SELECT novel_id, num FROM chapters WHERE role = 'user' AND num % 3 <> 0),
+ fresh AS (SELECT * FROM chapters c WHERE num > coalesce((SELECT max(num) FROM local l WHERE l.novel_id = c.novel_id), 0))
+ SELECT novel_id, count(*) AS new_found, count(*) FILTER (length(text) > 50) AS downloaded, CASE WHEN bool_and(length(text) > 50) THEN 'success' ELSE 'partial' END AS status FROM fresh GROUP BY novel_id""")
+def run_novel_lists_log(spark, d):
+    return _novel_lists(spark, d)["log"]
+
+
+def _novel_lists(spark, d):
+    """Novels of four sites: list pages of a hundred chapters with links, or a catalogue of them."""
+    chapters = I.chapters(spark, d)
+    site = F.element_at(F.array(*map(F.lit, V.NOVEL_SITES)), (F.col("novel_id") % 4 + 1).cast("int"))
+    novels_in = chapters.select("novel_id", "name").distinct().withColumns(
+        {"site": site, "slug": F.concat(F.lit("story-"), F.col("novel_id").cast("string"))})
+    num = F.col("num").cast("string")
+    link = F.concat(F.lit('<li><a href="/novel/story/chapter-'), num, F.lit('/">Chapter '), num, F.lit("</a></li>"))
+    item = F.struct(F.concat(F.lit("c"), num).alias("id"), F.col("num").alias("index"), F.concat(F.lit("Chapter "), num).alias("name"))
+    pages = chapters.groupBy("novel_id", F.expr("num div 100").alias("part")).agg(
+        F.array_join(F.collect_list(link), "").alias("links"), F.collect_list(item).alias("items"))
+    catalogue = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("items").alias("chapterItems"))).alias("volumeItems")).alias("data")))
+    lists = pages.select("novel_id", F.when(F.col("novel_id") % 4 == 3, catalogue).otherwise(F.concat(F.lit("<ul>"), "links", F.lit("</ul>"))).alias("body"))
+    local = chapters.filter("role = 'user' AND num % 3 <> 0").select(
+        "novel_id", "num", F.lit("Known").alias("title"), F.lit(1).cast("long").alias("char_count"))
+    return novels.check_and_sync(novels_in, lists, local, chapters.select("novel_id", "num", F.col("text").alias("content")))
+
+
 def _sync(spark, d):
     chapters = I.chapters(spark, d)
     available = chapters.select("novel_id", "num", F.concat(F.lit("Chapter "), F.col("num").cast("string")).alias("title"))

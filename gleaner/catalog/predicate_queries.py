@@ -110,11 +110,12 @@ def p11_site(spark, d):
         "doc_id", F.array_join(S.site_boilerplate(F.split("text", "\n"), site), "|").alias("kept"))
 
 
-@query("p12_quality_gate", """SELECT doc_id, CASE WHEN length(left(text, doc_id)) < 50 THEN 'html has ' || length(left(text, doc_id)) || ' chars (min 50)'
- WHEN length(text) < 100 THEN 'text has ' || length(text) || ' chars (min 100)' END AS reject FROM documents""")
+@query("p12_quality_gate", """SELECT doc_id, CASE WHEN coalesce(length(text), 0) < 400 THEN 'html has ' || coalesce(length(text), 0) || ' chars (min 400)'
+ WHEN length(replace(text, 'e', '')) < 500 THEN 'text has ' || length(replace(text, 'e', '')) || ' chars (min 500)' END AS reject FROM documents""")
 def p12(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.left("text", F.col("doc_id").cast("int")).alias("html"), F.col("text").alias("content"))
-    return S.quality_gate(rows, html="html").select("doc_id", "reject")
+    rows = table(spark, d, "documents").select(
+        "doc_id", F.col("text").alias("html"), F.replace("text", F.lit("e"), F.lit("")).alias("content"))
+    return S.quality_gate(rows, html="html", min_html=400, min_text=500).select("doc_id", "reject")
 
 
 @query("p13_chapter_range", f"WITH {CHAPTERS_SQL} SELECT novel_id, num FROM chapters WHERE num BETWEEN 2 AND 5")

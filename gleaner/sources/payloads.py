@@ -94,6 +94,12 @@ def typed_payloads(docs: DataFrame) -> DataFrame:
     return _rows(docs, F.when(glossary, _glossary(body)).otherwise(_article(body)), "url", "content_type")
 
 
+def readable(body: Column | str, content_type: Column | str) -> Column:
+    """Whether a payload holds an article of its type."""
+    body, glossary = T.as_col(body), T.as_col(content_type) == "glossary"
+    return F.when(glossary, _glossary(body).isNotNull()).otherwise(_article(body).isNotNull())
+
+
 def volume_chapters(docs: DataFrame) -> DataFrame:
     """``(key, id, num, title)`` of every catalogued chapter that has an id and an index."""
     schema = "data struct<volumeItems:array<struct<chapterItems:array<struct<id:string,index:bigint,name:string>>>>>"

@@ -8,7 +8,7 @@ from gleaner.catalog import load
 
 QUERIES = load()[0]
 PYTHON = {"h01_pages_to_markdown", "h01_pages_to_markdown_strict", "h01_extract_articles", "h04_nested_lists",
-          "h05_admonitions", "h15_article_notes", "run_blog_ledger", "run_docs_notes",
+          "h05_admonitions", "h15_article_notes", "run_blog_ledger", "run_blog_fallback", "run_second_blog_ledger", "run_docs_notes",
           "h10_chapter_text", "h10_read_chapters", "crawl_pages", "crawl_report"}
 BATCH = [n for n in QUERIES if not n.startswith("r0")]
 
