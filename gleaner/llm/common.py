@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def apart(docs: DataFrame, needed: list[str], new: list[str], job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``job`` over the needed columns, so that names of all others clash with nothing inside it.
+
+    The others travel as one struct and come back behind their old names and order; ``new`` columns of the job
+    follow, in place of old ones of their name.
+    """
+    others = [c for c in docs.columns if c not in needed]
+    if not others:
+        return job(docs)
+    packed = docs.select(*[c for c in docs.columns if c in needed], F.struct(*[F.col(f"`{c}`") for c in others]).alias("_others"))
+    back = [F.col(c) if c in needed else F.col(f"_others.`{c}`").alias(c) for c in docs.columns if c not in new]
+    return job(packed).select(*back, *new)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table below the cluster's checkpoint folder and read it: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)

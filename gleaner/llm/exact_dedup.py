@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import apart
+
 
 def content_hash(text: Column) -> Column:
     """128 bits of a text."""
@@ -49,7 +51,11 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", hashed: Callable[[Colu
 
 
 def drop_exact_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """The rows of one document per text, all columns as they are; of repeated rows one stays."""
+    """The rows of one document per text, all columns as they are, whatever their names; of repeated rows one stays."""
+    return apart(docs, ["doc_id", "text"], [], lambda rows: _without_copies(rows, keep))
+
+
+def _without_copies(docs: DataFrame, keep: str) -> DataFrame:
     found = exact_groups(docs, keep)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")
     marked = docs.withColumn("_hash", content_hash(F.coalesce(F.col("text"), F.lit("")))).select("*", key)

@@ -11,11 +11,14 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import let
+from gleaner.llm.spans import fold
 #: Characters between words, before letters are lowered; fixed values.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases that name a license wherever they stand; fixed values.
@@ -51,12 +54,17 @@ def spaced(text: Column) -> Column:
     return F.concat(F.lit(" "), F.ltrim(F.regexp_replace(F.concat(text, F.lit(" ")), GAP, " ")))
 
 
+def lowered(text: Column) -> Column:
+    """A to Z in small letters; other letters stay, whatever their case."""
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
 def word_ranks(docs: DataFrame, vocabulary: set[str]) -> dict[str, int]:
     """Rank of each template word by its count over all documents, rarest first, ties by word.
 
     Counts are summed in the map tasks; the vocabulary of the templates bounds the result.
     """
-    words = F.split(F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), GAP, " "))), " ")
+    words = F.split(lowered(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), GAP, " "))), " ")
     seen = docs.select(F.explode(F.filter(words, lambda w: w.isin(sorted(vocabulary)))).alias("w")).groupBy("w").agg(
         F.count(F.lit(1)).alias("n")).collect()
     counts = {r.w: r.n for r in seen}
@@ -94,7 +102,7 @@ def text_blocks(text: Column, ranks: dict[str, int], threshold: float, templates
     listed = [(label, words_of(t)) for label, t in templates]
     rare = sorted({w for _, t in listed for w in sorted(set(t), key=ranks.__getitem__)[: len(set(t)) - needed(t, threshold) + 1]})
     hint = F.lit(f"(?i)(?:^|{GAP[:-1]})(?:{'|'.join(rare)})(?:{GAP[:-1]}|$)")
-    split = F.split(F.lower(F.trim(F.regexp_replace(text, GAP, " "))), " ")
+    split = F.split(lowered(F.trim(F.regexp_replace(text, GAP, " "))), " ")
 
     def met(words: Column) -> Column:
         hits = F.filter(F.transform(words, lambda w, i: F.when(w.isin(rare), i)), lambda i: i.isNotNull())
@@ -140,12 +148,15 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) ->
         pieces = F.split("words", f"(?i)(?<= ){phrase}(?= )", -1)
         skip = phrase.count(" ")
         heads = F.slice(pieces, 1, F.size(pieces) - 1)
-        count = F.transform(heads, lambda p: (F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit("")))).cast("long"))
-        step = F.aggregate(count, F.struct(F.lit(-1).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all")),
-                           lambda s, n: F.struct((s["at"] + n + skip).alias("at"), F.concat(s["all"], F.array(s["at"] + n)).alias("all")),
-                           lambda s: s["all"])
-        here = F.rlike("words", F.lit(f"(?i) {phrase} "))
-        return F.when(here, step).otherwise(F.array().cast("array<bigint>"))
+        count = F.transform(heads, lambda p: F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit(""))))
+        none = F.array().cast("array<bigint>")
+
+        def step(state: Column, n: Column) -> Column:
+            here = F.array((state["at"] + n - 1).cast("long"))
+            return F.struct((state["at"] + n + skip).alias("at"), F.concat(state["all"], here).alias("all"))
+
+        found = let(count, lambda counts: fold(counts, none, step, "all"))
+        return F.when(F.rlike("words", F.lit(f"(?i) {phrase} ")), found).otherwise(none)
 
     found = {p: places(p) for p in PHRASES}
 

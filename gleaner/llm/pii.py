@@ -30,6 +30,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -69,11 +71,23 @@ def chunks_with_at(text: str) -> Iterator[tuple[int, str]]:
         at = text.find("@", done)
 
 
+def emails(chunk: str) -> Iterator[tuple[int, int]]:
+    """Leftmost addresses that do not overlap, each from its @ to both sides, so that long words cost their length."""
+    done, at = 0, chunk.find("@")
+    while at >= 0:
+        size = _LOCAL.match(chunk[done:at][::-1]).end()
+        domain = _DOMAIN.match(chunk, at + 1) if size else None
+        if domain:
+            yield at - size, domain.end()
+        done = domain.end() if domain else at + 1
+        at = chunk.find("@", at + 1)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     """(start, rank, end, kind) of the base patterns, sorted; matches that fail are dropped, not retried."""
     found = []
     for lo, chunk in chunks_with_at(text):
-        found += [(lo + m.start(), 0, lo + m.end()) for m in _EMAIL.finditer(chunk)]
+        found += [(lo + a, 0, lo + b) for a, b in emails(chunk)]
     for m in _IP.finditer(text):
         if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
             found.append((m.start(), 1, m.end()))
@@ -245,10 +259,14 @@ def train(texts: list[str], passes: int = PASSES) -> Model:
 def all_spans(text: str, model: Model) -> tuple[list, list]:
     """(base spans, all spans) of a text: segments of the model that touch no base span are added."""
     base = base_spans(text)
-    added = []
+    added, open_spans, seen = [], [], 0
     for region in regions(text) if model else []:
         start, end = region.start, region.start + len(region.text)
-        near = [(s, e) for s, _, e, _ in base if s < end and e > start]
+        while seen < len(base) and base[seen][0] < end:
+            open_spans.append(base[seen])
+            seen += 1
+        open_spans = [x for x in open_spans if x[2] > start]  # regions come by their starts
+        near = [(s, e) for s, _, e, _ in open_spans if s < end]
         if len(near) == 1 and near[0][0] <= start + region.pieces[0][0] and near[0][1] >= start + region.pieces[-1][1]:
             continue  # one base span covers the region
         for i, j, kind in decode(region, model):

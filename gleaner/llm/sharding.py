@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import ordinal_within
+from gleaner.llm.common import apart, ordinal_within
 
 
 def rendezvous(key: Column, weights: list[float]) -> Column:
@@ -31,8 +31,13 @@ def shard(docs: DataFrame, weights: list[float], key: str = "doc_id") -> DataFra
 
     ``size`` is the UTF-8 length of the text plus 1; a null text has none. Slots run from 0 without
     gaps within each shard, in the order of a hash of the key; rows that repeat a key share its shard.
-    An empty table gives an empty table.
+    An empty table gives an empty table. Other columns stay as they are, but for those named like the new ones.
     """
+    new = ["size", "text_crc32", "shard", "grown_shard", "slot"]
+    return apart(docs, [key, "text"], new, lambda rows: _sharded(rows, weights, key))
+
+
+def _sharded(docs: DataFrame, weights: list[float], key: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.withColumns({
         "size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text.cast("binary")),

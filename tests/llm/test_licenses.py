@@ -61,3 +61,9 @@ def test_edge_cases(docs_of):
 
 def test_empty_table(docs_of):
     assert lic.scan(docs_of([(1, "a")]).where("doc_id < 0")).count() == 0
+
+
+def test_text_full_of_phrases(docs_of, by_id):
+    found = by_id(lic.scan(docs_of([(1, "x MIT License, " * 60_000), (2, "an MIT licence"), (3, "MIT \u212aicense")])))
+    assert (found[1]["n_base"], found[1]["first_word"], found[1]["last_word"], found[1]["base_labels"]) == (60_000, 1, 179_998, "mit")
+    assert found[2]["n_base"] == found[3]["n_base"] == 0

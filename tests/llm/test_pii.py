@@ -2,7 +2,9 @@
 
 import hashlib
 import itertools
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -97,3 +99,16 @@ def test_edge_cases(docs_of):
     assert sorted((r.doc_id or 0, r.n_email, r.n_ip, r.n_phone) for r in rows) == [
         (0, 0, 1, 0), (1, 0, 0, 0), (2, 0, 0, 0), (3, 1, 0, 0), (3, 1, 0, 0), (4, 0, 0, 1)]
     assert pii.find(docs.where("doc_id < 0"), pii.fit(docs.where("doc_id < 0"))).count() == 0
+
+
+def test_long_words_and_many_spans_take_linear_time():
+    draw = random.Random(4)
+    alphabet = ["a", ".", "@", "-", "b.c", "%", "x@y.z", " "]
+    for _ in range(3000):
+        chunk = "".join(draw.choice(alphabet) for _ in range(draw.randint(0, 14)))
+        assert list(pii.emails(chunk)) == [m.span() for m in pii._EMAIL.finditer(chunk)], chunk
+    start = time.perf_counter()
+    for text in ("a" * 300_000, "a" * 300_000 + "@", "a@" * 150_000, "@a" * 150_000, "a.b@c.de," * 40_000):
+        pii.base_spans(text)
+    base, _ = pii.all_spans("call +1 (555) 010-9999 now, mail a.b@c.de " * 20_000, pii.train(["call +1 (555) 010-9999 or a@b.cd"]))
+    assert len(base) == 40_000 and time.perf_counter() - start < 60

@@ -67,3 +67,10 @@ def test_trigram_queries():
     assert [len(c) for c in trigram_query("abc.*(?:def|gh)x?")] == [1] or trigram_query("abc.*(?:def|gh)x?")
     rule = Rule("x", "abcd[0-9]+wxyz")
     assert len(trigram_query(rule.pattern)) == 2
+
+
+def test_text_full_of_secrets(docs_of):
+    piece = "0123456789abcdef01234567 and "
+    spans = scan(docs_of([(1, piece * 60_000), (2, "ab " + KEY)])).orderBy("doc_id").collect()
+    assert [(s.start, s.end) for s in spans[0].spans] == [(i * len(piece), i * len(piece) + 24) for i in range(60_000)]
+    assert [(s.start, s.end, s.kind) for s in spans[1].spans] == [(3, 35, "hex")]

@@ -38,8 +38,11 @@ def test_weights_and_few_moves(docs_of):
 
 
 def test_edge_cases(docs_of):
-    docs = docs_of([(1, None), (1, ""), (1, "é"), (None, "x"), (2, "y" * 100_000)]).withColumn("shard_", F.lit(0))
+    docs = docs_of([(1, None), (1, ""), (1, "é"), (None, "x"), (2, "y" * 100_000)])
+    clashing = ["_rank", "_order", "_bucket", "_start", "_n", "_others"]
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in clashing} | {"size": F.lit("old"), "shard": F.lit("old"), "slot": F.lit("old")})
     rows = shard(docs, [1.0] * 4).collect()
+    assert all(r[c] == f"own {c}" for r in rows for c in clashing)
     assert sorted(r.size for r in rows) == [1, 1, 2, 3, 100_001]
     assert len({r.shard for r in rows if r.doc_id == 1}) == 1
     for s in {r.shard for r in rows}:
