@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Primes c * 2^k + 1 with the generator 3, for transforms of up to 2^23 words.
+# Primes c * 2^k + 1 with the generator 3, for transforms of up to 2^23 words, which blocks of 2^22 words need.
 PRIMES = (998244353, 469762049, 167772161)
 GENERATOR = 3
 
+#: Words that a text must stay below: longer ones would need longer transforms.
+MOST_WORDS = 1 << 25
 MIN_LENGTH = 6
 MIN_REPEATS = 4
 #: Numbers that one batch of transforms holds.
@@ -142,6 +144,8 @@ def _stretches(ids: np.ndarray, seeds: np.ndarray, distance: int, block: int) ->
 def find_runs(ids: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, length, period) of all runs of a sequence of numbers 0, 1, ..., by start, then period."""
     n = len(ids)
+    if n >= MOST_WORDS:
+        raise ValueError(f"a text has {n} words; transforms reach below {MOST_WORDS}")
     order = np.argsort(ids, kind="stable")
     gap = np.full(n, 4 * n + 1)
     again = ids[order[1:]] == ids[order[:-1]]
@@ -193,7 +197,8 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
 
     ``runs`` holds (start, length, period), by start and period; ``collapsed`` the text without what runs
     repeat. A null text counts as empty: no words, no runs, an empty text. Rows are read one by one, so
-    repeated rows get the same result, whatever their doc_id. An empty table gives an empty table.
+    repeated rows get the same result, whatever their doc_id. An empty table gives an empty table. A text of
+    ``MOST_WORDS`` words raises.
     """
     new = ["n_words", "runs", "collapsed"]
     own = [c for c in docs.columns if c not in new]
