@@ -16,10 +16,11 @@ from gleaner.functions import text as T
 from gleaner.functions import urls as U
 from gleaner.operators import ledger as L
 from gleaner.catalog.document_queries import _PAGE_MD, _UNESCAPE
-from gleaner.plans import blogs, bookmarks, docs, feeds, novels, series
+from gleaner.plans import blogs, bookmarks, docs, feeds, novels, series, vault
 from gleaner.profiles import doc_entries
 from gleaner.session import scratch_path
 from gleaner.sources.keyed import KeyedTable
+from gleaner.sources.note_files import read_note_files
 
 _RUN = "2024-05-06 00:00:00"
 
@@ -32,7 +33,7 @@ def _run_ts():
  WHEN 5 THEN 'http_503' WHEN 6 THEN 'fetch_failed' WHEN 7 THEN CASE WHEN length(repeat(event_type, 18)) < 100 THEN 'no_content' END END AS reason,
  CASE event_id % 9 WHEN 0 THEN 'Request timed out for u' || event_id WHEN 1 THEN 'Connection failed for u' || event_id WHEN 2 THEN 'request' WHEN 3 THEN 'parse' WHEN 4 THEN 'other'
  WHEN 5 THEN '503 for u' || event_id WHEN 6 THEN 'Failed to fetch u' || event_id WHEN 7 THEN CASE WHEN length(repeat(event_type, 18)) < 100 THEN 'Article extraction yielded ' || length(repeat(event_type, 18)) || ' chars (min 100)' END END AS detail,
- CASE WHEN event_id % 9 IN (0, 1, 6) THEN 0 WHEN event_id % 9 < 6 OR event_id % 9 = 7 AND length(repeat(event_type, 18)) < 100 THEN least(5000, length(repeat(props, 800))) END AS html_chars FROM events""")
+ CASE WHEN event_id % 9 IN (0, 1, 6) THEN '' WHEN event_id % 9 < 6 OR event_id % 9 = 7 AND length(repeat(event_type, 18)) < 100 THEN left(repeat(props, 800), 5000) END AS html FROM events""")
 def t01(spark, d):
     kind = F.col("event_id") % 9
     exc = F.when(kind == 0, "timeout").when(kind == 1, "connection").when(kind == 2, "request").when(kind == 3, "parse").when(kind == 4, "other")
@@ -43,7 +44,7 @@ def t01(spark, d):
         F.when(kind == 7, F.repeat("event_type", 18)).otherwise(F.repeat("event_type", 100)).alias("content"))
     e = F.col("error")
     return L.classify_outcome(fetches).select(
-        "event_id", e["reason"].alias("reason"), e["detail"].alias("detail"), F.length(e["html"]).cast("long").alias("html_chars"))
+        "event_id", e["reason"].alias("reason"), e["detail"].alias("detail"), e["html"].alias("html"))
 
 
 def _outcome_inputs(spark, d):
@@ -258,6 +259,34 @@ def run_bookmark_ledger(spark, d):
     return run["ledger"].select("raindrop_id", "status", "error_reason", "title", "author", "char_count")
 
 
+_PUBLISHED = "status = 'downloaded' AND NOT in_obsidian AND file_path IS NOT NULL AND content_type = 'blog'"
+
+
+def _publish(spark, d):
+    """Notes of blog posts exist, those of glossary pages do not."""
+    ledger = I.ledger(spark, d)
+    notes = ledger.filter("content_type = 'blog' AND file_path IS NOT NULL").select(
+        F.col("file_path").alias("path"), F.concat(F.lit("note "), F.col("id").cast("string")).alias("content"))
+    place = scratch_path(spark, "published")
+    return vault.publish_posts(ledger, notes, place, _run_ts()), place
+
+
+@query("run_publish_files", f"WITH {LEDGER_SQL} SELECT 'Databricks/' || slug || '.md' AS path, 'note ' || id AS content FROM ledger WHERE {_PUBLISHED}")
+def run_publish_files(spark, d):
+    return read_note_files(spark, _publish(spark, d)[1])
+
+
+@query("run_publish_ledger", f"""WITH {LEDGER_SQL} SELECT id, in_obsidian OR ({_PUBLISHED}) IS TRUE AS in_obsidian, CASE WHEN {_PUBLISHED} THEN '{_RUN}' END AS moved_at FROM ledger""")
+def run_publish_ledger(spark, d):
+    after, _ = _publish(spark, d)
+    return after.select("id", "in_obsidian", F.date_format("moved_at", "yyyy-MM-dd HH:mm:ss").alias("moved_at"))
+
+
+@query("run_retry", f"WITH {LEDGER_SQL} SELECT id, source FROM ledger WHERE status IN ('failed', 'pending') AND source = 'site2'")
+def run_retry(spark, d):
+    return vault.retry_failed(I.ledger(spark, d), "site2")[1].select("id", "source")
+
+
 @query("run_novel_lists", f"""WITH {CHAPTERS_SQL}, local AS (SELECT novel_id, num FROM chapters WHERE role = 'user' AND num % 3 <> 0)
  SELECT novel_id, 'The story of ' || novel_id AS name, coalesce((SELECT max(num) FROM local l WHERE l.novel_id = c.novel_id), 0) AS local, max(num) AS available,
  greatest(0, max(num) - coalesce((SELECT max(num) FROM local l WHERE l.novel_id = c.novel_id), 0)) AS "new" FROM chapters c GROUP BY novel_id""")
