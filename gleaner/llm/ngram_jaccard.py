@@ -8,9 +8,9 @@ at most ``k // (k2 + 1)`` parts can hold more than ``k2`` differences, so a simi
 some ``n2 - k2`` of the smaller parts of one part: one signature for each such subset.
 
 A signature over an empty selection, or over one element, says little, yet all sets with that gap or
-with that frequent element would share it. It is left out; a set with too many such gaps for the
-counting argument repeats the enumeration over another cut of the domain (both of two such sets do),
-and only after ``ROUNDS`` cuts keeps all.
+with that frequent element would share it. Those of one element are left out where the counting argument
+holds without them; empty ones are left out too, and a set with too many gaps for that repeats the
+enumeration over another cut of the domain (both of two such sets do), and only after ``ROUNDS`` cuts keeps all.
 
 Inside a bucket of equal signatures each member is a candidate with the first one only. Candidates
 are verified on the sets; before that, parity sketches (one bit a hash value, each element flips its
@@ -40,7 +40,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Cuts of the domain to try before signatures of empty selections are kept.
 ROUNDS = 4
-#: Elements that a signature must cover before that.
+#: Elements that a signature should cover, where enough of them do.
 LEAST_COVER = 2
 #: Members of one side of a block comparison, and rows of comparisons that one task takes at a time.
 BLOCK_ROWS = 2000
@@ -97,7 +97,7 @@ class Bands:
             return 0, 1, 1, 0, np.ones((1, 1), np.uint64)
         # parts to spare, for sets with gaps; large sets have enough elements a part without a second cut
         if k > 24:
-            return k, k + 1 + (k + 1) // 7 + 2, 1, 0, np.ones((1, 1), np.uint64)
+            return k, k + 1 + k // 6 + 2, 1, 0, np.ones((1, 1), np.uint64)
         k2, n2 = 1, 4 if k <= 8 else 3
         n1 = k // (k2 + 1) + 1
         n1 += (n1 + 9) // 10 if k > 2 else 0
@@ -126,13 +126,16 @@ def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
             counts = held @ picks.T
             name = (np.uint64(band * 64 + cut) << np.uint64(32)) + np.arange(n1 * len(picks), dtype=np.uint64)
             signed = mix(chosen.ravel() + mix(name))
-            good = int((counts >= least).all(axis=1).sum())
-            if cut == ROUNDS:
+            poorest = counts.min(axis=1)
+            # with fewer poor parts than agreeing ones, a similar set meets this one here: it keeps what this one keeps,
+            # or its own parts that cover enough are kept by this one
+            cover = next((c for c in range(least, 0, -1) if int((poorest < c).sum()) < must), 0)
+            if cut == ROUNDS and not cover:
                 found.append(signed)  # whatever they cover: exact for every set
                 break
-            found.append(signed[counts.ravel() >= least])
-            if n1 - good < must:
-                break  # fewer gaps than agreeing parts: a similar set meets this one here
+            found.append(signed[counts.ravel() >= max(cover, 1)])
+            if cover:
+                break
     return np.unique(np.concatenate(found))
 
 
