@@ -142,11 +142,12 @@ def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
 def _combined(ids: np.ndarray, texts: list, n: int, num: int, den: int) -> tuple[list[np.ndarray], ...]:
     """Rows (kind, key, doc) of one batch, combined: equal sets once, each signature once.
 
-    Kinds: 0 size of a set, 1 signature, 2 a pair of equal sets. Pairs of one batch that share a
-    signature come as two rows under a signature of their own.
+    Kinds: 0 size of a set, 1 signature, 2 a pair of equal sets. Of the documents of one batch that share a
+    signature, the first one alone goes on with it; all of them come as members of its bucket (3), and each other
+    one as a pair with the first (4).
     """
     bands, sets = Bands(num, den), {}
-    out = {0: [], 1: [], 2: []}
+    out = {kind: [] for kind in range(5)}
     keys, docs = [], []
     for doc, text in zip(ids, texts):
         features = shingles(text, n)
@@ -168,9 +169,9 @@ def _combined(ids: np.ndarray, texts: list, n: int, num: int, den: int) -> tuple
         first = np.r_[True, key[1:] != key[:-1]]
         leader = doc[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
         out[1].append(np.stack([key[first].view(np.int64), doc[first]]))
-        local = np.unique(np.stack([leader[~first], doc[~first]]), axis=1)
-        name = mix(mix(local[0].astype(np.uint64)) + local[1].astype(np.uint64) * np.uint64(_ODD[1]) + np.uint64(1)).view(np.int64)
-        out[1] += [np.stack([name, local[0]]), np.stack([name, local[1]])]
+        shared = ~first | np.r_[~first[1:], False]
+        out[3].append(np.stack([key[shared].view(np.int64), doc[shared]]))
+        out[4].append(np.unique(np.stack([leader[~first], doc[~first]]), axis=1))
     return out
 
 
@@ -178,9 +179,12 @@ def _sign(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = _combined(batch.column(0).to_pylist(), batch.column(1).to_pylist(), n, num, den)
-            signed = np.concatenate(out[1], axis=1) if out[1] else np.empty((2, 0), np.int64)
+            kinds = (1, 3, 4)
+            parts = [part for k in kinds for part in out[k]]
+            signed = np.concatenate(parts, axis=1) if parts else np.empty((2, 0), np.int64)
             side = out[0] + out[2]
-            kind = np.r_[np.zeros(len(out[0]), np.int8), np.full(len(out[2]), 2, np.int8), np.ones(signed.shape[1], np.int8)]
+            kind = np.r_[np.zeros(len(out[0]), np.int8), np.full(len(out[2]), 2, np.int8),
+                         np.repeat(np.array(kinds, np.int8), [sum(part.shape[1] for part in out[k]) for k in kinds])]
             key = pa.concat_arrays([pa.array([s[0] for s in side], pa.int64()), pa.array(signed[0])])
             doc = pa.concat_arrays([pa.array([s[1] for s in side], pa.int64()), pa.array(signed[1])])
             yield pa.RecordBatch.from_arrays([pa.array(kind), key, doc], ["kind", "key", "doc"])
@@ -189,13 +193,18 @@ def _sign(n: int, num: int, den: int):
 
 
 def _facts(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """One pass over the texts to (kind, a, b): sizes (0), pairs of equal sets (2), candidate pairs (1)."""
+    """One pass over the texts to (kind, key, a, b).
+
+    Sizes (0), pairs of equal sets (2), candidate pairs across batches with their signature (1) and inside
+    one (4), members of a bucket inside a batch (3, in b). Signatures that one document alone has end here.
+    """
     rows = docs.select("doc_id", "text").mapInArrow(_sign(n, num, den), "kind byte, key long, doc long")
     bucket = Window.partitionBy("kind", "key", F.when(F.col("kind") != 1, F.col("doc"))).orderBy("doc")
     led = rows.withColumn("first", F.first("doc").over(bucket.rowsBetween(Window.unboundedPreceding, 0)))
     facts = led.where("kind <> 1 or first <> doc").select(
-        "kind", F.when(F.col("kind") == 1, F.col("first")).otherwise(F.col("key")).alias("a"), F.col("doc").alias("b"))
-    return staged(facts.distinct(), "facts")
+        "kind", F.when(F.col("kind").isin(1, 3), F.col("key")).alias("key"),
+        F.when(F.col("kind") == 1, F.col("first")).when(F.col("kind") != 3, F.col("key")).alias("a"), F.col("doc").alias("b"))
+    return staged(facts, "facts")
 
 
 def sketch(features: np.ndarray) -> np.ndarray:
@@ -221,7 +230,8 @@ def _set_rows(n: int):
             sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary()),
-                 pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "size", "sketch", "features"])
+                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                 pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "size", "sketch", "digest", "features"])
 
     return run
 
@@ -249,17 +259,22 @@ def _ends(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that are similar: by their sketches first, what passes by the sets."""
+    """The pairs (a, b) that are similar: by their sketches first, what passes by the sets.
+
+    Equal sets are known by their size and 128-bit digest and are not fetched.
+    """
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for m, x, n, y in zip(*[batch.column(i).to_pylist() for i in range(2, 6)]):
+            ok, same = [], []
+            for m, x, d, n, y, e in zip(*[batch.column(i).to_pylist() for i in range(2, 8)]):
                 p, q = (np.frombuffer(s, np.uint64)[None] for s in (x, y))
                 words = min(p.shape[1], q.shape[1])
                 differ = int(np.bitwise_count(folded(p, words) ^ folded(q, words)).sum())
                 ok.append(bool(may_link(differ, m, n, num, den)))
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+                same.append(m == n and d == e)
+            found = batch.select(["a", "b"]).append_column("same", pa.array(same, pa.bool_()))
+            yield found.filter(pa.array(ok, pa.bool_()))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,10 +283,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     # the few pairs left go to the sets, as Spark may broadcast a written table of their size; the sets stay in place
-    hopeful = staged(_ends(pairs, sets, ["size", "sketch"]).mapInArrow(sift, "a long, b long"), "hopeful")
-    left = hopeful.join(sets.select(F.col("doc").alias("a"), F.col("features").alias("fa")), "a")
-    right = hopeful.join(sets.select(F.col("doc").alias("b"), F.col("features").alias("fb")), "b")
-    return left.join(right, ["a", "b"]).select("a", "b", "fa", "fb").mapInArrow(exact, "a long, b long")
+    hopeful = staged(_ends(pairs, sets, ["size", "sketch", "digest"]).mapInArrow(sift, "a long, b long, same boolean"), "hopeful")
+    unsettled = hopeful.where("not same").select("a", "b")
+    left = unsettled.join(sets.select(F.col("doc").alias("a"), F.col("features").alias("fa")), "a")
+    right = unsettled.join(sets.select(F.col("doc").alias("b"), F.col("features").alias("fb")), "b")
+    by_sets = left.join(right, ["a", "b"]).select("a", "b", "fa", "fb").mapInArrow(exact, "a long, b long")
+    return hopeful.where("same").select("a", "b").union(by_sets)
 
 
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -282,21 +299,6 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs
 
 
-def _sign_sets(num: int, den: int):
-    """(key, doc, label) of every signature of the sets."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
-        for batch in batches:
-            signed = [signatures(np.frombuffer(x, np.uint64), bands) for x in batch.column(2).to_pylist()]
-            sizes = [len(s) for s in signed]
-            key = np.concatenate(signed).view(np.int64) if signed else np.empty(0, np.int64)
-            doc, label = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), sizes) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(label, pa.int64())],
-                                             ["key", "doc", "label"])
-
-    return run
-
-
 def _cell_pairs(num: int, den: int, every: bool):
     """Pairs of one bin whose sketches allow a link: the nearest of each outlier and component of a cell, or every one."""
 
@@ -337,15 +339,14 @@ def _cell_pairs(num: int, den: int, every: bool):
     return run
 
 
-def _bucket_cells(sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+def _bucket_cells(facts: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (key, block, outer_block, doc, outer) of the buckets of three or more that hold several components.
 
     In a bucket of two the pair was a candidate already.
     """
-    named = sets.select("doc", "features").join(
-        labels.select(F.col("node").alias("doc"), F.col("component").alias("label")), "doc", "left")
-    signed = named.select("doc", F.coalesce("label", "doc").alias("label"), "features").mapInArrow(
-        _sign_sets(num, den), "key long, doc long, label long")
+    shared = facts.where("kind in (1, 3)").select("key", F.explode(F.array_compact(F.array("a", "b"))).alias("doc")).distinct()
+    named = shared.join(labels.select(F.col("node").alias("doc"), F.col("component").alias("label")), "doc", "left")
+    signed = named.select("key", "doc", F.coalesce("label", "doc").alias("label"))
     weights = signed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
         F.max_by("label", F.struct("n", "label")).alias("hub"), F.sum("n").alias("n"), F.max("n").alias("most"))
     plan = weights.where("n > 2 and most < n").select(
@@ -383,18 +384,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     if 2 * num <= den or num > den:
         raise ValueError("the threshold must lie above one half and not above one")
     facts = _facts(docs, n, num, den)
-    pairs, sure = facts.where("kind = 1").select("a", "b"), facts.where("kind = 2").select("a", "b")
+    pairs, sure = facts.where("kind in (1, 4)").select("a", "b"), facts.where("kind = 2").select("a", "b")
     nodes = staged(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct(), "nodes")
     texts = docs.select(F.col("doc_id").alias("doc"), "text").join(nodes, "doc", "left_semi")
-    sets = staged(texts.mapInArrow(_set_rows(n), "doc long, size long, sketch binary, features binary"), "sets")
+    sets = staged(texts.mapInArrow(_set_rows(n), "doc long, size long, sketch binary, digest binary, features binary"), "sets")
     nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     linked = staged(sure.union(_verified(nearest, sets, num, den)), "linked")
     labels = connected_components(linked)
-    rest = _labelled(pairs.join(nearest, ["a", "b"], "left_anti"), labels).where("la <> lb").select("a", "b")
+    rest = _labelled(pairs.distinct().join(nearest, ["a", "b"], "left_anti"), labels).where("la <> lb").select("a", "b")
     linked = staged(linked.union(_verified(rest, sets, num, den)), "linked")
     labels = connected_components(linked)
     # the nearest pairs first, which join most of what belongs together; then every pair that is left
-    cells = _bucket_cells(sets, labels, num, den)
+    cells = _bucket_cells(facts, labels)
     for every in (False, True):
         more = staged(_verified(_bucket_pairs(cells, sets, labels, num, den, every), sets, num, den), "linked")
         if not more.isEmpty():
