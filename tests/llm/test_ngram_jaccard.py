@@ -107,6 +107,22 @@ def test_every_similar_pair_shares_a_signature():
                 assert len(np.intersect1d(nj.signatures(a, bands), nj.signatures(b, bands)))
 
 
+def test_pairs_at_the_threshold_meet_whatever_cover_each_side_takes():
+    rng = np.random.default_rng(9)
+    bands, covers = nj.Bands(80, 100), 0
+    for size in [*range(1, 60), *range(60, 500, 11)]:
+        for _ in range(4):
+            a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+            part = a[: -(-len(a) * 80 // 100)]  # the smallest subset that links
+            swap = len(a) // 9  # as many elements exchanged as a link allows
+            other = np.unique(np.r_[a[swap:], rng.integers(0, 2**63, swap, dtype=np.uint64)])
+            for b in (part, other):
+                assert nj.similar(a, b, 80, 100)
+                assert len(np.intersect1d(nj.signatures(a, bands), nj.signatures(b, bands)))
+            covers += len(nj.signatures(a, bands)) / len(a) < 1
+    assert covers > 100  # sets of some size need fewer signatures than they have elements
+
+
 @pytest.mark.parametrize("edges_per_task", [7, 500_000])
 def test_components_of_long_chains(spark, monkeypatch, edges_per_task):
     monkeypatch.setattr(components, "EDGES_PER_TASK", edges_per_task)
