@@ -12,7 +12,8 @@ from gleaner.streaming import outcomes
 
 
 def _stream(spark, d, name):
-    return R.read_stream(spark, d, table(spark, d, name), glob=f"{name}.parquet")
+    """A given table as a stream, be it one file or a folder of files; the braces make a pattern of its path, which both match."""
+    return R.read_stream(spark, f"{d}/{{{name}.parquet}}", table(spark, d, name), glob="*")
 
 
 def _run(start, spark, name):
