@@ -1,7 +1,8 @@
 """Folders of note files as a Spark data source: ``format("notes")``.
 
-Reading: one partition per folder below the root and slot of its names, so that a folder with most of the files
-is read by several tasks. Writing: each task writes its files below a folder of its own attempt; when all
+Reading: the folders below the root are dealt to a bounded number of groups, and each group is read by one task per slot
+of its names, so that a folder with most of the files is read by several tasks and many small folders by few ones. Only
+the upper levels are listed ahead; tasks walk what lies below. Writing: each task writes its files below a folder of its own attempt; when all
 tasks are done the files move to their places, each in one step. A task that is killed leaves nothing in the
 vault, and neither does a job that fails.
 """
@@ -29,7 +30,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 STAGING = "_writing"
 #: Tasks that read one folder.
 SLOTS = 4
-#: Threads that move files when a job commits.
+#: Groups of folders: levels are listed ahead until there are so many folders, and so many times ``SLOTS`` tasks read at most.
+GROUPS = 64
+#: Threads that move folders of files when a job commits.
 MOVERS = 16
 
 
@@ -51,29 +54,46 @@ def inside(root: str, path: str) -> str:
 
 @dataclass
 class Names(InputPartition):
-    """The files of a folder whose name falls into a slot."""
+    """The files of some folders whose name falls into a slot; those in ``deep`` with all that lies below them."""
 
-    folder: str
+    flat: set[str]
+    deep: list[str]
     slot: int
 
 
+def listing(folder: str) -> tuple[list[str], list[str]]:
+    """Paths of the folders in a folder, but for attempts of writers, and names of its files."""
+    with os.scandir(folder) as found:
+        entries = [(e, e.is_dir(follow_symlinks=False)) for e in found if e.name != STAGING]
+        return sorted(e.path for e, is_folder in entries if is_folder), sorted(e.name for e, is_folder in entries if not is_folder and e.is_file())
+
+
 class NoteReader(DataSourceReader):
     def __init__(self, root: str, suffix: str, contents: bool):
         self.root, self.suffix, self.contents = root, suffix, contents
 
     def partitions(self) -> list[InputPartition]:
-        folders = [f for f, _, _ in os.walk(self.root) if STAGING not in os.path.relpath(f, self.root).split(os.sep)]
-        return [Names(f, slot) for f in sorted(folders) for slot in range(SLOTS)]
+        flat, deep = [], [self.root] if os.path.isdir(self.root) else []
+        while deep and len(deep) < GROUPS:
+            flat += deep
+            deep = [below for folder in deep for below in listing(folder)[0]]
+        groups = min(GROUPS, max(len(flat), len(deep)))
+        return [Names(set(flat[g::groups]), deep[g::groups], slot) for g in range(groups) for slot in range(SLOTS)]
 
     def read(self, partition: Names) -> Iterator[tuple]:
-        with os.scandir(partition.folder) as entries:
-            names = [e.name for e in entries if e.name.endswith(self.suffix) and zlib.crc32(e.name.encode()) % SLOTS == partition.slot and e.is_file()]
-        for name in sorted(names):
-            path, content = os.path.join(partition.folder, name), None
-            if self.contents:
-                with open(path, encoding="utf-8", newline="") as file:
-                    content = file.read()
-            yield os.path.relpath(path, self.root), content
+        waiting = [*partition.flat, *partition.deep]
+        while waiting:
+            folder = waiting.pop()
+            below, names = listing(folder)
+            if folder not in partition.flat:
+                waiting += below
+            for name in names:
+                if name.endswith(self.suffix) and zlib.crc32(name.encode()) % SLOTS == partition.slot:
+                    path, content = os.path.join(folder, name), None
+                    if self.contents:
+                        with open(path, encoding="utf-8", newline="") as file:
+                            content = file.read()
+                    yield os.path.relpath(path, self.root), content
 
 
 @dataclass
@@ -99,12 +119,17 @@ class NoteWriter(DataSourceWriter):
         return Attempt(folder)
 
     def commit(self, messages: list[Attempt | None]) -> None:
+        def move(attempt: str, folder: str, names: list[str]) -> None:
+            place = os.path.join(self.root, os.path.relpath(folder, attempt))
+            os.makedirs(place, exist_ok=True)
+            for name in names:
+                os.replace(os.path.join(folder, name), os.path.join(place, name))
+
         with ThreadPoolExecutor(MOVERS) as movers:
             for message in messages:
-                for folder, _, names in os.walk(message.folder if message else ""):
-                    place = os.path.join(self.root, os.path.relpath(folder, message.folder))
-                    os.makedirs(place, exist_ok=True)
-                    list(movers.map(lambda name: os.replace(os.path.join(folder, name), os.path.join(place, name)), names))
+                moves = [movers.submit(move, message.folder, folder, names) for folder, _, names in os.walk(message.folder if message else "")]
+                for moved in moves:
+                    moved.result()
         self._clear()
 
     def abort(self, messages: list[Attempt | None]) -> None:
