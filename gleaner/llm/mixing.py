@@ -8,8 +8,8 @@ an expression over one row, and every document finds its slot from its number wi
 At every slot each source has had less than one block more or less than its weight asks for,
 until a source runs out; then its slots stay empty and the others close up.
 
-A period rounds the weights. Where that would move a source by a block or more within the run, or where there are more
-sources than slots, a tree is taken instead: sources lie on a line as long as their weights, halving the line
+A period rounds the weights and holds no more sources than slots. Without one, at any size, a tree is taken, which does
+neither: sources lie on a line as long as their weights, halving the line
 halves the sources, and each node deals its slots to its two sides in exact proportion (the left side has
 had ``floor(t * L / (L + R))`` of the first t). Each block then folds its number up the path of its source, so
 slots come from no state and no table of slots, for any number of sources and blocks. Each halving may add up to a block
@@ -63,18 +63,6 @@ def parts_of(weighted: DataFrame, period: int) -> DataFrame:
         (F.lit(1) + F.col("whole") + (F.col("place") <= F.col("left")).cast("int")).cast("int").alias("parts"))
 
 
-def period_holds(weighted: DataFrame, period: int, block_rows: int) -> bool:
-    """Whether a period's rounding keeps every source less than a block away from its weight over the whole run."""
-    if weighted.count() > period:
-        return False
-    total = F.sum("weight").over(Window.partitionBy())
-    run = F.max(F.when(F.col("share") > 0, F.ceil(F.col("rows") / block_rows) / F.col("share")))
-    off = F.max(F.abs(F.col("parts") / F.lit(period) - F.col("share")))
-    r = parts_of(weighted, period).withColumn("share", F.when(total > 0, F.col("weight") / total).otherwise(F.lit(0.0))).agg(
-        (run * off).alias("blocks")).first()
-    return r["blocks"] is None or r["blocks"] < 1
-
-
 def release(block: Column, parts: Column, period: int) -> Column:
     return F.floor(block * period / parts).cast("long")
 
@@ -183,10 +171,10 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, power: float =
 
     A null source counts as the source with the empty name. Documents of a source are taken in the
     order of a hash of doc_id; rows that repeat a doc_id stay neighbours. A single source keeps its own order.
-    An empty table gives an empty table. Without a period, one of ``PERIOD`` slots is taken where its rounding is
-    less than a block over the run, else the tree with the weights themselves. In a period a source without a target
-    gets one part; in the tree it follows after the others. A period that is asked for is kept with its rounding, and
-    more sources than its slots raise. Other columns stay as they are, but for those named like the new ones.
+    An empty table gives an empty table. The caller picks the law, never the size of the table: without a period the tree
+    with the weights themselves, with one its schedule with the rounding, where more sources than slots raise. In a
+    period a source without a target gets one part; in the tree it follows after the others. Other columns stay as they
+    are, but for those named like the new ones.
     """
     new = ["block", "release", "deadline", "slot", "position"]
     return apart(docs, ["doc_id", "source", "text"], new, lambda rows: _mixed(rows, targets, power, period, block_rows))
@@ -198,9 +186,7 @@ def _mixed(docs: DataFrame, targets: dict[str, float] | None, power: float, peri
     ties = [F.xxhash64("text").alias("_tie")] if "text" in docs.columns else [F.lit(0).alias("_tie")]
     numbered = ordinal_within(named.select("*", *ties), "_source", "doc_id", ["_tie"], "ordinal")
     if period is None:
-        if not period_holds(weighted, PERIOD, block_rows):
-            return mix_by_tree(docs, numbered, weighted, block_rows)
-        period = PERIOD
+        return mix_by_tree(docs, numbered, weighted, block_rows)
     parts = parts_of(weighted, period).select("source", "rows", "parts")
     sources = parts.count()
     if sources > period:
@@ -226,9 +212,9 @@ def write_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
-    """All documents, sources weighted by the square root of their rows, in blocks of eight."""
+    """All documents, sources weighted by the square root of their rows, in blocks of eight, by the period of ``OP3_SQL``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    return mix(docs)
+    return mix(docs, period=PERIOD)
 
 
 OP3_SQL = f"""
