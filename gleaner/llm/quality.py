@@ -29,11 +29,18 @@ BUCKETS = 1 << 15
 LABELLED_ROWS = 20_000
 #: What losing good documents counts for against catching poor ones, in shares of each.
 GOOD_WEIGHT = 5
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE_ROWS = 64
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices, so that a worker's memory does not follow the size of its batches."""
+    return (batch.slice(i, SLICE_ROWS) for batch in batches for i in range(0, batch.num_rows, SLICE_ROWS))
+
+
 def repeat_words(words: list[bytes]) -> int:
     """Words inside 3-word windows that occur twice or more, compared exactly."""
     if len(words) < 4:
@@ -84,7 +91,7 @@ def ngram_totals(docs: DataFrame, trusted: set[int]) -> tuple[np.ndarray, np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = (text or "").encode()
                 found = np.bincount(ngram_buckets(raw, raw.split()), minlength=BUCKETS)
@@ -137,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS)
     model, others = Model(ratio, -np.inf), sample.keys() - fitted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             held = [(d, model.score(raw, words)) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
                     if d in others and t and not base_counts(t, words := (raw := t.encode()).split())[-1]]
             yield pa.RecordBatch.from_pylist([{"doc_id": d, "score": s} for d, s in held],
@@ -163,7 +170,7 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
     at = own.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(at).to_pylist():
                 words = (raw := (text or "").encode()).split()

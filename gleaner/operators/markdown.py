@@ -100,8 +100,7 @@ def html_blocks(html: Column | str, profile: Profile | dict[str, Profile], name:
     """Array of blocks of an HTML text, by one profile or by the one that ``name`` picks for the row."""
     choices = profile if isinstance(profile, dict) else {"": profile}
 
-    @F.arrow_udf(_BLOCKS)
-    def read(texts: pa.Array, names: pa.Array) -> pa.Array:
+    def blocks_of(texts: pa.Array, names: pa.Array) -> pa.Array:
         blocks, ends = Blocks(), [0]
         for text, choice in zip(texts.to_pylist(), names.to_pylist()):
             if text is not None and choice in choices:
@@ -111,19 +110,26 @@ def html_blocks(html: Column | str, profile: Profile | dict[str, Profile], name:
         values = pa.StructArray.from_arrays(columns, names=list(_ARROW_FIELDS))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=texts.is_null())
 
+    @F.arrow_udf(_BLOCKS)
+    def read(texts: pa.Array, names: pa.Array) -> pa.Array:
+        return helper.in_slices(blocks_of, texts, names)
+
     return read(html, F.lit("") if name is None else name)
 
 
 def element_paragraphs(html: Column | str, selectors: dict[str, list[str]], name: Column | str) -> Column:
     """Array, by the selectors that ``name`` picks, of the paragraph texts of each one's first element."""
 
-    @F.arrow_udf("array<array<string>>")
-    def read(texts: pa.Array, names: pa.Array) -> pa.Array:
+    def paragraphs_of(texts: pa.Array, names: pa.Array) -> pa.Array:
         found = [
             helper.element_paragraphs(text, selectors[choice]) if text is not None and choice in selectors else None
             for text, choice in zip(texts.to_pylist(), names.to_pylist())]
         return pa.array(found, pa.list_(pa.list_(pa.string())))
 
+    @F.arrow_udf("array<array<string>>")
+    def read(texts: pa.Array, names: pa.Array) -> pa.Array:
+        return helper.in_slices(paragraphs_of, texts, names)
+
     return read(html, name)
 
 
