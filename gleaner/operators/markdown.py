@@ -1,12 +1,13 @@
 """HTML documents to Markdown, as a table job.
 
 An Arrow UDF turns each HTML text into an array of blocks (other columns stay in the
-JVM, nothing shuffles); rendering, table padding, callouts and blank lines are Column
+JVM, nothing shuffles); results leave it in slices, as those of a whole batch would wait in memory. Rendering, table padding, callouts and blank lines are Column
 expressions on that array.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import replace
 
 import pyarrow as pa
@@ -111,8 +112,10 @@ def html_blocks(html: Column | str, profile: Profile | dict[str, Profile], name:
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=texts.is_null())
 
     @F.arrow_udf(_BLOCKS)
-    def read(texts: pa.Array, names: pa.Array) -> pa.Array:
-        return helper.in_slices(blocks_of, texts, names)
+    def read(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for part in helper.slices(*batch):
+                yield blocks_of(*part)
 
     return read(html, F.lit("") if name is None else name)
 
@@ -127,8 +130,10 @@ def element_paragraphs(html: Column | str, selectors: dict[str, list[str]], name
         return pa.array(found, pa.list_(pa.list_(pa.string())))
 
     @F.arrow_udf("array<array<string>>")
-    def read(texts: pa.Array, names: pa.Array) -> pa.Array:
-        return helper.in_slices(paragraphs_of, texts, names)
+    def read(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for part in helper.slices(*batch):
+                yield paragraphs_of(*part)
 
     return read(html, name)
 
