@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import sys
 import types
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -77,6 +79,11 @@ class WordIds:
         pattern = piece_pattern(path)
         self.cut = regex.compile(pattern).findall if pattern else None
         self.letters = byte_letters()
+        self.tokenize = self.tokenizer.model.tokenize
+        #: Whether the pattern keeps ASCII letters together, and the characters that it cuts from the letters before them.
+        letters = string.ascii_lowercase * 2
+        self.plain = bool(self.cut) and self.cut(letters) == [letters]
+        self.marks = frozenset(c for c in string.punctuation if self.plain and self.cut(letters + c) == [letters, c])
         self.pieces: dict[str, bytes] = {}
         self.clear()
 
@@ -86,19 +93,24 @@ class WordIds:
 
     def _piece(self, piece: str) -> bytes:
         letters = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        return np.array([token.id for token in self.tokenizer.model.tokenize(letters)], np.int32).tobytes()
+        found = self.pieces[piece] = array("i", [token.id for token in self.tokenize(letters)]).tobytes()
+        return found
 
     def _encode(self, word: bytes) -> bytes:
+        known = self.pieces.get
+        if self.plain:
+            # most words: ASCII letters alone or before one mark, so their pieces are known without the pattern
+            piece = word.lower().decode("utf-8")
+            if word.isalpha():
+                return known(piece) or self._piece(piece)
+            head, mark = piece[:-1], piece[-1]
+            if mark in self.marks and word[:-1].isalpha():
+                return (known(head) or self._piece(head)) + (known(mark) or self._piece(mark))
         text = word.decode("utf-8")
         if self.cut is None or _UNUSUAL.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
-        out = b""
-        for piece in self.cut(text.lower()):
-            found = self.pieces.get(piece)
-            if found is None:
-                found = self.pieces[piece] = self._piece(piece)
-            out += found
-        return out
+            return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        found = [known(piece) or self._piece(piece) for piece in self.cut(text.lower())]
+        return found[0] if len(found) == 1 else b"".join(found)
 
     def _keep(self) -> None:
         """Append the ids of words learnt since the last call."""
