@@ -45,6 +45,10 @@ LEAST_COVER = 2
 #: Members of one side of a block comparison, and rows of comparisons that one task takes at a time.
 BLOCK_ROWS = 2000
 BIN_ROWS = 20_000
+#: Bits a node of the filter before the join of texts, bits of one of Spark's bitmaps, and most bitmaps (32 MB).
+FILTER_BITS = 16
+BLOCK_BITS = 32_768
+MOST_BLOCKS = 8192
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63,
         0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93]
 
@@ -250,6 +254,23 @@ def may_link(differ: np.ndarray | int, left: np.ndarray | int, right: np.ndarray
     return fits & (np.minimum(left, right) > 0) & (differ * (den + num) <= (den - num) * (left + right))
 
 
+def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc, text) of the documents in a table of distinct ``doc``.
+
+    The join shuffles texts. A filter of one bit a hash, ``FILTER_BITS`` bits a node at a time up to a fixed size, first
+    drops most of the others where they lie; a fuller one lets more of them through to the join, and never loses one.
+    """
+    blocks = min(-(-nodes.count() * FILTER_BITS // BLOCK_BITS), MOST_BLOCKS) or 1
+    hashed = F.xxhash64("doc")
+    block, bit = F.pmod(hashed, F.lit(blocks)).alias("block"), F.pmod(F.shiftright(hashed, 32), F.lit(BLOCK_BITS))
+    bits = nodes.select(block, bit.alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    placed = docs.select(F.col("doc_id").alias("doc"), "text").where("doc is not null").withColumn("block", block).withColumn("bit", bit)
+    near = placed.join(F.broadcast(bits), "block").where(
+        F.expr("shiftright(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) % 2 = 1"))
+    # no semi join: Spark would push it below the filter's join
+    return near.select("doc", "text").join(nodes, "doc")
+
+
 def _ends(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
     """Pairs (a, b) with columns of the sets of both ends."""
     for x in "ba":
@@ -386,8 +407,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     facts = _facts(docs, n, num, den)
     pairs, sure = facts.where("kind in (1, 4)").select("a", "b"), facts.where("kind = 2").select("a", "b")
     nodes = staged(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct(), "nodes")
-    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(nodes, "doc", "left_semi")
-    sets = staged(texts.mapInArrow(_set_rows(n), "doc long, size long, sketch binary, digest binary, features binary"), "sets")
+    sets = staged(_texts_of(docs, nodes).mapInArrow(_set_rows(n), "doc long, size long, sketch binary, digest binary, features binary"), "sets")
     nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     linked = staged(sure.union(_verified(nearest, sets, num, den)), "linked")
     labels = connected_components(linked)
