@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import file_order, ordinal_in_file_order, ordinal_within, staged
-from gleaner.llm.tokens import default_path, word_ids
+from gleaner.llm.tokens import WordIds, default_path, word_ids
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CAPACITY = 2048
+#: Rows of an Arrow batch that are encoded at a time.
+SLICE_ROWS = 1024
 
 
 class OpenBins:
@@ -129,23 +131,28 @@ def tokenized_pieces(docs: DataFrame, path: str | None = None, end_id: int = 0,
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, limits = word_ids(path).encode(batch.column(1).to_pylist(), end_id)
-            ids = ids.astype("<u4")
-            sizes = np.diff(limits)
-            cuts = -(-sizes // capacity)
-            doc = np.repeat(np.arange(len(sizes)), cuts)
-            piece = np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-            start = piece * capacity
-            length = np.minimum(capacity, sizes[doc] - start)
-            raw = [ids[a:a + n].tobytes() for a, n in zip(limits[doc] + start, length)]
-            columns = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length),
-                       pa.array([zlib.crc32(x) for x in raw], pa.int64())]
-            columns += [pa.array(raw, pa.binary())] * with_ids
-            if in_file_order:
-                columns.append(batch.column(2).take(pa.array(doc)))
-            yield pa.RecordBatch.from_arrays(
-                columns, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids + ["file_order"] * in_file_order)
+        with word_ids(path) as encoder:
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE_ROWS):
+                    yield cut(batch.slice(at, SLICE_ROWS), encoder)
+
+    def cut(batch: pa.RecordBatch, encoder: WordIds) -> pa.RecordBatch:
+        ids, limits = encoder.encode(batch.column(1).to_pylist(), end_id)
+        ids = ids.astype("<u4")
+        sizes = np.diff(limits)
+        cuts = -(-sizes // capacity)
+        doc = np.repeat(np.arange(len(sizes)), cuts)
+        piece = np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        start = piece * capacity
+        length = np.minimum(capacity, sizes[doc] - start)
+        raw = [ids[a:a + n].tobytes() for a, n in zip(limits[doc] + start, length)]
+        columns = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length),
+                   pa.array([zlib.crc32(x) for x in raw], pa.int64())]
+        columns += [pa.array(raw, pa.binary())] * with_ids
+        if in_file_order:
+            columns.append(batch.column(2).take(pa.array(doc)))
+        return pa.RecordBatch.from_arrays(
+            columns, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids + ["file_order"] * in_file_order)
 
     extra = ", ids binary" if with_ids else ""
     order = [file_order().alias("file_order")] * in_file_order

@@ -1,9 +1,9 @@
 """Texts to token ids inside tasks: words are encoded once by the tokenizers library and remembered.
 
 The vocabulary's tokenizer drops white space and never joins characters across it, so the ids of a
-text are the ids of its words between ASCII white space, one after the other. A word not met before is
-cut into pieces by the tokenizer's own pattern, and each new piece goes through the library's model; a
-word with unusual characters goes through the whole tokenizer. Tests hold all of this against the
+text are the ids of its words between ASCII white space, one after the other. Words not met before are
+cut into pieces by the tokenizer's own pattern, all of a chunk at once, and each new piece goes through the
+library's model; a word with unusual characters goes through the whole tokenizer. Tests hold all of this against the
 library's ids of whole texts.
 """
 
@@ -15,9 +15,12 @@ import string
 import sys
 import types
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark import cloudpickle
 from tokenizers import Tokenizer
@@ -29,8 +32,8 @@ REMEMBERED_WORDS = 450_000
 REMEMBERED_PIECES = 700_000
 #: Characters of texts that are split into words at a time.
 CHUNK_CHARS = 2_000_000
-#: Characters whose normal form, case or class the short way does not vouch for, and special tokens.
-_UNUSUAL = re.compile("[\x00-\x1f\x7f-\xa0\u0250-\U0010ffff]|<\\|")
+#: Characters whose normal form, case or class the short way does not vouch for, and special tokens; no word holds a line's end.
+_UNUSUAL = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u0250-\U0010ffff]|<\\|")
 
 
 def byte_letters() -> dict[int, int]:
@@ -58,94 +61,166 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _lowered(text: str) -> bytes:
+    """The text in UTF-8, A-Z lowered, as the tokenizer would do later; a special token is known by its own case alone."""
+    raw = text.encode("utf-8")
+    return raw if b"<|" in raw else raw.lower()
+
+
 class _Numbers(dict):
-    """Words by number; a word not met before is learnt when it is asked for."""
+    """Keys by number; those not met before are listed for ``_Known.keep``."""
 
-    def __init__(self, encode):
+    def __init__(self):
         super().__init__()
-        self.encode, self.fresh = encode, []
+        self.fresh = []
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        self.fresh.append(self.encode(word))
+    def __missing__(self, key: bytes | str) -> int:
+        number = self[key] = len(self)
+        self.fresh.append(key)
         return number
 
 
+class _Known:
+    """Ids of many short strings: a number a string, its ids in one array."""
+
+    def __init__(self):
+        self.index = _Numbers()
+        self.starts, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32)
+
+    def fresh(self) -> list:
+        """The strings numbered since the last call; ``keep`` must follow."""
+        found, self.index.fresh = self.index.fresh, []
+        return found
+
+    def keep(self, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """The ids of the strings that ``fresh`` gave, one after the other."""
+        end, n = len(self.index), len(self.index) - len(lengths)
+        while end + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        ends = self.starts[n] + np.cumsum(lengths)
+        while len(lengths) and ends[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.starts[n]: self.starts[n] + len(ids)] = ids
+        self.starts[n + 1: end + 1] = ends
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids, one after the other, of the strings with these numbers."""
+        first = self.starts[at]
+        lengths = self.starts[at + 1] - first
+        before = np.cumsum(lengths) - lengths
+        return lengths, self.ids[np.repeat(first - before, lengths) + np.arange(int(lengths.sum()))]
+
+
 class WordIds:
-    """Ids of words, with a memory of the words and pieces seen by this worker. Ids are kept as 32-bit numbers in bytes."""
+    """Ids of words, with a memory of the words and pieces seen by this worker. Ids are kept as 32-bit numbers."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         pattern = piece_pattern(path)
-        self.cut = regex.compile(pattern).findall if pattern else None
+        #: Cuts words that stand in lines of their own; a line's end is a piece.
+        self.cut = regex.compile(f"{pattern}|\\n").findall if pattern else None
         self.letters = byte_letters()
         self.tokenize = self.tokenizer.model.tokenize
         #: Whether the pattern keeps ASCII letters together, and the characters that it cuts from the letters before them.
         letters = string.ascii_lowercase * 2
         self.plain = bool(self.cut) and self.cut(letters) == [letters]
-        self.marks = frozenset(c for c in string.punctuation if self.plain and self.cut(letters + c) == [letters, c])
-        self.pieces: dict[str, bytes] = {}
+        self.marks = frozenset(ord(c) for c in string.punctuation if self.plain and self.cut(letters + c) == [letters, c])
         self.clear()
 
+    @property
+    def index(self) -> _Numbers:
+        """The words remembered, by number."""
+        return self.words.index
+
     def clear(self) -> None:
-        self.index = _Numbers(self._encode)
-        self.starts, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32)
+        """Forget all words and pieces."""
+        self.words, self.pieces = _Known(), _Known()
 
-    def _piece(self, piece: str) -> bytes:
-        letters = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        found = self.pieces[piece] = array("i", [token.id for token in self.tokenize(letters)]).tobytes()
-        return found
+    def _of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of pieces; a line's end has none."""
+        if len(self.pieces.index) > REMEMBERED_PIECES:
+            self.pieces = _Known()
+        at = np.fromiter(map(self.pieces.index.__getitem__, pieces), np.int64, len(pieces))
+        sizes, found = [], array("i")
+        for piece in self.pieces.fresh():
+            letters = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
+            ids = [token.id for token in self.tokenize(letters)] if piece != "\n" else []
+            sizes.append(len(ids))
+            found.extend(ids)
+        self.pieces.keep(np.array(sizes, np.int64), np.frombuffer(found, np.int32))
+        return self.pieces.of(at)
 
-    def _encode(self, word: bytes) -> bytes:
-        known = self.pieces.get
+    def _letters(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of words of ASCII letters: each is one piece."""
+        return self._of_pieces(b"\n".join(words).decode("ascii").lower().split("\n"))
+
+    def _marked(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of words of ASCII letters before one mark: two pieces each."""
+        both: list[str] = []
+        for word in b"\n".join(words).decode("ascii").lower().split("\n"):
+            both += word[:-1], word[-1]
+        lengths, ids = self._of_pieces(both)
+        return lengths[::2] + lengths[1::2], ids
+
+    def _cut(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of words that the pattern cuts."""
+        pieces = self.cut(b"\n".join(words).decode("utf-8").lower())
+        lengths, ids = self._of_pieces(pieces)
+        ends = np.flatnonzero(np.fromiter((p == "\n" for p in pieces), bool, len(pieces)))
+        before = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+        return np.diff(before[np.concatenate([[0], ends, [len(pieces)]])]), ids
+
+    def _whole(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of any words, each through the whole tokenizer."""
+        found = [self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids for word in words]
+        return np.array([len(x) for x in found], np.int64), np.fromiter(chain.from_iterable(found), np.int32)
+
+    def _ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of words, one after the other: words of a kind go together."""
+        kind = np.zeros(len(words), np.int8)
         if self.plain:
-            # most words: ASCII letters alone or before one mark, so their pieces are known without the pattern
-            piece = word.lower().decode("utf-8")
-            if word.isalpha():
-                return known(piece) or self._piece(piece)
-            head, mark = piece[:-1], piece[-1]
-            if mark in self.marks and word[:-1].isalpha():
-                return (known(head) or self._piece(head)) + (known(mark) or self._piece(mark))
-        text = word.decode("utf-8")
-        if self.cut is None or _UNUSUAL.search(text):
-            return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        found = [known(piece) or self._piece(piece) for piece in self.cut(text.lower())]
-        return found[0] if len(found) == 1 else b"".join(found)
-
-    def _keep(self) -> None:
-        """Append the ids of words learnt since the last call."""
-        fresh, self.index.fresh = self.index.fresh, []
-        if not fresh:
-            return
-        end, n = len(self.index), len(self.index) - len(fresh)
-        while end + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        ends = self.starts[n] + np.cumsum([len(f) // 4 for f in fresh])
-        while ends[-1] > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.starts[n]: ends[-1]] = np.frombuffer(b"".join(fresh), np.int32)
-        self.starts[n + 1: end + 1] = ends
+            kind[:] = [not word.isalpha() for word in words]
+            for i in np.flatnonzero(kind).tolist():
+                word = words[i]
+                if word[-1] not in self.marks or not word[:-1].isalpha():
+                    kind[i] = 2
+        else:
+            kind[:] = 2
+        rest = np.flatnonzero(kind == 2)
+        if self.cut is None:
+            kind[rest] = 3
+        elif len(rest) and _UNUSUAL.search(b"\n".join([words[i] for i in rest.tolist()]).decode("utf-8")):
+            kind[rest] = [3 if _UNUSUAL.search(words[i].decode("utf-8")) else 2 for i in rest.tolist()]
+        lengths, found = np.zeros(len(words), np.int64), {}
+        for k, encode in enumerate((self._letters, self._marked, self._cut, self._whole)):
+            some = np.flatnonzero(kind == k)
+            if len(some):
+                lengths[some], found[k] = encode([words[i] for i in some.tolist()])
+        out, kinds = np.empty(int(lengths.sum()), np.int32), np.repeat(kind, lengths)
+        for k, ids in found.items():
+            out[kinds == k] = ids
+        return lengths, out
+
+    def _encode(self, word: bytes) -> bytes:
+        """The ids of one word."""
+        return self._ids_of([word])[1].tobytes()
 
     def _chunk(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        split = [t.encode("utf-8").split() if t else [] for t in texts]
-        if len(self.index) > REMEMBERED_WORDS:
-            self.clear()
-        if len(self.pieces) > REMEMBERED_PIECES:
-            self.pieces = {}
+        split = [_lowered(t).split() if t else [] for t in texts]
+        if len(self.words.index) > REMEMBERED_WORDS:
+            self.words = _Known()
         counts = [len(s) for s in split]
-        number = self.index.__getitem__
+        number = self.words.index.__getitem__
         at = np.fromiter(chain.from_iterable(map(number, s) for s in split), np.int64, sum(counts))
-        self._keep()
-        first = self.starts[at]
-        lengths = self.starts[at + 1] - first
+        if fresh := self.words.fresh():
+            self.words.keep(*self._ids_of(fresh))
+        lengths, ids = self.words.of(at)
         words_before = np.cumsum([0, *counts], dtype=np.int64)
         ids_before = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
         limits = ids_before[words_before] + np.arange(len(texts) + 1)
-        n = np.arange(ids_before[-1])
-        # a word's ids stand as far to the right as end ids stand before it
-        shift = np.repeat(np.repeat(np.arange(len(texts)), counts), lengths)
         out = np.full(limits[-1], end_id, np.int32)
-        out[shift + n] = self.ids[np.repeat(first - ids_before[:-1], lengths) + n]
+        # a text's ids stand as far to the right as end ids stand before it
+        out[np.repeat(np.arange(len(texts)), np.diff(ids_before[words_before])) + np.arange(len(ids))] = ids
         return out, np.diff(limits)
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,10 +238,19 @@ class WordIds:
         return np.concatenate(parts), np.cumsum(np.concatenate(sizes))
 
 
-def word_ids(path: str) -> WordIds:
-    """The worker's encoder for a file: kept in the interpreter, as tasks bring their own copy of this module."""
+@contextmanager
+def word_ids(path: str) -> Iterator[WordIds]:
+    """The worker's encoder for a file, for one task.
+
+    The tokenizer is kept in the interpreter, as tasks bring their own copy of this module. Words and pieces go with the
+    task: workers that wait, or do other work next, hold none.
+    """
     home = sys.modules.setdefault("_word_ids_of_this_worker", types.ModuleType("_word_ids_of_this_worker"))
     kept = home.__dict__.setdefault("kept", {})
     if path not in kept:
         kept[path] = WordIds(path)
-    return kept[path]
+    try:
+        yield kept[path]
+    finally:
+        kept[path].clear()
+        pa.default_memory_pool().release_unused()
