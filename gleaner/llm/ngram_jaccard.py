@@ -46,7 +46,7 @@ LEAST_COVER = 2
 BLOCK_ROWS = 2000
 BIN_ROWS = 20_000
 #: Bits a node of the filter before the join of texts, bits of one of Spark's bitmaps, and most bitmaps (32 MB).
-FILTER_BITS = 16
+FILTER_BITS = 32
 BLOCK_BITS = 32_768
 MOST_BLOCKS = 8192
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63,
@@ -147,11 +147,11 @@ def _combined(ids: np.ndarray, texts: list, n: int, num: int, den: int) -> tuple
     """Rows (kind, key, doc) of one batch, combined: equal sets once, each signature once.
 
     Kinds: 0 size of a set, 1 signature, 2 a pair of equal sets. Of the documents of one batch that share a
-    signature, the first one alone goes on with it; all of them come as members of its bucket (3), and each other
-    one as a pair with the first (4).
+    signature, the first one alone goes on with it, as kind 5; all of them come as members of its bucket (3), and each
+    other one as a pair with the first (4).
     """
     bands, sets = Bands(num, den), {}
-    out = {kind: [] for kind in range(5)}
+    out = {kind: [] for kind in range(6)}
     keys, docs = [], []
     for doc, text in zip(ids, texts):
         features = shingles(text, n)
@@ -172,8 +172,9 @@ def _combined(ids: np.ndarray, texts: list, n: int, num: int, den: int) -> tuple
         key, doc = key[order], doc[order]
         first = np.r_[True, key[1:] != key[:-1]]
         leader = doc[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-        out[1].append(np.stack([key[first].view(np.int64), doc[first]]))
         shared = ~first | np.r_[~first[1:], False]
+        for kind, some in ((1, first & ~shared), (5, first & shared)):
+            out[kind].append(np.stack([key[some].view(np.int64), doc[some]]))
         out[3].append(np.stack([key[shared].view(np.int64), doc[shared]]))
         out[4].append(np.unique(np.stack([leader[~first], doc[~first]]), axis=1))
     return out
@@ -183,7 +184,7 @@ def _sign(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = _combined(batch.column(0).to_pylist(), batch.column(1).to_pylist(), n, num, den)
-            kinds = (1, 3, 4)
+            kinds = (1, 3, 4, 5)
             parts = [part for k in kinds for part in out[k]]
             signed = np.concatenate(parts, axis=1) if parts else np.empty((2, 0), np.int64)
             side = out[0] + out[2]
@@ -199,15 +200,22 @@ def _sign(n: int, num: int, den: int):
 def _facts(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """One pass over the texts to (kind, key, a, b).
 
-    Sizes (0), pairs of equal sets (2), candidate pairs across batches with their signature (1) and inside
-    one (4), members of a bucket inside a batch (3, in b). Signatures that one document alone has end here.
+    Sizes (0), pairs of equal sets (2), candidate pairs across batches with their signature (1), candidate pairs whose
+    bucket is known otherwise (4), members of a bucket inside a batch (3, in b). A bucket of two documents is its pair,
+    and signatures that one document alone has end here.
     """
     rows = docs.select("doc_id", "text").mapInArrow(_sign(n, num, den), "kind byte, key long, doc long")
-    bucket = Window.partitionBy("kind", "key", F.when(F.col("kind") != 1, F.col("doc"))).orderBy("doc")
-    led = rows.withColumn("first", F.first("doc").over(bucket.rowsBetween(Window.unboundedPreceding, 0)))
-    facts = led.where("kind <> 1 or first <> doc").select(
-        "kind", F.when(F.col("kind").isin(1, 3), F.col("key")).alias("key"),
-        F.when(F.col("kind") == 1, F.col("first")).when(F.col("kind") != 3, F.col("key")).alias("a"), F.col("doc").alias("b"))
+    led = F.col("kind").isin(1, 5)
+    # rows that lead no bucket are apart by their document; one window for all, as each one of its own would shuffle again
+    apart = rows.withColumn("apart", F.when(~led, F.coalesce("doc", F.lit(0))))
+    bucket = Window.partitionBy("key", "apart").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    marked = apart.select("kind", "key", "doc", F.first("doc").over(bucket).alias("first"),
+                          F.count(F.lit(1)).over(bucket).alias("n"), F.max("kind").over(bucket).alias("most"))
+    pair = led & (F.col("n") == 2) & (F.col("most") == 1)
+    facts = marked.where(~led | (F.col("first") != F.col("doc"))).select(
+        F.when(pair, F.lit(4)).when(led, F.lit(1)).otherwise(F.col("kind")).cast("byte").alias("kind"),
+        F.when((led & ~pair) | (F.col("kind") == 3), F.col("key")).alias("key"),
+        F.when(led, F.col("first")).when(F.col("kind") != 3, F.col("key")).alias("a"), F.col("doc").alias("b"))
     return staged(facts, "facts")
 
 
@@ -254,21 +262,37 @@ def may_link(differ: np.ndarray | int, left: np.ndarray | int, right: np.ndarray
     return fits & (np.minimum(left, right) > 0) & (differ * (den + num) <= (den - num) * (left + right))
 
 
-def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(doc, text) of the documents in a table of distinct ``doc``.
+def _near_texts(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc, text) of the documents in a table of distinct ``doc`` and of a few others, and whether they may be many.
 
-    The join shuffles texts. A filter of one bit a hash, ``FILTER_BITS`` bits a node at a time up to a fixed size, first
-    drops most of the others where they lie; a fuller one lets more of them through to the join, and never loses one.
+    A filter of one bit a hash, ``FILTER_BITS`` bits a node at a time up to a fixed size, drops most of the others where
+    they lie; a fuller one lets more of them through, and never loses one of the nodes.
     """
-    blocks = min(-(-nodes.count() * FILTER_BITS // BLOCK_BITS), MOST_BLOCKS) or 1
+    least = -(-nodes.count() * FILTER_BITS // BLOCK_BITS) or 1
+    blocks = min(least, MOST_BLOCKS)
     hashed = F.xxhash64("doc")
     block, bit = F.pmod(hashed, F.lit(blocks)).alias("block"), F.pmod(F.shiftright(hashed, 32), F.lit(BLOCK_BITS))
     bits = nodes.select(block, bit.alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
     placed = docs.select(F.col("doc_id").alias("doc"), "text").where("doc is not null").withColumn("block", block).withColumn("bit", bit)
     near = placed.join(F.broadcast(bits), "block").where(
         F.expr("shiftright(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) % 2 = 1"))
+    return near.select("doc", "text"), least > MOST_BLOCKS
+
+
+def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc, text) of the documents in a table of distinct ``doc``; the join shuffles the texts that pass the filter."""
     # no semi join: Spark would push it below the filter's join
-    return near.select("doc", "text").join(nodes, "doc")
+    return _near_texts(docs, nodes)[0].join(nodes, "doc")
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """Sets of the documents in a table of distinct ``doc``; a few others come along, as their texts are not shuffled.
+
+    Every reader joins the sets by the documents it asks for. Where the filter is full, a join drops the others.
+    """
+    near, many = _near_texts(docs, nodes)
+    return staged((near.join(nodes, "doc") if many else near).mapInArrow(
+        _set_rows(n), "doc long, size long, sketch binary, digest binary, features binary"), "sets")
 
 
 def _ends(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
@@ -363,16 +387,21 @@ def _cell_pairs(num: int, den: int, every: bool):
 def _bucket_cells(facts: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (key, block, outer_block, doc, outer) of the buckets of three or more that hold several components.
 
-    In a bucket of two the pair was a candidate already.
+    In a bucket of two the pair was a candidate already. Of buckets of the same members one is searched: 128 bits of
+    their hashes tell them.
     """
     shared = facts.where("kind in (1, 3)").select("key", F.explode(F.array_compact(F.array("a", "b"))).alias("doc")).distinct()
     named = shared.join(labels.select(F.col("node").alias("doc"), F.col("component").alias("label")), "doc", "left")
     signed = named.select("key", "doc", F.coalesce("label", "doc").alias("label"))
-    weights = signed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
-        F.max_by("label", F.struct("n", "label")).alias("hub"), F.sum("n").alias("n"), F.max("n").alias("most"))
-    plan = weights.where("n > 2 and most < n").select(
-        "key", "hub", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"),
-        F.ceil((F.col("n") - F.col("most")) / BLOCK_ROWS).cast("int").alias("outer_blocks"))
+    parts = signed.groupBy("key", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
+    weights = parts.groupBy("key").agg(
+        F.max_by("label", F.struct("n", "label")).alias("hub"), F.sum("n").alias("n"), F.max("n").alias("most"),
+        F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    alike = weights.where("n > 2 and most < n").groupBy("x", "y", "n").agg(F.min(F.struct("key", "hub", "most")).alias("one"))
+    plan = alike.select(
+        "one.key", "one.hub", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"),
+        F.ceil((F.col("n") - F.col("one.most")) / BLOCK_ROWS).cast("int").alias("outer_blocks"))
     members = signed.join(plan, "key")
     mine, salt = F.xxhash64("doc"), F.xxhash64("doc", F.lit(1))
     inner = members.select(
@@ -407,7 +436,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     facts = _facts(docs, n, num, den)
     pairs, sure = facts.where("kind in (1, 4)").select("a", "b"), facts.where("kind = 2").select("a", "b")
     nodes = staged(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct(), "nodes")
-    sets = staged(_texts_of(docs, nodes).mapInArrow(_set_rows(n), "doc long, size long, sketch binary, digest binary, features binary"), "sets")
+    sets = _sets_of(docs, nodes, n)
     nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     linked = staged(sure.union(_verified(nearest, sets, num, den)), "linked")
     labels = connected_components(linked)
